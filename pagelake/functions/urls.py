@@ -178,7 +178,7 @@ def normalize_url(url: Column | str) -> Column:
     rendered = F.concat(
         F.when(p["scheme"].isNotNull(), F.concat(p["scheme"], F.lit(":"))).otherwise(F.lit("")),
         F.when(p["authority"].isNotNull(), F.concat(F.lit("//"), p["authority"])).otherwise(F.lit("")),
-        F.regexp_replace(p["path"], " ", "%20"),
+        go_escape_path(p["path"]),
         F.when(F.coalesce(enc, F.lit("")) != "", F.concat(F.lit("?"), enc))
         .when(force_q, F.lit("?")).otherwise(F.lit("")),
     )
@@ -288,52 +288,85 @@ def _remove_dot_segments(path: Column) -> Column:
     )
     last = F.element_at(segs, -1)
     folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(folded, "/")))
+    full = F.concat(F.lit("/"), F.array_join(folded, "/"))
+    # the fold (a non-codegen higher-order function) only runs on paths that
+    # hold a dot segment; everything else passes through unchanged
+    return F.when(path == "", path).when(path.rlike(r"(^|/)\.\.?(/|$)"), full).otherwise(path)
 
 
-def resolve_url(base: Column | str, href: Column | str) -> Column:
-    """C20: resolve ``href`` against ``base`` (RFC 3986 §5.2), natively.
+# characters that may stay raw in an encoded path (else the path is re-escaped)
+_PATH_RAW_OK = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@\[\]%/]*$"
 
-    Handles absolute, scheme-relative, root-relative, query-only,
-    fragment-only and path-relative references with dot segments."""
-    b = url_parts(base)
-    r = url_parts(href)
-    h = _s(href)
-    b_prefix = F.concat(F.coalesce(b["scheme"], F.lit("")), F.lit("://"), F.coalesce(b["authority"], F.lit("")))
 
-    def q(x):
-        return F.when(x["query"].isNotNull(), F.concat(F.lit("?"), x["query"])).otherwise(F.lit(""))
+def go_escape_path(path: Column) -> Column:
+    """Render a raw path as the reference's URL printer does: kept as is when
+    every character may appear raw; otherwise the decoded path is escaped,
+    keeping only unreserved characters and ``$&+,/:;=@``."""
+    enc = F.url_encode(_decode_path(path))
+    enc = F.regexp_replace(enc, r"\+", "%20")
+    enc = F.regexp_replace(enc, r"\*", "%2A")
+    for code, ch in (("%7E", "~"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%2C", ","),
+                     ("%2F", "/"), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@")):
+        enc = F.replace(enc, F.lit(code), F.lit(ch))
+    return F.when(path.rlike(_PATH_RAW_OK), path).otherwise(F.coalesce(enc, path))
 
-    def frag(x):
-        return F.when(x["fragment"].isNotNull(), F.concat(F.lit("#"), x["fragment"])).otherwise(F.lit(""))
 
+def _resolve_from_parts(b: Column, r: Column, h: Column) -> tuple[Column, Column, Column]:
+    """(scheme+authority prefix, raw resolved path, query+fragment suffix)."""
     base_dir = F.regexp_replace(
         F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), r"[^/]*$", ""
     )
-    merged = _remove_dot_segments(F.concat(base_dir, r["path"]))
-    abs_ = F.concat(
-        r["scheme"], F.lit(":"),
-        F.when(r["authority"].isNotNull(), F.concat(F.lit("//"), r["authority"])).otherwise(F.lit("")),
-        F.when(r["authority"].isNotNull() & (r["path"] != ""), _remove_dot_segments(r["path"]))
-        .otherwise(r["path"]),
-        q(r), frag(r),
+    case_abs = r["scheme"].isNotNull()
+    case_auth = r["authority"].isNotNull()
+    case_root = r["path"].startswith("/")
+    case_q = (r["path"] == "") & r["query"].isNotNull()
+    case_f = r["path"] == ""
+    scheme = F.when(case_abs, r["scheme"]).otherwise(b["scheme"])
+    authority = F.when(case_abs | case_auth, r["authority"]).otherwise(b["authority"])
+    path = (
+        F.when(case_abs & ~case_auth, r["path"])
+        .when(case_abs | case_auth | case_root,
+              F.when(r["path"] == "", r["path"]).otherwise(_remove_dot_segments(r["path"])))
+        .when(case_q | case_f, b["path"])
+        .otherwise(_remove_dot_segments(F.concat(base_dir, r["path"])))
+    )
+    query = F.when(case_f & ~case_q & ~case_abs & ~case_auth, b["query"]).otherwise(r["query"])
+    prefix = F.concat(
+        F.when(scheme.isNotNull(), F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
+        F.when(authority.isNotNull(), F.concat(F.lit("//"), authority)).otherwise(F.lit("")),
     )
-    scheme_rel = F.concat(F.coalesce(b["scheme"], F.lit("")), F.lit("://"), r["authority"],
-                          _remove_dot_segments(r["path"]), q(r), frag(r))
-    root_rel = F.concat(b_prefix, _remove_dot_segments(r["path"]), q(r), frag(r))
-    query_only = F.concat(b_prefix, b["path"], q(r), frag(r))
-    frag_only = F.concat(b_prefix, b["path"], q(b), frag(r))
-    rel = F.concat(b_prefix, merged, q(r), frag(r))
-    out = (
-        F.when(~b["valid"] | ~r["valid"], F.lit(None))
-        .when(r["scheme"].isNotNull(), abs_)
-        .when(r["authority"].isNotNull(), scheme_rel)
-        .when(r["path"].startswith("/"), root_rel)
-        .when((r["path"] == "") & r["query"].isNotNull(), query_only)
-        .when(r["path"] == "", frag_only)
-        .otherwise(rel)
+    suffix = F.concat(
+        F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+        F.when(r["fragment"].isNotNull(), F.concat(F.lit("#"), r["fragment"])).otherwise(F.lit("")),
     )
-    return F.when(h.isNull(), F.lit(None)).otherwise(out)
+    ok = h.isNotNull() & b["valid"] & r["valid"]
+    return F.when(ok, prefix), F.when(ok, path), F.when(ok, suffix)
+
+
+def resolve_url(base: Column | str, href: Column | str) -> Column:
+    """C20: resolve ``href`` against ``base`` (RFC 3986 §5.2), natively.
+
+    Handles absolute, scheme-relative, root-relative, query-only,
+    fragment-only and path-relative references with dot segments; the
+    path is printed the way the reference prints URLs (``go_escape_path``).
+    For large inputs prefer ``with_resolved`` (staged projections)."""
+    pre, path, suf = _resolve_from_parts(url_parts(base), url_parts(href), _s(href))
+    return F.concat(pre, go_escape_path(path), suf)
+
+
+def with_resolved(df, base: str, href: str, out: str):
+    """``resolve_url`` as staged projections: URL parts are computed once
+    per row and referenced, instead of re-deriving them in every branch of
+    the resolution expression (a 10x difference in CPU)."""
+    staged = df.withColumn("_rb", url_parts(base)).withColumn("_rr", url_parts(href))
+    pre, path, suf = _resolve_from_parts(F.col("_rb"), F.col("_rr"), F.col(href))
+    staged = staged.withColumn("_rx", F.struct(pre.alias("pre"), path.alias("path"), suf.alias("suf")))
+    staged = staged.withColumn(out, F.concat(F.col("_rx.pre"), go_escape_path(F.col("_rx.path")),
+                                             F.col("_rx.suf")))
+    staged = staged.withColumn("_web", F.coalesce(
+        F.when(F.col(out).isNotNull(), F.col("_rr.scheme")).isin("http", "https") |
+        (F.col("_rr.scheme").isNull() & F.col("_rb.scheme").isin("http", "https")), F.lit(False)))
+    return staged.drop("_rb", "_rr", "_rx")
 
 
 def link_candidate(href: Column | str) -> Column:

@@ -87,3 +87,50 @@ def search_failures(spark: SparkSession, sf: str) -> DataFrame:
                                                  lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return out.select("query_id", errs.alias("errors"), F.array_join("succeeded", ",").alias("succeeded"),
                       "all_failed", "n_failed")
+
+
+# --- I-family text functions over whole documents -----------------------------
+from ..functions import text as T  # noqa: E402
+
+
+@register("doc_text_stats", f"""
+SELECT doc_id, {S.word_count_sql('text')} AS n_words, {S.first_line_sql('text')} AS first_line,
+  {S.hash16('text')} AS text_hash, {S.hash16(S.strip_md('text'))} AS stripped_hash,
+  {S.hash16(S.truncate_sql(S.strip_md('text'), 500))} AS post_hash,
+  CAST(length(text) AS BIGINT) AS n_code_points,
+  {S.hash16("regexp_replace(" + S.trim_ws("regexp_replace(text, " + S.lit(T.WS_CLASS + '+') + ", ' ', 'g')") + ", '', '')")} AS ws_hash
+FROM documents
+""")
+def doc_text_stats(spark: SparkSession, sf: str) -> DataFrame:
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    return d.select(
+        "doc_id", T.word_count("text").alias("n_words"), T.first_line("text").alias("first_line"),
+        T.content_hash("text").alias("text_hash"), T.content_hash(T.strip_markdown("text")).alias("stripped_hash"),
+        T.content_hash(T.post_process("text", trim=True, max_chars=500)).alias("post_hash"),
+        F.length("text").cast("long").alias("n_code_points"),
+        T.content_hash(T.normalize_ws("text")).alias("ws_hash"),
+    )
+
+
+# --- J1-J3, J10: HTML node table and what is derived from it ------------------
+from ..operators import nodes as N  # noqa: E402
+from ..operators import shell as SH  # noqa: E402
+
+
+@register("page_titles", S.PAGE_TITLES)
+def page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    return N.page_title(N.html_nodes(pages))
+
+
+@register("page_links", S.PAGE_LINKS)
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages")
+    return N.page_links(N.html_nodes(pages.select("page_id", "html")), pages.select("page_id", "url"))
+
+
+@register("js_shell_verdicts")
+def js_shell_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    return SH.js_shell(N.html_nodes(pages), pages).withColumn(
+        "source", SH.fetch_source("js_detection"))
