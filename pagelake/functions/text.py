@@ -185,7 +185,7 @@ def exit_code(kind: Column | str) -> Column:
 def is_expired(cached_at: Column | str, now: Column, ttl_seconds: int | Column) -> Column:
     """I16: strictly older than the TTL."""
     ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else ttl_seconds
-    age = F.unix_micros(now) - F.unix_micros(_c(cached_at))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(_c(cached_at).cast("timestamp"))
     return age > ttl.cast("long") * F.lit(1_000_000)
 
 

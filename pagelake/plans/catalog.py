@@ -134,3 +134,160 @@ def js_shell_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
     return SH.js_shell(N.html_nodes(pages), pages).withColumn(
         "source", SH.fetch_source("js_detection"))
+
+
+# --- store (D2, W5, B4, E14, C11-C13), change detection (D10) -----------------
+from ..operators import store as ST  # noqa: E402
+from ..operators import crawl as CR  # noqa: E402
+
+_NOW = f"TIMESTAMP '{D.STORE_NOW}'"
+
+
+@register("store_lookup", f"""
+WITH st AS ({S.latest_sql(S.STORE_ROWS)}),
+rq AS (SELECT DISTINCT 'https://u.example.com/' || user_id AS url FROM events),
+j AS (SELECT rq.url, left(sha256(rq.url), 16) AS cache_key, st.cached_at, st.source, st.raw_html
+      FROM rq LEFT JOIN st ON left(sha256(rq.url), 16) = st.cache_key)
+SELECT url, cache_key, source, epoch_us(cached_at) AS cached_at_us,
+  coalesce(cached_at IS NOT NULL AND {S.fresh_sql('cached_at', D.STORE_NOW, D.STORE_TTL_SECONDS)}
+           AND NOT (coalesce(source, '') = 'http_shell'), false) AS hit,
+  coalesce(cached_at IS NOT NULL AND {S.fresh_sql('cached_at', D.STORE_NOW, D.STORE_TTL_SECONDS)}
+           AND NOT (coalesce(source, '') IN ('http_shell', '')), false) AS hit_with_renderer,
+  coalesce(cached_at IS NOT NULL AND {S.fresh_sql('cached_at', D.STORE_NOW, D.STORE_TTL_SECONDS)}
+           AND NOT (coalesce(source, '') = 'http_shell') AND raw_html <> '', false) AS raw_hit,
+  coalesce(cached_at IS NOT NULL AND {S.fresh_sql('cached_at', D.STORE_NOW, D.STORE_TTL_SECONDS)}
+           AND source = 'browser', false) AS forced_hit
+FROM j
+""")
+def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    ev = read_table(spark, sf, "events")
+    store = ST.latest_per_key(D.store_rows_from_events(ev))
+    req = ev.select(F.concat(F.lit("https://u.example.com/"), F.col("user_id").cast("string")).alias("url")).distinct()
+    now = F.expr(_NOW)
+    j = ST.lookup(req, store, now, D.STORE_TTL_SECONDS, want_raw=True)
+    fresh = F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), now, D.STORE_TTL_SECONDS)
+    return j.select(
+        "url", "cache_key", "source", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_at_us"),
+        F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), False), F.lit(False)).alias("hit"),
+        F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), True), F.lit(False)).alias("hit_with_renderer"),
+        F.coalesce(F.col("hit"), F.lit(False)).alias("raw_hit"),
+        F.coalesce(fresh & (F.col("source") == "browser"), F.lit(False)).alias("forced_hit"),
+    )
+
+
+@register("store_upsert", f"""
+WITH old AS (SELECT * FROM ({S.STORE_ROWS}) WHERE cached_at < TIMESTAMP '{D.UPSERT_SPLIT}'),
+new AS (SELECT * EXCLUDE (raw_html), CAST(NULL AS VARCHAR) AS raw_html
+        FROM ({S.STORE_ROWS}) WHERE cached_at >= TIMESTAMP '{D.UPSERT_SPLIT}'),
+u AS ({S.latest_sql("SELECT * FROM old UNION ALL BY NAME SELECT * FROM new")})
+SELECT cache_key, epoch_us(cached_at) AS cached_at_us, source, coalesce(raw_html <> '', false) AS has_raw,
+  content_hash FROM u
+""")
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.store_rows_from_events(read_table(spark, sf, "events"))
+    split = F.expr(f"TIMESTAMP '{D.UPSERT_SPLIT}'")
+    old = rows.filter(F.col("cached_at") < split)
+    new = rows.filter(F.col("cached_at") >= split)
+    out = ST.upsert(old, new, keep_raw=False)
+    return out.select("cache_key", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_at_us"), "source",
+                      F.coalesce(F.col("raw_html") != "", F.lit(False)).alias("has_raw"), "content_hash")
+
+
+@register("store_stats", f"""
+SELECT CAST(count(*) AS BIGINT) AS entries,
+  CAST(coalesce(sum(coalesce(octet_length(encode(markdown)), 0) + coalesce(octet_length(encode(title)), 0)
+                    + coalesce(octet_length(encode(raw_html)), 0)), 0) AS BIGINT) AS bytes
+FROM ({S.latest_sql(S.STORE_ROWS)})
+""")
+def store_stats(spark: SparkSession, sf: str) -> DataFrame:
+    store = ST.latest_per_key(D.store_rows_from_events(read_table(spark, sf, "events")))
+    return ST.store_stats(store)
+
+
+@register("change_detection", """
+WITH old AS (SELECT 'https://docs.example.com/' || doc_id AS url, left(sha256(text), 16) AS h
+             FROM documents WHERE source <> 'src0'),
+new AS (SELECT 'https://docs.example.com/' || doc_id AS url,
+          left(sha256(CASE WHEN lang = 'de' THEN text || ' (rev 2)' ELSE text END), 16) AS h
+        FROM documents WHERE source <> 'src1')
+SELECT coalesce(o.url, n.url) AS url,
+  CASE WHEN o.h IS NULL AND n.h IS NOT NULL THEN 'new' WHEN n.h IS NULL THEN 'removed'
+       WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS status,
+  o.h AS old_hash, n.h AS new_hash
+FROM old o FULL OUTER JOIN new n ON o.url = n.url
+""")
+def change_detection(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = D.doc_snapshots(read_table(spark, sf, "documents"))
+    return ST.detect_changes(old, new).select("url", "status", "old_hash", "new_hash")
+
+
+# --- crawl (M5: D1, D7, C3, C6-C8, C14), counters (E5, E6), W2 ---------------
+
+@register("crawl_site", f"""
+WITH sp0 AS ({S.canon_select(S.SITE_PAGES, 'url', 'visit_key', normalize=True)}),
+sp AS (SELECT page_id, visit_key AS k FROM sp0),
+e AS (
+  SELECT a.k AS src, b.k AS dst FROM sp a,
+    (SELECT unnest([a2.page_id * 2 + 1, a2.page_id * 2 + 2, a2.page_id // 2]) AS dst_id, a2.page_id AS pid FROM pages a2) x,
+    sp b
+  WHERE x.pid = a.page_id AND b.page_id = x.dst_id AND b.k <> ''
+    AND regexp_extract(b.k, '^[a-z]+://([^/?#:]*)', 1) = 'site.example.com'
+),
+seed AS (SELECT k FROM sp WHERE page_id = (SELECT min(page_id) FROM pages))
+SELECT k AS url, CAST(min(depth) AS INTEGER) AS depth,
+  CASE WHEN min(depth) = 0 THEN 'seed' ELSE 'link' END AS source
+FROM (
+  WITH RECURSIVE bfs(k, depth) AS (
+    SELECT k, 0 FROM seed
+    UNION
+    SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < 64
+  ) SELECT * FROM bfs
+) GROUP BY k
+""")
+def crawl_site(spark: SparkSession, sf: str) -> DataFrame:
+    seeds, edges, _site = D.site_graph(read_table(spark, sf, "pages").select("page_id", "url"))
+    out = CR.crawl(seeds, edges, max_depth=0)
+    return out.select("url", F.col("depth").cast("int").alias("depth"), "source")
+
+
+@register("crawl_summary", """
+SELECT strftime(ts, '%Y-%m-%d') AS run_id,
+  CAST(count(*) - count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS pages,
+  CAST(count(*) AS BIGINT) AS pages_all,
+  CAST(count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS BIGINT) AS new,
+  CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS changed,
+  CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS unchanged,
+  CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors,
+  CAST(epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 AS BIGINT) AS duration_s
+FROM events GROUP BY 1
+""")
+def crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return CR.crawl_summary(D.run_log(read_table(spark, sf, "events")))
+
+
+@register("host_shell_ratio", """
+SELECT 'h' || user_id AS host, CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE event_type = 'error' OR user_id < 10) AS BIGINT) AS shells
+FROM events GROUP BY 1
+""")
+def host_shell_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    a = D.arrivals(read_table(spark, sf, "events"))
+    fetches = a.select("host", F.when(F.col("is_shell"), "likely_shell").otherwise("static").alias("js_detection"))
+    return CR.host_shell_ratio(fetches)
+
+
+@register("force_render", """
+SELECT event_id, prior_total, prior_shells,
+  prior_total >= 10 AND prior_shells::DOUBLE / greatest(prior_total, 1) > 0.8 AS force_render
+FROM (
+  SELECT event_id,
+    CAST(count(*) OVER w AS BIGINT) AS prior_total,
+    CAST(coalesce(sum(CASE WHEN event_type = 'error' OR user_id < 10 THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS prior_shells
+  FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+""")
+def force_render(spark: SparkSession, sf: str) -> DataFrame:
+    a = D.arrivals(read_table(spark, sf, "events"))
+    out = CR.force_render_history(a)
+    return out.select(F.col("seq").alias("event_id"), "prior_total", "prior_shells", "force_render")

@@ -103,3 +103,77 @@ def attempts_part(part: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
+
+
+# --- store, change and crawl fixtures ----------------------------------------
+# fixed "now" and TTL of the store fixtures
+STORE_NOW = "2024-01-31 00:00:00"
+STORE_TTL_SECONDS = 72 * 3600
+UPSERT_SPLIT = "2024-01-16 00:00:00"
+SITE_HOST = "site.example.com"
+# event type → fetch source recorded in the store ('' = legacy entry)
+EVENT_SOURCE = {"view": "http", "click": "browser", "error": "http_shell", "signup": "", "purchase": "http"}
+# event type → crawl status of the run log ('error' rows are errors)
+EVENT_STATUS = {"view": "new", "signup": "new", "click": "changed", "purchase": "unchanged"}
+
+
+def store_rows_from_events(events: DataFrame) -> DataFrame:
+    from ..functions.text import cache_key, content_hash
+    url = F.concat(F.lit("https://u.example.com/"), F.col("user_id").cast("string"))
+    src = F.create_map(*[x for k, v in EVENT_SOURCE.items() for x in (F.lit(k), F.lit(v))])
+    return events.select(
+        cache_key(url).alias("cache_key"), F.col("ts").alias("cached_at"),
+        src[F.col("event_type")].alias("source"), url.alias("url"), F.lit(None).cast("string").alias("fetched_url"),
+        F.col("event_type").alias("title"), F.col("props").alias("markdown"),
+        F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        content_hash(F.col("props")).alias("content_hash"),
+        F.when(F.col("value") > 50, F.col("props")).otherwise(F.lit("")).alias("raw_html"),
+    )
+
+
+def doc_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of ``documents``: the old one lacks source ``src0``
+    (those are new), the new one lacks ``src1`` (removed) and revises every
+    German text (changed)."""
+    from ..functions.text import content_hash
+    url = F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string"))
+    old = documents.filter(F.col("source") != "src0").select(url.alias("url"), content_hash("text").alias("content_hash"))
+    new_text = F.when(F.col("lang") == "de", F.concat(F.col("text"), F.lit(" (rev 2)"))).otherwise(F.col("text"))
+    new = documents.filter(F.col("source") != "src1").select(url.alias("url"), content_hash(new_text).alias("content_hash"))
+    return old, new
+
+
+def site_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages moved onto one host; page i links to pages 2i+1, 2i+2 and i div 2.
+    Returns (seeds, edges, site pages)."""
+    from ..functions.urls import normalize_url
+    site = pages.select("page_id", F.regexp_replace("url", r"^https?://[^/?#]+", "https://" + SITE_HOST).alias("site_url"))
+    # the visit key is projected before the explode: lambda-local struct
+    # aliases do not survive being planned inside a Generate
+    src = site.select("page_id", normalize_url("site_url").alias("src_url"))
+    src = src.select("page_id", "src_url",
+                     F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2,
+                                       F.expr("page_id div 2"))).alias("dst_id"))
+    dst = site.select(F.col("page_id").alias("dst_id"), F.col("site_url").alias("dst_url"))
+    edges = src.join(dst, "dst_id").select("src_url", "dst_url")
+    seeds = site.orderBy("page_id").limit(1).select(F.col("site_url").alias("url"))
+    return seeds, edges, site
+
+
+def arrivals(events: DataFrame) -> DataFrame:
+    """Fetch arrivals per host: host = user, ordered by (ts, event_id); a
+    shell when the event is an error or the user is one of the first ten."""
+    return events.select(
+        F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"),
+        F.date_trunc("hour", "ts").alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        ((F.col("event_type") == "error") | (F.col("user_id") < 10)).alias("is_shell"),
+    )
+
+
+def run_log(events: DataFrame) -> DataFrame:
+    st = F.create_map(*[x for k, v in EVENT_STATUS.items() for x in (F.lit(k), F.lit(v))])
+    return events.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("ts").alias("at"),
+        F.when(F.col("event_type") == "error", F.lit("fetch failed")).alias("error"),
+        st[F.col("event_type")].alias("status"),
+    )
