@@ -13,6 +13,7 @@ Node table schema::
     tag STRING            -- element name, or '#text'
     sig STRING            -- 'tag#id.class1.class2' of this element
     path ARRAY<STRING>    -- sigs of the ancestors, root first
+    anc ARRAY<INT>        -- node ids of the ancestors, root first
     attrs MAP<STRING,STRING>
     data STRING           -- the text of a '#text' node
     text STRING           -- all descendant text, for TEXT_TAGS elements only
@@ -63,7 +64,7 @@ TEXT_TAGS = frozenset(
 
 NODE_SCHEMA = (
     "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, sig STRING, "
-    "path ARRAY<STRING>, attrs MAP<STRING,STRING>, data STRING, text STRING"
+    "path ARRAY<STRING>, anc ARRAY<INT>, attrs MAP<STRING,STRING>, data STRING, text STRING"
 )
 
 
@@ -76,7 +77,7 @@ class _TreeBuilder(HTMLParser):
         self.stack: list[int] = []          # open element row indexes
         self.texts: dict[int, list[str]] = {}
 
-    # row: [node_id, parent_id, end_id, depth, tag, sig, path, attrs, data]
+    # row: [node_id, parent_id, end_id, depth, tag, sig, path, attrs, data, ancestor ids]
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]):
         a = {k: (v if v is not None else "") for k, v in attrs}
         sig = tag + ("#" + a["id"] if a.get("id") else "") + "".join(
@@ -84,7 +85,7 @@ class _TreeBuilder(HTMLParser):
         parent = self.stack[-1] if self.stack else -1
         path = [self.rows[i][5] for i in self.stack]
         nid = len(self.rows)
-        self.rows.append([nid, parent, nid, len(self.stack), tag, sig, path, a, None])
+        self.rows.append([nid, parent, nid, len(self.stack), tag, sig, path, a, None, list(self.stack)])
         return nid
 
     def _close_to(self, idx_in_stack: int):
@@ -129,7 +130,7 @@ class _TreeBuilder(HTMLParser):
         parent = self.stack[-1] if self.stack else -1
         nid = len(self.rows)
         path = [self.rows[i][5] for i in self.stack]
-        self.rows.append([nid, parent, nid, len(self.stack), "#text", "#text", path, {}, data])
+        self.rows.append([nid, parent, nid, len(self.stack), "#text", "#text", path, {}, data, list(self.stack)])
         for i in self.stack:
             if self.rows[i][4] in TEXT_TAGS:
                 self.texts.setdefault(i, []).append(data)
@@ -150,7 +151,8 @@ def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "attrs", "data", "text"]
+    cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "anc", "attrs", "data",
+            "text"]
     for pdf in batches:
         out: list[list] = []
         for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
@@ -158,7 +160,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in rows:
                 t = texts.get(r[0])
                 text = "".join(t) if t is not None else ("" if r[4] in TEXT_TAGS else None)
-                out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8], text])
+                out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[9], r[7], r[8], text])
         yield pd.DataFrame(out, columns=cols)
 
 

@@ -291,3 +291,39 @@ def force_render(spark: SparkSession, sf: str) -> DataFrame:
     a = D.arrivals(read_table(spark, sf, "events"))
     out = CR.force_render_history(a)
     return out.select(F.col("seq").alias("event_id"), "prior_total", "prior_shells", "force_render")
+
+
+# --- J14 / W4 / C16: code search over documents as files ---------------------
+from ..operators import codegrep as CG  # noqa: E402
+
+GREP_TERM = "license"
+
+
+@register("code_grep", f"""
+WITH f AS (SELECT source AS repo, doc_id || '.txt' AS path, lang AS language, text FROM documents
+           WHERE contains(lower(text), '{GREP_TERM}')),
+l AS (SELECT *, string_split(text, chr(10)) AS lines FROM f),
+s AS (SELECT *, CASE WHEN list_position(list_transform(lines, lambda x: starts_with(x, '--- Snippet')), true) > 0
+                     THEN lines[1:list_position(list_transform(lines, lambda x: starts_with(x, '--- Snippet')), true) - 1]
+                     ELSE lines END AS body FROM l),
+n AS (SELECT *, list_filter(list_transform(body, lambda x, i: {{'line': {S.trim_ws('x')}, 'line_no': CAST(i AS INTEGER)}}),
+                            lambda r: r.line <> '') AS numbered FROM s),
+b AS (SELECT *, coalesce(list_filter(numbered, lambda r: contains(lower(r.line), '{GREP_TERM}'))[1], numbered[1]) AS best FROM n)
+SELECT repo, path, best.line_no AS line_no, best.line AS snippet, language,
+  printf('https://code.example.com/%s/blob/HEAD/%s#L%d', repo, path, best.line_no) AS url, 'files' AS source
+FROM b
+""")
+def code_grep(spark: SparkSession, sf: str) -> DataFrame:
+    files = CG.files_from_documents(read_table(spark, sf, "documents"))
+    return CG.grep_code(files, GREP_TERM)
+
+
+# --- J5/J6/J8/J13: refined pages (markdown), rows-only ------------------------
+from ..operators import extract as X  # noqa: E402
+
+
+@register("page_markdown")
+def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    nodes = N.html_nodes(pages.select("page_id", "html"))
+    return X.refine_pages(pages, nodes, trim=False, max_chars=0)
