@@ -327,3 +327,45 @@ def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
     nodes = N.html_nodes(pages.select("page_id", "html"))
     return X.refine_pages(pages, nodes, trim=False, max_chars=0)
+
+
+# --- D5 / G6: cookie scope over page URLs ------------------------------------
+from ..operators import cookies as CK  # noqa: E402
+
+COOKIE_NOW = "2024-06-01 00:00:00"
+
+
+@register("cookie_scope", f"""
+WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS h FROM pages),
+jar AS (
+  SELECT DISTINCT * FROM (
+    SELECT h AS domain, true AS host_only, '/' AS path, false AS secure, CAST(NULL AS TIMESTAMP) AS expires,
+           'sid' AS name, h AS value FROM h
+    UNION ALL
+    SELECT CASE WHEN len(string_split(h, '.')) >= 3 THEN regexp_replace(h, '^[^.]+\\.', '') ELSE h END,
+           false, '/en', true, TIMESTAMP '2030-01-01 00:00:00', 'pref',
+           CASE WHEN len(string_split(h, '.')) >= 3 THEN regexp_replace(h, '^[^.]+\\.', '') ELSE h END FROM h)
+),
+r AS (
+  SELECT DISTINCT url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1), '\\.$', '')) AS host,
+    coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS req_path,
+    starts_with(lower(url), 'https:') AS secure_req
+  FROM pages
+),
+m AS (
+  SELECT r.url, jar.name, jar.value, jar.path, jar.domain FROM r JOIN jar
+    ON (r.host = jar.domain OR (NOT jar.host_only AND ends_with(r.host, '.' || jar.domain)))
+  WHERE (jar.expires IS NULL OR jar.expires > TIMESTAMP '{COOKIE_NOW}')
+    AND (r.req_path = jar.path OR (starts_with(r.req_path, jar.path)
+         AND (ends_with(jar.path, '/') OR substr(r.req_path, length(jar.path) + 1, 1) = '/')))
+    AND (NOT jar.secure OR r.secure_req)
+)
+SELECT r.url, CAST(count(m.name) AS INTEGER) AS n_cookies,
+  coalesce(string_agg(m.name || '=' || m.value, '; ' ORDER BY -length(m.path), m.domain, m.name, m.value), '') AS cookie_header
+FROM r LEFT JOIN m ON r.url = m.url GROUP BY r.url
+""")
+def cookie_scope(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("url")
+    jar = CK.cookies_for_hosts(pages)
+    out = CK.match_cookies(pages, jar, F.expr(f"TIMESTAMP '{COOKIE_NOW}'"), order_cols=("domain",))
+    return out.select("url", F.col("n_cookies").cast("int").alias("n_cookies"), "cookie_header")
