@@ -60,7 +60,8 @@ def strip_markdown(c: Column | str) -> Column:
             p, F.when(i < n, F.concat(F.lit(SENTINEL), i.cast("string"), F.lit("\u0000"))).otherwise(F.lit("")))),
         "",
     )
-    out = protected
+    # fast path: without fences the rules run on the text itself
+    out = F.when(n == 0, s).otherwise(protected)
     for pat, rep in MD_RULES:
         out = F.regexp_replace(out, "(?d)" + pat, rep)
     restored = F.aggregate(
@@ -89,15 +90,15 @@ def post_process(c: Column | str, trim: bool = False, max_chars: int = 0) -> Col
 
 
 def word_count(c: Column | str) -> Column:
-    """I4: number of Unicode-white-space separated fields."""
-    s = _c(c)
-    return F.size(F.filter(F.split(s, WS_CLASS + "+"), lambda x: x != "")).cast("long")
+    """I4: number of Unicode-white-space separated fields (a regex count of
+    non-space runs: no array is built)."""
+    return F.regexp_count(_c(c), F.lit("[^" + WS_CLASS[1:-1] + "]+")).cast("long")
 
 
 def first_line(c: Column | str) -> Column:
-    """First non-blank line, trimmed ('' when none)."""
-    lines = F.transform(F.split(_c(c), "\n"), lambda x: go_trim(x))
-    return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), 0), F.lit(""))
+    """First non-blank line, trimmed ('' when none): skip leading white
+    space (blank lines included), take the rest of that line, trim it."""
+    return F.coalesce(go_trim(F.regexp_extract(_c(c), "^" + WS_CLASS + "*([^\n]*)", 1)), F.lit(""))
 
 
 def content_hash(c: Column | str) -> Column:

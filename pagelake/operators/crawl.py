@@ -97,7 +97,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         nxt = _pin(nxt.repartition(nparts, "url"), checkpoint)
         if nxt.isEmpty():
             break
-        visited = _pin(visited.unionByName(nxt).repartition(nparts, "url"), checkpoint)
+        # every level is already a checkpointed leaf: their union has a
+        # one-level lineage, so it needs no checkpoint of its own
+        visited = visited.unionByName(nxt)
         level = nxt
     return visited
 
