@@ -369,3 +369,28 @@ def cookie_scope(spark: SparkSession, sf: str) -> DataFrame:
     jar = CK.cookies_for_hosts(pages)
     out = CK.match_cookies(pages, jar, F.expr(f"TIMESTAMP '{COOKIE_NOW}'"), order_cols=("domain",))
     return out.select("url", F.col("n_cookies").cast("int").alias("n_cookies"), "cookie_header")
+
+
+# --- A4: backend payloads → ranked rows (round trip over derived lists) ------
+from ..sources import payloads as PL  # noqa: E402
+
+PAYLOAD_KINDS = {"alpha": "brave", "beta": "searxng", "gamma": "firecrawl"}
+
+
+@register("search_payloads", f"""
+SELECT query_id, CASE backend WHEN 'alpha' THEN 'brave' WHEN 'beta' THEN 'searxng' ELSE 'firecrawl' END AS backend,
+  backend_ord, rank, title, url, description, '' AS content
+FROM ({S.RANKED_LISTS_PART})
+""")
+def search_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    lists = D.ranked_lists_part(read_table(spark, sf, "part"))
+    raw = PL.payloads_from_lists(lists, PAYLOAD_KINDS)
+    return PL.normalize_search(raw)
+
+
+# --- W6 / M2: random provider with fallback over derived attempts ------------
+
+@register("random_search")
+def random_search(spark: SparkSession, sf: str) -> DataFrame:
+    out = fuse.random_fallback(D.attempts_part(read_table(spark, sf, "part")), seed=42)
+    return out.select("query_id", "chosen", F.size("failures").alias("n_failures"))
