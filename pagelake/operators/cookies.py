@@ -35,19 +35,19 @@ def parse_cookie_lines(lines: DataFrame, now: Column, line_col: str = "line",
     http_only = raw.startswith("#HttpOnly_")
     body = F.when(http_only, F.substring(raw, 11, 1 << 30)).otherwise(raw)
     f = F.split(body, "\t", 7)
-    dom_field = f.getItem(0)
+    dom_field = F.get(f, 0)
     dom = F.lower(F.regexp_replace(dom_field, r"^\.", ""))
     dom_ok = (
         (dom_field != "") & (go_trim_eq(dom_field)) & (dom != "") & ~dom.startswith(".") & ~dom.endswith(".")
         & (_is_ip(dom) | ((F.length(dom) <= 253) & F.forall(F.split(dom, r"\."), lambda l: l.rlike(_LABEL))))
     )
-    sub = F.upper(f.getItem(1))
-    sec = F.upper(f.getItem(3))
-    path = f.getItem(2)
-    exp = f.getItem(4)
+    sub = F.upper(F.get(f, 1))
+    sec = F.upper(F.get(f, 3))
+    path = F.get(f, 2)
+    exp = F.get(f, 4)
     exp_ok = exp.rlike(r"^[+]?[0-9]{1,18}$")
     exp_n = F.when(exp_ok, exp.cast("long"))
-    name = f.getItem(5)
+    name = F.get(f, 5)
     well_formed = (
         (F.trim(raw) != "") & (http_only | ~raw.startswith("#")) & (F.size(f) == 7) & dom_ok
         & sub.isin("TRUE", "FALSE") & path.startswith("/") & ~path.rlike("[\u0000\r\n]")
@@ -59,7 +59,7 @@ def parse_cookie_lines(lines: DataFrame, now: Column, line_col: str = "line",
         F.col(ord_col).alias("jar_ord"), dom.alias("domain"), (sub == "FALSE").alias("host_only"),
         path.alias("path"), (sec == "TRUE").alias("secure"), http_only.alias("http_only"),
         F.when(exp_n > 0, F.timestamp_seconds(exp_n)).alias("expires"),
-        name.alias("name"), f.getItem(6).alias("value"), status.alias("status"))
+        name.alias("name"), F.get(f, 6).alias("value"), status.alias("status"))
 
 
 def go_trim_eq(c: Column) -> Column:
