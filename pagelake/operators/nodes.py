@@ -20,8 +20,8 @@ Node table schema::
 
 ``node_id`` is the document order; an element's subtree is the id range
 ``(node_id, end_id]``. Partitioning: by ``page_id`` (a page never spans
-tasks); the parse is repartitioned by a hash of ``page_id`` first so one
-large input file does not become one task.
+tasks); the pages are hash-partitioned by ``page_id`` before the parse, which
+also spreads one large input file over all tasks.
 """
 
 from __future__ import annotations
@@ -168,9 +168,10 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                num_partitions: int | None = None) -> DataFrame:
     """One row per element / text run of every page.
 
-    The input is hash-repartitioned by page id (optionally into
-    ``num_partitions``) so the Python parse spreads over all executors;
-    Arrow batches are kept small because a page can be megabytes."""
+    The input is hash-partitioned by ``page_id`` once before the parse:
+    every later step (title, links, signals, markdown) groups or joins by
+    ``page_id`` and reuses that partitioning, so the node table — larger
+    than the HTML — is never shuffled again."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     src = src.repartition(num_partitions, "page_id") if num_partitions else src.repartition("page_id")
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)

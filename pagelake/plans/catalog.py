@@ -102,11 +102,14 @@ SELECT doc_id, {S.word_count_sql('text')} AS n_words, {S.first_line_sql('text')}
 FROM documents
 """)
 def doc_text_stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    from ..session import spread
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    # strip once (a staged projection), then hash it and its truncation (I3 = I1 then I2)
+    d = d.withColumn("stripped", T.strip_markdown("text"))
     return d.select(
         "doc_id", T.word_count("text").alias("n_words"), T.first_line("text").alias("first_line"),
-        T.content_hash("text").alias("text_hash"), T.content_hash(T.strip_markdown("text")).alias("stripped_hash"),
-        T.content_hash(T.post_process("text", trim=True, max_chars=500)).alias("post_hash"),
+        T.content_hash("text").alias("text_hash"), T.content_hash("stripped").alias("stripped_hash"),
+        T.content_hash(T.truncate("stripped", 500)).alias("post_hash"),
         F.length("text").cast("long").alias("n_code_points"),
         T.content_hash(T.normalize_ws("text")).alias("ws_hash"),
     )
@@ -314,7 +317,8 @@ SELECT repo, path, best.line_no AS line_no, best.line AS snippet, language,
 FROM b
 """)
 def code_grep(spark: SparkSession, sf: str) -> DataFrame:
-    files = CG.files_from_documents(read_table(spark, sf, "documents"))
+    from ..session import spread
+    files = CG.files_from_documents(spread(read_table(spark, sf, "documents")))
     return CG.grep_code(files, GREP_TERM)
 
 
