@@ -398,3 +398,52 @@ def search_payloads(spark: SparkSession, sf: str) -> DataFrame:
 def random_search(spark: SparkSession, sf: str) -> DataFrame:
     out = fuse.random_fallback(D.attempts_part(read_table(spark, sf, "part")), seed=42)
     return out.select("query_id", "chosen", F.size("failures").alias("n_failures"))
+
+
+# --- A5 + A6: event-stream text blocks (round trip over derived lists) -------
+from ..sources import blocks as BL  # noqa: E402
+
+
+@register("text_block_results", f"""
+SELECT query_id, rank, title, url, description, description AS content
+FROM ({S.RANKED_LISTS_PART}) WHERE backend = 'beta'
+""")
+def text_block_results(spark: SparkSession, sf: str) -> DataFrame:
+    lists = D.ranked_lists_part(read_table(spark, sf, "part")).filter(F.col("backend") == "beta")
+    return BL.exa_results(BL.text_blocks_payload(lists), limit=0)
+
+
+# --- M3 (M1 → D3) and M4 over the driver's pages -----------------------------
+from ..plans import composite as CP  # noqa: E402
+from ..sources import snapshots as SN  # noqa: E402
+
+
+@register("search_enrich", f"""
+WITH r AS ({S.rrf_sql(S.PAGE_SEARCH_LISTS, limit=10)}),
+t AS ({S.PAGE_TITLES.replace('SELECT page_id,', 'SELECT url AS page_url,')})
+SELECT r.query_id, r.fused_rank, r.url, r.title, t.title AS page_title, t.page_url IS NOT NULL AS has_page
+FROM r LEFT JOIN t ON r.url = t.page_url
+""")
+def search_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    lists = D.page_search_lists(pages)
+    nodes = N.html_nodes(pages.select("page_id", "html"))
+    refined = N.page_title(nodes).join(pages.select("page_id", "url"), "page_id") \
+        .withColumn("markdown", F.lit(""))
+    out = CP.search_and_scrape(lists, refined, limit=10)
+    return out.select("query_id", "fused_rank", "url", "title", "page_title",
+                      F.col("page_title").isNotNull().alias("has_page"))
+
+
+@register("scrape_batch", f"""
+SELECT page_id AS input_pos, url, CAST(NULL AS VARCHAR) AS fetched_url,
+  {S.trim_ws(S.unescape_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title,
+  false AS from_store, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_kind
+FROM pages
+""")
+def scrape_batch(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages")
+    snaps = SN.prepare_snapshots(SN.snapshots_from_pages(pages))
+    urls = pages.select(F.col("page_id").alias("input_pos"), "url")
+    res, _delta = CP.scrape_batch(urls, snaps, None, F.expr("TIMESTAMP '2024-06-01 00:00:00'"))
+    return res.select("input_pos", "url", "fetched_url", "title", "from_store", "error", "error_kind")

@@ -177,3 +177,29 @@ def run_log(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("fetch failed")).alias("error"),
         st[F.col("event_type")].alias("status"),
     )
+
+
+# names of the four spelling "backends" of the page-search fixture
+VARIANT_BACKENDS = ("as_is", "scheme", "www", "tracked")
+
+
+def page_search_lists(pages: DataFrame) -> DataFrame:
+    """Ranked lists over the driver's pages: query = page host; four
+    backends, one per URL spelling (``url_variants``), each ranking the
+    host's pages its own way (id asc, id desc, size desc, URL); top 20."""
+    from ..functions.urls import hostname
+    base = pages.select("page_id", F.lower(hostname("url")).alias("host"), F.length("html").alias("size"),
+                        F.col("url").alias("orig_url"))
+    v = url_variants(pages.select("page_id", "url")).join(base, "page_id")
+    sort_a = (F.when(F.col("variant") == 0, F.col("page_id"))
+              .when(F.col("variant") == 1, -F.col("page_id"))
+              .when(F.col("variant") == 2, -F.col("size").cast("long")))
+    sort_b = F.when(F.col("variant") == 3, F.col("orig_url"))
+    w = Window.partitionBy("host", "variant").orderBy(sort_a.asc_nulls_first(), sort_b.asc_nulls_first(),
+                                                     F.col("page_id").asc())
+    ranked = v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LIST_DEPTH)
+    names = F.element_at(F.array(*[F.lit(b) for b in VARIANT_BACKENDS]), F.col("variant") + 1)
+    return ranked.select(
+        F.col("host").alias("query_id"), names.alias("backend"), F.col("variant").cast("int").alias("backend_ord"),
+        F.col("rank").cast("int").alias("rank"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"),
+        "url", F.lit("").alias("description"), F.lit("").alias("content"))
