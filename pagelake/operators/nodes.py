@@ -14,6 +14,8 @@ Node table schema::
     sig STRING            -- 'tag#id.class1.class2' of this element
     path ARRAY<STRING>    -- sigs of the ancestors, root first
     anc ARRAY<INT>        -- node ids of the ancestors, root first
+    ptags ARRAY<STRING>   -- tag names of the ancestors, root first
+    tbl INT               -- nearest enclosing data table (not role=presentation)
     attrs MAP<STRING,STRING>
     data STRING           -- the text of a '#text' node
     text STRING           -- all descendant text, for TEXT_TAGS elements only
@@ -64,7 +66,8 @@ TEXT_TAGS = frozenset(
 
 NODE_SCHEMA = (
     "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, sig STRING, "
-    "path ARRAY<STRING>, anc ARRAY<INT>, attrs MAP<STRING,STRING>, data STRING, text STRING"
+    "path ARRAY<STRING>, anc ARRAY<INT>, ptags ARRAY<STRING>, tbl INT, attrs MAP<STRING,STRING>, data STRING, "
+    "text STRING"
 )
 
 
@@ -151,8 +154,8 @@ def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "anc", "attrs", "data",
-            "text"]
+    cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "anc", "ptags", "tbl",
+            "attrs", "data", "text"]
     for pdf in batches:
         out: list[list] = []
         for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
@@ -160,7 +163,10 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in rows:
                 t = texts.get(r[0])
                 text = "".join(t) if t is not None else ("" if r[4] in TEXT_TAGS else None)
-                out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[9], r[7], r[8], text])
+                tbl = next((i for i in reversed(r[9]) if rows[i][4] == "table"
+                            and (rows[i][7].get("role") or "").lower() != "presentation"), None)
+                out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[9], [rows[i][4] for i in r[9]],
+                            tbl, r[7], r[8], text])
         yield pd.DataFrame(out, columns=cols)
 
 
@@ -177,6 +183,15 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)
 
 
+def parse_once(nodes: DataFrame) -> DataFrame:
+    """Keep a node table that several operators read (title, signals, main
+    content, markdown) so the Python parse runs once per page: persisted in
+    executor memory spilling to disk; a lost block is recomputed from
+    lineage. For tables reused across jobs, write it to Parquet instead."""
+    from pyspark import StorageLevel
+    return nodes.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def page_title(nodes: DataFrame) -> DataFrame:
     """First ``<title>`` text, trimmed; pages without one are absent."""
     return (nodes.filter(F.col("tag") == "title")

@@ -66,11 +66,11 @@ def shell_signals(nodes: DataFrame) -> DataFrame:
     nt = normalize_ws(F.coalesce("text", F.lit("")))
     n = nodes.filter(F.col("tag").isin(*VISIBLE_TAGS, "script", "noscript", "body", "head", "#text"))
     n = n.select(
-        "page_id", "node_id", "tag", "text", "data", "path",
+        "page_id", "node_id", "tag", "text", "data", "ptags",
         F.when(is_vis, nt).alias("nt"),
     )
     # text outside <head> and <body>: the body text of pages without a body tag
-    in_head = F.exists("path", lambda p: p.rlike(r"^(head|body)([#.]|$)"))
+    in_head = F.arrays_overlap(F.col("ptags"), F.array(F.lit("head"), F.lit("body")))
     vis_piece = F.when(is_vis & (F.col("nt") != ""), F.struct("node_id", "nt"))
     body_piece = F.when((F.col("tag") == "#text") & ~in_head, F.struct("node_id", "data"))
     agg = n.groupBy("page_id").agg(

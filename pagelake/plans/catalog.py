@@ -329,7 +329,7 @@ from ..operators import extract as X  # noqa: E402
 @register("page_markdown")
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
-    nodes = N.html_nodes(pages.select("page_id", "html"))
+    nodes = N.parse_once(N.html_nodes(pages.select("page_id", "html")))
     return X.refine_pages(pages, nodes, trim=False, max_chars=0)
 
 

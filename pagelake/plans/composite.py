@@ -107,7 +107,7 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
 
     html_rows = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & X.is_html_type(F.col("ctype")))
     pages = html_rows.select(F.col("input_pos").cast("long").alias("page_id"), F.col("fetch_url").alias("url"), "html")
-    nodes = N.html_nodes(pages.select("page_id", "html"))
+    nodes = N.parse_once(N.html_nodes(pages.select("page_id", "html")))
     refined = X.refine_pages(pages, nodes, trim=False, max_chars=0)
     verdict = SH.js_shell(nodes, pages.select("page_id", "html"))
     html_out = (refined.join(verdict.select("page_id", "js_detection"), "page_id", "left")
@@ -141,7 +141,7 @@ def extract_html(df: DataFrame, selector: str | None = None, trim: bool = False,
     order joined by a blank line; no match → not_found) or refinement."""
     v = X.validate_inputs(df.withColumn("page_id", F.col("page_id").cast("long")), "html")
     ok = v.filter(F.col("error").isNull())
-    nodes = N.html_nodes(ok.select("page_id", "html"))
+    nodes = N.parse_once(N.html_nodes(ok.select("page_id", "html")))
     if selector is None:
         out = X.refine_pages(ok.select("page_id", url_col, "html"), nodes, trim, max_chars)
         out = out.withColumn("error", F.lit(None).cast("string")).withColumn("error_kind", F.lit(None).cast("string"))
