@@ -385,3 +385,29 @@ def is_web_url(url: Column | str) -> Column:
 def any_of(cols: Iterable[Column]) -> Column:
     cols = list(cols)
     return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
+
+
+MAX_RULES = 1000  # a rules table is configuration; refuse anything larger
+
+
+def rules_from_table(rules_df) -> list[tuple[str, str]]:
+    """An ordered rules table ``rule_ord, match, replace`` becomes
+    the rule list of ``rewrite_url`` (first match wins). The table is
+    configuration — its size is checked before it is read on the driver —
+    and every rule must compile (the error names its index)."""
+    n = rules_df.limit(MAX_RULES + 1).count()
+    if n > MAX_RULES:
+        raise ValueError(f"rewrite rules table has more than {MAX_RULES} rules")
+    rows = rules_df.orderBy("rule_ord").select("match", "replace").collect()
+    rules = [(r["match"], r["replace"] or "") for r in rows]
+    validate_rules(rules)
+    return rules
+
+
+def read_rules_json(spark, path: str) -> list[tuple[str, str]]:
+    """Rules from a JSON array file ``[{"match": ..., "replace": ...}]``
+    in file order."""
+    df = spark.read.option("multiLine", "true").schema(
+        "match STRING, replace STRING").json(path)
+    from pyspark.sql import functions as F
+    return rules_from_table(df.withColumn("rule_ord", F.monotonically_increasing_id()))

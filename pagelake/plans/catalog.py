@@ -447,3 +447,40 @@ def scrape_batch(spark: SparkSession, sf: str) -> DataFrame:
     urls = pages.select(F.col("page_id").alias("input_pos"), "url")
     res, _delta = CP.scrape_batch(urls, snaps, None, F.expr("TIMESTAMP '2024-06-01 00:00:00'"))
     return res.select("input_pos", "url", "fetched_url", "title", "from_store", "error", "error_kind")
+
+
+# --- C3/C6/C18 visit keys and C9/C10 content types over the driver's tables --
+
+@register("crawl_keys", f"""
+SELECT page_id, visit_key,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host,
+  coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '') IN ('', '/') AS bare_domain
+FROM ({S.canon_select("SELECT page_id, url FROM pages", "url", "visit_key", normalize=True)})
+""")
+def crawl_keys(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import urls as U
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    return pages.select("page_id", U.normalize_url("url").alias("visit_key"), U.hostname("url").alias("host"),
+                        U.is_bare_domain("url").alias("bare_domain"))
+
+
+@register("content_types", f"""
+WITH s AS (
+  SELECT 'page-' || page_id AS id, 'text/html; charset=utf-8' AS declared, html AS body FROM pages
+  UNION ALL
+  SELECT 'doc-' || doc_id, CASE WHEN lang = 'en' THEN 'text/plain' ELSE '' END, text FROM documents
+)
+SELECT id, ctype, ctype IN ('text/html', 'application/xhtml+xml') AS is_html
+FROM (SELECT id, {S.content_type_sql('declared', 'body')} AS ctype FROM s)
+""")
+def content_types(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
+        F.lit("text/html; charset=utf-8").alias("declared"), F.col("html").alias("body"))
+    docs = read_table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
+        F.when(F.col("lang") == "en", F.lit("text/plain")).otherwise(F.lit("")).alias("declared"),
+        F.col("text").alias("body"))
+    s = pages.unionByName(docs)
+    ct = X.content_type(F.col("declared"), F.col("body").cast("binary"))
+    return s.select("id", ct.alias("ctype")).withColumn("is_html", X.is_html_type(F.col("ctype")))
