@@ -33,11 +33,15 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def urls_from_json(df: DataFrame, col: str = "body") -> DataFrame:
-    """A2: a JSON array of URLs → ``url, input_pos`` rows plus an error row
-    (``error_kind = 'validation'``) for an empty or unparsable array."""
+    """A2: a JSON array of URLs → ``url, input_pos`` rows; an empty or
+    unparsable array is one error row (``error_kind = 'validation'``)."""
     arr = F.from_json(F.col(col), "array<string>")
     ok = df.filter(F.size(arr) > 0).select(F.posexplode(arr).alias("input_pos", "url"))
-    return ok.withColumn("error", F.lit(None).cast("string"))
+    ok = ok.withColumn("error", F.lit(None).cast("string")).withColumn("error_kind", F.lit(None).cast("string"))
+    bad = df.filter(F.coalesce(F.size(arr), F.lit(-1)) <= 0).select(
+        F.lit(None).cast("int").alias("input_pos"), F.lit(None).cast("string").alias("url"),
+        F.lit("URL list must be a non-empty JSON array").alias("error"), F.lit("validation").alias("error_kind"))
+    return ok.unionByName(bad)
 
 
 def _items(backend: Column, body: Column) -> Column:
@@ -62,7 +66,9 @@ def normalize_search(raw: DataFrame, limit: int = 0) -> DataFrame:
     ``limit`` when > 0)."""
     items = _items(F.col("backend"), F.col("body"))
     if limit > 0:
-        items = F.slice(items, 1, limit)
+        # Each backend's own cap on top of the requested limit
+        caps = F.create_map(*[x for b in SEARCH_SHAPES for x in (F.lit(b), F.lit(backend_limit(b, limit)))])
+        items = F.slice(items, 1, F.coalesce(caps[F.col("backend")], F.lit(limit)))
     ex = raw.select("query_id", "backend", "backend_ord", F.posexplode(items).alias("pos", "it"))
     return ex.select("query_id", "backend", "backend_ord", (F.col("pos") + 1).cast("int").alias("rank"),
                      F.coalesce("it.title", F.lit("")).alias("title"), F.coalesce("it.url", F.lit("")).alias("url"),
@@ -90,16 +96,16 @@ def payloads_from_lists(lists: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def sse_data_lines(body: Column) -> Column:
-    """A5 helper: the payloads of ``data:`` lines, in order, blanks dropped."""
-    lines = F.split(F.regexp_replace(body, "\r", ""), "\n")
-    data = F.transform(F.filter(lines, lambda l: l.startswith("data:")),
-                       lambda l: F.trim(F.substring(l, 6, 1 << 30)))
-    return F.filter(data, lambda d: d != "")
+    """A5 helper: the payloads of ``data:`` lines (lines trimmed), in order,
+    blanks dropped."""
+    from .blocks import data_lines
+    return data_lines(body)
 
 
 def sse_last_data(body: Column) -> Column:
     """A5 (last-wins policy): the last non-empty ``data:`` payload."""
-    return F.element_at(sse_data_lines(body), -1)
+    from .blocks import last_data
+    return last_data(body)
 
 
 def sse_first_decodable(body: Column, schema: str, field: str) -> Column:
@@ -109,6 +115,32 @@ def sse_first_decodable(body: Column, schema: str, field: str) -> Column:
                           lambda d: F.from_json(d, schema).getField(field).isNotNull()), 0)
 
 
+# --- G4: per-backend result limits (fixed values of the backends' APIs) ---------
+BRAVE_MAX = 20
+GITHUB_DEFAULT, GITHUB_MAX = 30, 100
+
+
+def backend_limit(backend: str, limit: int) -> int:
+    """Brave caps at 20 and asks for nothing when limit ≤ 0; Firecrawl
+    and Keenable return nothing for limit ≤ 0; a GitHub page size outside
+    1-100 becomes 30; others pass the limit through."""
+    if backend == "brave":
+        return 0 if limit <= 0 else min(limit, BRAVE_MAX)
+    if backend in ("firecrawl", "keenable"):
+        return max(limit, 0)
+    if backend == "github":
+        return limit if 1 <= limit <= GITHUB_MAX else GITHUB_DEFAULT
+    return limit
+
+
+# --- L1: pluggable result sources ------------------------------------------------
+def register_search_shape(name: str, schema: str, path: str, description_field: str = "description") -> None:
+    """L1: add a backend's JSON shape (explicit schema, dotted path to the
+    result array, the field that becomes the description) to the registry
+    ``normalize_search`` dispatches on."""
+    SEARCH_SHAPES[name] = (schema, path, description_field)
+
+
 def library_matches(raw: DataFrame, n: int) -> DataFrame:
     """A10: library matches in upstream order, first ``n`` (``n`` ≤ 0 keeps
     all). ``raw.body`` = ``{"results": [...]}``."""

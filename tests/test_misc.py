@@ -91,3 +91,19 @@ def test_payload_shapes(spark):
                    ("firecrawl", 1, "https://f", "")]
     sse = spark.createDataFrame([("event: x\ndata: {\"a\":1}\n\ndata: \ndata: {\"a\":2}\n",)], "b string")
     assert sse.select(PL.sse_last_data(F.col("b")).alias("d")).first().d == '{"a":2}'
+
+
+def test_url_lists_and_limits(spark):
+    import tempfile, os
+    d = tempfile.mkdtemp(prefix="pl-urls-")
+    with open(os.path.join(d, "urls.txt"), "w") as f:
+        f.write("  https://a.example/ \n\n# comment\nhttps://b.example\n")
+    got = [r.url for r in PL.read_url_list(spark, os.path.join(d, "urls.txt")).orderBy("input_pos").collect()]
+    assert got == ["https://a.example/", "https://b.example"]
+    df = spark.createDataFrame([('["https://x", "https://y"]',), ("[]",), ("not json",)], "body string")
+    rows = PL.urls_from_json(df).collect()
+    assert sorted(r.url for r in rows if r.url) == ["https://x", "https://y"]
+    assert sum(1 for r in rows if r.error_kind == "validation") == 2
+    assert PL.backend_limit("brave", 50) == 20 and PL.backend_limit("brave", 0) == 0
+    assert PL.backend_limit("github", 0) == 30 and PL.backend_limit("github", 101) == 30
+    assert PL.backend_limit("keenable", -1) == 0
