@@ -39,10 +39,16 @@ def stale_for_render(source: Column, renderer_available: bool) -> Column:
 
 
 def latest_per_key(store: DataFrame) -> DataFrame:
-    """The latest version of every key (ties: larger source name last —
-    deterministic)."""
-    w = Window.partitionBy("cache_key").orderBy(F.desc("cached_at"), F.desc("source"))
-    return store.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The latest version of every key (ties: the larger source name).
+
+    A ``max_by`` aggregate rather than a ``row_number`` window: the partial
+    aggregation keeps one candidate per key per map task before the
+    shuffle, so a key holding a third of all versions does not become one
+    task sorting a third of the table."""
+    cols = [c for c in store.columns if c != "cache_key"]
+    best = F.max_by(F.struct(*cols), F.struct("cached_at", F.coalesce("source", F.lit(""))))
+    return store.groupBy("cache_key").agg(best.alias("_v")).select("cache_key", *[F.col(f"_v.{c}").alias(c)
+                                                                                  for c in cols])
 
 
 def lookup(requests: DataFrame, store: DataFrame, now: Column, ttl_seconds: int = DEFAULT_TTL_SECONDS,

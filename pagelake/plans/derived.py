@@ -165,7 +165,7 @@ def arrivals(events: DataFrame) -> DataFrame:
     shell when the event is an error or the user is one of the first ten."""
     return events.select(
         F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"),
-        F.date_trunc("hour", "ts").alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        F.date_trunc("minute", "ts").alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         ((F.col("event_type") == "error") | (F.col("user_id") < 10)).alias("is_shell"),
     )
 
