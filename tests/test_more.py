@@ -91,3 +91,25 @@ def test_cap_runs_and_sinks(spark):
     assert json.loads(line) == {"url": "https://s/1", "title": "T", "words": 3, "status": "new", "source": "link"}
     CR.to_tsv(df, ["url", "title", "body"], out + "/t")
     assert spark.read.text(out + "/t").first().value == "https://s/1\tT\t"
+
+
+def test_lang_stars_absolutize(spark):
+    from pagelake.operators import codegrep as CG
+    from pagelake.operators import nodes as N
+    assert CG.normalize_lang("golang") == "Go" and CG.normalize_lang("rust") == "Rust" and CG.normalize_lang("") is None
+    files = spark.createDataFrame([("org/a", "x.go", "Go", "package x\nfunc Find() {}\n", False, False),
+                                   ("org/b", "y.go", "golang", "// find me\n", True, False),
+                                   ("org/c", "z.py", "Python", "def find(): pass\n", False, True)],
+                                  "repo string, path string, language string, text string, archived boolean, fork boolean")
+    got = [(r.repo, r.line_no, r.snippet) for r in CG.grep_code(files, "find", lang="go").collect()]
+    assert got == [("org/a", 2, "func Find() {}")]
+    assert CG.grep_code(files, "find", include_archived=True, include_forks=True).count() == 3
+    assert [r.line_no for r in CG.grep_code(files, r"def \w+\(", regexp=True).collect()] == []
+    stars = spark.createDataFrame([("org/a", 5)], "repo string, stars int")
+    s = {r.repo: r.stars for r in CG.add_stars(CG.grep_code(files, "find", include_archived=True), stars).collect()}
+    assert s == {"org/a": 5, "org/b": None}
+    pages = spark.createDataFrame([(1, "https://ex.com/d/p", '<a href="../x">x</a><img src="i.png">')],
+                                  "page_id long, url string, html string")
+    nodes = N.absolutize_attrs(N.html_nodes(pages), pages)
+    got = sorted(v for r in nodes.filter("tag in ('a','img')").collect() for k, v in r.attrs.items())
+    assert got == ["https://ex.com/d/i.png", "https://ex.com/x"]
