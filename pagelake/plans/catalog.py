@@ -484,3 +484,26 @@ def content_types(spark: SparkSession, sf: str) -> DataFrame:
     s = pages.unionByName(docs)
     ct = X.content_type(F.col("declared"), F.col("body").cast("binary"))
     return s.select("id", ct.alias("ctype")).withColumn("is_html", X.is_html_type(F.col("ctype")))
+
+
+# --- C4 / C5: ordered rewrite rules over page URLs ---------------------------
+REWRITE_RULES = [(r"^http://", "https://"), (r"^https://www\.([^/]+)/(.*)$", "https://$1/$2"),
+                 (r"/en/", "/intl/en/")]
+
+
+@register("url_rewrite", """
+SELECT page_id, url,
+  CASE WHEN regexp_matches(url, '^http://') THEN regexp_replace(url, '^http://', 'https://', 'g')
+       WHEN regexp_matches(url, '^https://www\\.([^/]+)/(.*)$') THEN regexp_replace(url, '^https://www\\.([^/]+)/(.*)$', 'https://\\1/\\2', 'g')
+       WHEN regexp_matches(url, '/en/') THEN regexp_replace(url, '/en/', '/intl/en/', 'g')
+       ELSE url END AS fetch_url,
+  CASE WHEN regexp_matches(url, '^http://') OR regexp_matches(url, '^https://www\\.([^/]+)/(.*)$')
+            OR regexp_matches(url, '/en/') THEN 1 ELSE 0 END AS rewritten
+FROM pages
+""")
+def url_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import urls as U
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    out = pages.withColumn("fetch_url", U.rewrite_url("url", REWRITE_RULES))
+    return out.select("page_id", "url", "fetch_url",
+                      U.fetched_url(F.col("url"), F.col("fetch_url")).isNotNull().cast("int").alias("rewritten"))
