@@ -121,6 +121,12 @@ def crawl_summary(results: DataFrame, run_col: str = "run_id") -> DataFrame:
     )
 
 
+def write_run_status(summary: DataFrame, path: str, run_id: str) -> None:
+    """B6 (batch): the status rows of one run replace its previous ones
+    (``path/run_id=<id>``, overwritten at every refresh)."""
+    summary.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
+
+
 def host_shell_ratio(fetches: DataFrame) -> DataFrame:
     """Per host, HTML fetches and how many were shells."""
     return fetches.groupBy("host").agg(

@@ -80,14 +80,30 @@ def upsert(store: DataFrame | None, rows: DataFrame, keep_raw: bool = True) -> D
     return latest_per_key(both)
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a store version as Parquet under ``root/v=<n>`` (atomic per
-    job commit); readers keep reading the previous version meanwhile."""
+def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
+    """Write a store version under ``root/v=<n>`` (atomic per job commit);
+    readers keep reading the previous version meanwhile. ``fmt`` is the
+    pluggable storage format (L3): any Spark data source."""
     path = f"{root.rstrip('/')}/v={int(version)}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").format(fmt).save(path)
     return path
 
 
+def read_store(spark: SparkSession, root: str, version: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """Scan a store version (the newest ``v=<n>`` when not given);
+    lookups then filter or join on ``cache_key`` and push the predicate
+    into the scan."""
+    if version is None:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        versions = [int(st.getPath().getName()[2:]) for st in fs.listStatus(jvm_path)
+                    if st.getPath().getName().startswith("v=")]
+        if not versions:
+            return empty_store(spark)
+        version = max(versions)
+    return spark.read.format(fmt).load(f"{root.rstrip('/')}/v={int(version)}")
+
+
 def store_stats(store: DataFrame) -> DataFrame:
     """Entries and bytes (of the page JSON-ish payload + raw HTML)."""
     size = (F.coalesce(F.octet_length("markdown"), F.lit(0)) + F.coalesce(F.octet_length("title"), F.lit(0))

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +59,17 @@ def _llms_candidates(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
 def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None, now: Column,
                  ttl_seconds: int = ST.DEFAULT_TTL_SECONDS, rules: Sequence[tuple[str, str]] = (),
                  renderer_available: bool = False, use_llms_txt: bool = True,
-                 trim: bool = False, max_chars: int = 0) -> tuple[DataFrame, DataFrame]:
+                 trim: bool = False, max_chars: int = 0,
+                 converter: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """M4 over tables. ``urls``: ``input_pos, url``; ``snapshots``: A3 rows.
     Returns (results, store_delta): results ``input_pos, url, fetched_url,
     title, markdown, source, content_hash, from_store, error, error_kind``
-    in input order; store_delta are the rows to upsert (B4)."""
+    in input order; store_delta are the rows to upsert (B4).
+
+    ``converter`` (L2) turns non-HTML documents (e.g. PDF) into text: it
+    receives ``input_pos, fetch_url, ctype, html`` rows and returns
+    ``input_pos, title, markdown`` (a ``mapInPandas`` or Pandas UDF of the
+    caller's choice). Without one, PDF rows are ``precondition`` errors."""
     u = urls.select("input_pos", "url").withColumn(
         "fetch_url", U.rewrite_url(F.col("url"), rules) if rules else F.col("url"))
     u = u.withColumn("cache_key", cache_key(F.col("fetch_url")))
@@ -95,8 +101,10 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     err = (F.when(F.col("llms_body").isNotNull(), F.lit(None))
            .when(F.col("status").isNull(), F.lit("no snapshot for URL"))
            .when(F.col("error").isNotNull(), F.col("error"))
-           .when(F.col("ctype") == "application/pdf", F.lit("PDF needs a document converter"))
-           .when(~X.is_html_type(F.col("ctype")) & ~F.col("ctype").startswith("text/"),
+           .when((F.col("ctype") == "application/pdf") & F.lit(converter is None),
+                 F.lit("PDF needs a document converter"))
+           .when(~X.is_html_type(F.col("ctype")) & ~F.col("ctype").startswith("text/")
+                 & ~((F.col("ctype") == "application/pdf") & F.lit(converter is not None)),
                  F.concat(F.lit("unsupported content type "), F.col("ctype"))))
     kind = (F.when(err.isNull(), F.lit(None))
             .when(F.col("status").isNull(), F.lit("not_found"))
@@ -113,12 +121,18 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     html_out = (refined.join(verdict.select("page_id", "js_detection"), "page_id", "left")
                 .select(F.col("page_id").alias("input_pos"), "title", "markdown",
                         SH.fetch_source("js_detection", renderer_available).alias("source")))
-    text_out = fetched.filter(F.col("err").isNull() & (F.col("llms_body").isNotNull()
-                                                       | ~X.is_html_type(F.col("ctype")))).select(
+    if converter is not None:
+        docs = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & (F.col("ctype") == "application/pdf"))
+        converted = converter(docs.select("input_pos", "fetch_url", "ctype", "html")).select(
+            "input_pos", "title", "markdown", F.lit("http").alias("source"))
+    text_out = fetched.filter(F.col("err").isNull() & (F.col("ctype") != "application/pdf")
+                              & (F.col("llms_body").isNotNull() | ~X.is_html_type(F.col("ctype")))).select(
         "input_pos",
         F.when(F.col("llms_body").isNotNull(), F.lit("llms.txt")).otherwise(F.lit("")).alias("title"),
         F.coalesce("llms_body", "html").alias("markdown"), F.lit("http").alias("source"))
     content = html_out.unionByName(text_out)
+    if converter is not None:
+        content = content.unionByName(converted)
     base = fetched.select("input_pos", "url", "fetch_url", "cache_key", F.col("err").alias("error"),
                           F.col("kind").alias("error_kind"))
     fresh = base.join(content, "input_pos", "left").withColumn("from_store", F.lit(False))

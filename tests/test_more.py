@@ -113,3 +113,19 @@ def test_lang_stars_absolutize(spark):
     nodes = N.absolutize_attrs(N.html_nodes(pages), pages)
     got = sorted(v for r in nodes.filter("tag in ('a','img')").collect() for k, v in r.attrs.items())
     assert got == ["https://ex.com/d/i.png", "https://ex.com/x"]
+
+
+def test_converter_hook_and_store_versions(spark):
+    from pagelake.operators import store as ST
+    snaps = SN.prepare_snapshots(spark.createDataFrame(
+        [("https://s/doc.pdf", 200, "application/pdf", "%PDF-1.4 hello")], "url string, status int, content_type string, body string"))
+    urls = spark.createDataFrame([(0, "https://s/doc.pdf")], "input_pos int, url string")
+    conv = lambda df: df.select("input_pos", F.lit("pdf").alias("title"), F.lit("converted text").alias("markdown"))
+    res, delta = CP.scrape_batch(urls, snaps, None, F.expr("TIMESTAMP '2025-01-01 00:00:00'"), converter=conv)
+    r = res.first()
+    assert (r.title, r.markdown, r.error) == ("pdf", "converted text", None)
+    root = tempfile.mkdtemp(prefix="pl-store-")
+    ST.write_version(delta, root, 1)
+    ST.write_version(delta.withColumn("title", F.lit("v2")), root, 2)
+    assert ST.read_store(spark, root).first().title == "v2"
+    assert ST.read_store(spark, root, version=1).first().title == "pdf"
