@@ -182,3 +182,24 @@ def extract_html(df: DataFrame, selector: str | None = None, trim: bool = False,
         "page_id", url_col, F.lit("").alias("title"), F.lit("").alias("markdown"),
         F.lit(None).cast("string").alias("content_hash"), "error", "error_kind")
     return out.unionByName(bad, allowMissingColumns=True)
+
+
+def query_docs(matches_raw: DataFrame, docs_raw: DataFrame) -> DataFrame:
+    """M7 (docs): per query, the top library match (A10, first in upstream
+    order) ⋈ that library's stored docs payload → code snippets then info
+    snippets (A9/H3). ``matches_raw``: ``query_id, body``; ``docs_raw``:
+    ``library, body``."""
+    from pyspark.sql import functions as F
+    from ..sources.blocks import docs_results
+    ex = matches_raw.select("query_id", F.try_element_at(
+        F.from_json("body", "struct<results:array<struct<id:string>>>")["results"], F.lit(1))["id"].alias("library"))
+    docs = docs_results(docs_raw)
+    return ex.filter(F.col("library").isNotNull()).join(docs, "library")
+
+
+def query_code(files: DataFrame, term: str, lang: str | None = None, limit: int = 10,
+               regexp: bool = False) -> DataFrame:
+    """M7 (code): grep over a files table (J14 → W4), top ``limit`` by
+    (repo, path)."""
+    from ..operators.codegrep import grep_code
+    return grep_code(files, term, lang=lang, limit=limit, regexp=regexp)

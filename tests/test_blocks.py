@@ -57,3 +57,17 @@ def test_docs(spark):
     got = [(r.pos, r.title, r.breadcrumb, r.snippet) for r in B.docs_results(raw).orderBy("pos").collect()]
     assert got == [(0, "Install", None, "pip install x"), (1, "Empty", None, ""),
                    (2, "Guide > Start", "Guide > Start", "Read me")]
+
+
+def test_query_docs_and_library_matches(spark):
+    from pagelake.plans.composite import query_docs
+    from pagelake.sources.payloads import library_matches
+    matches = {"results": [{"id": f"/lib/{i}", "title": f"L{i}", "description": "", "totalSnippets": i,
+                            "trustScore": 7.5, "versions": ["v1"]} for i in range(20)]}
+    raw = spark.createDataFrame([("q", json.dumps(matches))], "query_id string, body string")
+    assert library_matches(raw, 3).count() == 3 and library_matches(raw, 0).count() == 20
+    docs = {"codeSnippets": [{"codeTitle": "T", "codeId": "u", "codeList": [{"language": "x", "code": "c"}]}],
+            "infoSnippets": []}
+    draw = spark.createDataFrame([("/lib/0", json.dumps(docs)), ("/lib/1", json.dumps(docs))], "library string, body string")
+    got = query_docs(raw, draw).collect()
+    assert [(r.query_id, r.library, r.title, r.snippet) for r in got] == [("q", "/lib/0", "T", "c")]
