@@ -164,12 +164,14 @@ def multi_search(lists: DataFrame, outcomes: DataFrame | None = None, limit: int
 
 
 def random_fallback(outcomes: DataFrame, seed: int = 0) -> DataFrame:
-    """Per query, shuffle the backends (seeded, repeatable), take
-    the first that succeeded, and report the failures tried before it.
+    """Per query, shuffle the backends (seeded, repeatable, by a
+    SHA-256 key), take the first that succeeded, and report the failures
+    tried before it.
 
     Output: ``query_id, chosen, tried ARRAY<STRING>, failures ARRAY<STRUCT>``
     (``chosen`` NULL when all failed)."""
-    order = F.xxhash64("query_id", "backend", F.lit(seed))
+    # a seeded, engine-independent shuffle key: SHA-256 of (query, backend, seed)
+    order = F.sha2(F.concat_ws("|", F.col("query_id"), F.col("backend"), F.lit(str(seed))), 256)
     w = Window.partitionBy("query_id").orderBy(order, "backend")
     pos = outcomes.withColumn("try_pos", F.row_number().over(w))
     first_ok = F.min(F.when(F.col("ok"), F.col("try_pos")))

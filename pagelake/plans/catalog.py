@@ -394,7 +394,15 @@ def search_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- W6 / M2: random provider with fallback over derived attempts ------------
 
-@register("random_search")
+@register("random_search", f"""
+WITH a AS ({S.ATTEMPTS_PART}),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id || '|' || backend || '|42'), backend)
+             AS try_pos FROM a),
+f AS (SELECT *, min(CASE WHEN ok THEN try_pos END) OVER (PARTITION BY query_id) AS first_ok FROM o)
+SELECT query_id, max(CASE WHEN try_pos = first_ok THEN backend END) AS chosen,
+  CAST(count(*) FILTER (WHERE NOT ok AND (first_ok IS NULL OR try_pos < first_ok)) AS INTEGER) AS n_failures
+FROM f GROUP BY query_id
+""")
 def random_search(spark: SparkSession, sf: str) -> DataFrame:
     out = fuse.random_fallback(D.attempts_part(read_table(spark, sf, "part")), seed=42)
     return out.select("query_id", "chosen", F.size("failures").alias("n_failures"))
