@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 MAX_LEVELS = 64  # safety bound for "until the frontier is empty"
+COMPACT_EVERY = 4
 FORCE_RENDER_MIN_PAGES = 10
 FORCE_RENDER_SHELL_RATIO = 0.8
 
@@ -62,6 +63,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     ``url`` across levels (checkpoints keep their partitioning), so a level
     shuffles only its candidates."""
     spark = seeds.sparkSession
+    if checkpoint:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)   # the cluster's shared folder (spark.checkpoint.dir)
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seed_host = None
     if same_host:
@@ -97,9 +101,12 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         nxt = _pin(nxt.repartition(nparts, "url"), checkpoint)
         if nxt.isEmpty():
             break
-        # every level is already a checkpointed leaf: their union has a
-        # one-level lineage, so it needs no checkpoint of its own
+        # levels are checkpointed leaves, so the union has a short lineage;
+        # every few levels it is compacted back into one hash-partitioned,
+        # checkpointed table so the anti join never scans levels × partitions
         visited = visited.unionByName(nxt)
+        if d % COMPACT_EVERY == 0:
+            visited = _pin(visited.repartition(nparts, "url"), checkpoint)
         level = nxt
     return visited
 

@@ -38,17 +38,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared checkpoint folder the cluster names.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    (under the local temp folder) when the setting is absent, i.e. in tests
-    and local runs."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    Order: the folder already set on the context; else the session's
+    ``spark.checkpoint.dir``; only when neither exists (local runs and
+    tests) a fresh temporary folder of our own."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="pagelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
@@ -61,8 +64,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (e.g. one Parquet file with one row group) before CPU-heavy row-wise
     work. Large inputs already scan in many splits and are left alone, so at
     scale this adds no shuffle."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the plan alone
+        return df
+    if have < want:
         return df.repartition(want)
     return df
