@@ -205,7 +205,8 @@ def page_links(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> Data
     against the page URL (C20). The page side carries only (id, url)."""
     anchors = (nodes.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull())
                .select("page_id", "node_id", F.col("attrs").getItem("href").alias("href")))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("base_url"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("base_url"),
+                        U.url_parts(F.col(url_col)).alias("_rb"))       # parsed once per page
     j = anchors.filter(U.link_candidate("href")).join(base, "page_id")
     resolved = U.with_resolved(j, "base_url", "href", "link").filter(F.col("link").isNotNull() & F.col("_web"))
     w = Window.partitionBy("page_id").orderBy("node_id")
