@@ -122,3 +122,57 @@ def test_result_page_rows(spark):
     nodes = N.html_nodes(pages)
     got = [(r.rank, r.title, r.url, r.description) for r in result_page_rows(nodes, 2).orderBy("rank").collect()]
     assert got == [(1, "First hit", "https://a.example/x", "Snippet one"), (2, "Second", "https://b.example/", "Snippet two")]
+
+
+def _brute_verdict(html):
+    """Per-page reference formulation of the shell verdict (plain Python over
+    one parsed page), to check the relational aggregation on real pages."""
+    import re
+    rows, texts = N.parse_html(html)
+    text = {i: "".join(t) for i, t in texts.items()}
+    norm = lambda s: " ".join(re.split(r"[\t\n\x0b\x0c\r \x85\xa0  -     　]+", s)).strip()
+    vis, meaningful, script, noscript_js = [], 0, 0, False
+    body = None
+    for r in rows:
+        tag = r[4]
+        t = text.get(r[0], "")
+        if tag in SH.VISIBLE_TAGS:
+            nt = norm(t)
+            if nt:
+                vis.append(nt)
+                if tag in SH.MEANINGFUL_TAGS and len(nt.encode()) > 20:
+                    meaningful += 1
+        if tag == "script":
+            script += len(t.encode())
+        if tag == "noscript" and "javascript" in t.lower():
+            noscript_js = True
+        if tag == "body" and body is None:
+            body = t
+    if body is None:
+        body = "".join(r[8] for r in rows if r[4] == "#text" and not ({"head", "body"} & {rows[i][4] for i in r[9]}))
+    v = " ".join(vis)
+    vb = len(v.encode())
+    low = html.lower()
+    req = lambda s: any(p in s for p in SH.JS_PHRASES)
+    denom = max(vb, 1)
+    if vb >= 200:
+        if "loading" in v.lower() and req(v.lower()):
+            return "likely_shell"
+        if script > denom * 8 and any(m in low for m in SH.CLIENT_RENDER_MARKERS):
+            return "likely_shell"
+        return "static"
+    if meaningful > 2:
+        return "ambiguous"
+    if noscript_js or req(body.lower()) or any(m in low for m in SH.SPA_MARKERS) \
+            or any(m in low for m in SH.APP_SHELL_MARKERS) or script > denom * 3:
+        return "likely_shell"
+    return "ambiguous"
+
+
+def test_verdicts_equal_brute_force_on_driver_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    extra = [(1000 + i, f"https://ex.com/{i}", h) for i, h in enumerate([STATIC, BOOT_SHELL, NEXT_SHELL, SHORT, LOADING])]
+    pages = pages.unionByName(_pages(spark, extra))
+    got = {r.page_id: r.js_detection for r in SH.js_shell(N.html_nodes(pages), pages).collect()}
+    want = {r.page_id: _brute_verdict(r.html) for r in pages.collect()}
+    assert got == want
