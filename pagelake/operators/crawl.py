@@ -38,10 +38,15 @@ def _visit_keys(df: DataFrame, rules, seed_host: str | None, allow, deny) -> Dat
 
 
 def _pin(df: DataFrame, checkpoint: bool) -> DataFrame:
-    """Cut lineage: persist, then write to the shared checkpoint folder."""
+    """Cut lineage: persist (so the data is computed once), write it to the
+    shared checkpoint folder, then release the memory — later reads come
+    from the checkpoint files."""
     if not checkpoint:
         return df
-    return df.persist().checkpoint(eager=True)
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist(blocking=False)
+    return out
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, max_depth: int = 3,
