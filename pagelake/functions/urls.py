@@ -10,7 +10,7 @@ reference's parser accepts (a space in the path, ``%zz`` in a query).
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -232,6 +232,18 @@ def is_bare_domain(url: Column | str) -> Column:
     return F.coalesce(url_path(url).isin("", "/"), F.lit(False))
 
 
+def validate_deny(patterns: Sequence[str]) -> None:
+    """C7 input check: every deny pattern must compile (a bad one is an
+    input error, raised before any job runs)."""
+    import re
+    for p in patterns:
+        try:
+            re.compile(p)
+            _go_regex(p)
+        except (re.error, ValueError) as e:
+            raise ValueError(f"invalid deny pattern {p!r}: {e}") from e
+
+
 def _go_regex(pattern: str) -> str:
     """Go RE2 semantics on the JVM: ``.`` and ``$`` only know ``\\n``."""
     if "(?<" in pattern.replace("(?<P", "") or "(?=" in pattern or "(?!" in pattern:
@@ -385,10 +397,6 @@ def is_web_url(url: Column | str) -> Column:
     return F.coalesce(url_parts(url)["scheme"].isin("http", "https"), F.lit(False))
 
 
-def any_of(cols: Iterable[Column]) -> Column:
-    cols = list(cols)
-    return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
-
 
 MAX_RULES = 1000  # a rules table is configuration; refuse anything larger
 

@@ -80,8 +80,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
             raise ValueError("same-host crawl needs exactly one seed host")
         seed_host = hosts[0].h
     U.validate_rules(rules)
-    for p in deny:
-        U._go_regex(p)  # a bad deny pattern is an input error
+    U.validate_deny(deny)
 
     link_keys = _visit_keys(edges.select("src_url", F.col("dst_url").alias("raw_url")),
                             rules, seed_host, allow, deny).select("src_url", "url")

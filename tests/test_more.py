@@ -129,3 +129,30 @@ def test_converter_hook_and_store_versions(spark):
     ST.write_version(delta.withColumn("title", F.lit("v2")), root, 2)
     assert ST.read_store(spark, root).first().title == "v2"
     assert ST.read_store(spark, root, version=1).first().title == "pdf"
+
+
+def test_linked_site_crawl_and_filters(spark):
+    pages = [f"https://site.test/p{i}" for i in range(1, 6)]
+    edges = spark.createDataFrame([(a, b + "#frag") for a in pages for b in pages if a != b] +
+                                  [(pages[0], "https://other.test/x"), (pages[0], "https://site.test/p1/?utm_source=z")],
+                                  "src_url string, dst_url string")
+    seeds = spark.createDataFrame([(pages[0],)], "url string")
+    out = {r.url: (r.depth, r.source) for r in CR.crawl(seeds, edges, max_depth=3).collect()}
+    assert out == {pages[0]: (0, "seed"), **{p: (1, "link") for p in pages[1:]}}   # each page once
+    out = {r.url for r in CR.crawl(seeds, edges, max_depth=3, deny=[r"/p3$"]).collect()}
+    assert "https://site.test/p3" not in out and len(out) == 4
+    out = {r.url for r in CR.crawl(seeds, edges, max_depth=3, allow=["/p2", "/p1"]).collect()}
+    assert out == {pages[0], pages[1]}
+    try:
+        CR.crawl(seeds, edges, deny=["(bad"])
+        raise AssertionError("bad deny must fail")
+    except ValueError:
+        pass
+
+
+def test_rank_lists(spark):
+    from pagelake.operators import fuse
+    df = spark.createDataFrame([("q", 0, 5, "b"), ("q", 0, 2, "a"), ("q", 1, 9, "c")],
+                               "query_id string, backend_ord int, pos int, url string")
+    got = sorted((r.backend_ord, r.url, r.rank) for r in fuse.rank_lists(df).collect())
+    assert got == [(0, "a", 1), (0, "b", 2), (1, "c", 1)]
