@@ -58,10 +58,12 @@ IMPLIED_CLOSE = {
     "tbody": ({"tbody", "tfoot", "thead", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "tfoot", "thead", "tr", "td", "th"}, {"table"}),
 }
-# elements whose full descendant text downstream operators read
+# elements whose full descendant text the shell signals and titles read (the
+# block kinds of the visible-text rule, plus title, body, script, noscript, a);
+# any other element's text is assembled on demand by ``element_text``
 TEXT_TAGS = frozenset(
     ("title body script noscript p article main section h1 h2 h3 h4 h5 h6 li td th dd dt "
-     "blockquote a pre code caption div span strong em b i").split())
+     "blockquote a").split())
 # -------------------------------------------------------------------------------
 
 NODE_SCHEMA = (
@@ -277,11 +279,29 @@ def selector_predicate(selector: str) -> Column:
     return out
 
 
+def element_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Descendant text of chosen elements (``page_id, node_id``), assembled
+    relationally: every text run is attributed to its ancestors (bounded by
+    tree depth), joined to the chosen ids and concatenated in document
+    order. Returns ``page_id, node_id, text`` ('' for elements without
+    text)."""
+    runs = nodes.filter(F.col("tag") == "#text").select(
+        "page_id", F.col("node_id").alias("_pos"), "data", F.explode("anc").alias("node_id"))
+    chosen = elements.select("page_id", "node_id").distinct()
+    texts = (runs.join(chosen, ["page_id", "node_id"])
+             .groupBy("page_id", "node_id")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "data"))),
+                                           lambda x: x["data"]), "").alias("text")))
+    return chosen.join(texts, ["page_id", "node_id"], "left").select(
+        "page_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     """Matching elements in document order, one row each, with their
-    subtree range. Nested matches are all kept (as the reference does)."""
-    return nodes.filter(selector_predicate(selector)).select(
-        "page_id", "node_id", "end_id", "tag", "sig", "text")
+    subtree range and text. Nested matches are all kept (as the reference
+    does)."""
+    hits = nodes.filter(selector_predicate(selector)).select("page_id", "node_id", "end_id", "tag", "sig")
+    return hits.join(element_text(nodes, hits), ["page_id", "node_id"], "left")
 
 
 def absolutize_attrs(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import go_trim, unwrap_redirect
-from ..operators.nodes import selector_predicate
+from ..operators.nodes import element_text, selector_predicate
 
 BLOCK_SELECTOR = ".result"
 TITLE_SELECTOR = ".result__title .result__a"
@@ -22,9 +22,11 @@ REDIRECT_PARAM = "uddg"
 
 
 def _by_block(nodes: DataFrame, blocks: DataFrame, selector: str) -> DataFrame:
-    hits = nodes.filter(selector_predicate(selector)).select(
-        "page_id", "node_id", F.coalesce("text", F.lit("")).alias("text"),
-        F.col("attrs").getItem("href").alias("href"), F.explode("anc").alias("block_id"))
+    sel = nodes.filter(selector_predicate(selector))
+    texts = element_text(nodes, sel)
+    hits = sel.drop("text").join(texts, ["page_id", "node_id"]).select(
+        "page_id", "node_id", "text", F.col("attrs").getItem("href").alias("href"),
+        F.explode("anc").alias("block_id"))
     return hits.join(blocks, ["page_id", "block_id"])
 
 
