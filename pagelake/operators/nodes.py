@@ -66,6 +66,8 @@ TEXT_TAGS = frozenset(
      "blockquote a").split())
 # -------------------------------------------------------------------------------
 
+ARROW_PAGES_PER_BATCH = 256
+
 NODE_SCHEMA = (
     "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, sig STRING, "
     "path ARRAY<STRING>, anc ARRAY<INT>, ptags ARRAY<STRING>, tbl INT, attrs MAP<STRING,STRING>, data STRING, "
@@ -180,6 +182,14 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     every later step (title, links, signals, markdown) groups or joins by
     ``page_id`` and reuses that partitioning, so the node table — larger
     than the HTML — is never shuffled again."""
+    spark = pages.sparkSession
+    # pages are large rows: keep Arrow batches to a few hundred pages so one
+    # batch never holds gigabytes of HTML in a Python worker
+    try:
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_PAGES_PER_BATCH:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_PAGES_PER_BATCH))
+    except Exception:  # a session that does not expose the setting keeps its own
+        pass
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     src = src.repartition(num_partitions, "page_id") if num_partitions else src.repartition("page_id")
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)
