@@ -31,6 +31,16 @@ def is_fresh(cached_at: Column, now: Column, ttl_seconds: int) -> Column:
             <= F.lit(int(ttl_seconds) * 1_000_000))
 
 
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since the epoch, independent of the session time zone:
+    a zone-less timestamp is read as UTC wall time, a zoned one is already
+    an instant."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col))
+
+
 def stale_for_render(source: Column, renderer_available: bool) -> Column:
     """C11: ``http_shell`` is always stale; a blank (legacy) source is stale
     only when a renderer exists."""

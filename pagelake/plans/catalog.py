@@ -170,7 +170,7 @@ def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
     j = ST.lookup(req, store, now, D.STORE_TTL_SECONDS, want_raw=True)
     fresh = F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), now, D.STORE_TTL_SECONDS)
     return j.select(
-        "url", "cache_key", "source", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_at_us"),
+        "url", "cache_key", "source", ST.epoch_micros(j, "cached_at").alias("cached_at_us"),
         F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), False), F.lit(False)).alias("hit"),
         F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), True), F.lit(False)).alias("hit_with_renderer"),
         F.coalesce(F.col("hit"), F.lit(False)).alias("raw_hit"),
@@ -192,7 +192,7 @@ def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
     old = rows.filter(F.col("cached_at") < split)
     new = rows.filter(F.col("cached_at") >= split)
     out = ST.upsert(old, new, keep_raw=False)
-    return out.select("cache_key", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("cached_at_us"), "source",
+    return out.select("cache_key", ST.epoch_micros(out, "cached_at").alias("cached_at_us"), "source",
                       F.coalesce(F.col("raw_html") != "", F.lit(False)).alias("has_raw"), "content_hash")
 
 
