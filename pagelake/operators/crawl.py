@@ -37,16 +37,16 @@ def _visit_keys(df: DataFrame, rules, seed_host: str | None, allow, deny) -> Dat
     return keyed
 
 
-def _pin(df: DataFrame, checkpoint: bool) -> DataFrame:
-    """Cut lineage: persist (so the data is computed once), write it to the
-    shared checkpoint folder, then release the memory — later reads come
-    from the checkpoint files."""
+def _pin(df: DataFrame, checkpoint: bool, held: list | None = None) -> DataFrame:
+    """Cut lineage: persist (so the data is computed once) and write it to
+    the shared checkpoint folder. Persisted copies are collected in
+    ``held`` so a caller can release them once the result is consumed."""
     if not checkpoint:
         return df
     kept = df.persist()
-    out = kept.checkpoint(eager=True)
-    kept.unpersist(blocking=False)
-    return out
+    if held is not None:
+        held.append(kept)
+    return kept.checkpoint(eager=True)
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, max_depth: int = 3,
@@ -88,12 +88,13 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         expandable = pages.filter(F.col("content_type").isin("text/html", "application/xhtml+xml")
                                   & (F.octet_length("body") > 0)).select(F.col("url").alias("src_url"))
         link_keys = link_keys.join(expandable, "src_url", "left_semi")
-    link_keys = _pin(link_keys.repartition(nparts, "src_url"), checkpoint)
+    held: list[DataFrame] = []
+    link_keys = _pin(link_keys.repartition(nparts, "src_url"), checkpoint, held)
 
     seed_rows = seeds.select(F.col("url").alias("raw_url"))
     level = (_visit_keys(seed_rows, rules, seed_host, allow, deny).select("url").distinct()
              .withColumn("depth", F.lit(0)).withColumn("source", F.lit("seed")))
-    visited = _pin(level.repartition(nparts, "url"), checkpoint)
+    visited = _pin(level.repartition(nparts, "url"), checkpoint, held)
     level = visited
     limit = max_depth if max_depth > 0 else MAX_LEVELS
     for d in range(1, limit + 1):
@@ -102,7 +103,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
                 .select("url").distinct())
         nxt = (cand.join(visited.select("url"), "url", "left_anti")   # D1
                .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link")))
-        nxt = _pin(nxt.repartition(nparts, "url"), checkpoint)
+        nxt = _pin(nxt.repartition(nparts, "url"), checkpoint, held)
         if nxt.isEmpty():
             break
         # levels are checkpointed leaves, so the union has a short lineage;
@@ -110,8 +111,11 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         # checkpointed table so the anti join never scans levels × partitions
         visited = visited.unionByName(nxt)
         if d % COMPACT_EVERY == 0:
-            visited = _pin(visited.repartition(nparts, "url"), checkpoint)
+            visited = _pin(visited.repartition(nparts, "url"), checkpoint, held)
         level = nxt
+    # the persisted levels (``held``) stay cached for the consumer of the
+    # result; Spark evicts them to disk under memory pressure, and the
+    # checkpoint files back them if an executor is lost
     return visited
 
 
