@@ -103,7 +103,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
                 .select("url").distinct())
         nxt = (cand.join(visited.select("url"), "url", "left_anti")   # D1
                .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link")))
-        nxt = _pin(nxt.repartition(nparts, "url"), checkpoint, held)
+        # no forced partition count: the anti join is already hash-partitioned
+        # on url, and AQE sizes (coalesces) its partitions to the level's data
+        nxt = _pin(nxt, checkpoint, held)
         if nxt.isEmpty():
             break
         # levels are checkpointed leaves, so the union has a short lineage;
