@@ -51,7 +51,9 @@ def _pin(df: DataFrame, checkpoint: bool, held: list | None = None) -> DataFrame
 
 def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, max_depth: int = 3,
           allow: Sequence[str] = (), deny: Sequence[str] = (), rules: Sequence[tuple[str, str]] = (),
-          same_host: bool = True, checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
+          same_host: bool = True, checkpoint: bool = True, num_partitions: int | None = None,
+          store: DataFrame | None = None, now=None, ttl_seconds: int = 72 * 3600,
+          renderer_available: bool = False, expand_hits: bool = True) -> DataFrame:
     """M5 over tables.
 
     ``seeds``: ``url``. ``edges``: ``src_url, dst_url`` — the links of the
@@ -59,8 +61,13 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     (C19/C20, e.g. from ``page_links``). ``pages`` (optional): ``url,
     content_type, body`` — C14 expands only pages whose content is HTML
     with a non-empty body. ``max_depth`` ≤ 0 means until the frontier is
-    empty. Output: ``url, depth, source`` (``seed``/``link``), one row per
-    visited URL.
+    empty. Output: ``url, depth, source`` (``seed``/``link``) and
+    ``status``, one row per visited URL.
+
+    With a page ``store`` (D2), a URL with a fresh, not stale-for-render
+    entry is ``unchanged``, every other one ``new``. The reference returns
+    on a store hit before following links (T7): ``expand_hits=False``
+    reproduces that; the default also expands hits.
 
     Plan: link targets are rewritten, normalized and filtered ONCE (they do
     not depend on the level); each level is then frontier ⋈ edges →
@@ -91,18 +98,39 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     held: list[DataFrame] = []
     link_keys = _pin(link_keys.repartition(nparts, "src_url"), checkpoint, held)
 
+    hit_keys = None
+    if store is not None:                                    # D2: fresh, usable store entries
+        from . import store as ST
+        when = now if now is not None else F.current_timestamp()
+        latest = ST.latest_per_key(store)
+        hit_keys = latest.filter(ST.is_fresh(F.col("cached_at"), when, ttl_seconds)
+                                 & ~ST.stale_for_render(F.col("source"), renderer_available)) \
+            .select("cache_key", F.lit(True).alias("_hit"))
+
+    def with_status(df: DataFrame) -> DataFrame:
+        if hit_keys is None:
+            return df.withColumn("status", F.lit("new"))
+        from ..functions.text import cache_key
+        j = df.withColumn("cache_key", cache_key(F.col("url"))).join(hit_keys, "cache_key", "left")
+        return j.withColumn("status", F.when(F.col("_hit"), F.lit("unchanged")).otherwise(F.lit("new"))) \
+            .drop("cache_key", "_hit")
+
+    def expandable_of(level_df: DataFrame) -> DataFrame:
+        src = level_df if expand_hits else level_df.filter(F.col("status") == "new")
+        return src.select(F.col("url").alias("src_url"))
+
     seed_rows = seeds.select(F.col("url").alias("raw_url"))
-    level = (_visit_keys(seed_rows, rules, seed_host, allow, deny).select("url").distinct()
-             .withColumn("depth", F.lit(0)).withColumn("source", F.lit("seed")))
+    level = with_status(_visit_keys(seed_rows, rules, seed_host, allow, deny).select("url").distinct()
+                        .withColumn("depth", F.lit(0)).withColumn("source", F.lit("seed")))
     visited = _pin(level.repartition(nparts, "url"), checkpoint, held)
     level = visited
     limit = max_depth if max_depth > 0 else MAX_LEVELS
     for d in range(1, limit + 1):
-        cand = (level.select(F.col("url").alias("src_url"))
+        cand = (expandable_of(level)
                 .join(link_keys, "src_url")                   # D7
                 .select("url").distinct())
-        nxt = (cand.join(visited.select("url"), "url", "left_anti")   # D1
-               .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link")))
+        nxt = with_status(cand.join(visited.select("url"), "url", "left_anti")   # D1
+                          .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link")))
         # no forced partition count: the anti join is already hash-partitioned
         # on url, and AQE sizes (coalesces) its partitions to the level's data
         nxt = _pin(nxt, checkpoint, held)

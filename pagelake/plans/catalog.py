@@ -250,7 +250,7 @@ FROM (
 def crawl_site(spark: SparkSession, sf: str) -> DataFrame:
     seeds, edges, _site = D.site_graph(read_table(spark, sf, "pages").select("page_id", "url"))
     out = CR.crawl(seeds, edges, max_depth=0)
-    return out.select("url", F.col("depth").cast("int").alias("depth"), "source")
+    return out.select("url", F.col("depth").cast("int").alias("depth"), "source")  # cold crawl: all new
 
 
 @register("crawl_summary", """

@@ -156,3 +156,18 @@ def test_rank_lists(spark):
                                "query_id string, backend_ord int, pos int, url string")
     got = sorted((r.backend_ord, r.url, r.rank) for r in fuse.rank_lists(df).collect())
     assert got == [(0, "a", 1), (0, "b", 2), (1, "c", 1)]
+
+
+def test_crawl_with_warm_store(spark):
+    from pagelake.functions.text import cache_key
+    pages = [f"https://site.test/p{i}" for i in range(1, 6)]
+    edges = spark.createDataFrame([(a, b) for a in pages for b in pages if a != b], "src_url string, dst_url string")
+    seeds = spark.createDataFrame([(pages[0],)], "url string")
+    store = spark.createDataFrame([(pages[0], "2024-12-31 00:00:00", "http"), (pages[2], "2024-12-31 00:00:00", "http_shell")],
+                                  "url string, cached_at string, source string") \
+        .select(cache_key("url").alias("cache_key"), F.col("cached_at").cast("timestamp").alias("cached_at"), "source")
+    now = F.expr("TIMESTAMP '2025-01-01 00:00:00'")
+    warm = {r.url: r.status for r in CR.crawl(seeds, edges, store=store, now=now).collect()}
+    assert warm[pages[0]] == "unchanged" and warm[pages[2]] == "new" and len(warm) == 5
+    parity = {r.url: r.status for r in CR.crawl(seeds, edges, store=store, now=now, expand_hits=False).collect()}
+    assert parity == {pages[0]: "unchanged"}      # a hit is not expanded (T7)
