@@ -515,3 +515,51 @@ def url_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     out = pages.withColumn("fetch_url", U.rewrite_url("url", REWRITE_RULES))
     return out.select("page_id", "url", "fetch_url",
                       U.fetched_url(F.col("url"), F.col("fetch_url")).isNotNull().cast("int").alias("rewritten"))
+
+
+# --- M5 with a warm page store (D2 inside the crawl, E5 statuses) -------------
+CRAWL_STORE_START = "2024-01-01 00:00:00"
+CRAWL_STORE_NOW = "2024-01-08 00:00:00"
+
+
+@register("crawl_status", f"""
+WITH sp0 AS ({S.canon_select(S.SITE_PAGES, 'url', 'visit_key', normalize=True)}),
+sp AS (SELECT page_id, visit_key AS k FROM sp0),
+st AS (
+  SELECT left(sha256(s.k), 16) AS cache_key,
+         max(TIMESTAMP '{CRAWL_STORE_START}' + to_minutes(length(p.html))) AS cached_at
+  FROM sp s JOIN pages p ON s.page_id = p.page_id GROUP BY 1
+),
+e AS (
+  SELECT a.k AS src, b.k AS dst FROM sp a,
+    (SELECT unnest([a2.page_id * 2 + 1, a2.page_id * 2 + 2, a2.page_id // 2]) AS dst_id, a2.page_id AS pid FROM pages a2) x,
+    sp b
+  WHERE x.pid = a.page_id AND b.page_id = x.dst_id AND b.k <> ''
+    AND regexp_extract(b.k, '^[a-z]+://([^/?#:]*)', 1) = 'site.example.com'
+),
+seed AS (SELECT k FROM sp WHERE page_id = (SELECT min(page_id) FROM pages)),
+b AS (
+  SELECT k AS url, CAST(min(depth) AS INTEGER) AS depth FROM (
+    WITH RECURSIVE bfs(k, depth) AS (
+      SELECT k, 0 FROM seed
+      UNION
+      SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < 64
+    ) SELECT * FROM bfs
+  ) GROUP BY k
+)
+SELECT b.url, b.depth, CASE WHEN b.depth = 0 THEN 'seed' ELSE 'link' END AS source,
+  CASE WHEN st.cached_at IS NOT NULL AND {S.fresh_sql('st.cached_at', CRAWL_STORE_NOW, 72 * 3600)}
+       THEN 'unchanged' ELSE 'new' END AS status
+FROM b LEFT JOIN st ON left(sha256(b.url), 16) = st.cache_key
+""")
+def crawl_status(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import urls as U
+    from ..functions.text import cache_key
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    seeds, edges, site = D.site_graph(pages.select("page_id", "url"))
+    cached = F.expr(f"timestampadd(MINUTE, length(html), TIMESTAMP '{CRAWL_STORE_START}')")
+    store = (site.join(pages.select("page_id", "html"), "page_id")
+             .select(cache_key(U.normalize_url("site_url")).alias("cache_key"), cached.alias("cached_at"),
+                     F.lit("http").alias("source")))
+    out = CR.crawl(seeds, edges, max_depth=0, store=store, now=F.expr(f"TIMESTAMP '{CRAWL_STORE_NOW}'"))
+    return out.select("url", F.col("depth").cast("int").alias("depth"), "source", "status")
