@@ -563,3 +563,32 @@ def crawl_status(spark: SparkSession, sf: str) -> DataFrame:
                      F.lit("http").alias("source")))
     out = CR.crawl(seeds, edges, max_depth=0, store=store, now=F.expr(f"TIMESTAMP '{CRAWL_STORE_NOW}'"))
     return out.select("url", F.col("depth").cast("int").alias("depth"), "source", "status")
+
+
+# --- A12 / E13: a cookie jar written from the page hosts, parsed back -------
+JAR_NOW_EPOCH = 1704844800        # 2024-01-10 00:00:00 UTC
+JAR_EXPIRY_BASE = 1704067200       # 2024-01-01 00:00:00 UTC
+
+
+@register("cookie_jar_counts", f"""
+WITH l AS (
+  SELECT CASE WHEN contains(url, '?') THEN 'skip'
+              WHEN {JAR_EXPIRY_BASE} + length(html) * 100 <= {JAR_NOW_EPOCH} THEN 'expired'
+              ELSE 'ok' END AS status
+  FROM pages
+)
+SELECT status, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY status
+""")
+def cookie_jar_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import urls as U
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    host = F.lower(U.hostname("url"))
+    expiry = (F.lit(JAR_EXPIRY_BASE) + F.length("html") * 100).cast("string")
+    fields = [host, F.lit("TRUE"), F.lit("/"), F.lit("FALSE"), expiry, F.lit("sid")]
+    # a line whose page URL has a query loses its value field: malformed, skipped
+    line = F.when(F.col("url").contains("?"), F.concat_ws("\t", *fields)) \
+        .otherwise(F.concat_ws("\t", *fields, F.col("page_id").cast("string")))
+    lines = pages.select(F.col("page_id").alias("line_no"), line.alias("line"))
+    # "now" as an instant from epoch seconds: independent of the session zone
+    parsed = CK.parse_cookie_lines(lines, F.timestamp_seconds(F.lit(JAR_NOW_EPOCH)))
+    return parsed.groupBy("status").agg(F.count("*").alias("n"))
