@@ -592,3 +592,26 @@ def cookie_jar_counts(spark: SparkSession, sf: str) -> DataFrame:
     # "now" as an instant from epoch seconds: independent of the session zone
     parsed = CK.parse_cookie_lines(lines, F.timestamp_seconds(F.lit(JAR_NOW_EPOCH)))
     return parsed.groupBy("status").agg(F.count("*").alias("n"))
+
+
+# --- J4: CSS selectors over the driver's pages --------------------------------
+
+@register("page_selector_counts", """
+SELECT page_id,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), '(?i)<a\\s[^>]*href=')) AS BIGINT) AS nav_links,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?i)<p[\\s>]')) AS BIGINT) AS article_paragraphs,
+  CAST(len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS BIGINT) AS headings
+FROM pages
+""")
+def page_selector_counts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    nodes = N.parse_once(N.html_nodes(pages))
+
+    def count(selector: str, name: str) -> DataFrame:
+        hits = nodes.filter(N.selector_predicate(selector))
+        return hits.groupBy("page_id").agg(F.count("*").alias(name))
+    out = pages.select("page_id")
+    for sel, name in (("nav a[href]", "nav_links"), ("article p", "article_paragraphs"), ("h1", "headings")):
+        out = out.join(count(sel, name), "page_id", "left")
+    return out.select("page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
+                                   for c in ("nav_links", "article_paragraphs", "headings")])
