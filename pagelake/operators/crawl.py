@@ -106,6 +106,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         hit_keys = latest.filter(ST.is_fresh(F.col("cached_at"), when, ttl_seconds)
                                  & ~ST.stale_for_render(F.col("source"), renderer_available)) \
             .select("cache_key", F.lit(True).alias("_hit"))
+        hit_keys = _pin(hit_keys.repartition(nparts, "cache_key"), checkpoint, held)   # computed once
 
     def with_status(df: DataFrame) -> DataFrame:
         if hit_keys is None:
