@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import pii, quality_rules, token_counts
+from pagelake.llm import packing, pii, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _over_docs(quality_rules.op1),
     "op2_pii": _over_docs(pii.op2),
     "op3_token_counts": _over_docs(token_counts.op3),
+    "op6_best_fit_packing": _over_docs(packing.op6),
+    "op10_hilbert_shards": _over_docs(sharding.op10),
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
