@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import packing, pii, quality_rules, sharding, token_counts
+from pagelake.llm import bpe, class_lm, packing, pii, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _over_docs(quality_rules.op1),
     "op2_pii": _over_docs(pii.op2),
     "op3_token_counts": _over_docs(token_counts.op3),
+    "op5_bpe": _over_docs(bpe.op5),
     "op6_best_fit_packing": _over_docs(packing.op6),
+    "op8_class_lm": _over_docs(class_lm.op8),
     "op10_hilbert_shards": _over_docs(sharding.op10),
 }
 

@@ -57,6 +57,7 @@ def loaded(path: str):
 
 
 def word_units(text: str) -> list[str]:
+    """Stretches between blanks; empty ones stay, they have no ids."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
