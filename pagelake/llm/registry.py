@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import bpe, class_lm, packing, pii, quality_rules, sharding, token_counts
+from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": _over_docs(token_counts.op3),
     "op5_bpe": _over_docs(bpe.op5),
     "op6_best_fit_packing": _over_docs(packing.op6),
+    "op7_ngram_join": _over_docs(ngram_join.op7),
     "op8_class_lm": _over_docs(class_lm.op8),
     "op10_hilbert_shards": _over_docs(sharding.op10),
 }
