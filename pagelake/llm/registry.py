@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts
+from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _over_docs(quality_rules.op1),
     "op2_pii": _over_docs(pii.op2),
     "op3_token_counts": _over_docs(token_counts.op3),
+    "op4_vector_dedup": lambda spark, sf_dir: vector_dedup.op4(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")),
     "op5_bpe": _over_docs(bpe.op5),
     "op6_best_fit_packing": _over_docs(packing.op6),
     "op7_ngram_join": _over_docs(ngram_join.op7),
