@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts, vector_dedup
+from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts, token_files, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": _over_docs(packing.op6),
     "op7_ngram_join": _over_docs(ngram_join.op7),
     "op8_class_lm": _over_docs(class_lm.op8),
+    "op9_token_files": _over_docs(token_files.op9),
     "op10_hilbert_shards": _over_docs(sharding.op10),
 }
 
