@@ -34,9 +34,16 @@ def _rows(chunks: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]
 
 def counted(hashes: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One partition's cell counts, as rows of SCHEMA."""
-    counts = np.zeros(CELLS, np.uint64)
+    counts = np.zeros(CELLS, np.int64)
+    held, n = [], 0
     for h in hashes:
-        counts += np.bincount(cell(h), minlength=CELLS).astype(np.uint64)
+        held.append(h)
+        n += len(h)
+        if n >= CELLS:
+            counts += np.bincount(cell(np.concatenate(held)), minlength=CELLS)
+            held, n = [], 0
+    if held:
+        counts += np.bincount(cell(np.concatenate(held)), minlength=CELLS)
     salt = TaskContext.get().partitionId() % _SALTS
     parts = {(k, salt): counts[k * _CHUNK:(k + 1) * _CHUNK] for k in range(CELLS // _CHUNK)}
     yield from _rows({k: v for k, v in parts.items() if v.any()})
