@@ -237,6 +237,8 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     members = classes.withColumn("component", F.col("class"))
     for leaders in ROUNDS:
         lists = _open(lists, members)
+        if lists.isEmpty():
+            break
         pairs = written(_candidates(lists, members, leaders, sim).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         links = written(links.unionByName(_verified(pairs, texts, sim)))

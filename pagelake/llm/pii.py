@@ -170,13 +170,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, all columns kept, with personal data masked."""
+    """The documents, all columns kept, with personal data masked; a column
+    ``n_chars`` is brought up to date where the text changed."""
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
         return pa.array([redact_text(t.as_py()) for t in texts], pa.string())
 
-    return docs.withColumn("text", masked("text"))
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", masked("text"))
+    new = docs.withColumn("_masked", masked("text"))
+    length = F.when(F.col("_masked") != F.col("text"), F.char_length("_masked")).otherwise(F.col("n_chars"))
+    return new.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).withColumn("text", F.col("_masked")).drop("_masked")
 
 
 def op2(docs: DataFrame) -> DataFrame:
