@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
-MAX_LEVELS = 64  # safety bound for "until the frontier is empty"
 COMPACT_EVERY = 4
 FORCE_RENDER_MIN_PAGES = 10
 FORCE_RENDER_SHELL_RATIO = 0.8
@@ -37,16 +36,25 @@ def _visit_keys(df: DataFrame, rules, seed_host: str | None, allow, deny) -> Dat
     return keyed
 
 
-def _pin(df: DataFrame, checkpoint: bool, held: list | None = None) -> DataFrame:
-    """Cut lineage: persist (so the data is computed once) and write it to
-    the shared checkpoint folder. Persisted copies are collected in
-    ``held`` so a caller can release them once the result is consumed."""
-    if not checkpoint:
-        return df
-    kept = df.persist()
-    if held is not None:
-        held.append(kept)
-    return kept.checkpoint(eager=True)
+class _Levels:
+    """Tables that cut the lineage: each is persisted (so it is computed
+    once) and written to the shared checkpoint folder. The cached copies are
+    released as soon as nothing but the checkpoint is needed."""
+
+    def __init__(self, checkpoint: bool):
+        self.checkpoint = checkpoint
+        self.cached: list[DataFrame] = []
+
+    def pin(self, df: DataFrame) -> DataFrame:
+        if not self.checkpoint:
+            return df
+        self.cached.append(df.persist())
+        return self.cached[-1].checkpoint(eager=True)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, max_depth: int = 3,
@@ -78,7 +86,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     if checkpoint:
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)   # the cluster's shared folder (spark.checkpoint.dir)
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels = _Levels(checkpoint)
+    spread = (lambda df, key: df.repartition(num_partitions, key)) if num_partitions else (lambda df, key: df.repartition(key))
     seed_host = None
     if same_host:
         # the seed host is taken BEFORE rewriting (T9); a seed list is small
@@ -90,13 +99,12 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     U.validate_deny(deny)
 
     link_keys = _visit_keys(edges.select("src_url", F.col("dst_url").alias("raw_url")),
-                            rules, seed_host, allow, deny).select("src_url", "url")
+                            rules, seed_host, allow, deny).select("src_url", "url").distinct()
     if pages is not None:                                    # C14: expand HTML pages with a body only
         expandable = pages.filter(F.col("content_type").isin("text/html", "application/xhtml+xml")
                                   & (F.octet_length("body") > 0)).select(F.col("url").alias("src_url"))
         link_keys = link_keys.join(expandable, "src_url", "left_semi")
-    held: list[DataFrame] = []
-    link_keys = _pin(link_keys.repartition(nparts, "src_url"), checkpoint, held)
+    link_keys = levels.pin(spread(link_keys, "src_url"))
 
     hit_keys = None
     if store is not None:                                    # D2: fresh, usable store entries
@@ -106,7 +114,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         hit_keys = latest.filter(ST.is_fresh(F.col("cached_at"), when, ttl_seconds)
                                  & ~ST.stale_for_render(F.col("source"), renderer_available)) \
             .select("cache_key", F.lit(True).alias("_hit"))
-        hit_keys = _pin(hit_keys.repartition(nparts, "cache_key"), checkpoint, held)   # computed once
+        hit_keys = levels.pin(spread(hit_keys, "cache_key"))   # computed once
 
     def with_status(df: DataFrame) -> DataFrame:
         if hit_keys is None:
@@ -123,30 +131,28 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     seed_rows = seeds.select(F.col("url").alias("raw_url"))
     level = with_status(_visit_keys(seed_rows, rules, seed_host, allow, deny).select("url").distinct()
                         .withColumn("depth", F.lit(0)).withColumn("source", F.lit("seed")))
-    visited = _pin(level.repartition(nparts, "url"), checkpoint, held)
-    level = visited
-    limit = max_depth if max_depth > 0 else MAX_LEVELS
-    for d in range(1, limit + 1):
+    visited = level = levels.pin(spread(level, "url"))
+    d = 0
+    while max_depth <= 0 or d < max_depth:
+        d += 1
         cand = (expandable_of(level)
                 .join(link_keys, "src_url")                   # D7
                 .select("url").distinct())
-        nxt = with_status(cand.join(visited.select("url"), "url", "left_anti")   # D1
-                          .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link")))
         # no forced partition count: the anti join is already hash-partitioned
         # on url, and AQE sizes (coalesces) its partitions to the level's data
-        nxt = _pin(nxt, checkpoint, held)
-        if nxt.isEmpty():
+        level = levels.pin(with_status(
+            cand.join(visited.select("url"), "url", "left_anti")                     # D1
+            .withColumn("depth", F.lit(d)).withColumn("source", F.lit("link"))))
+        if level.isEmpty():
             break
         # levels are checkpointed leaves, so the union has a short lineage;
         # every few levels it is compacted back into one hash-partitioned,
-        # checkpointed table so the anti join never scans levels × partitions
-        visited = visited.unionByName(nxt)
+        # checkpointed table so the anti join never scans levels x partitions
+        visited = visited.unionByName(level)
         if d % COMPACT_EVERY == 0:
-            visited = _pin(visited.repartition(nparts, "url"), checkpoint, held)
-        level = nxt
-    # the persisted levels (``held``) stay cached for the consumer of the
-    # result; Spark evicts them to disk under memory pressure, and the
-    # checkpoint files back them if an executor is lost
+            visited = levels.pin(spread(visited, "url"))
+            levels.release()                                  # the checkpoints hold what later levels read
+    levels.release()
     return visited
 
 
@@ -213,12 +219,12 @@ def force_render_history(arrivals: DataFrame, bucket_col: str = "bucket") -> Dat
             .withColumn("force_render", force).drop("_n0", "_s0", "_nb", "_sb"))
 
 
-def cap_pages(results: DataFrame, max_pages: int = 30, hard_cap: int = 100) -> tuple[DataFrame, str | None]:
+def cap_pages(results: DataFrame, max_pages: int = 30) -> tuple[DataFrame, str | None]:
     """Bounded crawl output. Errors do not count; the first
-    ``max_pages`` pages by (depth, url) are kept (default 30, cap 100).
-    Returns (pages, stopped) with ``stopped = 'max_pages'`` when cut."""
+    ``max_pages`` pages by (depth, url) are kept (default 30; the limit is
+    the feature). Returns (pages, stopped) with ``stopped = 'max_pages'``
+    when cut."""
     n = max_pages if max_pages > 0 else 30
-    n = min(n, hard_cap)
     ok = results.filter(F.col("error").isNull() | (F.col("error") == ""))
     ordered = ok.orderBy("depth", "url")
     kept = ordered.limit(n)                                   # top-k, not a sort of everything

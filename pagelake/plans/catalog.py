@@ -243,7 +243,7 @@ FROM (
   WITH RECURSIVE bfs(k, depth) AS (
     SELECT k, 0 FROM seed
     UNION
-    SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < 64
+    SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < (SELECT count(*) FROM sp)
   ) SELECT * FROM bfs
 ) GROUP BY k
 """)
@@ -253,6 +253,24 @@ def crawl_site(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("url", F.col("depth").cast("int").alias("depth"), "source")  # cold crawl: all new
 
 
+@register("crawl_chain", f"""
+SELECT '{D.CHAIN_HOST}/p/' || page_id AS url,
+  CAST(row_number() OVER (PARTITION BY page_id % {D.CHAINS} ORDER BY page_id) - 1 AS INTEGER) AS depth
+FROM pages
+""")
+def crawl_chain(spark: SparkSession, sf: str) -> DataFrame:
+    seeds, edges = D.chain_graph(read_table(spark, sf, "pages").select("page_id"))
+    return CR.crawl(seeds, edges, max_depth=0).select("url", F.col("depth").cast("int").alias("depth"))
+
+
+@register("sitemap_pages", f"""
+SELECT '{D.SITEMAP_HOST}/u' || (page_id // {D.SITEMAP_PAGES}) || '.xml' AS sitemap_url, url FROM pages
+""")
+def sitemap_pages(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.sitemap import read_sitemap
+    return read_sitemap(*D.sitemap_snapshots(read_table(spark, sf, "pages").select("page_id", "url")))
+
+
 @register("crawl_summary", """
 SELECT strftime(ts, '%Y-%m-%d') AS run_id,
   CAST(count(*) - count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS pages,
@@ -543,7 +561,7 @@ b AS (
     WITH RECURSIVE bfs(k, depth) AS (
       SELECT k, 0 FROM seed
       UNION
-      SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < 64
+      SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.k WHERE bfs.depth < (SELECT count(*) FROM sp)
     ) SELECT * FROM bfs
   ) GROUP BY k
 )

@@ -160,6 +160,41 @@ def site_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return seeds, edges, site
 
 
+CHAINS = 3
+CHAIN_HOST = "https://chain.example.com"
+
+
+def chain_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages as three long chains (page i links to page i + 3): a crawl whose
+    depth grows with the table. Returns (seeds, edges)."""
+    at = lambda i: F.concat(F.lit(f"{CHAIN_HOST}/p/"), i.cast("string"))
+    here = F.col("page_id")
+    ahead = pages.select((here - CHAINS).alias("page_id"))
+    edges = pages.join(ahead, "page_id").select(at(here).alias("src_url"), at(here + CHAINS).alias("dst_url"))
+    return pages.where(here < CHAINS).select(at(here).alias("url")), edges
+
+
+SITEMAP_PAGES = 20
+SITEMAP_HOST = "https://maps.example.com"
+
+
+def sitemap_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sitemap files of 20 pages each behind a chain of index files, one level
+    a file; the last names one that is missing, and each names the first.
+    Returns (snapshots, seeds)."""
+    number = F.expr(f"page_id div {SITEMAP_PAGES}")
+    loc = lambda tag, url: F.concat(F.lit(f"<{tag}><loc>\n "), url, F.lit(f"\t</loc></{tag}>"))
+    name = lambda kind, n: F.concat(F.lit(f"{SITEMAP_HOST}/{kind}"), n.cast("string"), F.lit(".xml"))
+    head = F.lit('<?xml version="1.0"?>')
+    files = pages.select(number.alias("n"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u")).groupBy("n").agg(
+        F.array_join(F.collect_list(loc("url", F.col("u"))), "").alias("locs"))
+    urlsets = files.select(name("u", F.col("n")).alias("url"), F.concat(head, F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("body"))
+    indexes = files.select("n").select(name("i", F.col("n")).alias("url"), F.concat(
+        head, F.lit("<sitemapindex>"), *(loc("sitemap", name(k, n)) for k, n in (("u", F.col("n")), ("i", F.col("n") + 1), ("i", F.lit(0)))),
+        F.lit("</sitemapindex>")).alias("body"))
+    return urlsets.unionByName(indexes), indexes.where(F.col("url") == f"{SITEMAP_HOST}/i0.xml").select("url")
+
+
 def arrivals(events: DataFrame) -> DataFrame:
     """Fetch arrivals per host: host = user, ordered by (ts, event_id); a
     shell when the event is an error or the user is one of the first ten."""

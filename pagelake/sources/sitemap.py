@@ -2,8 +2,8 @@
 
 ``xpath`` with ``local-name()`` reads namespaced sitemap XML on the JVM. An
 index is expanded one level per round by joining its child locations back
-to the snapshot table (bounded rounds); children that are missing or do not
-parse contribute nothing, like the reference skipping failed children.
+to the snapshot table; children that are missing or do not parse contribute
+nothing, like the reference skipping failed children.
 """
 
 from __future__ import annotations
@@ -11,26 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import go_trim
+from ..session import ensure_checkpoint_dir
+
 _INDEX_LOCS = "/*[local-name()='sitemapindex']/*[local-name()='sitemap']/*[local-name()='loc']/text()"
 _URL_LOCS = "/*[local-name()='urlset']/*[local-name()='url']/*[local-name()='loc']/text()"
-MAX_ROUNDS = 5
 
 
 def read_sitemap(snapshots: DataFrame, seeds: DataFrame, body_col: str = "body") -> DataFrame:
     """``snapshots(url, body)``, ``seeds(url)`` → ``sitemap_url, url`` page
-    locations (empty locs dropped). Malformed XML yields no rows."""
+    locations (empty locs dropped). Malformed XML yields no rows. Indexes are
+    followed to any depth; a sitemap listed twice, or by itself, is read once.
+
+    Each round is one join of the new sitemap addresses with the snapshots;
+    what it read is checkpointed, so later rounds only join addresses."""
+    ensure_checkpoint_dir(snapshots.sparkSession)
     snap = snapshots.select(F.col("url").alias("sitemap_url"), F.col(body_col).cast("string").alias("xml"))
-    frontier = seeds.select(F.col("url").alias("sitemap_url"))
+    locs = lambda path: F.filter(F.transform(F.expr(f'xpath(xml, "{path}")'), go_trim), lambda x: x != "")
+    frontier = visited = seeds.select(F.col("url").alias("sitemap_url")).distinct()
     found = None
-    for _ in range(MAX_ROUNDS):
-        docs = frontier.join(snap, "sitemap_url")
-        idx = docs.select("sitemap_url", F.expr(f"xpath(xml, \"{_INDEX_LOCS}\")").alias("children"),
-                            F.expr(f"xpath(xml, \"{_URL_LOCS}\")").alias("locs"))
-        pages = idx.select("sitemap_url", F.explode("locs").alias("url")).filter(F.trim("url") != "")
-        pages = pages.select("sitemap_url", F.trim("url").alias("url"))
+    while found is None or not frontier.isEmpty():
+        read = frontier.join(snap, "sitemap_url").select(
+            "sitemap_url", locs(_INDEX_LOCS).alias("children"), locs(_URL_LOCS).alias("locs")).checkpoint(eager=True)
+        pages = read.select("sitemap_url", F.explode("locs").alias("url"))
         found = pages if found is None else found.unionByName(pages)
-        frontier = idx.select(F.explode("children").alias("sitemap_url")).filter(F.trim("sitemap_url") != "") \
-            .select(F.trim("sitemap_url").alias("sitemap_url")).distinct()
-        if frontier.isEmpty():
-            break
+        children = read.select(F.explode("children").alias("sitemap_url")).distinct()
+        frontier = children.join(visited, "sitemap_url", "left_anti").checkpoint(eager=True)
+        visited = visited.unionByName(frontier)
     return found
