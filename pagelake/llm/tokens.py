@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from string import ascii_letters
 
 import numpy as np
 
@@ -23,7 +24,7 @@ import numpy as np
 ID = np.dtype("<u2")
 
 #: Words a worker remembers; beyond it the memory starts anew. Speed only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 #: White space of the byte-level split. Fixed by Unicode's White_Space.
 _BLANK = "\t\n\v\f\r \x85\xa0" + "".join(map(chr, (
@@ -70,23 +71,54 @@ def byte_units(text: str, special: str = "<|endoftext|>") -> list[str]:
     return out
 
 
+_STARTS = frozenset(" " + ascii_letters)
+
 UNITS: dict[str, Callable[[str], list[str]]] = {"word": word_units, "byte": byte_units}
 
 
+#: The files' own splits on ASCII stretches without control characters.
+_ODD = re.compile(r"[\x00-\x1f\x7f<]")
+_WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+| +")
+
+
 class UnitEncoder:
-    """Ids of texts as little-endian 16-bit strings, unit by unit."""
+    """Ids of texts as little-endian 16-bit strings, unit by unit. Plain ASCII
+    units go to the file's merges part by part, others to the whole library."""
 
     def __init__(self, path: str, kind: str):
-        self.tok, self.units, self.known = loaded(path), UNITS[kind], {"": b""}
-
-    def learn(self, units: Iterable[str]) -> None:
-        new = list(units)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for u, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[u] = np.array(enc.ids, ID).tobytes()
+        self.tok, self.kind, self.units = loaded(path), kind, UNITS[kind]
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = part if self.kind == "word" else part.replace(" ", "\u0120")  # the byte letter of a blank
+            ids = self.parts[part] = np.array([t.id for t in self.tok.model.tokenize(letters)], ID).tobytes()
+        return ids
+
+    def each(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, with nothing remembered but parts."""
+        odd, out, part = [], [], self._part
+        for u in units:
+            if not u.isascii() or _ODD.search(u):
+                odd.append(len(out))
+                out.append(b"")
+            elif self.kind == "word":
+                low = u.lower()
+                out.append(part(low) if low.isalpha() else b"".join(map(part, _WORD_PARTS.findall(low))))
+            else:
+                whole = u[1:].isalpha() and u[0] in _STARTS
+                out.append(part(u) if whole else b"".join(map(part, _BYTE_PARTS.findall(u))))
+        for k in range(0, len(odd), 20_000):
+            some = odd[k:k + 20_000]
+            found = self.tok.encode_batch_fast([units[i] for i in some], add_special_tokens=False)
+            for i, enc in zip(some, found):
+                out[i] = np.array(enc.ids, ID).tobytes()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Texts in small groups, so that one group's units fit the memory."""
@@ -97,11 +129,12 @@ class UnitEncoder:
             group.append(self.units(text or ""))
             size += len(group[-1])
             if size > 200_000 or k == len(texts) - 1:
-                new = {u for g in group for u in g if u not in self.known}
+                units = set().union(*group)
+                new = units.difference(self.known)
                 if len(self.known) + len(new) > CACHE_WORDS:
-                    new = {u for g in group for u in g}
-                if new:
-                    self.learn(new)
+                    self.known, new = {"": b""}, units - {""}
+                new = list(new)
+                self.known.update(zip(new, self.each(new)))
                 get = self.known.__getitem__
                 out += [b"".join(map(get, g)) for g in group]
                 group, size = [], 0
