@@ -17,77 +17,81 @@ empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelake.llm.blocks import block_texts, block_words, restore
-from pagelake.llm.tokens import ID, default_path, loaded
+from pagelake.llm.blocks import BUNDLE, block_texts, block_words, bundled, restore
+from pagelake.llm.tokens import ID, default_path, encoder, loaded
 
 _BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
 
 #: Words whose ids are gathered at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
+#: Gets ids of documents and their token ids; returns rows of the result.
+Finish = Callable[[pa.Array, list[np.ndarray]], pa.Table]
 
-def _split(text: str) -> list[bytes]:
+
+def split(text: str) -> list[bytes]:
     """``word_units`` on bytes, which split faster; blanks are ASCII."""
     return text.encode().translate(_BLANKS).split(b" ")
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """``words`` (a ``word`` column and others) without the word, with ``ids``:
-    its ids, two little-endian bytes each."""
-    rest = [f for f in words.schema.fields if f.name != "word"]
-    schema = T.StructType([*rest, T.StructField("ids", T.BinaryType())])
+def word_table(words: DataFrame, path: str, bundle: bool = False) -> DataFrame:
+    """``at`` and ``ids`` (two little-endian bytes each) of rows of ``at`` and
+    ``word``; each distinct word is encoded once. ``bundle``: in bundles."""
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = loaded(path)
-        last: tuple[bytes, bytes] | None = None
+        enc = encoder(path, "word")
+        last: dict[bytes, bytes] = {}
         for b in batches:
             coded = b.column("word").dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            new = [w for w in distinct if not last or w != last[0]]
-            done = dict([last]) if last else {}
-            for w, enc in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                done[w] = np.array(enc.ids, ID).tobytes()
-            ids = pa.array([done[w] for w in distinct], pa.binary()).take(coded.indices)
-            last = (distinct[-1], done[distinct[-1]]) if distinct else last
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), ids], names=schema.names)
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, schema)
-
-
-def _gather(rows: pa.Table, ids: pa.Array, lengths: np.ndarray, places: np.ndarray) -> pa.Table:
-    """Ids of each text from the ids of its words."""
-    column = rows.column("ids").combine_chunks()
-    data = np.frombuffer(b"".join(column.to_pylist()), ID)
-    size = np.fromiter(map(len, column.to_pylist()), np.int64, len(column)) // ID.itemsize
-    start = np.cumsum(size) - size
-    ends = np.cumsum(lengths)
-    out, k = [], 0
-    while k < len(lengths):
-        base = ends[k] - lengths[k]
-        stop = max(k + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
-        at = places[base:ends[stop - 1]]
-        n = size[at]
-        before = np.cumsum(n) - n
-        found = data[np.repeat(start[at] - before, n) + np.arange(n.sum())]
-        cut = np.concatenate([[0], np.cumsum(n)])[ends[k:stop] - base]
-        out += [found[a:b].tobytes() for a, b in zip(np.concatenate([[0], cut[:-1]]), cut)]
-        k = stop
-    return pa.table({"doc_id": ids, "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
+            new = [w for w in distinct if w not in last]
+            done = last | {w: enc.unit(w.decode()) for w in new}
+            yield pa.RecordBatch.from_arrays(
+                [b.column("at"), pa.array([done[w] for w in distinct], pa.binary()).take(coded.indices)], names=schema.names)
+            last = {w: done[w] for w in distinct[-1:]}
+
+    by_word = words.repartition("word").sortWithinPartitions("word")
+    if bundle:
+        return by_word.mapInArrow(lambda batches: bundled(encode(batches)), BUNDLE)
+    return by_word.mapInArrow(encode, schema)
+
+
+def _restored(docs: DataFrame, path: str, finish: Finish, schema: T.StructType) -> DataFrame:
+    def gather(rows: pa.Table, doc_ids: pa.Array, lengths: np.ndarray, places: np.ndarray) -> pa.Table:
+        column = pa.concat_arrays(rows.column("ids").chunks) if rows.num_rows else pa.array([], pa.binary())
+        size = pc.binary_length(column).to_numpy().astype(np.int64) // ID.itemsize
+        data = np.frombuffer(b"".join(column.to_pylist()), ID)
+        start, ends = np.cumsum(size) - size, np.cumsum(lengths)
+        out, k = [], 0
+        while k < len(lengths):
+            base = ends[k] - lengths[k]
+            stop = max(k + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            at = places[base:ends[stop - 1]]
+            n = size[at]
+            found = data[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            cut = np.concatenate([[0], np.cumsum(n)])[ends[k:stop] - base]
+            out.append(finish(doc_ids[k:stop], np.split(found, cut[:-1])))
+            k = stop
+        return pa.concat_tables(out)
+
+    words = word_table(block_words(docs, split), path, bundle=True)
+    return restore(words, block_texts(docs, split), gather, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ``ids`` (two little-endian bytes each) of every text."""
-    path = path or default_path("word_bpe_49k.json")
-    words = word_table(block_words(docs, _split), path)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
-    return restore(words, block_texts(docs, _split), _gather, schema)
+    return _restored(docs, path or default_path("word_bpe_49k.json"), lambda doc_ids, ids: pa.table(
+        {"doc_id": doc_ids, "ids": pa.array([i.tobytes() for i in ids], pa.binary())}), schema)
 
 
 def pieces(path: str) -> np.ndarray:
@@ -97,35 +101,42 @@ def pieces(path: str) -> np.ndarray:
     return np.array([tok.id_to_token(i) or "" for i in range(n)], object)
 
 
+def joined(ids: np.ndarray, piece: np.ndarray) -> str:
+    """Pieces of ids, joined by blanks as a file without a decoder has it."""
+    return " ".join(piece[ids].tolist())
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` with ``decoded``: the pieces of its ids, joined by blanks as
-    a file without a decoder has it."""
+    """``encoded`` with ``decoded``, the text of its ``ids``."""
     path = path or default_path("word_bpe_49k.json")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                texts = [" ".join(piece[np.frombuffer(x.as_py(), ID)]) for x in part.column("ids")]
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = [joined(np.frombuffer(x.as_py() or b"", ID), piece) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(join, schema)
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """Digests of the ids and of the text decoded from them, made where the ids
+    are put together."""
+    path = default_path("word_bpe_49k.json")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.array([str(i) for i in range(1 << 16)], object)
-        for b in batches:
-            ids = [np.frombuffer(x.as_py(), ID) for x in b.column("ids")]
-            sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(map(len, ids), pa.int64()),
-                 pa.array([sha(" ".join(number[i])) for i in ids], pa.string()),
-                 pa.array([sha(t.as_py()) for t in b.column("decoded")], pa.string())], names=schema.names)
-
-    return decode(encode(docs)).mapInArrow(digest, schema)
+    tables: dict[str, np.ndarray] = {}
+
+    def digest(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+        if not tables:
+            tables["piece"] = pieces(path)
+            tables["number"] = np.array([str(i) for i in range(len(tables["piece"]))], object)
+        sha = lambda i, table: hashlib.sha256(joined(i, tables[table]).encode()).hexdigest()
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                         "ids_sha256": pa.array([sha(i, "number") for i in ids], pa.string()),
+                         "decoded_sha256": pa.array([sha(i, "piece") for i in ids], pa.string())})
+
+    return _restored(docs, path, digest, schema)

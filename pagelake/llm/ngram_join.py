@@ -1,15 +1,20 @@
 """Operator 7, n-gram Jaccard join: the grouped prefix join.
 
-A document's set holds the 64-bit hashes of its shingles. Under one order of
-all shingles (rare cells first, by a fixed-size sketch of counts over all
-documents; then by hash) two sets of the wanted similarity share a shingle in
-their prefixes of n - ceil(t n) + 1 shingles. So:
+A document's set holds the 64-bit hashes of its shingles. Two sets of the
+wanted similarity share a shingle in their prefixes of n - ceil(t n) + 1
+shingles under any one order of all shingles. The order here: first the
+shingles of the low HEAD of the hash range, rare ones first by their exact
+count over all documents, then the others by hash. As HEAD is a little more
+than 1 - t, a prefix lies within the head for nearly every set, so only the
+head's shingles are ever shuffled and counted. So:
 
 1. documents with identical prefixes and size fall into one group, and only
    groups are paired; documents with equal sets are one class in a group;
-2. prefix shingles that only one class holds are dropped, the rest make lists;
-3. pairs of a list pass the size filter and are verified on the whole texts
-   of both classes, by the exact size of the intersection;
+2. head shingles that one document alone holds come first in every order and
+   are dropped; each group keeps as many of the others, rare ones first, as
+   its prefix has room for, and these make lists of groups;
+3. group pairs of a list pass the size filter, expand to classes, and are
+   verified on the whole texts by the exact size of the intersection;
 4. links become components.
 
 Step 3 goes in rounds, as a list of m near copies would give m^2 pairs: first
@@ -33,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,13 +66,9 @@ class Similarity:
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def head(self) -> np.uint64:
+        """Hashes below it are the head: a quarter more than a prefix's share."""
+        return np.uint64((100 - self.percent) * 125 * ((1 << 64) - 1) // 10_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,12 +76,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
-def shingles(text: str | None, k: int, known: _Hashes) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -88,60 +89,64 @@ def shingles(text: str | None, k: int, known: _Hashes) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def _rarity(docs: DataFrame, sim: Similarity) -> np.ndarray:
-    """A step of a logarithmic scale for each cell's count of shingles."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        yield from sketch.counted(shingles(t.as_py(), sim.words, known) for b in batches for t in b.column("text"))
-
-    totals = sketch.total(docs.select("text").mapInArrow(count, sketch.SCHEMA))
-    return np.round(4 * np.log2(totals.astype(np.float64) + 1)).astype(np.uint8)
-
-
-def _signatures(docs: DataFrame, sim: Similarity, rarity: np.ndarray) -> DataFrame:
+def _signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
     """Per document: set size, two sums that name the set, a hash that names
-    the prefix, and the prefix."""
+    its posted shingles (the head's, and more by hash where a prefix is longer
+    than that), these shingles, and a hash of the text."""
     longs = [T.StructField(n, T.LongType()) for n in ("n_shingles", "f1", "f2", "p1")]
-    schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("posted", T.ArrayType(T.LongType())),
+                           T.StructField("text_hash", T.LongType())])
+    head = sim.head()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for b in batches:
             nums: list[list[int]] = [[], [], [], []]
-            prefixes = []
+            posted = []
             for t in b.column("text"):
-                s = shingles(t.as_py(), sim.words, known)
-                head = s[np.lexsort((s, rarity[sketch.cell(s)]))[:sim.prefix(len(s))]]
-                f = np.array([s.sum(), _mixed(s).sum()], np.uint64).view(np.int64)
-                p = np.array([xxhash.xxh3_64_intdigest(head.tobytes())], np.uint64).view(np.int64)[0]
-                for out, x in zip(nums, (len(s), f[0], f[1], p)):
+                s = shingles(t.as_py(), sim.words)
+                some = s[:max(sim.prefix(len(s)), int(np.searchsorted(s, head)))]
+                f = np.array([s.sum(), _mixed(s).sum(), xxhash.xxh3_64_intdigest(some.tobytes())], np.uint64).view(np.int64)
+                for out, x in zip(nums, (len(s), *f)):
                     out.append(int(x))
-                prefixes.append(head.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in nums), lists], names=schema.names)
+                posted.append(some.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in posted])])
+            flat = pa.array(np.concatenate(posted) if posted else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in nums),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), b.column("text_hash")], names=schema.names)
 
-    return doc_texts(docs).mapInArrow(sign, schema)
+    return doc_texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, schema)
 
 
-def _lists(linked: DataFrame, members: DataFrame) -> DataFrame:
-    """s, group, n_shingles: prefix shingles that two classes or more hold."""
-    posted = linked.select("doc_id", F.explode("prefix").alias("s"))
-    shared = posted.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("s")
+def _lists(linked: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
+    """s, group, n_shingles: shingles that several classes of fitting sizes
+    have in their prefixes."""
+    posted = linked.select("doc_id", F.explode("posted").alias("s"))
+    shared = posted.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     few = posted.join(shared, "s")
-    of_doc = linked.select("doc_id", *SET).join(members, list(SET)).select("doc_id", "class", "group", "n_shingles")
-    held = written(few.join(of_doc, "doc_id").groupBy("s", "group", "n_shingles").agg(
-        F.min("class").alias("lo"), F.max("class").alias("hi")))
-    many = held.groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("s")
-    return written(held.join(many, "s").select("s", "group", "n_shingles"))
-
-
-def _class_texts(docs: DataFrame, lists: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
+    of_doc = linked.select("doc_id", F.size("posted").alias("posted"), *SET).join(members, list(SET)).select(
+        "doc_id", "class", "group", "n_shingles", "posted")
+    held = few.join(of_doc, "doc_id").groupBy("group", "s", "df", "n_shingles", "posted").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"))
+    # the shingles that one document alone holds come first in the prefix
+    by_rarity = Window.partitionBy("group").orderBy(F.expr(f"shiftrightunsigned(s, 1) >= {int(sim.head()) >> 1}"), "df", "s")
+    prefix = F.expr(f"n_shingles - (({sim.percent} * n_shingles + 99) div 100) + 1")
+    alone = F.col("posted") - F.count(F.lit(1)).over(Window.partitionBy("group"))
+    kept = written(held.withColumns({"alone": alone, "place": F.row_number().over(by_rarity)})
+                   .where(F.col("place") <= prefix - F.col("alone")).select("s", "group", "n_shingles", "lo", "hi"))
+    by_size = Window.partitionBy("s").orderBy("n_shingles", "group")
+    fits = lambda a, b: F.coalesce(100 * F.least(a, b) >= sim.percent * F.greatest(a, b), F.lit(False))
+    near = F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
+    return written(kept.withColumns({"before": near[0], "after": near[1]}).where(
+        (F.col("lo") != F.col("hi")) | (F.col("before").isNotNull() & fits("n_shingles", "before"))
+        | (F.col("after").isNotNull() & fits("n_shingles", "after"))).select("s", "group", "n_shingles"))
+
+
+def _class_texts(docs: DataFrame, lists: DataFrame, members: DataFrame) -> DataFrame:
     """class and text of the classes in lists. Documents that can't be one of
     them are left out before the shuffle by a sketch of the wanted ids."""
-    wanted = written(lists.select("group").distinct().join(members, "group").select("class", F.col("first_id").alias("doc_id"), "f1"))
+    wanted = written(lists.select("group").distinct().join(members, "group").select(
+        "class", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sketch.counted(b.column("h").to_numpy().view(np.uint64) for b in batches)
@@ -153,15 +158,8 @@ def _class_texts(docs: DataFrame, lists: DataFrame, members: DataFrame, sim: Sim
         at = sketch.cell(hashes.to_numpy(zero_copy_only=False).view(np.uint64))
         return pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()  # rows may repeat an id with another text
-        for b in batches:
-            same = [int(shingles(t.as_py(), sim.words, known).sum().view(np.int64)) == f
-                    for t, f in zip(b.column("text"), b.column("f1").to_pylist())]
-            yield b.select(["class", "text"]).filter(pa.array(same, pa.bool_()))
-
     some = doc_texts(docs).where("doc_id IS NOT NULL").where(maybe(F.xxhash64("doc_id")))
-    found = some.join(wanted, "doc_id").select("class", "f1", "text").mapInArrow(of_class, "class long, text string")
+    found = some.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("class", "text")
     return written(found.dropDuplicates(["class"]))
 
 
@@ -171,14 +169,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
             keep = []
             for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
                 for c, t in ((a, ta), (b, tb)):
                     if c not in sets:
-                        sets[c] = shingles(t.as_py(), sim.words, known)
+                        sets[c] = shingles(t.as_py(), sim.words)
                 n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 keep.append(100 * n >= sim.percent * (len(sets[a]) + len(sets[b]) - n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -219,20 +216,21 @@ def _open(lists: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _classes(linked: DataFrame) -> DataFrame:
-    """One row per different set: class, its smallest id, and its group (equal
-    prefix and size)."""
-    found = written(linked.groupBy("p1", *SET).agg(F.min("doc_id").alias("first_id")).withColumn("class", F.monotonically_increasing_id()))
+    """One row per different set: class, its first document, and its group
+    (equal posted shingles, so equal prefixes, and size)."""
+    found = written(linked.groupBy("p1", *SET).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+                    .withColumn("class", F.monotonically_increasing_id()))
     groups = found.groupBy("p1", "n_shingles").agg(F.min("class").alias("group"))
     return written(found.join(groups, ["p1", "n_shingles"]).drop("p1"))
 
 
 def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    signed = written(_signatures(docs, sim, _rarity(docs, sim)))
+    signed = written(_signatures(docs, sim))
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = _classes(linked)
-    lists = _lists(linked, classes)
-    texts = _class_texts(docs, lists, classes, sim)
+    lists = _lists(linked, classes, sim)
+    texts = _class_texts(docs, lists, classes)
     links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
     members = classes.withColumn("component", F.col("class"))
     for leaders in ROUNDS:
@@ -245,7 +243,7 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
         joined = components(links)
         members = written(classes.join(joined, F.col("class") == F.col("node"), "left").drop("node")
                           .withColumn("component", F.coalesce("component", "class")))
-    first = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    first = members.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = members.join(first, "component").select(*SET, "component_id")
     have = linked.select("doc_id", *SET).join(named, list(SET)).select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

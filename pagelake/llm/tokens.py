@@ -16,15 +16,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
-from string import ascii_letters
 
 import numpy as np
 
 #: Ids below 65,536 in both files, so two bytes hold one.
 ID = np.dtype("<u2")
 
-#: Words a worker remembers; beyond it the memory starts anew. Speed only.
-CACHE_WORDS = 700_000
+#: Words a worker remembers (about 250 MB); then it starts anew. Speed only.
+CACHE_WORDS = 1_200_000
 
 #: White space of the byte-level split. Fixed by Unicode's White_Space.
 _BLANK = "\t\n\v\f\r \x85\xa0" + "".join(map(chr, (
@@ -71,74 +70,83 @@ def byte_units(text: str, special: str = "<|endoftext|>") -> list[str]:
     return out
 
 
-_STARTS = frozenset(" " + ascii_letters)
-
 UNITS: dict[str, Callable[[str], list[str]]] = {"word": word_units, "byte": byte_units}
 
 
-#: The files' own splits on ASCII stretches without control characters.
-_ODD = re.compile(r"[\x00-\x1f\x7f<]")
-_WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_BYTE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+| +")
+#: Byte letters of bytes that don't stand for themselves: a fixed rule of
+#: byte-level vocabularies.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+_BLANK_LETTER = chr(_LETTERS[0x20])
+
+
+def _plain_letters(tok, lower: bool) -> str:
+    """Latin letters beyond ASCII that the file's normalizer, one by one, does
+    no more to than Python's ``lower``, and that its splitter has as letters."""
+    out = []
+    for c in map(chr, range(0xC0, 0x250)):
+        same = tok.normalizer is None or (tok.normalizer.normalize_str(c) == c.lower() and len(c.lower()) == 1)
+        if c.isalpha() and same and len(tok.pre_tokenizer.pre_tokenize_str(f"a{c.lower() if lower else c}b")) == 1:
+            out.append(c)
+    return "".join(out)
+
+
+class _Known(dict):
+    """Remembers up to CACHE_WORDS values, then starts anew."""
+
+    def __init__(self, value: Callable[[str], bytes]):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[key] = out = self.value(key)
+        return out
 
 
 class UnitEncoder:
-    """Ids of texts as little-endian 16-bit strings, unit by unit. Plain ASCII
-    units go to the file's merges part by part, others to the whole library."""
+    """Ids of texts as little-endian 16-bit strings, unit by unit. Units of
+    plain letters, digits and ASCII signs are split here by the file's own
+    pattern and go to its merges part by part; all others to the library."""
 
     def __init__(self, path: str, kind: str):
-        self.tok, self.kind, self.units = loaded(path), kind, UNITS[kind]
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.tok, self.units, self.lower = loaded(path), UNITS[kind], kind == "word"
+        safe = _plain_letters(self.tok, self.lower)
+        self.odd = re.compile(f"[^ !-;=-~{safe}]").search
+        marks = "'s|'t|'re|'ve|'m|'ll|'d|"
+        if self.lower:
+            letters = "a-z" + "".join(sorted(set(safe.lower())))
+            pattern = f"{marks}[{letters}]+|[0-9]|[^{letters}0-9]+"
+        else:
+            pattern = f"{marks} ?[A-Za-z{safe}]+| ?[0-9]+| ?[^A-Za-z0-9 {safe}]+| +"
+        self.split = re.compile(pattern).findall
+        self.known, self.parts = _Known(self.unit), _Known(self._part)
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = part if self.kind == "word" else part.replace(" ", "\u0120")  # the byte letter of a blank
-            ids = self.parts[part] = np.array([t.id for t in self.tok.model.tokenize(letters)], ID).tobytes()
-        return ids
-
-    def each(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit, with nothing remembered but parts."""
-        odd, out, part = [], [], self._part
-        for u in units:
-            if not u.isascii() or _ODD.search(u):
-                odd.append(len(out))
-                out.append(b"")
-            elif self.kind == "word":
-                low = u.lower()
-                out.append(part(low) if low.isalpha() else b"".join(map(part, _WORD_PARTS.findall(low))))
-            else:
-                whole = u[1:].isalpha() and u[0] in _STARTS
-                out.append(part(u) if whole else b"".join(map(part, _BYTE_PARTS.findall(u))))
-        for k in range(0, len(odd), 20_000):
-            some = odd[k:k + 20_000]
-            found = self.tok.encode_batch_fast([units[i] for i in some], add_special_tokens=False)
-            for i, enc in zip(some, found):
-                out[i] = np.array(enc.ids, ID).tobytes()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
-        return out
+        if part.isascii():
+            letters = part.replace(" ", _BLANK_LETTER)
+        else:
+            letters = part.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.tok.model.tokenize(letters)], ID).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of one unit."""
+        if not unit:
+            return b""
+        if self.odd(unit):
+            return np.array(self.tok.encode(unit, add_special_tokens=False).ids, ID).tobytes()
+        if self.lower:
+            unit = unit.lower()
+            if unit.isalpha():
+                return self.parts[unit]
+        elif unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return self._part(unit)
+        return b"".join(map(self.parts.__getitem__, self.split(unit)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Texts in small groups, so that one group's units fit the memory."""
-        out: list[bytes] = []
-        group: list[list[str]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            group.append(self.units(text or ""))
-            size += len(group[-1])
-            if size > 200_000 or k == len(texts) - 1:
-                units = set().union(*group)
-                new = units.difference(self.known)
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known, new = {"": b""}, units - {""}
-                new = list(new)
-                self.known.update(zip(new, self.each(new)))
-                get = self.known.__getitem__
-                out += [b"".join(map(get, g)) for g in group]
-                group, size = [], 0
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.units(t))) if t else b"" for t in texts]
 
 
 _encoders: dict[tuple[str, str], UnitEncoder] = {}

@@ -28,15 +28,30 @@ def test_digests_equal_the_library(spark):
 def test_small_blocks_and_hot_words(spark, monkeypatch):
     tok = tokens.loaded(PATH)
     docs = sf_docs(spark).select("doc_id", F.concat_ws(" ", F.lit("the the"), "text", F.lit("the")).alias("text"), F.lit(1).alias("block"))
-    split = bpe._split
-    words = bpe.word_table(blocks.block_words(docs, split, chars=5000), PATH)
-    out = blocks.restore(words, blocks.block_texts(docs, split, chars=5000), bpe._gather, bpe.encode(docs).schema)
-    got = {r.doc_id: np.frombuffer(r.ids, tokens.ID).tolist() for r in out.collect()}
-    assert got == {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    small = {"chars": 5000}
+    monkeypatch.setattr(bpe, "block_words", lambda d, s: blocks.block_words(d, s, **small))
+    monkeypatch.setattr(bpe, "block_texts", lambda d, s: blocks.block_texts(d, s, **small))
+    monkeypatch.setattr(bpe, "CHUNK", 300)
+    out = bpe.decode(bpe.encode(docs)).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == len(texts)
+    for r in out:
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, tokens.ID).tolist() == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
 def test_changed_documents_are_noticed(spark):
-    docs, other = sf_docs(spark), sf_docs(spark).withColumn("text", F.concat("text", F.lit(" more")))
-    words = bpe.word_table(blocks.block_words(docs, bpe._split), PATH)
+    docs, other = sf_docs(spark), sf_docs(spark).withColumn("text", F.concat("text", F.lit(" more words")))
+    words = bpe.word_table(blocks.block_words(docs, bpe.split), PATH)
+    use = lambda rows, ids, lengths, places: rows
     with pytest.raises(Exception, match="changed between two reads"):
-        blocks.restore(words, blocks.block_texts(other, bpe._split), bpe._gather, bpe.encode(docs).schema).collect()
+        blocks.restore(words, blocks.block_texts(other, bpe.split), use, words.schema).collect()
+
+
+def test_packed_places_come_back():
+    rng = np.random.default_rng(0)
+    for top in (1, 199, 201, 14_000, 15_000, 1 << 20, 1 << 27):
+        places = rng.integers(0, top, 5000).astype(np.uint32)
+        assert np.array_equal(blocks._unpacked(blocks._packed(places), blocks._packed_size(places), len(places)), places)
+    none = np.empty(0, np.uint32)
+    assert len(blocks._unpacked(blocks._packed(none), 0, 0)) == 0
