@@ -9,10 +9,11 @@ reference's parser accepts (a space in the path, ``%zz`` in a query).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -208,7 +209,7 @@ def deny_match(url: Column | str, patterns: Sequence[str]) -> Column:
     u = _s(url)
     if not patterns:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [u.rlike(_go_regex(p)) for p in patterns])
+    return reduce(lambda a, b: a | b, [u.rlike(Pattern(p).java) for p in patterns])
 
 
 def allow_match(url: Column | str, substrings: Sequence[str]) -> Column:
@@ -235,37 +236,107 @@ def is_bare_domain(url: Column | str) -> Column:
 def validate_deny(patterns: Sequence[str]) -> None:
     """C7 input check: every deny pattern must compile (a bad one is an
     input error, raised before any job runs)."""
-    import re
     for p in patterns:
         try:
-            re.compile(p)
-            _go_regex(p)
-        except (re.error, ValueError) as e:
+            compile_pattern(p)
+        except ValueError as e:
             raise ValueError(f"invalid deny pattern {p!r}: {e}") from e
 
 
-def _go_regex(pattern: str) -> str:
-    """Go RE2 semantics on the JVM: ``.`` and ``$`` only know ``\\n``."""
-    if "(?<" in pattern.replace("(?<P", "") or "(?=" in pattern or "(?!" in pattern:
-        raise ValueError(f"look-around is not supported: {pattern!r}")
-    return "(?d)" + pattern.replace("(?P<", "(?<")
-
-
-def _go_replacement(rep: str) -> str:
-    """``${1}`` → ``$1``; a literal backslash is escaped for Java."""
-    import re
-    rep = rep.replace("\\", "\\\\")
-    return re.sub(r"\$\{(\w+)\}", lambda m: "$" + m.group(1) if m.group(1).isdigit() else "${" + m.group(1) + "}", rep)
+# fixed values: POSIX class names of RE2 and what Java calls them
+_POSIX = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit",
+          "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper",
+          "xdigit": "XDigit"}
+
+
+class Pattern:
+    """An RE2 pattern for the JVM: ``java`` (with numbered groups only), the
+    number of groups and the number of each named one."""
+
+    def __init__(self, pattern: str):
+        out, self.names, self.groups = ["(?d)"], {}, 0
+        i, in_class = 0, False
+        while i < len(pattern):
+            rest = pattern[i:]
+            if rest[0] == "\\" and len(rest) > 1:
+                if rest[1] in "123456789kZG":
+                    raise ValueError(f"\\{rest[1]} is not supported: {pattern!r}")
+                whole = re.match(r"\\[pPx]\{[^}]*\}|\\.", rest, re.S)[0]
+                out.append(whole)
+                i += len(whole)
+            elif in_class:
+                posix = re.match(r"\[:(\^?)(\w+):\]", rest)
+                if posix and posix[2] in _POSIX:
+                    out.append(f"\\{'P' if posix[1] else 'p'}{{{_POSIX[posix[2]]}}}")
+                    i += posix.end()
+                    continue
+                in_class = rest[0] != "]"
+                out.append("\\" + rest[0] if rest[0] in "[&" else rest[0])
+                i += 1
+            elif rest[0] == "[":
+                in_class = True
+                start = re.match(r"\[\^?\]?", rest)[0]
+                out.append(start.replace("]", "\\]"))
+                i += len(start)
+            elif re.match(r"\(\?(<?[=!]|>)", rest) or re.match(r"[*+?}]\+", rest):
+                raise ValueError(f"look-around, atomic and possessive groups are not supported: {pattern!r}")
+            else:
+                named = re.match(r"\(\?P?<(\w+)>", rest)
+                if named or (rest[0] == "(" and not rest.startswith("(?")):
+                    self.groups += 1
+                    if named:
+                        self.names[named[1]] = self.groups
+                    out.append("(")
+                    i += named.end() if named else 1
+                else:
+                    out.append(rest[0])
+                    i += 1
+        self.java = "".join(out)
+
+
+def compile_pattern(pattern: str) -> Pattern:
+    """The pattern, checked by the engine that will run it."""
+    found = Pattern(pattern)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(found.java)
+        except Exception as e:
+            raise ValueError(str(e).split("\n")[0]) from e
+    return found
+
+
+def _go_replacement(rep: str, pattern: Pattern) -> str:
+    """Go's template: ``$name`` takes the longest name, ``${name}``, ``$$`` is
+    a dollar sign, a group that does not exist is empty, any other ``$`` and
+    everything else is literal."""
+    out, i = [], 0
+    for m in re.finditer(r"\$(?:(\$)|\{(\w+)\}|(\w+))", rep):
+        out.append(_java_literal(rep[i:m.start()]))
+        name = m[2] or m[3]
+        if m[1]:
+            out.append(r"\$")
+        else:
+            group = int(name) if name.isdigit() else pattern.names.get(name, -1)
+            out.append(f"${group}" if 0 <= group <= pattern.groups else "")
+        i = m.end()
+    out.append(_java_literal(rep[i:]))
+    for k in range(1, len(out)):  # a digit after a group number is not part of it
+        if out[k][:1].isdigit() and out[k - 1][-1:].isdigit() and out[k - 1].startswith("$"):
+            out[k] = "\\" + out[k]
+    return "".join(out)
+
+
+def _java_literal(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", r"\$")
 
 
 def validate_rules(rules: Sequence[tuple[str, str]]) -> None:
     """Every rule must compile; the error names its index."""
-    import re
     for i, (match, _rep) in enumerate(rules):
         try:
-            re.compile(match)
-            _go_regex(match)
-        except (re.error, ValueError) as e:
+            compile_pattern(match)
+        except ValueError as e:
             raise ValueError(f"url_rewrites[{i}]: {e}") from e
 
 
@@ -276,8 +347,8 @@ def rewrite_url(url: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
     validate_rules(rules)
     out = u
     for match, rep in reversed(list(rules)):
-        rx = _go_regex(match)
-        out = F.when(u.rlike(rx), F.regexp_replace(u, rx, _go_replacement(rep))).otherwise(out)
+        rx = Pattern(match)
+        out = F.when(u.rlike(rx.java), F.regexp_replace(u, rx.java, _go_replacement(rep, rx))).otherwise(out)
     return out
 
 
@@ -397,18 +468,11 @@ def is_web_url(url: Column | str) -> Column:
     return F.coalesce(url_parts(url)["scheme"].isin("http", "https"), F.lit(False))
 
 
-
-MAX_RULES = 1000  # a rules table is configuration; refuse anything larger
-
-
 def rules_from_table(rules_df) -> list[tuple[str, str]]:
     """An ordered rules table ``rule_ord, match, replace`` becomes
     the rule list of ``rewrite_url`` (first match wins). The table is
-    configuration — its size is checked before it is read on the driver —
-    and every rule must compile (the error names its index)."""
-    n = rules_df.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"rewrite rules table has more than {MAX_RULES} rules")
+    configuration, read on the driver, and every rule must compile (the error
+    names its index)."""
     rows = rules_df.orderBy("rule_ord").select("match", "replace").collect()
     rules = [(r["match"], r["replace"] or "") for r in rows]
     validate_rules(rules)

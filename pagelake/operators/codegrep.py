@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import best_line, go_trim
+from ..functions.urls import compile_pattern
 
 # --- fixed values: language aliases (lower-case alias → canonical name) ----------
 LANG_ALIASES = {
@@ -57,7 +58,8 @@ def grep_code(files: DataFrame, term: str, lang: str | None = None, limit: int =
     """J14 → W4 → (limit). Output: ``repo, path, line_no, snippet, language,
     url, source``."""
     text = F.col("text")
-    pred = text.rlike("(?d)" + term) if regexp else F.lower(text).contains(term.lower())
+    pattern = compile_pattern(term).java if regexp else None
+    pred = text.rlike(pattern) if regexp else F.lower(text).contains(term.lower())
     df = files.filter(pred)
     want = normalize_lang(lang)
     if want is not None:
@@ -66,7 +68,7 @@ def grep_code(files: DataFrame, term: str, lang: str | None = None, limit: int =
         df = df.filter(~F.coalesce(F.col("archived"), F.lit(False)))
     if not include_forks and "fork" in files.columns:
         df = df.filter(~F.coalesce(F.col("fork"), F.lit(False)))
-    best = _regex_best_line(text, 1, "(?d)" + term) if regexp else best_line(text, 1, term)
+    best = _regex_best_line(text, 1, pattern) if regexp else best_line(text, 1, term)
     out = df.select(
         "repo", "path", best["line_no"].alias("line_no"), best["line"].alias("snippet"),
         F.col("language"),

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 _IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
-BROADCAST_MAX_COOKIES = 100_000  # ~10 MB of cookie rows
 _LABEL = r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 
 
@@ -86,19 +85,18 @@ def match_cookies(urls: DataFrame, jar: DataFrame, now: Column, url_col: str = "
         F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]).alias("req_path"),
         (p["scheme"] == "https").alias("secure_req"),
     )
+    req = req.distinct()
     labels = F.split("host", r"\.")
     # the host itself and every parent suffix: a.b.c → a.b.c, b.c, c
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cand = req.select("*", F.explode(suffixes).alias("domain"))
     live = jar.filter(F.col("expires").isNull() | (F.col("expires") > now))
-    # every host explodes to its top-level suffix, so the request side is
-    # heavily skewed on a few keys ("com"). A jar of proven small size is
-    # broadcast (no shuffle at all); a larger one is shuffle-joined with
-    # AQE's skew-join splitting.
-    if live.limit(BROADCAST_MAX_COOKIES + 1).count() <= BROADCAST_MAX_COOKIES:
-        live = F.broadcast(live)
-    j = cand.join(live, "domain")
+    # every host has its top-level label among its suffixes: a key most of the
+    # data shares, which hardly any cookie uses. Distinct hosts meet the jar's
+    # domains first, and requests only join the domains that cookies have.
+    domains = (req.select("host").distinct().select("host", F.explode(suffixes).alias("domain"))
+               .join(live.select("domain").distinct(), "domain", "left_semi"))
+    j = req.join(domains, "host").join(live, "domain")
     domain_ok = (F.col("host") == F.col("domain")) | (~F.col("host_only") & ~_is_ip(F.col("host")))
     path_ok = (F.col("req_path") == F.col("path")) | (
         F.col("req_path").startswith(F.col("path"))

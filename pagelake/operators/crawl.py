@@ -110,7 +110,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
     if store is not None:                                    # D2: fresh, usable store entries
         from . import store as ST
         when = now if now is not None else F.current_timestamp()
-        latest = ST.latest_per_key(store)
+        latest = ST.latest_per_key(store, ["cached_at", "source"])
         hit_keys = latest.filter(ST.is_fresh(F.col("cached_at"), when, ttl_seconds)
                                  & ~ST.stale_for_render(F.col("source"), renderer_available)) \
             .select("cache_key", F.lit(True).alias("_hit"))

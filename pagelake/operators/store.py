@@ -16,13 +16,16 @@ latest row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cache_key, content_hash
+from ..functions.text import cache_key
 
 SOURCES = ("http", "http_shell", "browser", "")
 DEFAULT_TTL_SECONDS = 72 * 3600
+WRITE_ORD = "write_ord"  # later writes have larger ones; never part of a result
 
 
 def is_fresh(cached_at: Column, now: Column, ttl_seconds: int) -> Column:
@@ -48,15 +51,20 @@ def stale_for_render(source: Column, renderer_available: bool) -> Column:
     return (s == "http_shell") | (F.lit(renderer_available) & (s == ""))
 
 
-def latest_per_key(store: DataFrame) -> DataFrame:
-    """The latest version of every key (ties: the larger source name).
+def latest_per_key(store: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The latest version of every key; of equal times the later write
+    (``write_ord``, where there is one), then the larger source name, then
+    the larger content, so the result does not depend on row order.
 
     A ``max_by`` aggregate rather than a ``row_number`` window: the partial
-    aggregation keeps one candidate per key per map task before the
-    shuffle, so a key holding a third of all versions does not become one
-    task sorting a third of the table."""
-    cols = [c for c in store.columns if c != "cache_key"]
-    best = F.max_by(F.struct(*cols), F.struct("cached_at", F.coalesce("source", F.lit(""))))
+    aggregation keeps one candidate per key per map task before the shuffle,
+    so a key holding a third of all versions does not become one task sorting
+    a third of the table. ``columns`` is projected before the aggregate: a
+    status check neither reads nor shuffles page contents."""
+    cols = [c for c in (columns or store.columns) if c not in ("cache_key", WRITE_ORD)]
+    rank = ["cached_at"] + [WRITE_ORD] * (WRITE_ORD in store.columns)
+    order = F.struct(*rank, F.coalesce("source", F.lit("")).alias("_s"), *[c for c in cols if c not in ("cached_at", "source")])
+    best = F.max_by(F.struct(*cols), order)
     return store.groupBy("cache_key").agg(best.alias("_v")).select("cache_key", *[F.col(f"_v.{c}").alias(c)
                                                                                   for c in cols])
 
@@ -82,36 +90,57 @@ def lookup(requests: DataFrame, store: DataFrame, now: Column, ttl_seconds: int
 
 
 def upsert(store: DataFrame | None, rows: DataFrame, keep_raw: bool = True) -> DataFrame:
-    """Union old + new, keep the latest row per key. A markdown-only
-    write (``keep_raw=False``) stores no raw HTML. The caller writes the
-    result to a new version directory (``write_version``)."""
+    """Old and new rows, the latest per key; a new row wins over an old
+    one of the same time. A markdown-only write (``keep_raw=False``) stores
+    no raw HTML. The caller writes the result to a new version directory
+    (``write_version``)."""
     new = rows if keep_raw else rows.withColumn("raw_html", F.lit(None).cast("string"))
-    both = new if store is None else store.unionByName(new, allowMissingColumns=True)
+    if store is None:
+        return latest_per_key(new)
+    both = store.withColumn(WRITE_ORD, F.lit(0)).unionByName(new.withColumn(WRITE_ORD, F.lit(1)), allowMissingColumns=True)
     return latest_per_key(both)
 
 
 def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
-    """Write a store version under ``root/v=<n>`` (atomic per job commit);
-    readers keep reading the previous version meanwhile. ``fmt`` is the
+    """Write a store version under ``root/v=<n>``; readers keep reading the
+    previous one until this one is committed (``_SUCCESS``). ``fmt`` is the
     pluggable storage format (L3): any Spark data source."""
     path = f"{root.rstrip('/')}/v={int(version)}"
     df.write.mode("overwrite").format(fmt).save(path)
     return path
 
 
+def _committed(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers of the ``<prefix><n>`` folders whose write was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(top)]
+    return sorted(int(n[len(prefix):]) for n in names
+                  if n.startswith(prefix) and fs.exists(path(f"{root.rstrip('/')}/{n}/_SUCCESS")))
+
+
 def read_store(spark: SparkSession, root: str, version: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Scan a store version (the newest ``v=<n>`` when not given);
-    lookups then filter or join on ``cache_key`` and push the predicate
-    into the scan."""
-    if version is None:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = [int(st.getPath().getName()[2:]) for st in fs.listStatus(jvm_path)
-                    if st.getPath().getName().startswith("v=")]
-        if not versions:
-            return empty_store(spark)
-        version = max(versions)
-    return spark.read.format(fmt).load(f"{root.rstrip('/')}/v={int(version)}")
+    """The store as of its newest committed version (``v=<n>``) and the
+    committed deltas of a stream (``batch=<id>``), the latest row per key;
+    with ``version``, that version alone. Lookups then filter or join on
+    ``cache_key`` and push the predicate into the scan."""
+    load = lambda name: spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}")
+    if version is not None:
+        return load(f"v={int(version)}")
+    versions, batches = _committed(spark, root, "v="), _committed(spark, root, "batch=")
+    base = load(f"v={versions[-1]}") if versions else None
+    if not batches:
+        return base if base is not None else empty_store(spark)
+    rows = [load(f"batch={b}").withColumn(WRITE_ORD, F.lit(b + 1)) for b in batches]
+    if base is not None:
+        rows.append(base.withColumn(WRITE_ORD, F.lit(0)))
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r, allowMissingColumns=True)
+    return latest_per_key(both)
 
 
 def store_stats(store: DataFrame) -> DataFrame:
@@ -145,11 +174,6 @@ def raw_output(pages: DataFrame, max_chars: int = 0) -> DataFrame:
     return pages.select("url", "fetched_url", "title", "source", raw.alias("raw_html"))
 
 
-def hash_pages(df: DataFrame, text_col: str) -> DataFrame:
-    """I6 over a page column."""
-    return df.withColumn("content_hash", content_hash(F.col(text_col)))
-
-
 def empty_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], (
         "cache_key STRING, cached_at TIMESTAMP, source STRING, url STRING, fetched_url STRING, "

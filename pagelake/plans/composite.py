@@ -74,7 +74,7 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
         "fetch_url", U.rewrite_url(F.col("url"), rules) if rules else F.col("url"))
     u = u.withColumn("cache_key", cache_key(F.col("fetch_url")))
     if store is not None:
-        st = ST.latest_per_key(store).select("cache_key", "cached_at", "source", "title", "markdown")
+        st = ST.latest_per_key(store, ["cached_at", "source", "title", "markdown"])
         looked = u.join(st, "cache_key", "left")
         hit = (F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), now, ttl_seconds)
                & ~ST.stale_for_render(F.col("source"), renderer_available))

@@ -24,8 +24,8 @@ def url_variants(pages: DataFrame) -> DataFrame:
     """``pages`` × 4 URL spellings of the same page: as is, scheme swapped,
     ``www.`` added, fragment dropped + trailing slash + ``utm_source``."""
     u = F.col("url")
-    swapped = (F.when(u.startswith("https://"), F.concat(F.lit("http://"), F.substring(u, 9, 1 << 20)))
-               .when(u.startswith("http://"), F.concat(F.lit("https://"), F.substring(u, 8, 1 << 20)))
+    swapped = (F.when(u.startswith("https://"), F.regexp_replace(u, "^https", "http"))
+               .when(u.startswith("http://"), F.regexp_replace(u, "^http", "https"))
                .otherwise(u))
     www = F.when(u.rlike(r"^https?://www\."), u).otherwise(F.regexp_replace(u, r"^(https?://)", "$1www."))
     base = F.regexp_replace(u, r"#.*$", "")

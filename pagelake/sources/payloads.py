@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import go_trim
+
 ITEM = "struct<title:string,url:string,description:string>"
 # backend → (payload schema, path to the result array, description field)
 SEARCH_SHAPES = {
@@ -27,7 +29,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """A1: one URL per line; trimmed; blank and ``#`` lines dropped; input
     order kept as ``input_pos``."""
     lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    t = F.trim(F.col("value"))
+    t = go_trim("value")
     return (lines.select(t.alias("url"), "_id").filter((F.col("url") != "") & ~F.col("url").startswith("#"))
             .select("url", F.col("_id").alias("input_pos")))
 

@@ -1,9 +1,10 @@
 """Page snapshots (A3): stored fetch results instead of live requests.
 
 Schema: ``url STRING, status INT, content_type STRING, body BINARY|STRING,
-etag STRING, last_modified STRING, fetched_at TIMESTAMP``. The body is cut
-silently at 20 MiB; status 200 is content, 304 is "not modified", any
-other status is an error row (never an exception).
+etag STRING, last_modified STRING, fetched_at TIMESTAMP``. Status 200 is
+content, 304 is "not modified", any other status is an error row (never an
+exception). A fetcher's body limit can be asked for (``max_body_bytes``);
+cut bodies are marked ``truncated``.
 """
 
 from __future__ import annotations
@@ -11,21 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BODY_BYTES = 20 * 1024 * 1024
+FETCH_BODY_BYTES = 20 * 1024 * 1024  # what a fetcher keeps of a body, for max_body_bytes
 
 
-def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return prepare_snapshots(spark.read.format(fmt).load(path))
+def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet", max_body_bytes: int = 0) -> DataFrame:
+    return prepare_snapshots(spark.read.format(fmt).load(path), max_body_bytes)
 
 
-def prepare_snapshots(df: DataFrame) -> DataFrame:
-    """Adds ``body`` cut to the byte cap, ``not_modified``, ``error`` and
-    ``error_kind`` (upstream for non-200/304 statuses)."""
+def prepare_snapshots(df: DataFrame, max_body_bytes: int = 0) -> DataFrame:
+    """Adds ``truncated``, ``not_modified``, ``error`` and ``error_kind``
+    (upstream for non-200/304 statuses). Bodies are whole unless
+    ``max_body_bytes`` > 0."""
     body = F.col("body").cast("binary")
-    cut = F.when(F.octet_length(body) > MAX_BODY_BYTES, F.substring(body, 1, MAX_BODY_BYTES)).otherwise(body)
+    long = F.coalesce(F.octet_length(body) > max_body_bytes, F.lit(False)) if max_body_bytes > 0 else F.lit(False)
+    cut = F.when(long, F.substring(body, 1, max_body_bytes)).otherwise(body) if max_body_bytes > 0 else body
     status = F.col("status")
     err = F.when(~status.isin(200, 304), F.format_string("HTTP %d for %s", status, F.col("url")))
-    return (df.withColumn("body", cut)
+    return (df.withColumn("truncated", long).withColumn("body", cut)
             .withColumn("not_modified", status == 304)
             .withColumn("error", err)
             .withColumn("error_kind", F.when(err.isNotNull(),

@@ -37,9 +37,9 @@ def run_counters(run_log: DataFrame) -> DataFrame:
 
 
 def write_run_status(counters: DataFrame, status_path: str, checkpoint: str, trigger_once: bool = True):
-    """K2 → B6: every micro-batch replaces the status rows of the runs it
-    updated (idempotent per batch: a retried batch rewrites the same
-    files)."""
+    """K2 → B6: every micro-batch writes the new status rows of the runs it
+    updated to a folder of its own (a retried batch rewrites the same files);
+    ``read_run_status`` gives each run's last row."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{status_path.rstrip('/')}/batch={batch_id}")
@@ -48,10 +48,18 @@ def write_run_status(counters: DataFrame, status_path: str, checkpoint: str, tri
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
+def read_run_status(spark, status_path: str, run_col: str = "run_id") -> DataFrame:
+    """The last status row of each run."""
+    rows = spark.read.option("basePath", status_path).parquet(f"{status_path.rstrip('/')}/batch=*").drop("batch")
+    cols = [c for c in rows.columns if c not in (run_col, "batch_id")]
+    last = rows.groupBy(run_col).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
+    return last.select(run_col, *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
 def store_upsert_stream(pages: DataFrame, store_root: str, checkpoint: str, keep_raw: bool = True):
     """K5: each micro-batch's latest row per key becomes a store delta
-    ``store_root/batch=<id>`` (overwrite → idempotent on retry). Readers
-    take the latest row per key over all deltas (``latest_per_key``)."""
+    ``store_root/batch=<id>`` (overwrite → idempotent on retry).
+    ``store.read_store`` reads the deltas together with the versions."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         ST.upsert(None, batch, keep_raw=keep_raw).write.mode("overwrite").parquet(
             f"{store_root.rstrip('/')}/batch={batch_id}")
@@ -97,7 +105,7 @@ def ttl_lookup_stream(requests: DataFrame, store: DataFrame, now_col: str = "req
     entry older than the TTL at request time is a miss."""
     from ..functions.text import cache_key
     req = requests.withColumn("cache_key", cache_key(F.col("url")))
-    st = ST.latest_per_key(store).select("cache_key", "cached_at", "source")
+    st = ST.latest_per_key(store, ["cached_at", "source"])
     j = req.join(st, "cache_key", "left")
     hit = (F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), F.col(now_col), ttl_seconds)
            & ~ST.stale_for_render(F.col("source"), renderer_available))
