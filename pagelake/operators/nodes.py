@@ -21,13 +21,15 @@ Node table schema::
     text STRING           -- all descendant text, for TEXT_TAGS elements only
 
 ``node_id`` is the document order; an element's subtree is the id range
-``(node_id, end_id]``. Partitioning: by ``page_id`` (a page never spans
-tasks); the pages are hash-partitioned by ``page_id`` before the parse, which
-also spreads one large input file over all tasks.
+``(node_id, end_id]``. Pages are parsed where they are read (a page never
+spans tasks), so raw HTML is not shuffled. ``noscript`` content is raw text,
+as for a parser with scripting on. A page that the tokenizer gives up on keeps
+the nodes found so far and gets a last node ``#error`` with the reason.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -66,7 +68,11 @@ TEXT_TAGS = frozenset(
      "blockquote a").split())
 # -------------------------------------------------------------------------------
 
-ARROW_PAGES_PER_BATCH = 256
+#: Node rows handed over at once; bounds the worker's memory.
+ROWS_PER_BATCH = 20_000
+
+#: Key in ``attrs`` of an ordered list's items: no attribute can have it.
+ITEM_NUMBER = "#number"
 
 NODE_SCHEMA = (
     "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, sig STRING, "
@@ -78,8 +84,11 @@ NODE_SCHEMA = (
 class _TreeBuilder(HTMLParser):
     """Stack-based tree builder with the common HTML5 implied-end rules."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "noscript")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.items: dict[int, int] = {}     # next item number of open <ol>
         self.rows: list[list] = []
         self.stack: list[int] = []          # open element row indexes
         self.texts: dict[int, list[str]] = {}
@@ -120,6 +129,14 @@ class _TreeBuilder(HTMLParser):
             if j >= 0:
                 self._close_to(j)
         nid = self._open(tag, attrs)
+        if tag == "ol":
+            start = self.rows[nid][7].get("start", "")
+            self.items[nid] = int(start) if start.isdigit() else 1
+        elif tag == "li":
+            j = self._find_open({"ul", "ol"})
+            if j >= 0 and self.stack[j] in self.items:
+                self.rows[nid][7][ITEM_NUMBER] = str(self.items[self.stack[j]])
+                self.items[self.stack[j]] += 1
         if tag not in VOID_TAGS:
             self.stack.append(nid)
 
@@ -152,8 +169,10 @@ def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
     try:
         b.feed(html or "")
         b.finish()
-    except Exception:  # a malformed page yields what was parsed so far
+    except Exception as e:  # a page is never lost, and never lost from sight
         b._close_to(0)
+        n = len(b.rows)
+        b.rows.append([n, -1, n, 0, "#error", "#error", [], {}, f"{type(e).__name__}: {e}", []])
     return b.rows, b.texts
 
 
@@ -171,27 +190,20 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             and (rows[i][7].get("role") or "").lower() != "presentation"), None)
                 out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[9], [rows[i][4] for i in r[9]],
                             tbl, r[7], r[8], text])
+                if len(out) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(out, columns=cols)
+                    out = []
         yield pd.DataFrame(out, columns=cols)
 
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                num_partitions: int | None = None) -> DataFrame:
-    """One row per element / text run of every page.
-
-    The input is hash-partitioned by ``page_id`` once before the parse:
-    every later step (title, links, signals, markdown) groups or joins by
-    ``page_id`` and reuses that partitioning, so the node table — larger
-    than the HTML — is never shuffled again."""
-    spark = pages.sparkSession
-    # pages are large rows: keep Arrow batches to a few hundred pages so one
-    # batch never holds gigabytes of HTML in a Python worker
-    try:
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_PAGES_PER_BATCH:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_PAGES_PER_BATCH))
-    except Exception:  # a session that does not expose the setting keeps its own
-        pass
+    """One row per element / text run of every page, parsed where the
+    pages are read. ``num_partitions`` spreads a table of too few files over
+    more tasks first, at the price of shuffling the HTML."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    src = src.repartition(num_partitions, "page_id") if num_partitions else src.repartition("page_id")
+    if num_partitions:
+        src = src.repartition(num_partitions)
     return src.mapInPandas(_parse_batches, NODE_SCHEMA)
 
 
@@ -234,7 +246,6 @@ _SEP = "\u0001"
 def _compound_regex(comp: str) -> str:
     """One compound selector (``tag#id.c1.c2``, ``*``, ``.c``, ``#i``) as an
     unanchored regex matching exactly one node signature."""
-    import re
     m = re.fullmatch(r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[#.][A-Za-z0-9_\-]+)*)", comp)
     if not m or comp == "":
         raise ValueError(f"unsupported selector component: {comp!r}")
@@ -248,44 +259,67 @@ def _compound_regex(comp: str) -> str:
     return look + rx
 
 
-def _attr_pred(attr_expr: str) -> Column | None:
-    import re
-    m = re.fullmatch(r"\[([A-Za-z_:][-A-Za-z0-9_:.]*)(?:=\"?([^\"\]]*)\"?)?\]", attr_expr)
+#: [attr op value] operators → test of the attribute's value.
+_ATTR_TESTS = {
+    "=": lambda v, x: v == x,
+    "^=": lambda v, x: v.startswith(x) if x else F.lit(False),
+    "$=": lambda v, x: v.endswith(x) if x else F.lit(False),
+    "*=": lambda v, x: v.contains(x) if x else F.lit(False),
+    "~=": lambda v, x: F.array_contains(F.split(v, r"\s+"), x),
+    "|=": lambda v, x: (v == x) | v.startswith(x + "-"),
+}
+
+
+def _attr_pred(attr_expr: str) -> Column:
+    m = re.fullmatch(r"""\[\s*([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:([~^$*|]?=)\s*("[^"]*"|'[^']*'|[^"'\]]*?))?\s*\]""", attr_expr)
     if not m:
         raise ValueError(f"unsupported attribute selector: {attr_expr!r}")
-    v = F.col("attrs").getItem(m.group(1).lower())
-    return v.isNotNull() if m.group(2) is None else (v == m.group(2))
+    v = F.col("attrs").getItem(m[1].lower())
+    if m[2] is None:
+        return v.isNotNull()
+    value = m[3][1:-1] if m[3][:1] in ("'", '"') else m[3]
+    return F.coalesce(_ATTR_TESTS[m[2]](v, value), F.lit(False))
+
+
+_ATTRS = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
 
 
 def selector_predicate(selector: str) -> Column:
-    """Compile a CSS subset (tag, ``#id``, ``.class``, ``[attr]``,
-    ``[attr=v]``, descendant combinator, comma lists) to a Column predicate
-    over the node table. Bad selectors raise ``ValueError`` (validation)."""
-    import re
-    groups = [g.strip() for g in selector.split(",")]
-    if not selector.strip() or any(not g for g in groups):
-        raise ValueError(f"invalid selector: {selector!r}")
-    preds = []
-    for g in groups:
-        parts = g.split()
-        if any(ch in g for ch in ">+~:"):
-            raise ValueError(f"unsupported selector: {g!r}")
-        last = parts[-1]
-        attr_parts = re.findall(r"\[[^\]]*\]", last)
-        comp = re.sub(r"\[[^\]]*\]", "", last) or "*"
-        p = F.col("sig").rlike("^" + _compound_regex(comp) + "$") & (F.col("tag") != "#text")
-        for a in attr_parts:
-            p = p & _attr_pred(a)
-        # ancestors must match the earlier components in order: fold them
-        # into one regex over the joined path
-        if len(parts) > 1:
-            anc = [re.sub(r"\[[^\]]*\]", "", x) or "*" for x in parts[:-1]]
-            chain = ".*".join(f"(?:^|{_SEP})" + _compound_regex(c) + f"(?={_SEP}|$)" for c in anc)
-            p = p & F.array_join(F.col("path"), _SEP).rlike(chain)
-        preds.append(p)
-    out = preds[0]
-    for p in preds[1:]:
-        out = out | p
+    """Compile a CSS subset (tag, ``#id``, ``.class``, attribute tests on the
+    element itself, descendant and child combinators, comma lists) to a Column
+    predicate over the node table. Anything else, and bad selectors, raise
+    ``ValueError`` (validation)."""
+    out = None
+    for group in re.split(rf""",(?=(?:{_ATTRS}|[^\[])*$)""", selector):
+        held: list[str] = []
+
+        def keep(m: re.Match) -> str:
+            held.append(m[0])
+            return f"\u0002{len(held) - 1}\u0003"
+
+        plain = re.sub(_ATTRS, keep, group)
+        parts = re.sub(r"\s*>\s*", " > ", plain).split()
+        if not parts or parts[0] == ">" or parts[-1] == ">" or re.search(r"[+~:\[\]]", plain) or "> >" in " ".join(parts):
+            raise ValueError(f"unsupported selector: {group!r}")
+        last, chain = parts[-1], parts[:-1]
+        if any("\u0002" in c for c in chain):
+            raise ValueError(f"attribute tests of ancestors are not supported: {group!r}")
+        comp = re.sub("\u0002\\d+\u0003", "", last) or "*"
+        p = F.col("sig").rlike("^" + _compound_regex(comp) + "$") & ~F.col("tag").startswith("#")
+        for k in re.findall("\u0002(\\d+)\u0003", last):
+            p = p & _attr_pred(held[int(k)])
+        # the earlier components, in order, as one regex over the joined path:
+        # a child combinator leaves no room between two of them
+        if chain:
+            rx, child = "", False
+            for c in chain:
+                if c == ">":
+                    child = True
+                    continue
+                rx += (_SEP if child else (rf"(?:{_SEP}.*{_SEP}|{_SEP})" if rx else rf"(?:^|{_SEP})")) + _compound_regex(c) + f"(?={_SEP}|$)"
+                child = False
+            p = p & F.array_join(F.col("path"), _SEP).rlike(rx + ("$" if child else ""))
+        out = p if out is None else out | p
     return out
 
 

@@ -23,6 +23,7 @@ from ..operators import extract as X
 from ..operators import nodes as N
 from ..operators import shell as SH
 from ..operators import store as ST
+from ..session import ensure_checkpoint_dir
 
 
 def enrich_results(results: DataFrame, pages: DataFrame, rules: Sequence[tuple[str, str]] = (),
@@ -56,6 +57,20 @@ def _llms_candidates(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
     return bare.join(s, "_llms").select("input_pos", "llms_body")
 
 
+def latest_snapshots(snapshots: DataFrame) -> DataFrame:
+    """One snapshot per URL: the last fetched that is not a 304 (whose page is
+    the one before); ``not_modified`` tells that a 304 came after it, and a
+    URL of 304s alone keeps one."""
+    if "fetched_at" not in snapshots.columns:
+        snapshots = snapshots.withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    later = F.struct((F.col("status") != 304).alias("a"), "fetched_at", F.col("status").alias("b"), F.xxhash64("body").alias("c"))
+    cols = ["status", "content_type", "body", "error", "error_kind"]
+    return (snapshots.groupBy("url").agg(
+        F.max_by(F.struct(*cols), later).alias("s"),
+        (F.max_by(F.col("status") == 304, F.struct("fetched_at", (F.col("status") == 304).alias("n")))).alias("not_modified"))
+        .select("url", *[F.col(f"s.{c}").alias(c) for c in cols], "not_modified"))
+
+
 def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None, now: Column,
                  ttl_seconds: int = ST.DEFAULT_TTL_SECONDS, rules: Sequence[tuple[str, str]] = (),
                  renderer_available: bool = False, use_llms_txt: bool = True,
@@ -70,6 +85,7 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     receives ``input_pos, fetch_url, ctype, html`` rows and returns
     ``input_pos, title, markdown`` (a ``mapInPandas`` or Pandas UDF of the
     caller's choice). Without one, PDF rows are ``precondition`` errors."""
+    snapshots = latest_snapshots(snapshots)
     u = urls.select("input_pos", "url").withColumn(
         "fetch_url", U.rewrite_url(F.col("url"), rules) if rules else F.col("url"))
     u = u.withColumn("cache_key", cache_key(F.col("fetch_url")))
@@ -78,7 +94,11 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
         looked = u.join(st, "cache_key", "left")
         hit = (F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), now, ttl_seconds)
                & ~ST.stale_for_render(F.col("source"), renderer_available))
-        looked = looked.withColumn("hit", F.coalesce(hit, F.lit(False)))
+        # a page that its server calls unchanged is the stored one, however old
+        same = snapshots.where(F.col("not_modified")).select(F.col("url").alias("fetch_url"), F.lit(True).alias("_same"))
+        kept = F.col("cached_at").isNotNull() & F.col("_same") & ~ST.stale_for_render(F.col("source"), renderer_available)
+        looked = looked.join(same, "fetch_url", "left").withColumn(
+            "hit", F.coalesce(hit, F.lit(False)) | F.coalesce(kept, F.lit(False))).drop("_same")
     else:
         looked = u.select("*", F.lit(None).cast("timestamp").alias("cached_at"),
                           F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("title"),
@@ -100,6 +120,7 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     fetched = fetched.withColumn("ctype", ctype)
     err = (F.when(F.col("llms_body").isNotNull(), F.lit(None))
            .when(F.col("status").isNull(), F.lit("no snapshot for URL"))
+           .when(F.col("status") == 304, F.lit("not modified, and no page stored"))
            .when(F.col("error").isNotNull(), F.col("error"))
            .when((F.col("ctype") == "application/pdf") & F.lit(converter is None),
                  F.lit("PDF needs a document converter"))
@@ -107,7 +128,7 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
                  & ~((F.col("ctype") == "application/pdf") & F.lit(converter is not None)),
                  F.concat(F.lit("unsupported content type "), F.col("ctype"))))
     kind = (F.when(err.isNull(), F.lit(None))
-            .when(F.col("status").isNull(), F.lit("not_found"))
+            .when(F.col("status").isNull() | (F.col("status") == 304), F.lit("not_found"))
             .when(F.col("error_kind").isNotNull(), F.col("error_kind"))
             .when(F.col("ctype") == "application/pdf", F.lit("precondition"))
             .otherwise(F.lit("validation")))
@@ -162,14 +183,14 @@ def extract_html(df: DataFrame, selector: str | None = None, trim: bool = False,
     else:
         N.selector_predicate(selector)          # a bad selector is a validation error for the whole call
         roots = N.select_nodes(nodes, selector)
-        # each match rendered as its own subtree, then joined in document order
-        sub = nodes.join(roots.select("page_id", F.col("node_id").alias("_r"), F.col("end_id").alias("_e")), "page_id") \
-            .filter((F.col("node_id") >= F.col("_r")) & (F.col("node_id") <= F.col("_e")))
-        md = X.to_markdown(sub.withColumn("page_id", F.col("page_id") * F.lit(1 << 20) + F.col("_r"))
-                           .drop("_r", "_e"))
-        per_page = (md.select((F.col("page_id") / F.lit(1 << 20)).cast("long").alias("page_id"),
-                              (F.col("page_id") % F.lit(1 << 20)).alias("_r"), "markdown")
-                    .groupBy("page_id")
+        # each match rendered as its own subtree, under a number of its own
+        # (checkpointed, so that it stays the same), then joined in document order
+        ensure_checkpoint_dir(df.sparkSession)
+        roots = roots.select("page_id", F.col("node_id").alias("_r"), F.col("end_id").alias("_e")).withColumn(
+            "_key", F.monotonically_increasing_id()).checkpoint(eager=True)
+        sub = nodes.join(roots, "page_id").filter((F.col("node_id") >= F.col("_r")) & (F.col("node_id") <= F.col("_e")))
+        md = X.to_markdown(sub.withColumn("page_id", F.col("_key")).drop("_r", "_e", "_key"))
+        per_page = (md.withColumnRenamed("page_id", "_key").join(roots, "_key").groupBy("page_id")
                     .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "markdown"))),
                                                   lambda x: x["markdown"]), "\n\n").alias("markdown")))
         out = ok.select("page_id", url_col).join(per_page, "page_id", "left").select(
@@ -194,7 +215,9 @@ def query_docs(matches_raw: DataFrame, docs_raw: DataFrame) -> DataFrame:
     ex = matches_raw.select("query_id", F.try_element_at(
         F.from_json("body", "struct<results:array<struct<id:string>>>")["results"], F.lit(1))["id"].alias("library"))
     docs = docs_results(docs_raw)
-    return ex.filter(F.col("library").isNotNull()).join(docs, "library")
+    found = ex.join(docs, "library", "left")
+    missing = F.col("library").isNull() | ~F.exists(F.array(*[F.col(c).isNotNull() for c in docs.columns if c != "library"]), lambda x: x)
+    return found.withColumn("error_kind", F.when(missing, F.lit("not_found")))
 
 
 def query_code(files: DataFrame, term: str, lang: str | None = None, limit: int = 10,
