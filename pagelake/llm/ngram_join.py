@@ -13,15 +13,14 @@ head's shingles are ever shuffled and counted. So:
 2. head shingles that one document alone holds come first in every order and
    are dropped; each group keeps as many of the others, rare ones first, as
    its prefix has room for, and these make lists of groups;
-3. group pairs of a list pass the size filter, expand to classes, and are
-   verified on the whole texts by the exact size of the intersection;
-4. links become components.
-
-Step 3 goes in rounds, as a list of m near copies would give m^2 pairs: first
-every member meets a few leaders of its list, then more of them, at last all
-other members. From round to round pairs that a component already joins are
-left out, which loses no component, and pairs tested are not tested again. The
-last round has no limit on leaders, so the result is whole.
+3. in a list in order of size, neighbours pass the size filter or cut the list
+   there. Groups so joined make a cluster: all links lie within clusters;
+4. a cluster expands to its classes, in order of size, in blocks of bounded
+   text. Block pairs that pass the size filter are verified as a whole, each in
+   one task: the sizes of all intersections are a product of its shingle
+   matrix. A task returns a spanning forest of the links it found, so rows grow
+   with the members and not with the pairs of near copies;
+5. links become components.
 
 Defined results: without words or text the set is empty, and the document is
 its own component; rows with a null id link with nothing and have a null
@@ -32,6 +31,7 @@ equal when size and two 64-bit sums of their hashes agree.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,10 +44,11 @@ from pyspark.sql import types as T
 
 from pagelake.llm import sketch
 from pagelake.llm.common import doc_texts, written
-from pagelake.llm.components import components
+from pagelake.llm.components import components, forest
 
-#: Leaders a list has in each round; 0: every member.
-ROUNDS = (4, 32, 0)
+#: Shingles of the classes in one block, and what a class counts for besides
+#: its shingles: they bound a task's memory (a longer text is a block by itself).
+BLOCK_SHINGLES, CLASS_COST = 200_000, 200
 
 #: What names a set.
 SET = ("f1", "f2", "n_shingles")
@@ -119,33 +120,40 @@ def _signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _lists(linked: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
-    """s, group, n_shingles: shingles that several classes of fitting sizes
-    have in their prefixes."""
+    """s, group, n_shingles: the shingles of each group's prefix that other
+    documents hold as well."""
     posted = linked.select("doc_id", F.explode("posted").alias("s"))
     shared = posted.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     few = posted.join(shared, "s")
     of_doc = linked.select("doc_id", F.size("posted").alias("posted"), *SET).join(members, list(SET)).select(
-        "doc_id", "class", "group", "n_shingles", "posted")
-    held = few.join(of_doc, "doc_id").groupBy("group", "s", "df", "n_shingles", "posted").agg(
-        F.min("class").alias("lo"), F.max("class").alias("hi"))
+        "doc_id", "group", "n_shingles", "posted")
+    held = few.join(of_doc, "doc_id").select("group", "s", "df", "n_shingles", "posted").distinct()
     # the shingles that one document alone holds come first in the prefix
     by_rarity = Window.partitionBy("group").orderBy(F.expr(f"shiftrightunsigned(s, 1) >= {int(sim.head()) >> 1}"), "df", "s")
     prefix = F.expr(f"n_shingles - (({sim.percent} * n_shingles + 99) div 100) + 1")
     alone = F.col("posted") - F.count(F.lit(1)).over(Window.partitionBy("group"))
     kept = written(held.withColumns({"alone": alone, "place": F.row_number().over(by_rarity)})
-                   .where(F.col("place") <= prefix - F.col("alone")).select("s", "group", "n_shingles", "lo", "hi"))
+                   .where(F.col("place") <= prefix - F.col("alone")).select("s", "group", "n_shingles"))
+    return kept
+
+
+def _clusters(lists: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
+    """cluster, class, n_shingles of the clusters of two classes or more. Two
+    groups of a list whose sizes fit are joined by the groups between them."""
     by_size = Window.partitionBy("s").orderBy("n_shingles", "group")
-    fits = lambda a, b: F.coalesce(100 * F.least(a, b) >= sim.percent * F.greatest(a, b), F.lit(False))
-    near = F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
-    return written(kept.withColumns({"before": near[0], "after": near[1]}).where(
-        (F.col("lo") != F.col("hi")) | (F.col("before").isNotNull() & fits("n_shingles", "before"))
-        | (F.col("after").isNotNull() & fits("n_shingles", "after"))).select("s", "group", "n_shingles"))
+    pairs = lists.select("group", "n_shingles", F.lag("group").over(by_size).alias("a"), F.lag("n_shingles").over(by_size).alias("n"))
+    edges = pairs.where(F.col("n").isNotNull() & (100 * F.col("n") >= sim.percent * F.col("n_shingles"))).select("a", F.col("group").alias("b"))
+    joined = components(edges.distinct())
+    of = members.join(joined, F.col("group") == F.col("node"), "left").select(
+        F.coalesce("component", "group").alias("cluster"), "class", "n_shingles")
+    several = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cluster")
+    return written(of.join(several, "cluster"))
 
 
-def _class_texts(docs: DataFrame, lists: DataFrame, members: DataFrame) -> DataFrame:
-    """class and text of the classes in lists. Documents that can't be one of
+def _class_texts(docs: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """class and text of the classes in clusters. Documents that can't be one of
     them are left out before the shuffle by a sketch of the wanted ids."""
-    wanted = written(lists.select("group").distinct().join(members, "group").select(
+    wanted = written(clusters.select("class").join(members, "class").select(
         "class", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,56 +171,79 @@ def _class_texts(docs: DataFrame, lists: DataFrame, members: DataFrame) -> DataF
     return written(found.dropDuplicates(["class"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
+def _block_pairs(clusters: DataFrame, sim: Similarity) -> DataFrame:
+    """cluster, lo, hi, block, class: each class once for each pair of blocks
+    (lo, hi) that its block is part of. Blocks follow each other in size."""
+    cost = F.col("n_shingles") + CLASS_COST
+    before = Window.partitionBy("cluster").orderBy("n_shingles", "class").rowsBetween(Window.unboundedPreceding, 0)
+    placed = clusters.withColumn("block", F.floor((F.sum(cost).over(before) - cost) / BLOCK_SHINGLES))
+    span = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    right = span.select("cluster", F.col("block").alias("hi"), F.col("least").alias("least2"))
+    pairs = span.join(right, "cluster").where(
+        (F.col("block") <= F.col("hi")) & (100 * F.col("most") >= sim.percent * F.col("least2"))).select(
+        "cluster", F.col("block").alias("lo"), "hi")
+    ends = pairs.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    return placed.join(ends, ["cluster", "block"]).select("cluster", "lo", "hi", "block", "class")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: a product of the 0/1 matrix of sets and the
+    shingles that two of them share, some columns at a time."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((m, m), np.float32)
+    width = 4096
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [k, k + width])
+        part = np.zeros((m, width), np.float32)
+        part[owner[a:b], column[a:b] - k] = 1
+        out += part @ part.T
+    return out
+
+
+def _links(rows: pa.Table, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links in one pair of blocks."""
+    classes, block = rows.column("class").to_numpy(), rows.column("block").to_numpy()
+    sets = [shingles(t.as_py(), sim.words) for t in rows.column("text")]
+    n = np.array([len(s) for s in sets])
+    both = _overlaps(sets)
+    near = np.triu(100 * both >= sim.percent * (n[:, None] + n[None] - both), 1)
+    if rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py():
+        near &= block[:, None] != block[None]
+    a, b = forest(len(sets), *np.nonzero(near))
+    return classes[a], classes[b]
+
+
+def _verified(clusters: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """a, b: spanning forests of the links between classes of a cluster."""
+    run = ["cluster", "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            keep = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
-                for c, t in ((a, ta), (b, tb)):
-                    if c not in sets:
-                        sets[c] = shingles(t.as_py(), sim.words)
-                n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                keep.append(100 * n >= sim.percent * (len(sets[a]) + len(sets[b]) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-
-
-def _candidates(lists: DataFrame, members: DataFrame, leaders: int, sim: Similarity) -> DataFrame:
-    """Pairs of classes that no component joins: group pairs of a list whose
-    sizes allow a link, then their members. With ``leaders``, one side is a
-    leading group of the list, and there a leading class of the group."""
-    lead = lambda key, *carried: F.min(F.struct(F.xxhash64(key, F.lit(5)).alias("r"), key, *carried)).alias("m")
-    heads, first = lists, members
-    if leaders:
-        salt = lambda key: F.pmod(F.xxhash64(key), F.lit(leaders)).alias("salt")
-        heads = lists.groupBy("s", salt("group")).agg(lead("group", "n_shingles", "lo", "hi", "classes")).select("s", "m.*")
-        first = members.groupBy("group", salt("class")).agg(lead("class", "component")).select("group", "m.*")
-    heads = heads.select("s", *(F.col(c).alias(f"{c}2") for c in ("group", "n_shingles", "lo", "hi")))
-    sizes = 100 * F.least("n_shingles", "n_shingles2") >= sim.percent * F.greatest("n_shingles", "n_shingles2")
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    other = (F.col("group") != F.col("group2")) | (F.col("classes") > 1)
-    if not leaders:
-        other &= F.col("group") <= F.col("group2")
-    groups = lists.join(heads, "s").where(sizes & apart & other).select("group", "group2").distinct()
-    mine = members.select("group", "class", "component")
-    theirs = first.select(F.col("group").alias("group2"), F.col("class").alias("class2"), F.col("component").alias("component2"))
-    pairs = groups.join(mine, "group").join(theirs, "group2").where("component <> component2")
-    return pairs.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
-
-
-def _open(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """The lists that more than one component holds, with each group's span
-    of components and its number of classes."""
-    span = members.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("classes"))
-    rows = lists.select("s", "group", "n_shingles").join(span, "group")
-    left = rows.groupBy("s").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("s")
-    return written(rows.join(left, "s"))
+        held: pa.Table | None = None
+        for b in itertools.chain(batches, [None]):
+            rows = pa.Table.from_batches([b]) if b is not None else None
+            if held is not None:
+                rows = pa.concat_tables([held, rows]) if rows is not None else held
+            if rows is None or not rows.num_rows:
+                continue
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in run], axis=0)
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], rows.num_rows)
+            whole = len(starts) if b is None else len(starts) - 1  # the last run may go on
+            found = [_links(rows.slice(s, e - s), sim) for s, e in zip(starts[:whole], ends[:whole])]
+            if found:
+                a, c = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+            held = rows.slice(starts[whole]) if whole < len(starts) else None
+
+    rows = _block_pairs(clusters, sim).join(texts, "class").select(*run, "block", "class", "text")
+    return written(rows.repartition(*run).sortWithinPartitions(*run).mapInArrow(verify, "a long, b long"))
 
 
 def _classes(linked: DataFrame) -> DataFrame:
@@ -229,20 +260,10 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
     signed = written(_signatures(docs, sim))
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = _classes(linked)
-    lists = _lists(linked, classes, sim)
-    texts = _class_texts(docs, lists, classes)
-    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    members = classes.withColumn("component", F.col("class"))
-    for leaders in ROUNDS:
-        lists = _open(lists, members)
-        if lists.isEmpty():
-            break
-        pairs = written(_candidates(lists, members, leaders, sim).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        links = written(links.unionByName(_verified(pairs, texts, sim)))
-        joined = components(links)
-        members = written(classes.join(joined, F.col("class") == F.col("node"), "left").drop("node")
-                          .withColumn("component", F.coalesce("component", "class")))
+    clusters = _clusters(_lists(linked, classes, sim), classes, sim)
+    links = _verified(clusters, _class_texts(docs, clusters, classes), sim)
+    members = classes.join(components(links), F.col("class") == F.col("node"), "left").drop("node").withColumn(
+        "component", F.coalesce("component", "class"))
     first = members.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = members.join(first, "component").select(*SET, "component_id")
     have = linked.select("doc_id", *SET).join(named, list(SET)).select("doc_id", "n_shingles", "component_id")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.common import written
-from pagelake.llm.components import components
+from pagelake.llm.components import components, forest
 
 #: Measured chance that two vectors at cosine 0.95 share a bucket of a table, to
 #: the power 1 / hashes: 0.89 at 64 dimensions and 0.83 at 384 with two hashes,
@@ -162,22 +162,6 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges to the least member of each component of the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
-
-
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j inside each run of rows."""
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -237,7 +221,7 @@ def _compare(rows: pa.Table, s: Settings) -> pa.Table:
         some = np.flatnonzero(count)
         node.append(different[some])
         links.append(count[some].astype(np.int64))
-        for out, k in zip(ends, _forest(len(different), i, j)):
+        for out, k in zip(ends, forest(len(different), i, j)):
             out.append(different[k])
     none = [np.empty(0, np.int64)]
     node, links, a, b = (np.concatenate(part + none) for part in (node, links, *ends))

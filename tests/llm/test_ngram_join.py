@@ -89,8 +89,9 @@ def test_alternating_sets(spark):
     assert got(docs) == brute(rows)
 
 
-def test_hot_lists_and_few_leaders(spark, monkeypatch):
-    monkeypatch.setattr(nj, "ROUNDS", (1, 2, 0))
+@pytest.mark.parametrize("size", [1, 300, 2000])
+def test_clusters_of_many_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", size)
     rows = near_copies(9, 80)
     docs = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], SCHEMA)
     assert got(docs) == brute(rows)
