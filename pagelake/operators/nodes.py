@@ -289,15 +289,14 @@ def selector_predicate(selector: str) -> Column:
     element itself, descendant and child combinators, comma lists) to a Column
     predicate over the node table. Anything else, and bad selectors, raise
     ``ValueError`` (validation)."""
-    out = None
-    for group in re.split(rf""",(?=(?:{_ATTRS}|[^\[])*$)""", selector):
-        held: list[str] = []
+    out, held = None, []
 
-        def keep(m: re.Match) -> str:
-            held.append(m[0])
-            return f"\u0002{len(held) - 1}\u0003"
+    def keep(m: re.Match) -> str:
+        held.append(m[0])
+        return f"\u0002{len(held) - 1}\u0003"
 
-        plain = re.sub(_ATTRS, keep, group)
+    for plain in re.sub(_ATTRS, keep, selector).split(","):
+        group = selector.strip()
         parts = re.sub(r"\s*>\s*", " > ", plain).split()
         if not parts or parts[0] == ">" or parts[-1] == ">" or re.search(r"[+~:\[\]]", plain) or "> >" in " ".join(parts):
             raise ValueError(f"unsupported selector: {group!r}")
