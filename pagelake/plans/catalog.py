@@ -167,14 +167,16 @@ def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
     store = ST.latest_per_key(D.store_rows_from_events(ev))
     req = ev.select(F.concat(F.lit("https://u.example.com/"), F.col("user_id").cast("string")).alias("url")).distinct()
     now = F.expr(_NOW)
-    j = ST.lookup(req, store, now, D.STORE_TTL_SECONDS, want_raw=True)
+    forced = ST.lookup(req, store, now, D.STORE_TTL_SECONDS, force_render=True).select(
+        "cache_key", F.coalesce("hit", F.lit(False)).alias("forced_hit"))
+    j = ST.lookup(req, store, now, D.STORE_TTL_SECONDS, want_raw=True).join(forced, "cache_key")
     fresh = F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), now, D.STORE_TTL_SECONDS)
     return j.select(
         "url", "cache_key", "source", ST.epoch_micros(j, "cached_at").alias("cached_at_us"),
         F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), False), F.lit(False)).alias("hit"),
         F.coalesce(fresh & ~ST.stale_for_render(F.col("source"), True), F.lit(False)).alias("hit_with_renderer"),
         F.coalesce(F.col("hit"), F.lit(False)).alias("raw_hit"),
-        F.coalesce(fresh & (F.col("source") == "browser"), F.lit(False)).alias("forced_hit"),
+        "forced_hit",
     )
 
 
@@ -431,11 +433,11 @@ from ..sources import blocks as BL  # noqa: E402
 
 
 @register("text_block_results", f"""
-SELECT query_id, rank, title, url, description, description AS content
-FROM ({S.RANKED_LISTS_PART}) WHERE backend = 'beta'
+SELECT query_id || ':' || backend AS query_id, rank, title, url, description, description AS content
+FROM ({S.RANKED_LISTS_PART})
 """)
 def text_block_results(spark: SparkSession, sf: str) -> DataFrame:
-    lists = D.ranked_lists_part(read_table(spark, sf, "part")).filter(F.col("backend") == "beta")
+    lists = D.ranked_lists_part(read_table(spark, sf, "part")).withColumn("query_id", F.concat_ws(":", "query_id", "backend"))
     return BL.exa_results(BL.text_blocks_payload(lists), limit=0)
 
 
@@ -595,7 +597,8 @@ WITH l AS (
               ELSE 'ok' END AS status
   FROM pages
 )
-SELECT status, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY status
+SELECT CAST(count(*) FILTER (WHERE status = 'ok') AS BIGINT) AS live,
+  CAST(count(*) FILTER (WHERE status = 'expired') AS BIGINT) AS expired FROM l
 """)
 def cookie_jar_counts(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import urls as U
@@ -609,7 +612,7 @@ def cookie_jar_counts(spark: SparkSession, sf: str) -> DataFrame:
     lines = pages.select(F.col("page_id").alias("line_no"), line.alias("line"))
     # "now" as an instant from epoch seconds: independent of the session zone
     parsed = CK.parse_cookie_lines(lines, F.timestamp_seconds(F.lit(JAR_NOW_EPOCH)))
-    return parsed.groupBy("status").agg(F.count("*").alias("n"))
+    return CK.jar_counts(parsed)
 
 
 # --- J4: CSS selectors over the driver's pages --------------------------------
@@ -633,3 +636,6 @@ def page_selector_counts(spark: SparkSession, sf: str) -> DataFrame:
         out = out.join(count(sel, name), "page_id", "left")
     return out.select("page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                                    for c in ("nav_links", "article_paragraphs", "headings")])
+
+
+from . import catalog_more  # noqa: E402,F401  (registers its queries)

@@ -8,7 +8,7 @@ their work grows linearly with the tables they read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table
@@ -43,9 +43,17 @@ def url_variants(pages: DataFrame) -> DataFrame:
     )
 
 
+QUERY_PARTS = 500
+
+
+def query_of() -> Column:
+    return F.concat_ws("/", F.expr(f"p_partkey div {QUERY_PARTS}").cast("string"), "p_brand").alias("query_id")
+
+
 def ranked_lists_part(part: DataFrame) -> DataFrame:
-    """Three backends rank each brand's parts (query = ``p_brand``): alpha by
-    price desc, beta by size desc, gamma by name; ties by key; top 20.
+    """Three backends rank the parts of each query (a run of part keys and a
+    brand, so queries grow with the table): alpha by price desc, beta by size
+    desc, gamma by name; ties by key; top 20.
 
     One scan, one window: the per-backend sort keys are folded into two
     generic sort columns, and ``row_number() <= 20`` lets Spark plan a
@@ -54,13 +62,13 @@ def ranked_lists_part(part: DataFrame) -> DataFrame:
     """
     key = F.col("p_partkey")
     ex = part.select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+        "p_partkey", "p_name", query_of(), "p_type", "p_size", "p_retailprice",
         F.explode(F.array(*[F.lit(i) for i in range(len(BACKENDS))])).alias("backend_ord"),
     )
     sort_a = (F.when(F.col("backend_ord") == 0, -F.col("p_retailprice"))
               .when(F.col("backend_ord") == 1, -F.col("p_size").cast("double")))
     sort_b = F.when(F.col("backend_ord") == 2, F.col("p_name"))
-    w = Window.partitionBy("p_brand", "backend_ord").orderBy(
+    w = Window.partitionBy("query_id", "backend_ord").orderBy(
         sort_a.asc_nulls_first(), sort_b.asc_nulls_first(), key.asc())
     ranked = ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LIST_DEPTH)
     k = key.cast("string")
@@ -71,7 +79,7 @@ def ranked_lists_part(part: DataFrame) -> DataFrame:
            .otherwise(F.concat(F.lit("https://shop.example.com/part/"), k, F.lit("?ref=gamma"))))
     names = F.element_at(F.array(*[F.lit(b) for b in BACKENDS]), F.col("backend_ord") + 1)
     return ranked.select(
-        F.col("p_brand").alias("query_id"),
+        "query_id",
         names.alias("backend"),
         F.col("backend_ord").cast("int").alias("backend_ord"),
         F.col("rank").cast("int").alias("rank"),
@@ -84,11 +92,10 @@ def ranked_lists_part(part: DataFrame) -> DataFrame:
 
 
 def attempts_part(part: DataFrame) -> DataFrame:
-    """One outcome row per (brand, backend): failed when the brand number's
+    """One outcome row per (query, backend): failed when the brand number's
     last digit is one of the backend's fail digits."""
-    brands = part.select("p_brand").distinct()
-    rows = brands.select(
-        F.col("p_brand").alias("query_id"),
+    rows = part.select(query_of()).distinct().select(
+        "query_id",
         F.posexplode(F.array(*[F.lit(b) for b in BACKENDS])).alias("backend_ord", "backend"),
     )
     fail = F.lit(False)
