@@ -10,7 +10,7 @@ id that last followed the two ids, or the one id, before, with a confidence
 that grows by hits and falls by misses. Adaptive counts, chosen by the two
 confidences, weigh "as order 2 says", "as order 1 says" and "neither"; then
 order 0, the segment's own id frequencies, codes the id. All drive one range
-coder of 48 bits with 16-bit output (carry-less, after Subbotin, 1999).
+coder of 62 bits with 16-bit output (carry-less, after Subbotin, 1999).
 
 All blocks of a segment are coded in step, one id of each at a time, so the
 work is array operations over up to SEGMENT blocks.
@@ -41,94 +41,119 @@ from pyspark.sql import types as T
 from pagelake.llm.common import doc_texts, scratch
 from pagelake.llm.tokens import ID, default_path, encoder
 
-BLOCK = 4096
-SEGMENT = 1024
+BLOCK = 2048
+SEGMENT = 2048
 
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sQIIII")
-_U64 = np.uint64
-_TOP, _LOW48, _BOT = 1 << 32, (1 << 48) - 1, 1 << 16
-
-#: Cells of the order-1 and order-2 tables of a block, as bits.
-_BITS1, _BITS2 = 12, 13
+#: Size of the coder's state, and what an interval must keep for an id's two
+#: steps (13 and 16 bits at most).
+_STATE, _WORD, _LEAST = 62, 16, 1 << 30
+_TOP, _MASK, _SLOTS = 1 << (_STATE - _WORD), (1 << _STATE) - 1, 1 << 16
+
+#: Cells of the order-1 and order-2 tables of a block, as bits; the largest
+#: confidence; what a count grows by, and the sum at which counts are halved.
+_BITS1, _BITS2 = 11, 11
 _SURE = 7
 _RAISE, _LIMIT = 24, 8000
 
 
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of ids in the order-1 and order-2 tables (two parts, by xor)."""
+    ids = np.arange(_SLOTS, dtype=np.uint64)
+    part = lambda k, bits: ((ids * np.uint64(k) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+    return part(0x9E3779B1, _BITS1), part(0x85EBCA6B, _BITS2), part(0xC2B2AE35, _BITS2)
+
+
+_PLACE1, _PLACE2, _PLACE3 = _hash_tables()
+
+
 class _Model:
     """Predictions of ``n`` blocks in step; entries are id * 8 + confidence."""
 
     def __init__(self, n: int):
         lane = np.arange(n)
         self.base1, self.base2 = lane << _BITS1, lane << _BITS2
-        self.base = lane * (2 * (_SURE + 1) ** 2 * 3)
+        self.base = lane * (2 * (_SURE + 1) ** 2)
         self.table1, self.table2 = np.zeros(n << _BITS1, np.int32), np.zeros(n << _BITS2, np.int32)
-        self.counts = np.tile(np.array([8, 8, 32], np.int32), n * 2 * (_SURE + 1) ** 2)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.counts = np.tile(np.array([8, 8, 32, 48], np.int64), (n * 2 * (_SURE + 1) ** 2, 1))
+        self.flat = self.counts.reshape(-1)
+        self.last, self.earlier = np.zeros(n, np.int64), _PLACE3[np.zeros(n, np.int64)]
 
     def predict(self, k: int) -> tuple[np.ndarray, ...]:
-        """For the first k blocks: ids of orders 2 and 1, their weights, the sum."""
-        last, before = self.last[:k], self.before[:k]
-        self.at1 = self.base1[:k] + ((last * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BITS1))
-        self.at2 = self.base2[:k] + (((last * 0x85EBCA6B ^ before * 0xC2B2AE35) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BITS2))
-        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
+        """For the first k blocks: ids of orders 2 and 1, where the weights of
+        order 2 and of both end, and the sum of all weights."""
+        last = self.last[:k]
+        self.at1 = self.base1[:k] + _PLACE1[last]
+        self.at2 = self.base2[:k] + (_PLACE2[last] ^ self.earlier[:k])
+        self.e1, self.e2 = self.table1[self.at1].astype(np.int64), self.table2[self.at2].astype(np.int64)
         self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
-        c1, c2 = self.e1 & _SURE, self.e2 & _SURE
-        self.ctx = self.base[:k] + 3 * ((c2 << 4) + (c1 << 1) + (self.id1 == self.id2))
-        a, b, c = (self.counts[self.ctx + s].astype(np.int64) for s in range(3))
-        return self.id2, self.id1, a, b, a + b + c
+        self.ctx = self.base[:k] + ((self.e2 & _SURE) << 4 | (self.e1 & _SURE) << 1 | (self.id1 == self.id2))
+        weights = self.counts[self.ctx]
+        a = weights[:, 0]
+        return self.id2, self.id1, a, a + weights[:, 1], weights[:, 3]
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
-        self.counts[self.ctx + kind] += _RAISE
-        full = np.flatnonzero(total > _LIMIT)
-        for s in range(3) if len(full) else ():
-            self.counts[self.ctx[full] + s] = (self.counts[self.ctx[full] + s] >> 1) + 1
-        fresh = (ids << 3 | 1).astype(np.int32)
+        at = self.ctx << 2
+        self.flat[at + kind] += _RAISE
+        self.flat[at + 3] += _RAISE
+        if total.max(initial=0) > _LIMIT:
+            rows = self.ctx[total > _LIMIT]
+            half = (self.counts[rows, :3] >> 1) + 1
+            self.counts[rows, :3] = half
+            self.counts[rows, 3] = half.sum(1)
+        fresh = ids << 3 | 1
         for table, at, e, guess in ((self.table1, self.at1, self.e1, self.id1), (self.table2, self.at2, self.e2, self.id2)):
             sure = e & _SURE
-            hit = np.where(sure < _SURE, e + 1, e)
-            miss = np.where(sure > 1, e - (sure + 1 >> 1), fresh)
-            table[at] = np.where((guess == ids) & (sure > 0), hit, miss)
+            step = np.where(guess == ids, sure < _SURE, -(sure + 1 >> 1))
+            table[at] = np.where((sure > 1) | ((guess == ids) & (sure > 0)), e + step, fresh)
         k = len(ids)
-        self.before[:k] = self.last[:k]
+        self.earlier[:k] = _PLACE3[self.last[:k]]
         self.last[:k] = ids
 
 
 def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Blocks that put a word out; where the interval is too small to go on
-    though its ends differ, it is cut at the next word's edge."""
+    though its ends differ, it is cut at the next edge both sides of which
+    differ in no word."""
     same = (low ^ (low + size - 1)) < _TOP
-    small = ~same & (size < _BOT)
+    small = size < _LEAST
     if small.any():
-        size[small] = -low[small] & (_BOT - 1)
-    return np.flatnonzero(same | small)
+        cut = small & ~same
+        size[cut] = -low[cut] & (_LEAST - 1)
+        same |= cut
+    return np.flatnonzero(same)
 
 
 class _Writer:
     def __init__(self, n: int):
-        self.low, self.size = np.zeros(n, np.int64), np.full(n, _LOW48, np.int64)
+        self.low, self.size = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, share: np.ndarray, total) -> None:
-        low, size = self.low[lanes], self.size[lanes]
-        unit = size // total
-        low += unit * start
-        size = unit * share
+    def put(self, lanes, start: np.ndarray, share: np.ndarray, total) -> None:
+        """Narrow the intervals of some blocks (a slice or places)."""
+        unit = self.size[lanes] // total
+        self.low[lanes] += unit * start
+        self.size[lanes] = unit * share
+
+    def settle(self, k: int) -> None:
+        low, size = self.low[:k], self.size[:k]
         while len(out := _settled(low, size)):
-            self.lanes.append(lanes[out])
-            self.words.append((low[out] >> 32).astype(ID))
-            low[out] = low[out] << 16 & _LOW48
-            size[out] <<= 16
-        self.low[lanes], self.size[lanes] = low, size
+            top = low[out]
+            self.lanes.append(out)
+            self.words.append((top >> (_STATE - _WORD)).astype(ID))
+            low[out] = top << _WORD & _MASK
+            size[out] <<= _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all blocks, block by block; number of words of each)."""
         every = np.arange(len(self.low))
-        for shift in (32, 16, 0):
+        for shift in (_STATE - 16, _STATE - 32, _STATE - 48):
             self.lanes.append(every)
             self.words.append((self.low >> shift & 0xFFFF).astype(ID))
+        self.lanes.append(every)
+        self.words.append((self.low << (64 - _STATE) & 0xFFFF).astype(ID))
         lanes = np.concatenate(self.lanes)
         return np.concatenate(self.words)[np.argsort(lanes, kind="stable")], np.bincount(lanes, minlength=len(every))
 
@@ -136,32 +161,40 @@ class _Writer:
 class _Reader:
     def __init__(self, words: np.ndarray, first: np.ndarray):
         n = len(first)
-        self.words, self.next = words.astype(np.int64), first + 3
-        self.low, self.size = np.zeros(n, np.int64), np.full(n, _LOW48, np.int64)
-        self.code = self.words[first] << 32 | self.words[first + 1] << 16 | self.words[first + 2]
-
-    def get(self, lanes: np.ndarray, total) -> np.ndarray:
+        self.words, self.next = np.append(words.astype(np.int64), [0, 0, 0, 0]), first + 4
+        self.low, self.size = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
+        self.code = np.zeros(n, np.int64)
+        for k in range(3):
+            self.code = self.code << _WORD | self.words[first + k]
+        self.code = self.code << 14 | self.words[first + 3] >> 2
+        self.rest = self.words[first + 3] & 3  # bits of the last word not yet in the code
+
+    def get(self, lanes, total) -> np.ndarray:
         """Where in the total each block's code stands."""
         self.unit = self.size[lanes] // total
         return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total - 1)
 
-    def drop(self, lanes: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        low, size, code = self.low[lanes] + self.unit * start, self.unit * share, self.code[lanes]
+    def drop(self, lanes, start: np.ndarray, share: np.ndarray) -> None:
+        self.low[lanes] += self.unit * start
+        self.size[lanes] = self.unit * share
+
+    def settle(self, k: int) -> None:
+        low, size = self.low[:k], self.size[:k]
         while len(out := _settled(low, size)):
-            at = lanes[out]
-            code[out] = (code[out] << 16 & _LOW48) | self.words[np.minimum(self.next[at], len(self.words) - 1)]
-            self.next[at] += 1
-            low[out] = low[out] << 16 & _LOW48
-            size[out] <<= 16
-        self.low[lanes], self.size[lanes], self.code[lanes] = low, size, code
+            word = self.words[np.minimum(self.next[out], len(self.words) - 1)]
+            self.next[out] += 1
+            self.code[out] = (self.code[out] << _WORD & _MASK) | self.rest[out] << 14 | word >> 2
+            self.rest[out] = word & 3
+            low[out] = low[out] << _WORD & _MASK
+            size[out] <<= _WORD
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their shares of 2^16, none of them 0."""
     distinct, n = np.unique(ids, return_counts=True)
-    share = 1 + n * (_BOT - len(distinct)) // max(1, n.sum())
+    share = 1 + n * (_SLOTS - len(distinct)) // max(1, n.sum())
     if len(share):
-        share[np.argmax(share)] += _BOT - share.sum()
+        share[np.argmax(share)] += _SLOTS - share.sum()
     return distinct.astype(np.int64), share.astype(np.int64)
 
 
@@ -175,7 +208,7 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = -(-len(ids) // block)
     distinct, share = _frequencies(ids)
     starts = np.cumsum(share) - share
-    place = np.zeros(_BOT, np.int64)
+    place = np.zeros(_SLOTS, np.int64)
     place[distinct] = np.arange(len(distinct))
     grid = np.zeros((block, n), np.int64)
     lengths = np.full(n, block)
@@ -184,18 +217,21 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
         whole = np.zeros(n * block, np.int64)
         whole[:len(ids)] = ids
         grid = np.ascontiguousarray(whole.reshape(n, block).T)
-    model, out, every = _Model(n), _Writer(n), np.arange(n)
+    model, out = _Model(n), _Writer(n)
     for t in range(lengths.max(initial=0)):
         k = n - (t >= lengths[-1])
         x = grid[t, :k]
         id2, id1, a, b, total = model.predict(k)
         kind = np.where(x == id2, 0, np.where(x == id1, 1, 2))
-        out.put(every[:k], np.where(kind == 0, 0, np.where(kind == 1, a, a + b)),
-                np.where(kind == 0, a, np.where(kind == 1, b, total - a - b)), total)
+        ends = np.stack([np.zeros_like(a), a, b, total])
+        lane = np.arange(k)
+        start = ends[kind, lane]
+        out.put(slice(k), start, ends[kind + 1, lane] - start, total)
         rest = np.flatnonzero(kind == 2)
         if len(rest):
             at = place[x[rest]]
-            out.put(rest, starts[at], share[at], _BOT)
+            out.put(rest, starts[at], share[at], _SLOTS)
+        out.settle(k)
         model.learn(x, kind, total)
     words, sizes = out.finish() if n else (np.empty(0, ID), np.empty(0, np.int64))
     tables = (distinct.astype(ID).tobytes() + (share - 1).astype(ID).tobytes()
@@ -226,21 +262,23 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
     if len(words) != sizes.sum():
         raise ValueError("a token segment is cut short")
     grid = np.zeros((block, n), ID)
-    model, code, every = _Model(n), _Reader(words, first), np.arange(n)
+    model, code = _Model(n), _Reader(words, first)
     for t in range(lengths.max()):
         k = n - (t >= lengths[-1])
-        lanes = every[:k]
         id2, id1, a, b, total = model.predict(k)
-        v = code.get(lanes, total)
-        kind = (v >= a).astype(np.int64) + (v >= a + b)
-        code.drop(lanes, np.where(kind == 0, 0, np.where(kind == 1, a, a + b)),
-                  np.where(kind == 0, a, np.where(kind == 1, b, total - a - b)))
-        x = np.where(kind == 0, id2, id1).astype(np.int64)
+        v = code.get(slice(k), total)
+        kind = (v >= a).astype(np.int64) + (v >= b)
+        ends = np.stack([np.zeros_like(a), a, b, total])
+        lane = np.arange(k)
+        start = ends[kind, lane]
+        code.drop(slice(k), start, ends[kind + 1, lane] - start)
+        x = np.where(kind == 0, id2, id1)
         rest = np.flatnonzero(kind == 2)
         if len(rest):
-            at = slot[code.get(rest, _BOT)]
+            at = slot[code.get(rest, _SLOTS)]
             code.drop(rest, starts[at], share[at])
             x[rest] = distinct[at]
+        code.settle(k)
         grid[t, :k] = x
         model.learn(x, kind, total)
     out = np.ascontiguousarray(grid.T)
