@@ -132,7 +132,33 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return N.page_links(N.html_nodes(pages.select("page_id", "html")), pages.select("page_id", "url"))
 
 
-@register("js_shell_verdicts")
+def _shell_sql() -> str:
+    """Visible pieces of the driver's pages by expressions: their lists,
+    article, heading and paragraphs are regular enough for that."""
+    plain = S.trim_ws("regexp_replace(" + S.unescape_html("regexp_replace(x, '<[^>]*>', '', 'g')") + r", '[\t\n\r ]+', ' ', 'g')")
+    return f"""
+WITH a AS (
+  SELECT page_id, html, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS li, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art,
+    strlen(regexp_extract(html, '(?s)<script>(.*?)</script>', 1)) AS script_bytes FROM pages),
+b AS (
+  SELECT *, list_concat(li, regexp_extract_all(art, '(?s)<h1>(.*?)</h1>', 1),
+    list_transform(string_split(art, '<p>')[2:], lambda x: split_part(x, '</p>', 1))) AS blocks FROM a),
+c AS (
+  SELECT *, list_filter(list_transform(blocks, lambda x: {plain}), lambda x: x <> '') AS texts,
+    {plain.replace("(x,", "(art,")} AS whole FROM b),
+d AS (
+  SELECT page_id, CAST(script_bytes AS BIGINT) AS script_bytes,
+    CAST(list_sum(list_transform(list_append(texts, whole), lambda x: strlen(x))) + len(texts) AS BIGINT) AS vis_bytes,
+    CAST(len(list_filter(texts, lambda x: strlen(x) > 20)) AS BIGINT) AS meaningful_blocks FROM c),
+e AS (
+  SELECT *, CASE WHEN vis_bytes >= 200 THEN 'static' WHEN meaningful_blocks > 2 THEN 'ambiguous'
+    WHEN script_bytes > vis_bytes * 3 THEN 'likely_shell' ELSE 'ambiguous' END AS js_detection FROM d)
+SELECT page_id, js_detection, vis_bytes, meaningful_blocks, script_bytes,
+  CASE js_detection WHEN 'likely_shell' THEN 'http_shell' ELSE 'http' END AS source FROM e
+"""
+
+
+@register("js_shell_verdicts", _shell_sql())
 def js_shell_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
     return SH.js_shell(N.html_nodes(pages), pages).withColumn(
