@@ -372,7 +372,30 @@ def code_grep(spark: SparkSession, sf: str) -> DataFrame:
 from ..operators import extract as X  # noqa: E402
 
 
-@register("page_markdown")
+def _markdown_sql() -> str:
+    """The driver's pages as markdown, block by block: marks for bold and line
+    breaks, tags gone, white space collapsed, marks written out."""
+    plain = S.unescape_html("regexp_replace(x, '<[^>]*>', '', 'g')")
+    marked = "replace(replace(replace(x, '<b>', chr(1)), '</b>', chr(3)), '<br>', chr(2))"
+    closed = f"{plain.replace('(x,', '(' + marked + ',')} || CASE WHEN contains(x, '<b>') AND NOT contains(x, '</b>') THEN chr(3) ELSE '' END"
+    return rf"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art,
+    regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS x FROM pages),
+b AS (
+  SELECT page_id, url, {S.trim_ws(plain)} AS title,
+    list_prepend('# ' || regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1),
+                 list_transform(string_split(art, '<p>')[2:], lambda x: split_part(x, '</p>', 1))) AS blocks FROM a),
+c AS (
+  SELECT page_id, url, title, list_filter(list_transform(list_transform(blocks, lambda x: {closed}), lambda x: trim(
+    replace(replace(regexp_replace(regexp_replace(x, '[\t\n\r ]+', ' ', 'g'), ' *' || chr(2) || ' *', chr(10), 'g'), chr(1), '**'),
+            chr(3), '**'))), lambda x: x <> '') AS blocks FROM b),
+d AS (SELECT page_id, url, title, array_to_string(blocks, chr(10) || chr(10)) AS markdown FROM c)
+SELECT page_id, url, title, markdown, left(sha256(markdown), 16) AS content_hash FROM d
+""".replace("\\\\", "\\")
+
+
+@register("page_markdown", _markdown_sql())
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
     nodes = N.parse_once(N.html_nodes(pages.select("page_id", "html")))
