@@ -42,3 +42,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

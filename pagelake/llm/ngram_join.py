@@ -274,8 +274,8 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
 def first_of_each(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """The documents, all columns kept, without those that link to one of a
     smaller id. Of rows that repeat an id, all stay or go."""
-    found = ngram_components(docs, sim).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    later = ngram_components(docs, sim).where("component_id < doc_id").select(F.col("doc_id").alias("later_id")).distinct()
+    return docs.join(later, docs["doc_id"] == later["later_id"], "left_anti")
 
 
 def op7(docs: DataFrame) -> DataFrame:

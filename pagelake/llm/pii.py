@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.common import doc_texts
+from pagelake.llm.common import doc_texts, free_name
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -179,9 +179,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     if "n_chars" not in docs.columns:
         return docs.withColumn("text", masked("text"))
-    new = docs.withColumn("_masked", masked("text"))
-    length = F.when(F.col("_masked") != F.col("text"), F.char_length("_masked")).otherwise(F.col("n_chars"))
-    return new.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).withColumn("text", F.col("_masked")).drop("_masked")
+    m = free_name(docs, "_masked")
+    new = docs.withColumn(m, masked("text"))
+    length = F.when(F.col(m) != F.col("text"), F.char_length(m)).otherwise(F.col("n_chars"))
+    return new.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).withColumn("text", F.col(m)).drop(m)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import GAP_PATTERN, let
+from pagelake.llm.common import GAP_PATTERN, free_name, let
 
 #: Words in a window whose second appearance counts as repetition.
 WINDOW = 8
@@ -163,11 +163,11 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def filter_stage(docs: DataFrame) -> DataFrame:
     """Documents that policy v1 keeps, with all their columns."""
-    m = measure(F.col("text"))
+    m = free_name(docs, "_m")
     bad = " OR ".join(f"({RULES[r]})" for r in V1.rejects)
     for name in MEASURES:
-        bad = bad.replace(name, f"_m.{name}")
-    return docs.withColumn("_m", m).where(~F.expr(bad)).drop("_m")
+        bad = bad.replace(name, f"{m}.{name}")
+    return docs.withColumn(m, measure(F.col("text"))).where(~F.expr(bad)).drop(m)
 
 
 ORACLE = r"""
