@@ -392,7 +392,7 @@ c AS (
             chr(3), '**'))), lambda x: x <> '') AS blocks FROM b),
 d AS (SELECT page_id, url, title, array_to_string(blocks, chr(10) || chr(10)) AS markdown FROM c)
 SELECT page_id, url, title, markdown, left(sha256(markdown), 16) AS content_hash FROM d
-""".replace("\\\\", "\\")
+"""
 
 
 @register("page_markdown", _markdown_sql())
