@@ -70,6 +70,12 @@ TEXT_TAGS = frozenset(
 
 #: Node rows handed over at once; bounds the worker's memory.
 ROWS_PER_BATCH = 20_000
+#: ... and so do entries of their ancestor lists.
+ENTRIES_PER_BATCH = 200_000
+
+#: Open elements at most, as in browsers: elements beyond become siblings, so
+#: ancestor lists stay bounded whatever a page leaves open. No text is lost.
+MAX_DEPTH = 512
 
 #: Key in ``attrs`` of an ordered list's items: no attribute can have it.
 ITEM_NUMBER = "#number"
@@ -93,15 +99,14 @@ class _TreeBuilder(HTMLParser):
         self.stack: list[int] = []          # open element row indexes
         self.texts: dict[int, list[str]] = {}
 
-    # row: [node_id, parent_id, end_id, depth, tag, sig, path, attrs, data, ancestor ids]
+    # row: [node_id, parent_id, end_id, depth, tag, sig, attrs, data]
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]):
         a = {k: (v if v is not None else "") for k, v in attrs}
         sig = tag + ("#" + a["id"] if a.get("id") else "") + "".join(
             "." + c for c in (a.get("class") or "").split())
         parent = self.stack[-1] if self.stack else -1
-        path = [self.rows[i][5] for i in self.stack]
         nid = len(self.rows)
-        self.rows.append([nid, parent, nid, len(self.stack), tag, sig, path, a, None, list(self.stack)])
+        self.rows.append([nid, parent, nid, len(self.stack), tag, sig, a, None])
         return nid
 
     def _close_to(self, idx_in_stack: int):
@@ -130,14 +135,14 @@ class _TreeBuilder(HTMLParser):
                 self._close_to(j)
         nid = self._open(tag, attrs)
         if tag == "ol":
-            start = self.rows[nid][7].get("start", "")
+            start = self.rows[nid][6].get("start", "")
             self.items[nid] = int(start) if start.isdigit() else 1
         elif tag == "li":
             j = self._find_open({"ul", "ol"})
             if j >= 0 and self.stack[j] in self.items:
-                self.rows[nid][7][ITEM_NUMBER] = str(self.items[self.stack[j]])
+                self.rows[nid][6][ITEM_NUMBER] = str(self.items[self.stack[j]])
                 self.items[self.stack[j]] += 1
-        if tag not in VOID_TAGS:
+        if tag not in VOID_TAGS and len(self.stack) < MAX_DEPTH:
             self.stack.append(nid)
 
     def handle_startendtag(self, tag, attrs):
@@ -153,8 +158,7 @@ class _TreeBuilder(HTMLParser):
             return
         parent = self.stack[-1] if self.stack else -1
         nid = len(self.rows)
-        path = [self.rows[i][5] for i in self.stack]
-        self.rows.append([nid, parent, nid, len(self.stack), "#text", "#text", path, {}, data, list(self.stack)])
+        self.rows.append([nid, parent, nid, len(self.stack), "#text", "#text", {}, data])
         for i in self.stack:
             if self.rows[i][4] in TEXT_TAGS:
                 self.texts.setdefault(i, []).append(data)
@@ -172,27 +176,35 @@ def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
     except Exception as e:  # a page is never lost, and never lost from sight
         b._close_to(0)
         n = len(b.rows)
-        b.rows.append([n, -1, n, 0, "#error", "#error", [], {}, f"{type(e).__name__}: {e}", []])
+        b.rows.append([n, -1, n, 0, "#error", "#error", {}, f"{type(e).__name__}: {e}"])
     return b.rows, b.texts
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "anc", "ptags", "tbl",
             "attrs", "data", "text"]
+    out: list[list] = []
+    entries = 0
     for pdf in batches:
-        out: list[list] = []
         for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
             rows, texts = parse_html(html)
+            around: list[int] = []                # the ancestors of the row at hand
             for r in rows:
+                while around and around[-1] != r[1]:
+                    around.pop()
                 t = texts.get(r[0])
                 text = "".join(t) if t is not None else ("" if r[4] in TEXT_TAGS else None)
-                tbl = next((i for i in reversed(r[9]) if rows[i][4] == "table"
-                            and (rows[i][7].get("role") or "").lower() != "presentation"), None)
-                out.append([pid, r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[9], [rows[i][4] for i in r[9]],
-                            tbl, r[7], r[8], text])
-                if len(out) >= ROWS_PER_BATCH:
+                tbl = next((i for i in reversed(around) if rows[i][4] == "table"
+                            and (rows[i][6].get("role") or "").lower() != "presentation"), None)
+                out.append([pid, *r[:6], [rows[i][5] for i in around], list(around), [rows[i][4] for i in around],
+                            tbl, r[6], r[7], text])
+                entries += len(around)
+                if not r[4].startswith("#"):
+                    around.append(r[0])
+                if len(out) >= ROWS_PER_BATCH or entries >= ENTRIES_PER_BATCH:
                     yield pd.DataFrame(out, columns=cols)
-                    out = []
+                    out, entries = [], 0
+    if out:
         yield pd.DataFrame(out, columns=cols)
 
 

@@ -675,16 +675,11 @@ FROM pages
 """)
 def page_selector_counts(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
-    nodes = N.parse_once(N.html_nodes(pages))
-
-    def count(selector: str, name: str) -> DataFrame:
-        hits = nodes.filter(N.selector_predicate(selector))
-        return hits.groupBy("page_id").agg(F.count("*").alias(name))
-    out = pages.select("page_id")
-    for sel, name in (("nav a[href]", "nav_links"), ("article p", "article_paragraphs"), ("h1", "headings")):
-        out = out.join(count(sel, name), "page_id", "left")
-    return out.select("page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                                   for c in ("nav_links", "article_paragraphs", "headings")])
+    wanted = {"nav_links": "nav a[href]", "article_paragraphs": "article p", "headings": "h1"}
+    counts = N.html_nodes(pages).groupBy("page_id").agg(
+        *[F.count_if(N.selector_predicate(q)).alias(name) for name, q in wanted.items()])
+    return pages.select("page_id").join(counts, "page_id", "left").select(
+        "page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in wanted])
 
 
 from . import catalog_more  # noqa: E402,F401  (registers its queries)

@@ -178,7 +178,12 @@ def _brute_verdict(html):
         if tag == "body" and body is None:
             body = t
     if body is None:
-        body = "".join(r[8] for r in rows if r[4] == "#text" and not ({"head", "body"} & {rows[i][4] for i in r[9]}))
+        def above(r):
+            while r[1] >= 0:
+                r = rows[r[1]]
+                yield r[4]
+
+        body = "".join(r[7] for r in rows if r[4] == "#text" and not {"head", "body"} & set(above(r)))
     v = " ".join(vis)
     vb = len(v.encode())
     low = html.lower()
@@ -205,3 +210,10 @@ def test_verdicts_equal_brute_force_on_driver_pages(spark):
     got = {r.page_id: r.js_detection for r in SH.js_shell(N.html_nodes(pages), pages).collect()}
     want = {r.page_id: _brute_verdict(r.html) for r in pages.collect()}
     assert got == want
+
+
+def test_a_page_of_unclosed_elements_stays_linear(spark):
+    html = "<html><body>" + "<div><i>" * 50_000 + "deep text"
+    nodes = N.html_nodes(_pages(spark, [(1, "u", html)]))
+    r = nodes.selectExpr("count(*) n", "max(size(anc)) d", "max(data) t").first()
+    assert (r.n, r.t) == (100_003, "deep text") and r.d <= N.MAX_DEPTH
