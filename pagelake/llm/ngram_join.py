@@ -13,13 +13,14 @@ head's shingles are ever shuffled and counted. So:
 2. head shingles that one document alone holds come first in every order and
    are dropped; each group keeps as many of the others, rare ones first, as
    its prefix has room for, and these make lists of groups;
-3. in a list in order of size, neighbours pass the size filter or cut the list
-   there. Groups so joined make a cluster: all links lie within clusters;
-4. a cluster expands to its classes, in order of size, in blocks of bounded
-   text. Block pairs that pass the size filter are verified as a whole, each in
-   one task: the sizes of all intersections are a product of its shingle
-   matrix. A task returns a spanning forest of the links it found, so rows grow
-   with the members and not with the pairs of near copies;
+3. the groups of a list fall into steps of size. Each group joins the head of
+   its step, and heads of steps that the size filter lets pair join each other.
+   Groups so joined make a cluster: all links lie within clusters;
+4. a cluster expands to its classes, dealt into blocks of bounded text, by steps
+   of size if it is large. Block pairs that pass the size filter are verified as
+   a whole, each in one task: the sizes of all intersections are a product of
+   its shingle matrix. A task returns a spanning forest of the links it found,
+   so rows grow with the members and not with the pairs of near copies;
 5. links become components.
 
 Defined results: without words or text the set is empty, and the document is
@@ -32,13 +33,14 @@ equal when size and two 64-bit sums of their hashes agree.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +52,9 @@ from pagelake.llm.components import components, forest
 #: its shingles: they bound a task's memory (a longer text is a block by itself).
 BLOCK_SHINGLES, CLASS_COST = 200_000, 200
 
+#: Steps of size for each factor e; a step is 5 %.
+STEPS = 20
+
 #: What names a set.
 SET = ("f1", "f2", "n_shingles")
 
@@ -137,13 +142,21 @@ def _lists(linked: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
     return kept
 
 
+def _step(column: str) -> Column:
+    return F.floor(F.log(F.col(column)) * STEPS).alias("step")
+
+
 def _clusters(lists: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
     """cluster, class, n_shingles of the clusters of two classes or more. Two
-    groups of a list whose sizes fit are joined by the groups between them."""
-    by_size = Window.partitionBy("s").orderBy("n_shingles", "group")
-    pairs = lists.select("group", "n_shingles", F.lag("group").over(by_size).alias("a"), F.lag("n_shingles").over(by_size).alias("n"))
-    edges = pairs.where(F.col("n").isNotNull() & (100 * F.col("n") >= sim.percent * F.col("n_shingles"))).select("a", F.col("group").alias("b"))
-    joined = components(edges.distinct())
+    groups of a list whose sizes fit are joined through the heads of their
+    steps."""
+    rows = lists.select("s", "group", _step("n_shingles"))
+    heads = rows.groupBy("s", "step").agg(F.min("group").alias("head"))
+    reach = math.floor(-math.log(sim.percent / 100) * STEPS) + 1
+    near = heads.select("s", F.col("step").alias("step2"), F.col("head").alias("b"))
+    edges = rows.join(heads, ["s", "step"]).select(F.col("group").alias("a"), F.col("head").alias("b")).unionByName(
+        heads.join(near, "s").where(F.col("step2").between(F.col("step") + 1, F.col("step") + reach)).select(F.col("head").alias("a"), "b"))
+    joined = components(edges)
     of = members.join(joined, F.col("group") == F.col("node"), "left").select(
         F.coalesce("component", "group").alias("cluster"), "class", "n_shingles")
     several = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cluster")
@@ -173,13 +186,21 @@ def _class_texts(docs: DataFrame, clusters: DataFrame, members: DataFrame) -> Da
 
 def _block_pairs(clusters: DataFrame, sim: Similarity) -> DataFrame:
     """cluster, lo, hi, block, class: each class once for each pair of blocks
-    (lo, hi) that its block is part of. Blocks follow each other in size."""
-    cost = F.col("n_shingles") + CLASS_COST
-    before = Window.partitionBy("cluster").orderBy("n_shingles", "class").rowsBetween(Window.unboundedPreceding, 0)
-    placed = clusters.withColumn("block", F.floor((F.sum(cost).over(before) - cost) / BLOCK_SHINGLES))
-    span = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    right = span.select("cluster", F.col("block").alias("hi"), F.col("least").alias("least2"))
-    pairs = span.join(right, "cluster").where(
+    (lo, hi) that its block is part of. A cluster that fits a block is one, a
+    larger one has its steps of size dealt into as many blocks as they take."""
+    cost = F.sum(F.col("n_shingles") + CLASS_COST)
+    large = clusters.groupBy("cluster").agg(cost.alias("cost")).select("cluster", (F.col("cost") > BLOCK_SHINGLES).alias("large"))
+    stepped = clusters.join(large, "cluster").select(
+        "cluster", "class", "n_shingles", F.when(F.col("large"), _step("n_shingles")).otherwise(F.lit(0)).alias("step"))
+    span = stepped.groupBy("cluster", "step").agg(
+        F.ceil(cost / BLOCK_SHINGLES).cast("int").alias("parts"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    number = lambda part: (F.col("step") * (1 << 40) + part).alias("block")
+    placed = stepped.join(span.select("cluster", "step", "parts"), ["cluster", "step"]).select(
+        "cluster", "class", number(F.pmod(F.xxhash64("class"), F.col("parts"))))
+    blocks = span.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "cluster", number(F.col("part")), "least", "most")
+    right = blocks.select("cluster", F.col("block").alias("hi"), F.col("least").alias("least2"))
+    pairs = blocks.join(right, "cluster").where(
         (F.col("block") <= F.col("hi")) & (100 * F.col("most") >= sim.percent * F.col("least2"))).select(
         "cluster", F.col("block").alias("lo"), "hi")
     ends = pairs.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
