@@ -42,7 +42,10 @@ from pagelake.llm.common import doc_texts, scratch
 from pagelake.llm.tokens import ID, default_path, encoder
 
 BLOCK = 2048
-SEGMENT = 2048
+SEGMENT = 1024
+
+#: Units a worker remembers beside the coder's own arrays (about 100 MB).
+CACHE_UNITS = 400_000
 
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sQIIII")
@@ -141,14 +144,14 @@ class _Writer:
         low, size = self.low[:k], self.size[:k]
         while len(out := _settled(low, size)):
             top = low[out]
-            self.lanes.append(out)
+            self.lanes.append(out.astype(np.int32))
             self.words.append((top >> (_STATE - _WORD)).astype(ID))
             low[out] = top << _WORD & _MASK
             size[out] <<= _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all blocks, block by block; number of words of each)."""
-        every = np.arange(len(self.low))
+        every = np.arange(len(self.low), dtype=np.int32)
         for shift in (_STATE - 16, _STATE - 32, _STATE - 48):
             self.lanes.append(every)
             self.words.append((self.low >> shift & 0xFFFF).astype(ID))
@@ -210,17 +213,17 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     starts = np.cumsum(share) - share
     place = np.zeros(_SLOTS, np.int64)
     place[distinct] = np.arange(len(distinct))
-    grid = np.zeros((block, n), np.int64)
+    grid = np.zeros((block, n), ID)
     lengths = np.full(n, block)
     if n:
         lengths[-1] = len(ids) - block * (n - 1)
-        whole = np.zeros(n * block, np.int64)
+        whole = np.zeros(n * block, ID)
         whole[:len(ids)] = ids
         grid = np.ascontiguousarray(whole.reshape(n, block).T)
     model, out = _Model(n), _Writer(n)
     for t in range(lengths.max(initial=0)):
         k = n - (t >= lengths[-1])
-        x = grid[t, :k]
+        x = grid[t, :k].astype(np.int64)
         id2, id1, a, b, total = model.predict(k)
         kind = np.where(x == id2, 0, np.where(x == id1, 1, 2))
         ends = np.stack([np.zeros_like(a), a, b, total])
@@ -306,7 +309,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     end = np.array([end_id], ID).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, run, before = encoder(tokenizer, "byte"), TaskContext.get().partitionId(), 0
+        enc, run, before = encoder(tokenizer, "byte", CACHE_UNITS), TaskContext.get().partitionId(), 0
         ids: list[pa.Array] = []
         parts: list[bytes] = []
         size = 0

@@ -92,14 +92,14 @@ def _plain_letters(tok, lower: bool) -> str:
 
 
 class _Known(dict):
-    """Remembers up to CACHE_WORDS values, then starts anew."""
+    """Remembers up to ``room`` values, then starts anew."""
 
-    def __init__(self, value: Callable[[str], bytes]):
+    def __init__(self, value: Callable[[str], bytes], room: int):
         super().__init__()
-        self.value = value
+        self.value, self.room = value, room
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.room:
             self.clear()
         self[key] = out = self.value(key)
         return out
@@ -110,7 +110,7 @@ class UnitEncoder:
     plain letters, digits and ASCII signs are split here by the file's own
     pattern and go to its merges part by part; all others to the library."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, room: int | None = None):
         self.tok, self.units, self.lower = loaded(path), UNITS[kind], kind == "word"
         safe = _plain_letters(self.tok, self.lower)
         self.odd = re.compile(f"[^ !-;=-~{safe}]").search
@@ -121,7 +121,8 @@ class UnitEncoder:
         else:
             pattern = f"{marks} ?[A-Za-z{safe}]+| ?[0-9]+| ?[^A-Za-z0-9 {safe}]+| +"
         self.split = re.compile(pattern).findall
-        self.known, self.parts = _Known(self.unit), _Known(self._part)
+        room = room or CACHE_WORDS
+        self.known, self.parts = _Known(self.unit, room), _Known(self._part, room)
 
     def _part(self, part: str) -> bytes:
         if part.isascii():
@@ -152,8 +153,8 @@ class UnitEncoder:
 _encoders: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> UnitEncoder:
+def encoder(path: str, kind: str, room: int | None = None) -> UnitEncoder:
     """One per worker process, kept between its tasks."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = UnitEncoder(path, kind)
+        _encoders[path, kind] = UnitEncoder(path, kind, room)
     return _encoders[path, kind]
