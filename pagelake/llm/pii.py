@@ -2,7 +2,8 @@
 words adjust the score.
 
 A kind proposes spans with a linear-time scan (leftmost, non-overlapping
-within the kind); a failed check drops the proposal without a retry. Each span
+within the kind); a failed check drops the proposal without a retry, but for
+``iban``, whose ends and later starts are tried as well. Each span
 has a score: a base for the kind, plus a step when a context word of the kind
 stands within CONTEXT code points. Kinds with a checksum or an unmistakable
 shape pass alone; a weak shape (``ssn``) needs its context word to reach
@@ -52,7 +53,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 #: a shorter run is a match of the contract's pattern that its check drops.
 _CARD = re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+#: The longest run an IBAN can be part of: what follows one may look like more
+#: of it, so the run's ends at group edges are tried (``_ibans``).
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+))")
+_EDGE = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+    "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
@@ -83,6 +93,26 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start, the end at a group edge that the country's length asks
+    for; else the longest that passes, for a listed country only the whole run.
+    A start that fails does not keep a later one from being tried."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        start, stop = m.start(), m.end(1)
+        if start < done:
+            continue
+        ends = [e.start() for e in _EDGE.finditer(text, m.end(), min(stop + 1, len(text))) if e.start() <= stop]
+        sizes = {e: e - start - text.count(" ", start, e) for e in ends}
+        fixed = IBAN_LENGTHS.get(text[start:start + 2])
+        tried = [e for e in ends if sizes[e] == fixed]
+        tried += [e for e in reversed(ends) if sizes[e] >= 15 and (fixed is None or e == stop)]
+        found = next((e for e in tried if mod97(text[start:e])), None)
+        if found:
+            done = found
+            yield start, found
+
+
 def _octet(part: str) -> bool:
     short = part.lstrip("0")
     return len(short) < 4 and int(short or "0") <= 255
@@ -104,9 +134,8 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", *m.span()

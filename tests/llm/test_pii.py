@@ -68,6 +68,19 @@ def test_checksums_and_context():
     assert near > alone
 
 
+def test_ibans_before_capitals_digits_and_line_ends():
+    plain, grouped, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for iban in (plain, grouped, other, "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for tail in (" Please pay", " BIC COBADEFF", " 2024", " A", "\nNext", "\n", ".", "", " and", " BIC COBADEFF XXX 12 OF THE BANK IN FULL"):
+            text = f"to {iban}{tail}"
+            assert [x[:3] for x in pii.spans(text)] == [("iban", 3, 3 + len(iban))], text
+            assert pii.redact_text(text) == f"to [IBAN]{tail}"
+    two = f"{plain} {other} AB12 CD34 EF56 GH78 {plain} X"
+    assert [two[s:e] for k, s, e, _ in pii.spans(two) if k == "iban"] == [plain, other, plain]
+    for text in ("DE89370400440532013001 Please", "xDE89370400440532013000", "DE89370400440532013000x", "DE8937040044053201300"):
+        assert not [x for x in pii.spans(text) if x[0] == "iban"]
+
+
 def test_redaction_masks_and_leaves_clean_texts(spark):
     docs = sf_docs(spark).withColumn("spans", F.lit(1))
     out = pii.redact(docs)
