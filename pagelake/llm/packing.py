@@ -10,9 +10,13 @@ pieces of the group ask of it on average; one that cannot bind before the
 tokens do weighs nothing.
 
 Full pieces are sequences by themselves. The others are dealt at random into
-groups of about GROUP_PIECES, packed apart: a task's memory is bounded by that
-parameter, and a group wastes at most part of its last bins. Groups are dealt
-over a written table of pieces, so a lost executor changes nothing.
+groups of about GROUP_SEQUENCES sequences' worth of tokens and at most about
+GROUP_PIECES pieces, packed apart: a task's memory is bounded by these. The
+sequences a group leaves under FULL of every capacity that binds are opened
+again, and their pieces of all groups are dealt into fewer groups, and so on
+until one group is left, or until most sequences stay open because their pieces
+fit no better in any group. Groups are dealt over written tables of numbered
+pieces, so a lost executor changes nothing.
 
 Defined results: a null or empty text is one piece that holds the end id
 alone; repeated rows and null ids are packed row by row; an empty table gives
@@ -35,7 +39,11 @@ from pyspark.sql import types as T
 from pagelake.llm.common import doc_texts, written
 from pagelake.llm.tokens import ID, default_path, encoder
 
-GROUP_PIECES = 4096
+GROUP_SEQUENCES, GROUP_PIECES = 1024, 1 << 16
+
+#: A sequence filled to this share is not opened again; another round is worth
+#: its shuffle while it takes at most SHRINK as many groups.
+FULL, SHRINK = 0.98, 0.8
 
 
 @dataclass(frozen=True)
@@ -121,27 +129,50 @@ def best_fit(lengths: np.ndarray, limits: Limits = Limits(), rule: str = "norm")
     return place, offset
 
 
-def pack(cut: DataFrame, limits: Limits = Limits(), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def _open(lengths: np.ndarray, place: np.ndarray, limits: Limits) -> np.ndarray:
+    """Of each piece, whether its bin is under FULL of all that can bind."""
+    parts = np.stack([lengths, np.ones(len(lengths)), lengths.astype(np.float64)**2], 1) / limits.vector()
+    filled = np.zeros((int(place.max(initial=-1)) + 1, 3))
+    np.add.at(filled, place, parts)
+    return (filled[:, limits.binding()].max(1) < FULL)[place]
+
+
+def pack(cut: DataFrame, limits: Limits = Limits(), rule: str = "norm", group_pieces: int = GROUP_PIECES,
+         group_sequences: int = GROUP_SEQUENCES) -> DataFrame:
     """Rows of ``pieces`` with ``sequence_id`` and ``offset``."""
-    table = written(cut)
-    number = F.monotonically_increasing_id()
+    table = written(cut.withColumn("_n", F.monotonically_increasing_id()))
     full = F.col("length") == limits.tokens
-    n = table.where(~full).count()
-    groups = max(1, -(-n // group_pieces))
-    numbered = table.withColumn("_n", number)
-    alone = numbered.where(full).select(
-        *table.columns, (-1 - F.col("_n")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    out = table.where(full).select(
+        *cut.columns, (-1 - F.col("_n")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()),
-                           T.StructField("offset", T.LongType())])
-
-    def fit(key: tuple, rows: pa.Table) -> pa.Table:
-        place, offset = best_fit(rows.column("length").to_numpy(), limits, rule)
-        return (rows.drop_columns(["_g"]).append_column("sequence_id", pa.array((int(key[0].as_py()) << 32) + place, pa.int64()))
-                .append_column("offset", pa.array(offset, pa.int64())))
-
-    rest = (numbered.where(~full).withColumn("_g", F.pmod(F.xxhash64("_n"), F.lit(groups))).drop("_n")
-            .groupBy("_g").applyInArrow(fit, schema))
-    return alone.unionByName(rest)
+                           T.StructField("offset", T.LongType()), T.StructField("_open", T.BooleanType())])
+
+    def needed(rows: DataFrame) -> int:
+        n, tokens = rows.agg(F.count(F.lit(1)), F.sum("length")).first()
+        return max(-(-n // group_pieces), -(-(tokens or 0) // (group_sequences * limits.tokens)))
+
+    def fitted(rows: DataFrame, groups: int, base: int) -> DataFrame:
+        def fit(key: tuple, rows: pa.Table) -> pa.Table:
+            lengths = rows.column("length").to_numpy()
+            place, offset = best_fit(lengths, limits, rule)
+            return (rows.drop_columns(["_g"])
+                    .append_column("sequence_id", pa.array(((base + int(key[0].as_py())) << 32) + place, pa.int64()))
+                    .append_column("offset", pa.array(offset, pa.int64()))
+                    .append_column("_open", pa.array(_open(lengths, place, limits))))
+
+        dealt = rows.withColumn("_g", F.pmod(F.xxhash64("_n", F.lit(base)), F.lit(groups)))
+        return written(dealt.groupBy("_g").applyInArrow(fit, schema))
+
+    rest, base = table.where(~full), 0
+    groups = max(1, needed(rest))
+    while True:
+        placed = fitted(rest, groups, base)
+        fewer = needed(placed.where("_open")) if groups > 1 else 0
+        last = not 0 < fewer <= max(SHRINK * groups, 1)
+        out = out.unionByName((placed if last else placed.where("NOT _open")).select(*out.columns))
+        if last:
+            return out
+        rest, base, groups = placed.where("_open").select(*table.columns), base + groups, fewer
 
 
 def sequences(packed: DataFrame) -> DataFrame:

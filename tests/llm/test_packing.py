@@ -70,3 +70,24 @@ def test_empty_and_repeated_rows(spark):
     assert packing.op6(empty_docs(spark)).count() == 0
     docs = odd_docs(spark).union(odd_docs(spark)).withColumn("piece", F.lit(9)).withColumn("offset", F.lit(9))
     assert packing.op6(docs).select("doc_id", "piece").count() == 2 * packing.op6(odd_docs(spark)).count()
+
+
+def packed_lengths(spark, lengths, **kw):
+    cut = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)],
+                                "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    rows = packing.pack(cut, **kw).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == sorted(enumerate(map(int, lengths)))
+    return check_bins(*zip(*((r.length, r.sequence_id, r.offset) for r in rows)), kw.get("limits", packing.Limits()))
+
+
+def test_groups_leave_no_underfull_bins_behind(spark):
+    small = packing.Limits(64)
+    assert packed_lengths(spark, [1] * 6400, limits=small, group_pieces=100) <= 102
+    short = np.random.default_rng(1).integers(1, 20, 3000)
+    assert packed_lengths(spark, short, limits=small, group_pieces=60) <= 1.04 * short.sum() / 64 + 1
+    assert packed_lengths(spark, [33] * 300, limits=small, group_pieces=20) == 300
+    assert packed_lengths(spark, [1] * 300, limits=packing.Limits(64, 3), group_pieces=40) <= 102
+
+
+def test_groups_hold_many_sequences_by_default(spark):
+    assert packed_lengths(spark, [1] * 20_000) == 10
