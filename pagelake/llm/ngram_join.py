@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm import sketch
-from pagelake.llm.common import doc_texts, written
+from pagelake.llm.common import doc_texts, free_name, written
 from pagelake.llm.components import components, forest
 
 #: Shingles of the classes in one block, and what a class counts for besides
@@ -163,23 +163,31 @@ def _clusters(lists: DataFrame, members: DataFrame, sim: Similarity) -> DataFram
     return written(of.join(several, "cluster"))
 
 
-def _class_texts(docs: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """class and text of the classes in clusters. Documents that can't be one of
-    them are left out before the shuffle by a sketch of the wanted ids."""
-    wanted = written(clusters.select("class").join(members, "class").select(
-        "class", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
+def _maybe(wanted: DataFrame, column: str) -> Column:
+    """Whether a row's ``column`` may be among those of ``wanted``, by a sketch:
+    true for all that are, false for most others."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sketch.counted(b.column("h").to_numpy().view(np.uint64) for b in batches)
 
-    marks = np.packbits(sketch.total(wanted.select(F.xxhash64("doc_id").alias("h")).mapInArrow(hashed, sketch.SCHEMA)) > 0)
+    marks = np.packbits(sketch.total(wanted.select(F.xxhash64(column).alias("h")).mapInArrow(hashed, sketch.SCHEMA)) > 0)
 
     @F.arrow_udf("boolean")
     def maybe(hashes: pa.Array) -> pa.Array:
         at = sketch.cell(hashes.to_numpy(zero_copy_only=False).view(np.uint64))
         return pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    some = doc_texts(docs).where("doc_id IS NOT NULL").where(maybe(F.xxhash64("doc_id")))
+    return maybe(F.xxhash64(column))
+
+
+def _class_texts(docs: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """class and text of the classes in clusters. Documents that can't be one of
+    them are left out before the shuffle by a sketch of the wanted ids."""
+    wanted = written(clusters.select("class").join(members, "class").select(
+        "class", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
+
+    maybe = _maybe(wanted, "doc_id")
+    some = doc_texts(docs).where("doc_id IS NOT NULL").where(maybe)
     found = some.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("class", "text")
     return written(found.dropDuplicates(["class"]))
 
@@ -293,10 +301,19 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
 
 
 def first_of_each(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """The documents, all columns kept, without those that link to one of a
-    smaller id. Of rows that repeat an id, all stay or go."""
-    later = ngram_components(docs, sim).where("component_id < doc_id").select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(later, docs["doc_id"] == later["later_id"], "left_anti")
+    """The documents, all columns kept, with one row of each component: the one
+    of the smallest id, and of rows that share it the first as they are numbered
+    here. Rows link by their texts whatever their ids; a row with a null id gives
+    way to any that has one."""
+    row = free_name(docs, "_row")
+    table = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = ngram_components(table.select(F.col(row).alias("doc_id"), "text"), sim).select(F.col("doc_id").alias("_key"), "component_id")
+    ids = table.select(F.col(row).alias("_key"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    placed = written(ids.join(found, "_key"))
+    first = placed.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "_key")).alias("first")).select("first._key")
+    later = written(placed.select("_key").join(first, "_key", "left_anti").withColumnRenamed("_key", row))
+    maybe = _maybe(later, row)  # the texts of most rows that stay are not shuffled
+    return table.where(~maybe).unionByName(table.where(maybe).join(later, row, "left_anti")).drop(row)
 
 
 def op7(docs: DataFrame) -> DataFrame:
