@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import bpe, class_lm, ngram_join, packing, pii, quality_rules, sharding, token_counts, token_files, vector_dedup
+from pagelake.llm import (bpe, class_lm, fingerprints, ngram_join, packing, periodic_runs, pii, prefix_trie, quality_rules,
+                          sharding, token_counts, token_files, vector_dedup)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": _over_docs(class_lm.op8),
     "op9_token_files": _over_docs(token_files.op9),
     "op10_hilbert_shards": _over_docs(sharding.op10),
+    "op11_fingerprints": _over_docs(fingerprints.op11),
+    "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.op12(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")),
+    "op13_periodic_runs": _over_docs(periodic_runs.op13),
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
