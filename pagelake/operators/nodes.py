@@ -1,44 +1,43 @@
-"""HTML node table (J1) and the relational operators on it.
+"""HTML node table (J1) and the operators on it.
 
-The reference hands each page to per-row HTML libraries. Here a page is
-tokenized ONCE into rows — one per element and per text run — by a small
-``mapInPandas`` helper around the standard library's ``html.parser`` (the
-only Python step; no HTML library is installed). Everything after that
-(title, links, selectors, visible text, shell signals, markdown) is plain
-Spark: filters, window/aggregate over ``page_id`` and joins.
-
-Node table schema::
+A page is tokenized ONCE into rows — one per element and per text run — by a
+small ``mapInPandas`` helper around the standard library's ``html.parser``
+(no HTML library is installed). Node table schema::
 
     page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT,
     tag STRING            -- element name, or '#text'
-    sig STRING            -- 'tag#id.class1.class2' of this element
-    path ARRAY<STRING>    -- sigs of the ancestors, root first
-    anc ARRAY<INT>        -- node ids of the ancestors, root first
-    ptags ARRAY<STRING>   -- tag names of the ancestors, root first
-    tbl INT               -- nearest enclosing data table (not role=presentation)
+    ptag STRING           -- element name of the parent ('' at the top)
     attrs MAP<STRING,STRING>
     data STRING           -- the text of a '#text' node
-    text STRING           -- all descendant text, for TEXT_TAGS elements only
-
-``node_id`` is the document order; an element's subtree is the id range
-``(node_id, end_id]``. Pages are parsed where they are read (a page never
-spans tasks), so raw HTML is not shuffled. ``noscript`` content is raw text,
-as for a parser with scripting on. A page that the tokenizer gives up on keeps
-the nodes found so far and gets a last node ``#error`` with the reason.
+    n_nodes INT           -- nodes of the page
+
+Nodes are intervals: ``node_id`` is the document order, and what an element
+holds are the ids in ``(node_id, end_id]``. A row carries nothing that grows with
+its depth, and the parser's work is linear however many elements a page leaves
+open. ``noscript`` content is raw text, as for a parser with scripting on. A page
+that the tokenizer gives up on keeps the nodes found so far and gets a last node
+``#error`` with the reason.
+
+Pages are parsed where they are read, a page never spans tasks, and its rows come
+in order. ``page_fold`` uses that: it hands each page's nodes to a function in
+the same stage, without a shuffle. What needs a page's structure (selectors,
+shell signals, main content, markdown, tables) is a fold, and gives rows or one row
+per page; the rest is Spark on those.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
-from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import go_trim
+from .selectors import Automaton
 
 # --- fixed values -------------------------------------------------------------
 VOID_TAGS = frozenset(
@@ -60,35 +59,25 @@ IMPLIED_CLOSE = {
     "tbody": ({"tbody", "tfoot", "thead", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "tfoot", "thead", "tr", "td", "th"}, {"table"}),
 }
-# elements whose full descendant text the shell signals and titles read (the
-# block kinds of the visible-text rule, plus title, body, script, noscript, a);
-# any other element's text is assembled on demand by ``element_text``
-TEXT_TAGS = frozenset(
-    ("title body script noscript p article main section h1 h2 h3 h4 h5 h6 li td th dd dt "
-     "blockquote a").split())
 # -------------------------------------------------------------------------------
 
 #: Node rows handed over at once; bounds the worker's memory.
 ROWS_PER_BATCH = 20_000
-#: ... and so do entries of their ancestor lists.
-ENTRIES_PER_BATCH = 200_000
-
-#: Open elements at most, as in browsers: elements beyond become siblings, so
-#: ancestor lists stay bounded whatever a page leaves open. No text is lost.
-MAX_DEPTH = 512
 
 #: Key in ``attrs`` of an ordered list's items: no attribute can have it.
 ITEM_NUMBER = "#number"
 
 NODE_SCHEMA = (
-    "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, sig STRING, "
-    "path ARRAY<STRING>, anc ARRAY<INT>, ptags ARRAY<STRING>, tbl INT, attrs MAP<STRING,STRING>, data STRING, "
-    "text STRING"
+    "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, ptag STRING, "
+    "attrs MAP<STRING,STRING>, data STRING, n_nodes INT"
 )
+_COLUMNS = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "ptag", "attrs", "data", "n_nodes"]
 
 
 class _TreeBuilder(HTMLParser):
-    """Stack-based tree builder with the common HTML5 implied-end rules."""
+    """Stack-based tree builder with the common HTML5 implied-end rules. The
+    places of open elements are kept by name, so that finding one never walks
+    the stack."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style", "noscript")
 
@@ -97,78 +86,65 @@ class _TreeBuilder(HTMLParser):
         self.items: dict[int, int] = {}     # next item number of open <ol>
         self.rows: list[list] = []
         self.stack: list[int] = []          # open element row indexes
-        self.texts: dict[int, list[str]] = {}
-
-    # row: [node_id, parent_id, end_id, depth, tag, sig, attrs, data]
-    def _open(self, tag: str, attrs: list[tuple[str, str | None]]):
-        a = {k: (v if v is not None else "") for k, v in attrs}
-        sig = tag + ("#" + a["id"] if a.get("id") else "") + "".join(
-            "." + c for c in (a.get("class") or "").split())
-        parent = self.stack[-1] if self.stack else -1
+        self.open: dict[str, list[int]] = {}    # tag → its places in the stack
+
+    # row: [node_id, parent_id, end_id, depth, tag, attrs, data]
+    def _add(self, tag: str, attrs: dict, data: str | None) -> int:
         nid = len(self.rows)
-        self.rows.append([nid, parent, nid, len(self.stack), tag, sig, a, None])
+        self.rows.append([nid, self.stack[-1] if self.stack else -1, nid, len(self.stack), tag, attrs, data])
         return nid
 
-    def _close_to(self, idx_in_stack: int):
-        while len(self.stack) > idx_in_stack:
+    def _close_to(self, place: int):
+        while len(self.stack) > place:
             nid = self.stack.pop()
             self.rows[nid][2] = len(self.rows) - 1
+            self.open[self.rows[nid][4]].pop()
+
+    def _place(self, names: Iterable[str]) -> int:
+        return max((p[-1] for t in names if (p := self.open.get(t))), default=-1)
 
-    def _find_open(self, names, boundary=frozenset()) -> int:
-        for j in range(len(self.stack) - 1, -1, -1):
-            t = self.rows[self.stack[j]][4]
-            if t in names:
-                return j
-            if t in boundary:
-                return -1
-        return -1
+    def _close_open(self, names: Iterable[str], boundary: Iterable[str] = ()):
+        """Close the nearest open element of ``names`` that no boundary hides."""
+        place = self._place(names)
+        if place >= 0 and place > self._place(boundary):
+            self._close_to(place)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            j = self._find_open({"p"}, {"button", "table", "td", "th", "li"})
-            if j >= 0:
-                self._close_to(j)
+            self._close_open(("p",), ("button", "table", "td", "th", "li"))
         if tag in IMPLIED_CLOSE:
-            names, boundary = IMPLIED_CLOSE[tag]
-            j = self._find_open(names, boundary)
-            if j >= 0:
-                self._close_to(j)
-        nid = self._open(tag, attrs)
+            self._close_open(*IMPLIED_CLOSE[tag])
+        a = {k: (v if v is not None else "") for k, v in reversed(attrs)}
+        nid = self._add(tag, a, None)
         if tag == "ol":
-            start = self.rows[nid][6].get("start", "")
-            self.items[nid] = int(start) if start.isdigit() else 1
+            start = a.get("start", "")
+            self.items[nid] = int(start) if start.isdecimal() and len(start) < 10 else 1
         elif tag == "li":
-            j = self._find_open({"ul", "ol"})
-            if j >= 0 and self.stack[j] in self.items:
-                self.rows[nid][6][ITEM_NUMBER] = str(self.items[self.stack[j]])
-                self.items[self.stack[j]] += 1
-        if tag not in VOID_TAGS and len(self.stack) < MAX_DEPTH:
+            place = self._place(("ul", "ol"))
+            if place >= 0 and (list_id := self.stack[place]) in self.items:
+                a[ITEM_NUMBER] = str(self.items[list_id])
+                self.items[list_id] += 1
+        if tag not in VOID_TAGS:
+            self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(nid)
 
     def handle_startendtag(self, tag, attrs):
-        self._open(tag, attrs)
+        self._add(tag, {k: (v if v is not None else "") for k, v in reversed(attrs)}, None)
 
     def handle_endtag(self, tag):
-        j = self._find_open({tag})
-        if j >= 0:
-            self._close_to(j)
+        self._close_open((tag,))
 
     def handle_data(self, data):
-        if not data:
-            return
-        parent = self.stack[-1] if self.stack else -1
-        nid = len(self.rows)
-        self.rows.append([nid, parent, nid, len(self.stack), "#text", "#text", {}, data])
-        for i in self.stack:
-            if self.rows[i][4] in TEXT_TAGS:
-                self.texts.setdefault(i, []).append(data)
+        if data:
+            self._add("#text", {}, data)
 
     def finish(self):
         self.close()
         self._close_to(0)
 
 
-def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
+def parse_html(html: str | None) -> list[list]:
+    """Rows [node_id, parent_id, end_id, depth, tag, attrs, data] of a page."""
     b = _TreeBuilder()
     try:
         b.feed(html or "")
@@ -176,64 +152,150 @@ def parse_html(html: str | None) -> tuple[list[list], dict[int, list[str]]]:
     except Exception as e:  # a page is never lost, and never lost from sight
         b._close_to(0)
         n = len(b.rows)
-        b.rows.append([n, -1, n, 0, "#error", "#error", {}, f"{type(e).__name__}: {e}"])
-    return b.rows, b.texts
-
-
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "sig", "path", "anc", "ptags", "tbl",
-            "attrs", "data", "text"]
-    out: list[list] = []
-    entries = 0
-    for pdf in batches:
-        for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-            rows, texts = parse_html(html)
-            around: list[int] = []                # the ancestors of the row at hand
-            for r in rows:
-                while around and around[-1] != r[1]:
-                    around.pop()
-                t = texts.get(r[0])
-                text = "".join(t) if t is not None else ("" if r[4] in TEXT_TAGS else None)
-                tbl = next((i for i in reversed(around) if rows[i][4] == "table"
-                            and (rows[i][6].get("role") or "").lower() != "presentation"), None)
-                out.append([pid, *r[:6], [rows[i][5] for i in around], list(around), [rows[i][4] for i in around],
-                            tbl, r[6], r[7], text])
-                entries += len(around)
-                if not r[4].startswith("#"):
-                    around.append(r[0])
-                if len(out) >= ROWS_PER_BATCH or entries >= ENTRIES_PER_BATCH:
-                    yield pd.DataFrame(out, columns=cols)
-                    out, entries = [], 0
-    if out:
-        yield pd.DataFrame(out, columns=cols)
+        b.rows.append([n, -1, n, 0, "#error", {}, f"{type(e).__name__}: {e}"])
+    return b.rows
+
+
+def _parse_batches(keep: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for pdf in batches:
+            for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
+                rows = parse_html(html)
+                n = len(rows)
+                for nid, parent, end, depth, tag, attrs, data in rows:
+                    ptag = rows[parent][4] if parent >= 0 else ""
+                    if keep is None or tag in keep or (tag == "#text" and ptag in keep):
+                        out.append((pid, nid, parent, end, depth, tag, ptag, attrs, data, n))
+                        if len(out) >= ROWS_PER_BATCH:
+                            yield pd.DataFrame(out, columns=_COLUMNS)
+                            out = []
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return parse
 
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """One row per element / text run of every page, parsed where the
     pages are read. ``num_partitions`` spreads a table of too few files over
-    more tasks first, at the price of shuffling the HTML."""
+    more tasks first, at the price of shuffling the HTML. With ``keep`` only
+    elements of these names, and the text runs directly in them, leave the
+    parser (for callers that need no more; such a table can't be folded)."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     if num_partitions:
         src = src.repartition(num_partitions)
-    return src.mapInPandas(_parse_batches, NODE_SCHEMA)
+    return src.mapInPandas(_parse_batches(None if keep is None else frozenset(keep)), NODE_SCHEMA)
 
 
 def parse_once(nodes: DataFrame) -> DataFrame:
-    """Keep a node table that several operators read (title, signals, main
-    content, markdown) so the Python parse runs once per page: persisted in
-    executor memory spilling to disk; a lost block is recomputed from
-    lineage. For tables reused across jobs, write it to Parquet instead."""
+    """Keep a node table that several operators read so that the Python parse
+    runs once per page: persisted in executor memory spilling to disk; a lost
+    block is recomputed from lineage. The caller releases it. For tables reused
+    across jobs, write it to Parquet instead and read it ``in_page_order``."""
     from pyspark import StorageLevel
     return nodes.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+class Page:
+    """A page's nodes as columns; a node is its index."""
+
+    def __init__(self, page_id: int, parent: list[int], end: list[int], tag: list[str], attrs: list, data: list):
+        self.page_id, self.parent, self.end, self.tag, self.data = page_id, parent, end, tag, data
+        self.attrs = [dict(a) if a else {} for a in attrs]
+        self._text: tuple[str, list[int]] | None = None
+        self._places: dict[bool, tuple[list[int], list[int]]] = {}
+
+    def stream(self) -> tuple[str, list[int]]:
+        """All text, and where each node's begins (and at last the end)."""
+        if self._text is None:
+            at, starts, runs = 0, [], []
+            for d in self.data:
+                starts.append(at)
+                if d:
+                    runs.append(d)
+                    at += len(d)
+            starts.append(at)
+            self._text = "".join(runs), starts
+        return self._text
+
+    def text(self, i: int) -> str:
+        """Text of everything in node ``i``."""
+        whole, starts = self.stream()
+        return whole[starts[i]:starts[self.end[i] + 1]]
+
+    def places(self, of_type: bool) -> tuple[list[int], list[int]]:
+        """Place of each element among its siblings (of its name), from 1, and
+        how many there are."""
+        if of_type not in self._places:
+            n = len(self.tag)
+            seen: dict = {}
+            place, key = [0] * n, [None] * n
+            for i, t in enumerate(self.tag):
+                if t[0] != "#":
+                    key[i] = (self.parent[i], t) if of_type else self.parent[i]
+                    place[i] = seen[key[i]] = seen.get(key[i], 0) + 1
+            self._places[of_type] = place, [seen.get(k, 0) for k in key]
+        return self._places[of_type]
+
+
+def page_of(rows: list[list], page_id: int = 0) -> Page:
+    """A Page of ``parse_html``'s rows."""
+    _, parent, end, _, tag, attrs, data = zip(*rows) if rows else ([],) * 7
+    return Page(page_id, list(parent), list(end), list(tag), list(attrs), list(data))
+
+
+_FOLDED = ["page_id", "node_id", "parent_id", "end_id", "tag", "attrs", "data", "n_nodes"]
+
+
+def page_fold(nodes: DataFrame, fold: Callable[[Page], Iterable[tuple]], schema: str) -> DataFrame:
+    """``fold`` on every page's nodes; its rows follow ``page_id`` in ``schema``
+    (DDL, page_id first). ``nodes`` has whole pages in order, as ``html_nodes``
+    gives them; other tables go through ``in_page_order`` first. A page that
+    is not whole raises."""
+    spark_schema = nodes.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+    out_schema = to_arrow_schema(spark_schema)
+    names = out_schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in _FOLDED]
+        for b in batches:
+            for h, c in zip(held, _FOLDED):
+                h.extend(b.column(c).to_pylist())
+            at, out = 0, []
+            ids, places, sizes = held[0], held[1], held[7]
+            while at < len(ids) and at + sizes[at] <= len(ids):
+                z = at + sizes[at]
+                if places[at] != 0 or places[z - 1] != z - at - 1 or ids[at] != ids[z - 1]:
+                    raise ValueError("a page's nodes are not together and in order: use in_page_order(nodes)")
+                page = Page(ids[at], *(h[at:z] for h in held[2:7]))
+                out += [(page.page_id, *row) for row in fold(page)]
+                at = z
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), out_schema.types)], names=names)
+            held = [h[at:] for h in held]
+        if held[0]:
+            raise ValueError("a page's nodes are not together and in order: use in_page_order(nodes)")
+
+    return nodes.select(*_FOLDED).mapInArrow(run, spark_schema)
+
+
+def in_page_order(nodes: DataFrame) -> DataFrame:
+    """A stored or shuffled node table with each page's rows together and in
+    order again (one shuffle by page; ids of pages must be unique)."""
+    return nodes.repartition("page_id").sortWithinPartitions("page_id", "node_id")
+
+
 def page_title(nodes: DataFrame) -> DataFrame:
     """First ``<title>`` text, trimmed; pages without one are absent."""
-    return (nodes.filter(F.col("tag") == "title")
-            .groupBy("page_id")
-            .agg(F.min_by("text", "node_id").alias("title"))
-            .select("page_id", go_trim(F.coalesce("title", F.lit(""))).alias("title")))
+    run = F.when(F.col("tag") == "#text", F.struct("node_id", "parent_id", "data"))
+    titles = (nodes.filter((F.col("tag") == "title") | ((F.col("tag") == "#text") & (F.col("ptag") == "title")))
+              .groupBy("page_id")
+              .agg(F.min(F.when(F.col("tag") == "title", F.col("node_id"))).alias("first"), F.array_sort(F.collect_list(run)).alias("runs")))
+    mine = F.transform(F.filter("runs", lambda r: r["parent_id"] == F.col("first")), lambda r: r["data"])
+    return titles.select("page_id", go_trim(F.array_join(mine, "")).alias("title"))
 
 
 def page_links(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -250,121 +312,65 @@ def page_links(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> Data
                            "href", "link")
 
 
-# --- J4: CSS selector subset ---------------------------------------------------
+# --- J4: CSS selectors -----------------------------------------------------------
 
-_SEP = "\u0001"
+def select_many(nodes: DataFrame, selectors: dict[str, str], with_text: bool = True) -> DataFrame:
+    """Matches of many selectors in one pass: ``page_id, selector`` (its
+    name), ``node_id, end_id, tag, attrs, text`` (null without ``with_text``).
+    Selectors know names, ``*``, ids, classes, attribute tests, the combinators
+    ``' ' > + ~``, lists, ``:not() :is()``, ``:first-child``, ``:last-child``,
+    ``:only-child``, ``:nth-child()``, ``:nth-last-child()``, the same ``-of-type``,
+    ``:empty`` and ``:root``, on any element of a chain. Anything else, and bad
+    selectors, raise ``ValueError`` (validation) at once."""
+    automaton = Automaton(selectors)
 
+    def fold(page: Page) -> Iterator[tuple]:
+        for i, found in automaton.matches(page):
+            text = page.text(i) if with_text else None
+            for k in found:
+                yield automaton.names[k], i, page.end[i], page.tag[i], list(page.attrs[i].items()), text
 
-def _compound_regex(comp: str) -> str:
-    """One compound selector (``tag#id.c1.c2``, ``*``, ``.c``, ``#i``) as an
-    unanchored regex matching exactly one node signature."""
-    m = re.fullmatch(r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[#.][A-Za-z0-9_\-]+)*)", comp)
-    if not m or comp == "":
-        raise ValueError(f"unsupported selector component: {comp!r}")
-    tag, rest = m.group(1), m.group(2)
-    ids = re.findall(r"#([A-Za-z0-9_\-]+)", rest)
-    classes = re.findall(r"\.([A-Za-z0-9_\-]+)", rest)
-    look = "".join(rf"(?=[^{_SEP}]*\.{re.escape(c)}(?:\.|{_SEP}|$))" for c in classes)
-    rx = re.escape(tag.lower()) if tag and tag != "*" else rf"[^#.{_SEP}]+"
-    rx += ("#" + re.escape(ids[0])) if ids else rf"(?:#[^.{_SEP}]*)?"
-    rx += rf"(?:\.[^.{_SEP}]+)*"
-    return look + rx
-
-
-#: [attr op value] operators → test of the attribute's value.
-_ATTR_TESTS = {
-    "=": lambda v, x: v == x,
-    "^=": lambda v, x: v.startswith(x) if x else F.lit(False),
-    "$=": lambda v, x: v.endswith(x) if x else F.lit(False),
-    "*=": lambda v, x: v.contains(x) if x else F.lit(False),
-    "~=": lambda v, x: F.array_contains(F.split(v, r"\s+"), x),
-    "|=": lambda v, x: (v == x) | v.startswith(x + "-"),
-}
-
-
-def _attr_pred(attr_expr: str) -> Column:
-    m = re.fullmatch(r"""\[\s*([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:([~^$*|]?=)\s*("[^"]*"|'[^']*'|[^"'\]]*?))?\s*\]""", attr_expr)
-    if not m:
-        raise ValueError(f"unsupported attribute selector: {attr_expr!r}")
-    v = F.col("attrs").getItem(m[1].lower())
-    if m[2] is None:
-        return v.isNotNull()
-    value = m[3][1:-1] if m[3][:1] in ("'", '"') else m[3]
-    return F.coalesce(_ATTR_TESTS[m[2]](v, value), F.lit(False))
-
-
-_ATTRS = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
-
-
-def selector_predicate(selector: str) -> Column:
-    """Compile a CSS subset (tag, ``#id``, ``.class``, attribute tests on the
-    element itself, descendant and child combinators, comma lists) to a Column
-    predicate over the node table. Anything else, and bad selectors, raise
-    ``ValueError`` (validation)."""
-    out, held = None, []
-
-    def keep(m: re.Match) -> str:
-        held.append(m[0])
-        return f"\u0002{len(held) - 1}\u0003"
-
-    for plain in re.sub(_ATTRS, keep, selector).split(","):
-        group = selector.strip()
-        parts = re.sub(r"\s*>\s*", " > ", plain).split()
-        if not parts or parts[0] == ">" or parts[-1] == ">" or re.search(r"[+~:\[\]]", plain) or "> >" in " ".join(parts):
-            raise ValueError(f"unsupported selector: {group!r}")
-        last, chain = parts[-1], parts[:-1]
-        if any("\u0002" in c for c in chain):
-            raise ValueError(f"attribute tests of ancestors are not supported: {group!r}")
-        comp = re.sub("\u0002\\d+\u0003", "", last) or "*"
-        p = F.col("sig").rlike("^" + _compound_regex(comp) + "$") & ~F.col("tag").startswith("#")
-        for k in re.findall("\u0002(\\d+)\u0003", last):
-            p = p & _attr_pred(held[int(k)])
-        # the earlier components, in order, as one regex over the joined path:
-        # a child combinator leaves no room between two of them
-        if chain:
-            rx, child = "", False
-            for c in chain:
-                if c == ">":
-                    child = True
-                    continue
-                rx += (_SEP if child else (rf"(?:{_SEP}.*{_SEP}|{_SEP})" if rx else rf"(?:^|{_SEP})")) + _compound_regex(c) + f"(?={_SEP}|$)"
-                child = False
-            p = p & F.array_join(F.col("path"), _SEP).rlike(rx + ("$" if child else ""))
-        out = p if out is None else out | p
-    return out
-
-
-def element_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """Descendant text of chosen elements (``page_id, node_id``), assembled
-    relationally: every text run is attributed to its ancestors (bounded by
-    tree depth), joined to the chosen ids and concatenated in document
-    order. Returns ``page_id, node_id, text`` ('' for elements without
-    text)."""
-    runs = nodes.filter(F.col("tag") == "#text").select(
-        "page_id", F.col("node_id").alias("_pos"), "data", F.explode("anc").alias("node_id"))
-    chosen = elements.select("page_id", "node_id").distinct()
-    texts = (runs.join(chosen, ["page_id", "node_id"])
-             .groupBy("page_id", "node_id")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "data"))),
-                                           lambda x: x["data"]), "").alias("text")))
-    return chosen.join(texts, ["page_id", "node_id"], "left").select(
-        "page_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
+    return page_fold(nodes, fold, "page_id BIGINT, selector STRING, node_id INT, end_id INT, tag STRING, "
+                                  "attrs MAP<STRING,STRING>, text STRING")
 
 
 def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     """Matching elements in document order, one row each, with their
     subtree range and text. Nested matches are all kept (as the reference
     does)."""
-    hits = nodes.filter(selector_predicate(selector)).select("page_id", "node_id", "end_id", "tag", "sig")
-    return hits.join(element_text(nodes, hits), ["page_id", "node_id"], "left")
+    return select_many(nodes, {"": selector}).drop("selector")
+
+
+def element_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Text of everything in chosen elements (``page_id, node_id, end_id``), by a
+    merge of both by page: a page's runs are joined once, and an element's text is
+    what stands between its ids. Returns ``page_id, node_id, text``."""
+    runs = nodes.filter(F.col("tag") == "#text").select("page_id", "node_id", "data")
+    chosen = elements.select("page_id", "node_id", "end_id").distinct()
+    schema = "page_id BIGINT, node_id INT, text STRING"
+
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("node_id")
+        ids, at = left.column("node_id").to_numpy(), [0]
+        data = left.column("data").to_pylist()
+        for d in data:
+            at.append(at[-1] + len(d))
+        whole = "".join(data)
+        a, z = (ids.searchsorted(right.column(c).to_numpy(), side="right").tolist() for c in ("node_id", "end_id"))
+        texts = pa.array([whole[at[x]:at[y]] for x, y in zip(a, z)], pa.string())
+        return pa.table([right.column("page_id"), right.column("node_id"), texts], names=["page_id", "node_id", "text"])
+
+    return runs.groupBy("page_id").cogroup(chosen.groupBy("page_id")).applyInArrow(merge, schema)
 
 
 def absolutize_attrs(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """``href`` and ``src`` resolved against the page URL."""
+    """``href`` and ``src`` resolved against the page URL. Only nodes that
+    have either are joined; the rows are no longer in page order."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("_base"))
-    j = nodes.join(base, "page_id", "left")
+    has = F.coalesce(F.map_contains_key("attrs", "href") | F.map_contains_key("attrs", "src"), F.lit(False))
+    j = nodes.filter(has).join(base, "page_id", "left")
     fix = F.transform_values(
         "attrs",
         lambda k, v: F.when(k.isin("href", "src") & U.link_candidate(v),
                             F.coalesce(U.resolve_url(F.col("_base"), v), v)).otherwise(v))
-    return j.withColumn("attrs", F.when(F.col("attrs").isNotNull(), fix)).drop("_base")
+    return nodes.filter(~has).unionByName(j.withColumn("attrs", fix).drop("_base"))

@@ -1,21 +1,25 @@
-"""JS-shell verdict (J10) from node-table aggregates (E7-E9) plus
+"""JS-shell verdict (J10) from a fold over each page's nodes (E7-E9) plus
 source-marker checks on the raw HTML; fetch-source labelling (J12).
 
-All signals are one ``groupBy(page_id)`` over the node table (partial
-aggregation, no collect of unbounded data except a page's own visible
-text, which is bounded by the page-size cap) joined to a row-wise marker
-scan of the pages on ``page_id``.
+Visible text counts nested blocks once per block (T6), which is quadratic on
+pages that leave many blocks open. Its length and phrases are therefore read off
+running sums over the page's text, never from the text written out, so a page
+costs its size whatever its depth. The signals of a page are one row, joined to a
+row-wise marker scan of the pages on ``page_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_ws
+from .markdown import WS
+from .nodes import Page, page_fold
 
 # --- fixed values ---------------------------------------------------------------
 # block selectors whose text makes up the visible text, in document order
@@ -55,50 +59,118 @@ def clean_markers(markers: Sequence[str] | None) -> list[str]:
     return [m.strip().lower() for m in (markers or []) if m and m.strip()]
 
 
-def requires_javascript(lower_text: Column) -> Column:
-    return _any_contains(lower_text, JS_PHRASES)
+_VISIBLE = frozenset(VISIBLE_TAGS)
+
+_BLANKS = np.array(sorted({ord(c) for c in WS} | set(range(0x2000, 0x200B))), np.uint32)
+
+
+class _Normal:
+    """A page's text with white space collapsed, and where its parts stand in it."""
+
+    def __init__(self, page: Page) -> None:
+        whole, self.starts = page.stream()
+        chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ink = ~np.isin(chars, _BLANKS)
+        head = ink & ~np.concatenate(([False], ink[:-1]))
+        size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        self.sums = [np.concatenate(([0], np.cumsum(x))) for x in (ink, np.where(ink, size, 0), head)]
+        self.ink = np.append(ink, False)
+        self._chars, self._head = chars, head
+
+    def lower(self) -> str:
+        """The collapsed text in lower case (of ASCII, as phrases are)."""
+        keep = np.where(self.ink[:-1], self._chars, 32).astype(np.uint32)
+        up = (keep >= 65) & (keep <= 90)
+        keep[up] += 32
+        # one blank before each word but the first
+        at = np.flatnonzero(self._head)
+        out = np.insert(keep, at, 32)
+        shown = np.insert(self.ink[:-1], at, True)
+        return out[shown].tobytes().decode("utf-32-le", "surrogatepass")[1:]
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For text from ``first`` to ``last``: its place and length in the
+        collapsed text, and its length in bytes."""
+        inks, octets, heads = ([s[x] for x in (first, last)] for s in self.sums)
+        inside = first > 0
+        inside &= self.ink[first] & self.ink[first - 1]
+        n = inks[1] - inks[0]
+        words = heads[1] - heads[0] + (inside & (n > 0))
+        gaps = np.maximum(words - 1, 0)
+        # ink before it, and a blank before each word but the text's first
+        at = inks[0] + heads[0] - np.where(inside, 1, 0)
+        return at, n + gaps, octets[1] - octets[0] + gaps
+
+
+def _has_phrase(text: str, phrases: Sequence[str], at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether a phrase stands in the given stretches of ``text``, joined by blanks."""
+    order = np.argsort(at, kind="stable")
+    begin, reach = at[order], np.maximum.accumulate((at + size)[order]) if len(at) else at
+    for p in phrases:
+        k = text.find(p)
+        while k >= 0:
+            j = np.searchsorted(begin, k, side="right") - 1
+            if j >= 0 and reach[j] >= k + len(p):
+                return True
+            k = text.find(p, k + 1)
+    # ... or across the joins: the last characters so far and the first of the next
+    most, tail = max(map(len, phrases), default=0), ""
+    for a, n in zip(at.tolist(), size.tolist()):
+        joined = tail + " " + text[a:a + min(n, most)]
+        if any(p in joined for p in phrases):
+            return True
+        tail = (tail + " " + text[a:a + n] if n < most else text[a + n - most:a + n])[-most:]
+    return False
+
+
+SIGNALS = ("vis_bytes BIGINT, meaningful_blocks BIGINT, script_bytes BIGINT, noscript_js BOOLEAN, body_js BOOLEAN, "
+           "loading BOOLEAN")
+
+
+def signals(page: Page) -> tuple:
+    """E7-E9 of one page, in the order of SIGNALS."""
+    normal = _Normal(page)
+    starts = np.array(normal.starts)
+    end = np.array(page.end, np.int64)
+    shown = np.array([i for i, t in enumerate(page.tag) if t in _VISIBLE], np.int64)
+    at, size, octets = normal.spans(starts[shown], starts[end[shown] + 1])
+    some = size > 0
+    shown, at, size, octets = shown[some], at[some], size[some], octets[some]
+    meaningful = sum(1 for i, n in zip(shown.tolist(), octets.tolist()) if n > MEANINGFUL_MIN_BYTES and page.tag[i] in MEANINGFUL_TAGS)
+    text = normal.lower()
+    loading = _has_phrase(text, ("loading",), at, size) and _has_phrase(text, JS_PHRASES, at, size)
+    scripts = sum(len(page.text(i).encode()) for i, t in enumerate(page.tag) if t == "script")
+    noscript = any("javascript" in page.text(i).lower() for i, t in enumerate(page.tag) if t == "noscript")
+    body = next((page.text(i) for i, t in enumerate(page.tag) if t == "body"), None)
+    if body is None:                       # text outside <head>, of pages without a body tag
+        loose, head_end = [], -1
+        for i, t in enumerate(page.tag):
+            if t == "head" and i > head_end:
+                head_end = page.end[i]
+            if t == "#text" and i > head_end:
+                loose.append(page.data[i])
+        body = "".join(loose)
+    asks = any(p in body.lower() for p in JS_PHRASES)
+    return int(octets.sum() + max(len(octets) - 1, 0)), meaningful, scripts, noscript, asks, loading
 
 
 def shell_signals(nodes: DataFrame) -> DataFrame:
-    """E7 + E8 + E9 per page: visible text, meaningful blocks, script bytes,
-    noscript and body JavaScript requests."""
-    is_vis = F.col("tag").isin(*VISIBLE_TAGS)
-    nt = normalize_ws(F.coalesce("text", F.lit("")))
-    n = nodes.filter(F.col("tag").isin(*VISIBLE_TAGS, "script", "noscript", "body", "head", "#text"))
-    n = n.select(
-        "page_id", "node_id", "tag", "text", "data", "ptags",
-        F.when(is_vis, nt).alias("nt"),
-    )
-    # text outside <head> and <body>: the body text of pages without a body tag
-    in_head = F.arrays_overlap(F.col("ptags"), F.array(F.lit("head"), F.lit("body")))
-    vis_piece = F.when(is_vis & (F.col("nt") != ""), F.struct("node_id", "nt"))
-    body_piece = F.when((F.col("tag") == "#text") & ~in_head, F.struct("node_id", "data"))
-    agg = n.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(vis_piece)), lambda x: x["nt"]), " ").alias("vis_text"),
-        F.count_if(F.col("tag").isin(*MEANINGFUL_TAGS) & (F.octet_length("nt") > MEANINGFUL_MIN_BYTES))
-        .alias("meaningful_blocks"),
-        F.coalesce(F.sum(F.when(F.col("tag") == "script", F.octet_length(F.coalesce("text", F.lit(""))))),
-                   F.lit(0)).cast("long").alias("script_bytes"),
-        F.coalesce(F.bool_or(F.when(F.col("tag") == "noscript", F.lower("text").contains("javascript"))),
-                   F.lit(False)).alias("noscript_js"),
-        F.min_by(F.when(F.col("tag") == "body", F.col("text")),
-                 F.when(F.col("tag") == "body", F.col("node_id"))).alias("body_text"),
-        F.collect_list(body_piece).alias("_loose"),
-    )
-    body = F.coalesce(
-        F.col("body_text"),
-        F.array_join(F.transform(F.array_sort("_loose"), lambda x: x["data"]), ""),
-    )
-    return agg.select(
-        "page_id", "vis_text", F.octet_length("vis_text").cast("long").alias("vis_bytes"),
-        "meaningful_blocks", "script_bytes", "noscript_js",
-        requires_javascript(F.lower(body)).alias("body_js"),
-    )
+    """E7 + E8 + E9 per page: bytes of visible text, meaningful blocks, script
+    bytes, noscript and body JavaScript requests, and whether the visible text
+    both says it is loading and asks for JavaScript."""
+    return page_fold(nodes, lambda page: [signals(page)], f"page_id BIGINT, {SIGNALS}")
 
 
 def js_shell(nodes: DataFrame, pages: DataFrame, extra_markers: Sequence[str] | None = None,
              html_col: str = "html") -> DataFrame:
     """``static`` / ``likely_shell`` / ``ambiguous`` per page."""
+    return verdicts(shell_signals(nodes), pages, extra_markers, html_col)
+
+
+def verdicts(found: DataFrame, pages: DataFrame, extra_markers: Sequence[str] | None = None,
+             html_col: str = "html", also: Sequence[str] = ()) -> DataFrame:
+    """J10 from a page's signals and its HTML; ``also`` are columns of
+    ``found`` to hand on."""
     extra = clean_markers(extra_markers)
     lower = F.lower(F.col(html_col))
     marks = pages.select(
@@ -107,12 +179,11 @@ def js_shell(nodes: DataFrame, pages: DataFrame, extra_markers: Sequence[str] |
         (_any_contains(lower, CLIENT_RENDER_MARKERS) | _any_contains(lower, extra)).alias("client_marker"),
         _any_contains(lower, APP_SHELL_MARKERS).alias("app_marker"),
     )
-    sig = shell_signals(nodes).join(marks, "page_id", "right")
+    sig = found.join(marks, "page_id", "right")
     vis_bytes = F.coalesce("vis_bytes", F.lit(0))
     denom = F.greatest(vis_bytes, F.lit(1))
     script = F.coalesce("script_bytes", F.lit(0))
-    vis_lower = F.lower(F.coalesce("vis_text", F.lit("")))
-    loading = vis_lower.contains("loading") & requires_javascript(vis_lower)
+    loading = F.coalesce("loading", F.lit(False))
     verdict = (
         F.when(vis_bytes >= STATIC_MIN_BYTES,
                F.when(loading, "likely_shell")
@@ -126,7 +197,7 @@ def js_shell(nodes: DataFrame, pages: DataFrame, extra_markers: Sequence[str] |
     )
     return sig.select("page_id", verdict.alias("js_detection"), vis_bytes.alias("vis_bytes"),
                       F.coalesce("meaningful_blocks", F.lit(0)).alias("meaningful_blocks"),
-                      script.alias("script_bytes"))
+                      script.alias("script_bytes"), *also)
 
 
 def fetch_source(js_detection: Column | str, renderer_available: bool = False) -> Column:

@@ -120,16 +120,24 @@ from ..operators import nodes as N  # noqa: E402
 from ..operators import shell as SH  # noqa: E402
 
 
+def _spread(pages: DataFrame) -> int | None:
+    """Partitions for a table of fewer files than cores: parsing costs far more
+    than a shuffle of the HTML. Tables of many files are parsed where they are read."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return cores if len(pages.inputFiles()) < cores else None
+
+
 @register("page_titles", S.PAGE_TITLES)
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
-    return N.page_title(N.html_nodes(pages))
+    return N.page_title(N.html_nodes(pages, num_partitions=_spread(pages), keep=["title"]))
 
 
 @register("page_links", S.PAGE_LINKS)
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages")
-    return N.page_links(N.html_nodes(pages.select("page_id", "html")), pages.select("page_id", "url"))
+    return N.page_links(N.html_nodes(pages.select("page_id", "html"), num_partitions=_spread(pages), keep=["a"]),
+                        pages.select("page_id", "url"))
 
 
 def _shell_sql() -> str:
@@ -161,7 +169,7 @@ SELECT page_id, js_detection, vis_bytes, meaningful_blocks, script_bytes,
 @register("js_shell_verdicts", _shell_sql())
 def js_shell_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
-    return SH.js_shell(N.html_nodes(pages), pages).withColumn(
+    return SH.js_shell(N.html_nodes(pages, num_partitions=_spread(pages)), pages).withColumn(
         "source", SH.fetch_source("js_detection"))
 
 
@@ -398,8 +406,7 @@ SELECT page_id, url, title, markdown, left(sha256(markdown), 16) AS content_hash
 @register("page_markdown", _markdown_sql())
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
-    nodes = N.parse_once(N.html_nodes(pages.select("page_id", "html")))
-    return X.refine_pages(pages, nodes, trim=False, max_chars=0)
+    return X.refine_pages(pages, N.html_nodes(pages.select("page_id", "html"), num_partitions=_spread(pages)))
 
 
 # --- D5 / G6: cookie scope over page URLs ------------------------------------
@@ -504,7 +511,7 @@ FROM r LEFT JOIN t ON r.url = t.page_url
 def search_enrich(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
     lists = D.page_search_lists(pages)
-    nodes = N.html_nodes(pages.select("page_id", "html"))
+    nodes = N.html_nodes(pages.select("page_id", "html"), num_partitions=_spread(pages), keep=["title"])
     refined = N.page_title(nodes).join(pages.select("page_id", "url"), "page_id") \
         .withColumn("markdown", F.lit(""))
     out = CP.search_and_scrape(lists, refined, limit=10)
@@ -676,8 +683,8 @@ FROM pages
 def page_selector_counts(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages").select("page_id", "html")
     wanted = {"nav_links": "nav a[href]", "article_paragraphs": "article p", "headings": "h1"}
-    counts = N.html_nodes(pages).groupBy("page_id").agg(
-        *[F.count_if(N.selector_predicate(q)).alias(name) for name, q in wanted.items()])
+    hits = N.select_many(N.html_nodes(pages, num_partitions=_spread(pages)), wanted, with_text=False)
+    counts = hits.groupBy("page_id").agg(*[F.count_if(F.col("selector") == name).alias(name) for name in wanted])
     return pages.select("page_id").join(counts, "page_id", "left").select(
         "page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in wanted])
 

@@ -167,7 +167,7 @@ SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM (
 def absolute_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links that are absolute after resolving."""
     pages = _pages(spark, sf, "url", "html")
-    nodes = N.absolutize_attrs(N.html_nodes(pages), pages)
+    nodes = N.absolutize_attrs(N.html_nodes(pages, keep=["a"]), pages)
     href = F.col("attrs").getItem("href")
     return nodes.where((F.col("tag") == "a") & href.rlike("^https?://")).groupBy("page_id").agg(F.count("*").alias("n"))
 

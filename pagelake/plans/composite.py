@@ -23,7 +23,6 @@ from ..operators import extract as X
 from ..operators import nodes as N
 from ..operators import shell as SH
 from ..operators import store as ST
-from ..session import ensure_checkpoint_dir
 
 
 def enrich_results(results: DataFrame, pages: DataFrame, rules: Sequence[tuple[str, str]] = (),
@@ -136,12 +135,12 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
 
     html_rows = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & X.is_html_type(F.col("ctype")))
     pages = html_rows.select(F.col("input_pos").cast("long").alias("page_id"), F.col("fetch_url").alias("url"), "html")
-    nodes = N.parse_once(N.html_nodes(pages.select("page_id", "html")))
-    refined = X.refine_pages(pages, nodes, trim=False, max_chars=0)
-    verdict = SH.js_shell(nodes, pages.select("page_id", "html"))
-    html_out = (refined.join(verdict.select("page_id", "js_detection"), "page_id", "left")
-                .select(F.col("page_id").alias("input_pos"), "title", "markdown",
-                        SH.fetch_source("js_detection", renderer_available).alias("source")))
+    # one pass over each page's nodes gives its title, markdown and shell signals
+    seen = N.page_fold(N.html_nodes(pages.select("page_id", "html")), lambda page: [X.refined(page) + SH.signals(page)],
+                       f"page_id BIGINT, {X.REFINED}, {SH.SIGNALS}")
+    judged = SH.verdicts(seen, pages.select("page_id", "html"), also=("title", "markdown"))
+    html_out = judged.select(F.col("page_id").alias("input_pos"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "markdown")],
+                             SH.fetch_source("js_detection", renderer_available).alias("source"))
     if converter is not None:
         docs = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & (F.col("ctype") == "application/pdf"))
         converted = converter(docs.select("input_pos", "fetch_url", "ctype", "html")).select(
@@ -171,29 +170,19 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
 
 
 def extract_html(df: DataFrame, selector: str | None = None, trim: bool = False, max_chars: int = 0,
-                 url_col: str = "url") -> DataFrame:
-    """M6: validated input (C21) → selector extraction (J4: all matches in
-    order joined by a blank line; no match → not_found) or refinement."""
-    v = X.validate_inputs(df.withColumn("page_id", F.col("page_id").cast("long")), "html")
+                 url_col: str = "url", max_bytes: int = X.MAX_INPUT_BYTES) -> DataFrame:
+    """M6: validated input (C21; ``max_bytes`` 0 lifts the size limit) → selector
+    extraction (J4: all matches in order joined by a blank line; no match →
+    not_found; a bad selector raises) or refinement."""
+    v = X.validate_inputs(df.withColumn("page_id", F.col("page_id").cast("long")), "html", max_bytes=max_bytes)
     ok = v.filter(F.col("error").isNull())
-    nodes = N.parse_once(N.html_nodes(ok.select("page_id", "html")))
+    nodes = N.html_nodes(ok.select("page_id", "html"))
     if selector is None:
         out = X.refine_pages(ok.select("page_id", url_col, "html"), nodes, trim, max_chars)
         out = out.withColumn("error", F.lit(None).cast("string")).withColumn("error_kind", F.lit(None).cast("string"))
     else:
-        N.selector_predicate(selector)          # a bad selector is a validation error for the whole call
-        roots = N.select_nodes(nodes, selector)
-        # each match rendered as its own subtree, under a number of its own
-        # (checkpointed, so that it stays the same), then joined in document order
-        ensure_checkpoint_dir(df.sparkSession)
-        roots = roots.select("page_id", F.col("node_id").alias("_r"), F.col("end_id").alias("_e")).withColumn(
-            "_key", F.monotonically_increasing_id()).checkpoint(eager=True)
-        sub = nodes.join(roots, "page_id").filter((F.col("node_id") >= F.col("_r")) & (F.col("node_id") <= F.col("_e")))
-        md = X.to_markdown(sub.withColumn("page_id", F.col("_key")).drop("_r", "_e", "_key"))
-        per_page = (md.withColumnRenamed("page_id", "_key").join(roots, "_key").groupBy("page_id")
-                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "markdown"))),
-                                                  lambda x: x["markdown"]), "\n\n").alias("markdown")))
-        out = ok.select("page_id", url_col).join(per_page, "page_id", "left").select(
+        found = X.select_markdown(nodes, selector)
+        out = ok.select("page_id", url_col).join(found, "page_id", "left").select(
             "page_id", url_col, F.lit("").alias("title"),
             post_process(F.coalesce("markdown", F.lit("")), trim, max_chars).alias("markdown"),
             F.lit(None).cast("string").alias("content_hash"),

@@ -3,8 +3,8 @@
 Each ``.result`` block takes the text of its ``.result__title .result__a``
 anchors (the first anchor's ``href``, redirect-unwrapped with I10) and of
 its ``.result__snippet`` elements; blocks without title or link are
-skipped, then the page is cut to ``limit``. Anchors and snippets find their
-blocks through the ancestor-id list (bounded by tree depth) — no range join.
+skipped, then the page is cut to ``limit``. The three selectors are matched in one
+pass; anchors and snippets meet the blocks of their page by id ranges.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import go_trim, unwrap_redirect
-from ..operators.nodes import element_text, selector_predicate
+from ..operators.nodes import select_many
 
 BLOCK_SELECTOR = ".result"
 TITLE_SELECTOR = ".result__title .result__a"
@@ -21,26 +21,21 @@ SNIPPET_SELECTOR = ".result__snippet"
 REDIRECT_PARAM = "uddg"
 
 
-def _by_block(nodes: DataFrame, blocks: DataFrame, selector: str) -> DataFrame:
-    sel = nodes.filter(selector_predicate(selector))
-    texts = element_text(nodes, sel)
-    hits = sel.drop("text").join(texts, ["page_id", "node_id"]).select(
-        "page_id", "node_id", "text", F.col("attrs").getItem("href").alias("href"),
-        F.explode("anc").alias("block_id"))
-    return hits.join(blocks, ["page_id", "block_id"])
-
-
 def result_page_rows(nodes: DataFrame, limit: int = 0) -> DataFrame:
     """``page_id, rank, title, url, description``."""
-    blocks = nodes.filter(selector_predicate(BLOCK_SELECTOR)).select("page_id", F.col("node_id").alias("block_id"))
-    titles = _by_block(nodes, blocks, TITLE_SELECTOR).groupBy("page_id", "block_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")
-        .alias("title"),
-        F.min_by("href", "node_id").alias("href"))
-    snippets = _by_block(nodes, blocks, SNIPPET_SELECTOR).groupBy("page_id", "block_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")
-        .alias("snippet"))
-    b = (blocks.join(titles, ["page_id", "block_id"], "left").join(snippets, ["page_id", "block_id"], "left")
+    hits = select_many(nodes, {"block": BLOCK_SELECTOR, "title": TITLE_SELECTOR, "snippet": SNIPPET_SELECTOR})
+    blocks = hits.where("selector = 'block'").select("page_id", F.col("node_id").alias("block_id"), F.col("end_id").alias("_end"))
+    inside = hits.where("selector <> 'block'").select("page_id", "selector", "node_id", "text", F.col("attrs").getItem("href").alias("href"))
+    inside = inside.join(blocks, "page_id").where((F.col("node_id") > F.col("block_id")) & (F.col("node_id") <= F.col("_end")))
+
+    def texts(selector: str):
+        run = F.when(F.col("selector") == selector, F.struct("node_id", "text"))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["text"]), "")
+
+    found = inside.groupBy("page_id", "block_id").agg(
+        texts("title").alias("title"), texts("snippet").alias("snippet"),
+        F.min_by("href", F.when(F.col("selector") == "title", F.col("node_id"))).alias("href"))
+    b = (blocks.join(found, ["page_id", "block_id"], "left")
          .select("page_id", "block_id", go_trim(F.coalesce("title", F.lit(""))).alias("title"),
                  F.coalesce("href", F.lit("")).alias("href"),
                  go_trim(F.coalesce("snippet", F.lit(""))).alias("description"))
