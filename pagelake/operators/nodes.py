@@ -1,7 +1,7 @@
 """HTML node table (J1) and the operators on it.
 
 A page is tokenized ONCE into rows — one per element and per text run — by a
-small ``mapInPandas`` helper around the standard library's ``html.parser``
+small ``mapInArrow`` helper around the standard library's ``html.parser``
 (no HTML library is installed). Node table schema::
 
     page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT,
@@ -30,10 +30,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import urls as U
 from ..functions.text import go_trim
@@ -71,7 +72,6 @@ NODE_SCHEMA = (
     "page_id BIGINT, node_id INT, parent_id INT, end_id INT, depth INT, tag STRING, ptag STRING, "
     "attrs MAP<STRING,STRING>, data STRING, n_nodes INT"
 )
-_COLUMNS = ["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "ptag", "attrs", "data", "n_nodes"]
 
 
 class _TreeBuilder(HTMLParser):
@@ -156,22 +156,31 @@ def parse_html(html: str | None) -> list[list]:
     return b.rows
 
 
-def _parse_batches(keep: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ARROW = pa.schema([
+    ("page_id", pa.int64()), *[(c, pa.int32()) for c in ("node_id", "parent_id", "end_id", "depth")], ("tag", pa.string()), ("ptag", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("data", pa.string()), ("n_nodes", pa.int32())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], names=schema.names)
+
+
+def _parse_batches(keep: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for pdf in batches:
-            for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-                rows = parse_html(html)
+        for b in batches:
+            for pid, html in zip(b.column("page_id").to_pylist(), b.column("html")):
+                rows = parse_html(html.as_py())
                 n = len(rows)
                 for nid, parent, end, depth, tag, attrs, data in rows:
                     ptag = rows[parent][4] if parent >= 0 else ""
                     if keep is None or tag in keep or (tag == "#text" and ptag in keep):
-                        out.append((pid, nid, parent, end, depth, tag, ptag, attrs, data, n))
+                        out.append((pid, nid, parent, end, depth, tag, ptag, list(attrs.items()), data, n))
                         if len(out) >= ROWS_PER_BATCH:
-                            yield pd.DataFrame(out, columns=_COLUMNS)
+                            yield _batch(out, _ARROW)
                             out = []
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield _batch(out, _ARROW)
 
     return parse
 
@@ -186,7 +195,7 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     if num_partitions:
         src = src.repartition(num_partitions)
-    return src.mapInPandas(_parse_batches(None if keep is None else frozenset(keep)), NODE_SCHEMA)
+    return src.mapInArrow(_parse_batches(None if keep is None else frozenset(keep)), NODE_SCHEMA)
 
 
 def parse_once(nodes: DataFrame) -> DataFrame:
@@ -254,10 +263,7 @@ def page_fold(nodes: DataFrame, fold: Callable[[Page], Iterable[tuple]], schema:
     (DDL, page_id first). ``nodes`` has whole pages in order, as ``html_nodes``
     gives them; other tables go through ``in_page_order`` first. A page that
     is not whole raises."""
-    spark_schema = nodes.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-    out_schema = to_arrow_schema(spark_schema)
-    names = out_schema.names
+    out_schema = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in _FOLDED]
@@ -274,12 +280,12 @@ def page_fold(nodes: DataFrame, fold: Callable[[Page], Iterable[tuple]], schema:
                 out += [(page.page_id, *row) for row in fold(page)]
                 at = z
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), out_schema.types)], names=names)
+                yield _batch(out, out_schema)
             held = [h[at:] for h in held]
         if held[0]:
             raise ValueError("a page's nodes are not together and in order: use in_page_order(nodes)")
 
-    return nodes.select(*_FOLDED).mapInArrow(run, spark_schema)
+    return nodes.select(*_FOLDED).mapInArrow(run, schema)
 
 
 def in_page_order(nodes: DataFrame) -> DataFrame:
