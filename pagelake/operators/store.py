@@ -11,21 +11,25 @@ Lookups are equi joins on ``cache_key`` (a sort-merge join at scale; the
 request side is usually the smaller one and is broadcast only when Spark's
 size estimate is under the broadcast threshold). Upserts write a NEW
 version directory (never overwrite the table being read) holding the
-latest row per key.
+latest row per key. A commit log (``commits``) numbers versions and stream
+deltas alike, so of equal times the later write wins whatever wrote it, and a
+version or a compaction retires the deltas that it has taken in.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits as C
 from ..functions.text import cache_key
 
 SOURCES = ("http", "http_shell", "browser", "")
 DEFAULT_TTL_SECONDS = 72 * 3600
-WRITE_ORD = "write_ord"  # later writes have larger ones; never part of a result
+WRITE_ORD = "write_ord"  # a row's commit number (null: that of its file's commit); never part of a result
 
 
 def is_fresh(cached_at: Column, now: Column, ttl_seconds: int) -> Column:
@@ -51,7 +55,7 @@ def stale_for_render(source: Column, renderer_available: bool) -> Column:
     return (s == "http_shell") | (F.lit(renderer_available) & (s == ""))
 
 
-def latest_per_key(store: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def latest_per_key(store: DataFrame, columns: Sequence[str] | None = None, keep_order: bool = False) -> DataFrame:
     """The latest version of every key; of equal times the later write
     (``write_ord``, where there is one), then the larger source name, then
     the larger content, so the result does not depend on row order.
@@ -62,8 +66,11 @@ def latest_per_key(store: DataFrame, columns: Sequence[str] | None = None) -> Da
     a third of the table. ``columns`` is projected before the aggregate: a
     status check neither reads nor shuffles page contents."""
     cols = [c for c in (columns or store.columns) if c not in ("cache_key", WRITE_ORD)]
-    rank = ["cached_at"] + [WRITE_ORD] * (WRITE_ORD in store.columns)
+    ranked = WRITE_ORD in store.columns
+    # a row without a number is being written now: later than all
+    rank = ["cached_at"] + [F.coalesce(WRITE_ORD, F.lit(2 ** 63 - 1)).alias("_o")] * ranked
     order = F.struct(*rank, F.coalesce("source", F.lit("")).alias("_s"), *[c for c in cols if c not in ("cached_at", "source")])
+    cols = cols + [WRITE_ORD] * (keep_order and ranked)
     best = F.max_by(F.struct(*cols), order)
     return store.groupBy("cache_key").agg(best.alias("_v")).select("cache_key", *[F.col(f"_v.{c}").alias(c)
                                                                                   for c in cols])
@@ -89,58 +96,108 @@ def lookup(requests: DataFrame, store: DataFrame, now: Column, ttl_seconds: int
     return j.withColumn("hit", hit)
 
 
-def upsert(store: DataFrame | None, rows: DataFrame, keep_raw: bool = True) -> DataFrame:
+def upsert(store: DataFrame | None, rows: DataFrame, keep_raw: bool = True, keep_order: bool = False) -> DataFrame:
     """Old and new rows, the latest per key; a new row wins over an old
     one of the same time. A markdown-only write (``keep_raw=False``) stores
     no raw HTML. The caller writes the result to a new version directory
-    (``write_version``)."""
+    (``write_version``; ``upsert_store`` does both)."""
     new = rows if keep_raw else rows.withColumn("raw_html", F.lit(None).cast("string"))
     if store is None:
         return latest_per_key(new)
-    both = store.withColumn(WRITE_ORD, F.lit(0)).unionByName(new.withColumn(WRITE_ORD, F.lit(1)), allowMissingColumns=True)
-    return latest_per_key(both)
-
-
-def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
-    """Write a store version under ``root/v=<n>``; readers keep reading the
-    previous one until this one is committed (``_SUCCESS``). ``fmt`` is the
-    pluggable storage format (L3): any Spark data source."""
-    path = f"{root.rstrip('/')}/v={int(version)}"
+    old = store if WRITE_ORD in store.columns else store.withColumn(WRITE_ORD, F.lit(0).cast("long"))
+    both = old.unionByName(new.withColumn(WRITE_ORD, F.lit(None).cast("long")), allowMissingColumns=True)
+    return latest_per_key(both, keep_order=keep_order)
+
+
+def write_version(df: DataFrame, root: str, version: int | None = None, fmt: str = "parquet", as_of: int | None = None) -> str:
+    """Write a store version under ``root/v=<n>`` (the next number unless one is
+    given) and commit it; readers keep reading the previous one until then.
+    ``as_of`` is the commit that ``df`` was read at: the version retires what was
+    committed up to it. Without one, what is committed when the call begins. ``fmt``
+    is the pluggable storage format (L3): any Spark data source."""
+    spark, log = df.sparkSession, C.entries(df.sparkSession, root)
+    if as_of is None:
+        as_of = max((e["n"] for e in log), default=0)
+    if version is None:
+        version = max((e["version"] for e in log if e["kind"] == "version"), default=0) + 1
+    name = f"v={int(version)}"
+    path = f"{root.rstrip('/')}/{name}"
     df.write.mode("overwrite").format(fmt).save(path)
+    C.commit(spark, root, {"kind": "version", "path": name, "version": int(version), "upto": as_of})
     return path
 
 
-def _committed(spark: SparkSession, root: str, prefix: str) -> list[int]:
-    """Numbers of the ``<prefix><n>`` folders whose write was committed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    top = path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(top)]
-    return sorted(int(n[len(prefix):]) for n in names
-                  if n.startswith(prefix) and fs.exists(path(f"{root.rstrip('/')}/{n}/_SUCCESS")))
+def write_delta(rows: DataFrame, root: str, name: str | None = None, token: str | None = None, fmt: str = "parquet") -> bool:
+    """K5: commit rows, one per key, on top of what is there. A ``token``
+    that is committed already writes nothing (and gives False)."""
+    spark, log = rows.sparkSession, C.entries(rows.sparkSession, root)
+    if token is not None and any(e.get("token") == token for e in log):
+        return False
+    folder = f"batch={name or uuid.uuid4().hex}"
+    rows.write.mode("overwrite").format(fmt).save(f"{root.rstrip('/')}/{folder}")
+    C.commit(spark, root, {"kind": "delta", "path": folder, "token": token})
+    return True
 
 
-def read_store(spark: SparkSession, root: str, version: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """The store as of its newest committed version (``v=<n>``) and the
-    committed deltas of a stream (``batch=<id>``), the latest row per key;
-    with ``version``, that version alone. Lookups then filter or join on
-    ``cache_key`` and push the predicate into the scan."""
-    load = lambda name: spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}")
+def read_store(spark: SparkSession, root: str, version: int | None = None, fmt: str = "parquet", as_of: int | None = None,
+               keep_order: bool = False) -> DataFrame:
+    """The store as of its newest commit (or ``as_of``): the newest version
+    and the deltas it doesn't stand for, the latest row per key; with ``version``,
+    that version alone. Lookups then filter or join on ``cache_key`` and push
+    the predicate into the scan. With ``keep_order`` rows carry their commit number."""
+    log = C.entries(spark, root)
+
+    def load(entry: dict) -> DataFrame:
+        df = spark.read.format(fmt).load(f"{root.rstrip('/')}/{entry['path']}")
+        own = F.lit(entry["n"]).cast("long")
+        return df.withColumn(WRITE_ORD, F.coalesce(WRITE_ORD, own) if WRITE_ORD in df.columns else own)
+
     if version is not None:
-        return load(f"v={int(version)}")
-    versions, batches = _committed(spark, root, "v="), _committed(spark, root, "batch=")
-    base = load(f"v={versions[-1]}") if versions else None
-    if not batches:
-        return base if base is not None else empty_store(spark)
-    rows = [load(f"batch={b}").withColumn(WRITE_ORD, F.lit(b + 1)) for b in batches]
-    if base is not None:
-        rows.append(base.withColumn(WRITE_ORD, F.lit(0)))
-    both = rows[0]
-    for r in rows[1:]:
-        both = both.unionByName(r, allowMissingColumns=True)
-    return latest_per_key(both)
+        one = [e for e in log if e["kind"] == "version" and e["version"] == int(version)]
+        if not one:
+            raise ValueError(f"the store has no version {version}")
+        return load(one[-1]).drop(WRITE_ORD)
+    base, deltas = C.live(log, as_of)
+    parts = ([load(base)] if base else []) + [load(e) for e in deltas]
+    if not parts:
+        return empty_store(spark)
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    if deltas:
+        both = latest_per_key(both, keep_order=True)
+    return both if keep_order else both.drop(WRITE_ORD)
+
+
+def upsert_store(rows: DataFrame, root: str, keep_raw: bool = True) -> str:
+    """B4 as one step: read the store, take the rows in, commit a new version.
+    Deltas committed meanwhile stay on top of what was read."""
+    spark = rows.sparkSession
+    seen = C.last(spark, root)
+    old = read_store(spark, root, as_of=seen, keep_order=True) if seen else None
+    return write_version(upsert(old, rows, keep_raw, keep_order=True), root, as_of=seen)
+
+
+def compact(spark: SparkSession, root: str) -> str | None:
+    """Merge the live deltas into a new version, which retires them; rows keep
+    their commit numbers. None where there is nothing to merge."""
+    seen = C.last(spark, root)
+    if not C.live(C.entries(spark, root), seen)[1]:
+        return None
+    return write_version(read_store(spark, root, as_of=seen, keep_order=True), root, as_of=seen)
+
+
+def expire(spark: SparkSession, root: str) -> list[str]:
+    """Delete the folders of commits that the newest version has retired;
+    their names. For when no reader uses an older version."""
+    log = C.entries(spark, root)
+    base, deltas = C.live(log)
+    if base is None:
+        return []
+    kept = {base["path"], *(e["path"] for e in deltas)}
+    gone = sorted({e["path"] for e in log if e["n"] < base["n"]} - kept)
+    C.remove(spark, root, gone)
+    return gone
 
 
 def store_stats(store: DataFrame) -> DataFrame:

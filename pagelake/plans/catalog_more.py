@@ -185,21 +185,31 @@ def page_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("store_roundtrip", """
-SELECT 'k' || (event_id % 500) AS cache_key, max(CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) AS last_write
+SELECT 'k' || (event_id // 7) AS cache_key, CAST(arg_max(event_id % 5, (event_id % 11 <> 0, event_id % 5)) AS INTEGER) AS last_write
 FROM events GROUP BY 1
 """)
 def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """A version, then stream deltas of the same times, read
-    together; later writes win."""
+    """A version, a stream's delta, a version made of both, another
+    stream delta, a compaction, and a last delta; most rows have the same time,
+    so later writes win, and older times lose to earlier writes."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    at = F.when(F.col("event_id") % 11 == 0, "2024-04-01 00:00:00").otherwise("2024-05-01 00:00:00").cast("timestamp")
     rows = read_table(spark, sf, "events").select(
-        F.concat(F.lit("k"), (F.col("event_id") % 500).cast("string")).alias("cache_key"),
-        F.lit("2024-05-01 00:00:00").cast("timestamp").alias("cached_at"), F.lit("http").alias("source"),
-        (F.col("event_id") % 3).alias("part"))
-    with_title = lambda part, n: rows.where(F.col("part") == part).select("cache_key", "cached_at", "source", F.lit(n).alias("title"))
-    ST.write_version(ST.upsert(None, with_title(2, "0")), root, 1)
-    for batch, part in ((0, 1), (1, 0)):
-        ST.upsert(None, with_title(part, str(batch + 1))).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+        F.concat(F.lit("k"), F.floor(F.col("event_id") / 7).cast("string")).alias("cache_key"), at.alias("cached_at"),
+        F.lit("http").alias("source"), (F.col("event_id") % 5).cast("string").alias("title"))
+    part = lambda n: rows.where(F.col("title") == str(n))
+
+    def streamed(n: int) -> None:
+        part(n).write.mode("append").parquet(f"{root}-in")
+        pages = spark.readStream.schema(rows.schema).parquet(f"{root}-in")
+        K.store_upsert_stream(pages, root, f"{root}-state").awaitTermination()
+
+    ST.upsert_store(part(0), root)
+    streamed(1)
+    ST.upsert_store(part(2), root)
+    streamed(3)
+    ST.compact(spark, root)
+    ST.write_delta(ST.upsert(None, part(4)), root)
     return ST.read_store(spark, root).select("cache_key", F.col("title").cast("int").alias("last_write"))
 
 

@@ -9,6 +9,7 @@ two agree when a file source is drained with ``availableNow``.
 
 from __future__ import annotations
 
+import zlib
 from typing import Iterator
 
 import pandas as pd
@@ -57,12 +58,14 @@ def read_run_status(spark, status_path: str, run_col: str = "run_id") -> DataFra
 
 
 def store_upsert_stream(pages: DataFrame, store_root: str, checkpoint: str, keep_raw: bool = True):
-    """K5: each micro-batch's latest row per key becomes a store delta
-    ``store_root/batch=<id>`` (overwrite → idempotent on retry).
-    ``store.read_store`` reads the deltas together with the versions."""
+    """K5: each micro-batch's latest row per key is committed as a store delta,
+    once per batch of the checkpoint, also if the batch is tried again.
+    ``store.read_store`` reads the deltas together with the versions, and
+    ``store.compact`` merges them."""
+    stream = f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ST.upsert(None, batch, keep_raw=keep_raw).write.mode("overwrite").parquet(
-            f"{store_root.rstrip('/')}/batch={batch_id}")
+        ST.write_delta(ST.upsert(None, batch, keep_raw=keep_raw), store_root, f"{stream}-{batch_id}", f"{checkpoint.rstrip('/')}#{batch_id}")
 
     return (pages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

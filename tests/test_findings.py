@@ -33,7 +33,7 @@ def test_a_later_write_wins_at_equal_times(spark, tmp_path):
     assert up.first().title == "new"
     root = str(tmp_path / "store")
     ST.write_version(up, root, 1)
-    rows("a", "delta").write.parquet(f"{root}/batch=0")
+    ST.write_delta(rows("a", "delta"), root)
     (tmp_path / "store" / "v=2").mkdir()  # a write that never ended
     assert ST.read_store(spark, root).first().title == "delta"
 
