@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,35 +78,66 @@ HOST_OUT_SCHEMA = "host STRING, seq LONG, prior_total LONG, prior_shells LONG, f
 
 def _host_history(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     total, shells = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(pdfs)) if pdfs else None
-    if rows is None or rows.empty:
-        return
-    rows = rows.sort_values(["at", "seq"])
-    flags = rows["is_shell"].astype(bool).astype("int64").to_numpy()
-    before = flags.cumsum() - flags
-    n = len(rows)
-    prior_total = total + pd.Series(range(n), dtype="int64").to_numpy()
-    prior_shells = shells + before
-    force = (prior_total >= CR.FORCE_RENDER_MIN_PAGES) & (
-        prior_shells / pd.Series(prior_total).clip(lower=1).to_numpy() > CR.FORCE_RENDER_SHELL_RATIO)
-    state.update((int(total + n), int(shells + flags.sum())))
-    yield pd.DataFrame({"host": key[0], "seq": rows["seq"].astype("int64").to_numpy(),
-                        "prior_total": prior_total, "prior_shells": prior_shells, "force_render": force})
+    for rows in pdfs:                      # chunk by chunk: a host's rows are never held together
+        if rows.empty:
+            continue
+        rows = rows.sort_values(["at", "seq"])
+        flags = rows["is_shell"].astype(bool).astype("int64").to_numpy()
+        prior_total = total + np.arange(len(rows))
+        prior_shells = shells + flags.cumsum() - flags
+        force = (prior_total >= CR.FORCE_RENDER_MIN_PAGES) & (prior_shells / np.maximum(prior_total, 1) > CR.FORCE_RENDER_SHELL_RATIO)
+        total, shells = int(total + len(rows)), int(shells + flags.sum())
+        yield pd.DataFrame({"host": key[0], "seq": rows["seq"].astype("int64").to_numpy(),
+                            "prior_total": prior_total, "prior_shells": prior_shells, "force_render": force})
+    state.update((total, shells))
 
 
 def host_shell_history(arrivals: DataFrame) -> DataFrame:
-    """K3: per host, the (total, shells) history carried across micro-batches
-    in keyed state; within a batch rows are taken in (at, seq) order. Equal
-    to the batch twin ``force_render_history`` when arrivals come in time
-    order across batches."""
+    """K3 in keyed state: per host, the (total, shells) history carried across
+    micro-batches. Rows count in the order they come (a chunk that Spark hands
+    over is put in (at, seq) order), and a host's rows of a micro-batch are
+    folded chunk by chunk in one task. ``host_history_stream`` orders whole
+    micro-batches and splits hot hosts."""
     return arrivals.groupBy("host").applyInPandasWithState(
         _host_history, HOST_OUT_SCHEMA, HOST_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+def host_history_stream(arrivals: DataFrame, out: str, checkpoint: str):
+    """K3: each micro-batch's rows, in (at, seq) order, after those of earlier
+    ones, to ``out/history/batch=<id>``: the parallel prefix sum of the batch twin
+    (W2) plus each host's totals so far, so a host with most of the rows is
+    split over tasks and no host is held in memory. The totals after a batch are
+    ``out/totals/batch=<id>``, one row per host; a batch that is tried again reads
+    those of its predecessor and rewrites its own files."""
+    out = out.rstrip("/")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        history = CR.force_render_history(rows).select("host", "seq", "prior_total", "prior_shells")
+        seen = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_shell").alias("shells"))
+        if batch_id > 0:
+            before = spark.read.schema("host STRING, total LONG, shells LONG").parquet(f"{out}/totals/batch={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], "host STRING, total LONG, shells LONG")
+        j = history.join(before, "host", "left")
+        total, shells = (F.col(p) + F.coalesce(t, F.lit(0)) for p, t in (("prior_total", "total"), ("prior_shells", "shells")))
+        force = (total >= CR.FORCE_RENDER_MIN_PAGES) & (shells / F.greatest(total, F.lit(1)) > CR.FORCE_RENDER_SHELL_RATIO)
+        j.select("host", "seq", total.alias("prior_total"), shells.alias("prior_shells"), force.alias("force_render")).write.mode(
+            "overwrite").parquet(f"{out}/history/batch={batch_id}")
+        after = before.unionByName(seen).groupBy("host").agg(F.sum("total").alias("total"), F.sum("shells").alias("shells"))
+        after.write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
+        rows.unpersist()
+
+    return (arrivals.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def ttl_lookup_stream(requests: DataFrame, store: DataFrame, now_col: str = "requested_at",
                       ttl_seconds: int = ST.DEFAULT_TTL_SECONDS, renderer_available: bool = False) -> DataFrame:
-    """K4: stream-static join of requests to the (static, latest) store; an
-    entry older than the TTL at request time is a miss."""
+    """K4 against a store that stays as it was when the query began: stream-static
+    join of requests to the latest entries; an entry older than the TTL at
+    request time is a miss."""
     from ..functions.text import cache_key
     req = requests.withColumn("cache_key", cache_key(F.col("url")))
     st = ST.latest_per_key(store, ["cached_at", "source"])
@@ -113,3 +145,57 @@ def ttl_lookup_stream(requests: DataFrame, store: DataFrame, now_col: str = "req
     hit = (F.col("cached_at").isNotNull() & ST.is_fresh(F.col("cached_at"), F.col(now_col), ttl_seconds)
            & ~ST.stale_for_render(F.col("source"), renderer_available))
     return j.withColumn("hit", F.coalesce(hit, F.lit(False)))
+
+
+#: What the state of a page says, and what a request gets.
+_ENTRY = "cached_us LONG, source STRING"
+TTL_OUT_SCHEMA = "cache_key STRING, request_id LONG, requested_us LONG, cached_us LONG, source STRING, hit BOOLEAN"
+
+
+def _ttl_fold(ttl_us: int, renderer: bool):
+    """Judges a page's requests by its latest write, which the state keeps for the TTL."""
+    def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        entry, written = (state.get if state.exists else None), False
+        for chunk in chunks:
+            chunk = chunk.sort_values(["at_us", "request_id"], na_position="first", kind="stable")    # of equal times, writes first
+            out: list[tuple] = []
+            for at, request, source in zip(chunk["at_us"].tolist(), chunk["request_id"].tolist(), chunk["source"].tolist()):
+                if request is None or request != request:
+                    if entry is None or at >= entry[0]:
+                        entry, written = (int(at), source or ""), True
+                    continue
+                cached, kind = entry if entry and entry[0] <= at else (None, None)
+                stale = kind == "http_shell" or (renderer and kind == "")
+                out.append((key[0], int(request), int(at), cached, kind, cached is not None and at - cached <= ttl_us and not stale))
+            if out:
+                frame = pd.DataFrame(out, columns=["cache_key", "request_id", "requested_us", "cached_us", "source", "hit"])
+                yield frame.astype({"cached_us": "Int64"})
+        if written:
+            expires = (entry[0] + ttl_us) // 1000 + 1
+            if expires > state.getCurrentWatermarkMs():
+                state.update(entry)
+                state.setTimeoutTimestamp(expires)
+            elif state.exists:
+                state.remove()
+
+    return fold
+
+
+def ttl_store_stream(pages: DataFrame, requests: DataFrame, ttl_seconds: int = ST.DEFAULT_TTL_SECONDS,
+                     renderer_available: bool = False, delay: str = "1 hour") -> DataFrame:
+    """K4: the store as keyed state. ``pages`` (``cache_key, cached_at, source``)
+    and ``requests`` (``cache_key, request_id`` long, ``requested_at``) are
+    streams; a request sees what was written to its page up to its time, also after
+    the query began, and an entry older than the TTL is a miss. Within a micro-batch
+    a page's rows count by time, writes first. The watermark is ``delay`` behind
+    the newest row: the state forgets an entry when the watermark has passed its
+    expiry, and rows that come later than the watermark are left out."""
+    no_request, no_source = F.lit(None).cast("long").alias("request_id"), F.lit(None).cast("string").alias("source")
+    both = pages.select("cache_key", F.col("cached_at").alias("at"), no_request, "source").unionByName(
+        requests.select("cache_key", F.col("requested_at").alias("at"), F.col("request_id").cast("long").alias("request_id"), no_source))
+    timed = both.withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
+    return timed.groupBy("cache_key").applyInPandasWithState(
+        _ttl_fold(ttl_seconds * 1_000_000, renderer_available), TTL_OUT_SCHEMA, _ENTRY, "append", GroupStateTimeout.EventTimeTimeout)
