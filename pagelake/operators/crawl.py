@@ -61,7 +61,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
           allow: Sequence[str] = (), deny: Sequence[str] = (), rules: Sequence[tuple[str, str]] = (),
           same_host: bool = True, checkpoint: bool = True, num_partitions: int | None = None,
           store: DataFrame | None = None, now=None, ttl_seconds: int = 72 * 3600,
-          renderer_available: bool = False, expand_hits: bool = True) -> DataFrame:
+          renderer_available: bool = False, expand_hits: bool = True, seed_host: str | None = None) -> DataFrame:
     """M5 over tables.
 
     ``seeds``: ``url``. ``edges``: ``src_url, dst_url`` — the links of the
@@ -88,8 +88,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         ensure_checkpoint_dir(spark)   # the cluster's shared folder (spark.checkpoint.dir)
     levels = _Levels(checkpoint)
     spread = (lambda df, key: df.repartition(num_partitions, key)) if num_partitions else (lambda df, key: df.repartition(key))
-    seed_host = None
-    if same_host:
+    if same_host and seed_host is None:
         # the seed host is taken BEFORE rewriting (T9); a seed list is small
         hosts = seeds.select(U.hostname("url").alias("h")).distinct().limit(2).collect()
         if len(hosts) != 1 or hosts[0].h is None:

@@ -288,6 +288,25 @@ def page_fold(nodes: DataFrame, fold: Callable[[Page], Iterable[tuple]], schema:
     return nodes.select(*_FOLDED).mapInArrow(run, schema)
 
 
+def parse_fold(pages: DataFrame, fold: Callable[[Page], tuple], schema: str, html_col: str = "html") -> DataFrame:
+    """Parse and fold in one pass: ``pages`` without its HTML, with the columns
+    (``schema``, DDL) of the one row that ``fold`` gives for each page. For jobs
+    that need a page's results once, and its nodes never: no node rows, no join,
+    no shuffle, and a page may have any key. A null or empty page has no nodes."""
+    kept = [c for c in pages.columns if c != html_col]
+    added = T.StructType.fromDDL(schema)
+    out_schema = T.StructType([pages.schema[c] for c in kept] + added.fields)
+    types = to_arrow_schema(added).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [fold(page_of(parse_html(h.as_py()))) for h in b.column(html_col)]
+            new = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + new, names=out_schema.names)
+
+    return pages.mapInArrow(run, out_schema)
+
+
 def in_page_order(nodes: DataFrame) -> DataFrame:
     """A stored or shuffled node table with each page's rows together and in
     order again (one shuffle by page; ids of pages must be unique)."""

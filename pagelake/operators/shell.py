@@ -171,33 +171,37 @@ def verdicts(found: DataFrame, pages: DataFrame, extra_markers: Sequence[str] |
              html_col: str = "html", also: Sequence[str] = ()) -> DataFrame:
     """J10 from a page's signals and its HTML; ``also`` are columns of
     ``found`` to hand on."""
-    extra = clean_markers(extra_markers)
-    lower = F.lower(F.col(html_col))
-    marks = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        (_any_contains(lower, SPA_MARKERS) | _any_contains(lower, extra)).alias("spa_marker"),
-        (_any_contains(lower, CLIENT_RENDER_MARKERS) | _any_contains(lower, extra)).alias("client_marker"),
-        _any_contains(lower, APP_SHELL_MARKERS).alias("app_marker"),
-    )
+    marks = pages.select(F.col("page_id").cast("long").alias("page_id"), markers(html_col, extra_markers).alias("_marks"))
     sig = found.join(marks, "page_id", "right")
-    vis_bytes = F.coalesce("vis_bytes", F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sig.select("page_id", verdict("_marks").alias("js_detection"), zero("vis_bytes"), zero("meaningful_blocks"),
+                      zero("script_bytes"), *also)
+
+
+def markers(html_col: str = "html", extra_markers: Sequence[str] | None = None) -> Column:
+    """What the HTML itself says: struct of spa, client, app."""
+    extra, lower = clean_markers(extra_markers), F.lower(F.col(html_col))
+    return F.struct((_any_contains(lower, SPA_MARKERS) | _any_contains(lower, extra)).alias("spa"),
+                    (_any_contains(lower, CLIENT_RENDER_MARKERS) | _any_contains(lower, extra)).alias("client"),
+                    _any_contains(lower, APP_SHELL_MARKERS).alias("app"))
+
+
+def verdict(marks: str) -> Column:
+    """J10 from the columns of SIGNALS and a column of ``markers``."""
+    vis_bytes, script = F.coalesce("vis_bytes", F.lit(0)), F.coalesce("script_bytes", F.lit(0))
     denom = F.greatest(vis_bytes, F.lit(1))
-    script = F.coalesce("script_bytes", F.lit(0))
-    loading = F.coalesce("loading", F.lit(False))
-    verdict = (
+    m = F.col(marks)
+    return (
         F.when(vis_bytes >= STATIC_MIN_BYTES,
-               F.when(loading, "likely_shell")
-               .when((script > denom * HIGH_TEXT_SCRIPT_RATIO) & F.col("client_marker"), "likely_shell")
+               F.when(F.coalesce("loading", F.lit(False)), "likely_shell")
+               .when((script > denom * HIGH_TEXT_SCRIPT_RATIO) & m["client"], "likely_shell")
                .otherwise("static"))
         .when(F.coalesce("meaningful_blocks", F.lit(0)) > 2, "ambiguous")
         .when(F.coalesce("noscript_js", F.lit(False)) | F.coalesce("body_js", F.lit(False))
-              | F.col("spa_marker") | F.col("app_marker") | (script > denom * LOW_TEXT_SCRIPT_RATIO),
+              | m["spa"] | m["app"] | (script > denom * LOW_TEXT_SCRIPT_RATIO),
               "likely_shell")
         .otherwise("ambiguous")
     )
-    return sig.select("page_id", verdict.alias("js_detection"), vis_bytes.alias("vis_bytes"),
-                      F.coalesce("meaningful_blocks", F.lit(0)).alias("meaningful_blocks"),
-                      script.alias("script_bytes"), *also)
 
 
 def fetch_source(js_detection: Column | str, renderer_available: bool = False) -> Column:

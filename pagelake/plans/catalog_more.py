@@ -248,3 +248,86 @@ def event_frames(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit("event: a\ndata: "), "lang", F.lit("\ndata:"), "source", F.lit("\n\nevent: b\ndata: "), "source", F.lit("\n"))
     frames = read_table(spark, sf, "documents").select("doc_id", F.posexplode(BL.event_data(body)).alias("pos", "f"))
     return frames.select("doc_id", "pos", "f.event", "f.data")
+
+
+# --- M5 from snapshots, K3, K4 ----------------------------------------------------
+
+_SITE = "https://crawl.example.com"
+
+
+@register("crawl_from_pages", f"""
+WITH p AS (SELECT page_id AS id, page_id % 10 AS d, page_id % 13 = 5 AS gone, page_id % 17 = 3 AS pdf, page_id % 3 AS stored FROM pages),
+v AS (SELECT * FROM p WHERE d <= 4 AND NOT EXISTS (
+  SELECT 1 FROM p q WHERE q.id < p.id AND q.id >= p.id - p.d AND (q.gone OR q.pdf)) AND (SELECT count(*) FROM p q WHERE q.id < p.id AND q.id >= p.id - p.d) = p.d)
+SELECT '{_SITE}/p/' || id AS url, CAST(d AS INTEGER) AS depth, CASE WHEN d = 0 THEN 'sitemap' ELSE 'link' END AS source,
+  CASE WHEN stored = 0 THEN 'unchanged' WHEN gone OR pdf THEN NULL WHEN stored = 1 THEN 'changed' ELSE 'new' END AS status,
+  CASE WHEN stored = 0 THEN 'Stored' WHEN gone OR pdf THEN NULL ELSE 'Page ' || id END AS title,
+  CASE WHEN stored = 0 THEN NULL WHEN gone THEN 'not_found' WHEN pdf THEN 'precondition' END AS error_kind
+FROM v
+""")
+def crawl_from_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: from a sitemap over snapshots, four levels of links: pages, missing
+    ones and documents as error rows, fresh, stale and new entries of a store."""
+    from ..functions.text import cache_key, content_hash
+    from ..sources import snapshots as SN
+    ids = _pages(spark, sf).select("page_id", F.concat(F.lit(f"{_SITE}/p/"), F.col("page_id").cast("string")).alias("url"))
+    gone, pdf = F.col("page_id") % 13 == 5, F.col("page_id") % 17 == 3
+    html = F.concat(F.lit("<title>Page "), F.col("page_id").cast("string"), F.lit("</title><p>Some text.</p><a href='/p/"),
+                    (F.col("page_id") + 1).cast("string"), F.lit("?utm_source=x#part'>next</a><a href='https://other.example.com/'>away</a>"))
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    pages = ids.select("url", F.when(gone, 404).otherwise(200).alias("status"), F.when(pdf, "application/pdf").otherwise("text/html").alias("content_type"),
+                       html.alias("body"), at.alias("fetched_at"))
+    loc = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))
+    maps = ids.where(F.col("page_id") % 10 == 0).groupBy(F.floor(F.col("page_id") / 1000).alias("m")).agg(F.array_join(F.sort_array(F.collect_list(loc)), "").alias("x"))
+    maps = maps.select(F.concat(F.lit(f"{_SITE}/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), F.lit(200).alias("status"),
+                       F.lit("application/xml").alias("content_type"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"), at.alias("fetched_at"))
+    fresh = F.when(F.col("page_id") % 3 == 0, "2024-05-01 00:00:00").otherwise("2024-01-01 00:00:00").cast("timestamp")
+    store = ids.where(F.col("page_id") % 3 < 2).select(
+        cache_key(F.col("url")).alias("cache_key"), "url", fresh.alias("cached_at"), F.lit("http").alias("source"), F.lit("Stored").alias("title"),
+        F.lit("old").alias("markdown"), content_hash(F.lit("old")).alias("content_hash"))
+    out = CP.crawl_snapshots(maps.select("url"), SN.prepare_snapshots(pages.unionByName(maps)), max_depth=4, sitemap=True, store=store,
+                             now=F.lit("2024-05-02 00:00:00").cast("timestamp"))
+    return out.select("url", F.col("depth").cast("int").alias("depth"), "source", "status", "title", "error_kind")
+
+
+@register("host_history_stream", """
+SELECT event_id AS seq, CAST(count(*) OVER w AS BIGINT) AS prior_total,
+  CAST(coalesce(sum(CASE WHEN event_type = 'error' OR user_id < 10 THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS prior_shells
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def host_history_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the arrivals in two micro-batches, before and after a day; each row's
+    history counts all before it."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hosts-{uuid.uuid4().hex}"
+    arrivals = D.arrivals(read_table(spark, sf, "events")).select("host", "bucket", "at", "seq", "is_shell")
+    split = F.expr(f"TIMESTAMP '{D.UPSERT_SPLIT}'")
+    for part in (F.col("at") < split, F.col("at") >= split):
+        arrivals.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(arrivals.schema).parquet(f"{root}/in")
+        K.host_history_stream(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out/history").select("seq", "prior_total", "prior_shells")
+
+
+@register("ttl_stream", """
+WITH w AS (SELECT user_id, ts, CASE WHEN user_id % 10 = 0 THEN 'http_shell' ELSE 'http' END AS source FROM events WHERE event_type IN ('view', 'click')),
+r AS (SELECT event_id, user_id, ts FROM events WHERE event_type NOT IN ('view', 'click'))
+SELECT r.event_id AS request_id, w.ts IS NOT NULL AND epoch_us(r.ts) - epoch_us(w.ts) <= 86400000000 AND w.source <> 'http_shell' AS hit
+FROM r ASOF LEFT JOIN (SELECT DISTINCT * FROM w) w ON r.user_id = w.user_id AND r.ts >= w.ts
+""")
+def ttl_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: page writes and requests as two streams; a request hits the latest
+    write before it if that is a day old at most and no shell."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ttl-{uuid.uuid4().hex}"
+    events = read_table(spark, sf, "events")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("cache_key")
+    write = F.col("event_type").isin("view", "click")
+    source = F.when(F.col("user_id") % 10 == 0, "http_shell").otherwise("http").alias("source")
+    at = F.timestamp_micros(ST.epoch_micros(events, "ts"))
+    pages, asks = events.where(write).select(key, at.alias("cached_at"), source), events.where(~write).select(key, F.col("event_id").alias("request_id"), at.alias("requested_at"))
+    for name, df in (("pages", pages), ("asks", asks)):
+        df.write.parquet(f"{root}/{name}")
+    stream = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{root}/{name}")
+    out = K.ttl_store_stream(stream("pages", pages), stream("asks", asks), ttl_seconds=86400, delay="3650 days")
+    query = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("request_id", "hit")

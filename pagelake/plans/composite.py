@@ -6,12 +6,15 @@
   lookup (D2) → misses ⟕ snapshots → ``llms.txt`` shortcut for bare
   domains (D8) → refinement (J13) → new store rows (B4); errors are rows;
   input order kept (G8).
+* ``crawl_snapshots`` (M5): sitemap or seeds → each snapshot parsed once for
+  page and links → levels (``operators.crawl``) → store → one row per address.
 * ``extract_html`` (M6): selector extraction (J4) or refinement, after
   input validation (C21).
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,7 @@ from ..operators import extract as X
 from ..operators import nodes as N
 from ..operators import shell as SH
 from ..operators import store as ST
+from ..session import ensure_checkpoint_dir
 
 
 def enrich_results(results: DataFrame, pages: DataFrame, rules: Sequence[tuple[str, str]] = (),
@@ -134,13 +138,10 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     fetched = fetched.withColumn("err", err).withColumn("kind", kind)
 
     html_rows = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & X.is_html_type(F.col("ctype")))
-    pages = html_rows.select(F.col("input_pos").cast("long").alias("page_id"), F.col("fetch_url").alias("url"), "html")
-    # one pass over each page's nodes gives its title, markdown and shell signals
-    seen = N.page_fold(N.html_nodes(pages.select("page_id", "html")), lambda page: [X.refined(page) + SH.signals(page)],
-                       f"page_id BIGINT, {X.REFINED}, {SH.SIGNALS}")
-    judged = SH.verdicts(seen, pages.select("page_id", "html"), also=("title", "markdown"))
-    html_out = judged.select(F.col("page_id").alias("input_pos"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "markdown")],
-                             SH.fetch_source("js_detection", renderer_available).alias("source"))
+    # one pass over each page gives its title, markdown and shell signals
+    marked = html_rows.select("input_pos", "html", SH.markers().alias("_marks"))
+    seen = N.parse_fold(marked, lambda page: X.refined(page) + SH.signals(page), f"{X.REFINED}, {SH.SIGNALS}")
+    html_out = seen.select("input_pos", "title", "markdown", SH.fetch_source(SH.verdict("_marks"), renderer_available).alias("source"))
     if converter is not None:
         docs = fetched.filter(F.col("err").isNull() & F.col("llms_body").isNull() & (F.col("ctype") == "application/pdf"))
         converted = converter(docs.select("input_pos", "fetch_url", "ctype", "html")).select(
@@ -169,6 +170,100 @@ def scrape_batch(urls: DataFrame, snapshots: DataFrame, store: DataFrame | None,
     return results, delta
 
 
+def crawl_snapshots(seeds: DataFrame, snapshots: DataFrame, max_depth: int = 3, allow: Sequence[str] = (), deny: Sequence[str] = (),
+                    rules: Sequence[tuple[str, str]] = (), sitemap: bool = False, store: DataFrame | None = None, now: Column | None = None,
+                    ttl_seconds: int = ST.DEFAULT_TTL_SECONDS, renderer_available: bool = False, expand_hits: bool = True) -> DataFrame:
+    """M5 over snapshots (A3 rows): a row per visited address: ``url, depth,
+    source`` (``seed``, ``sitemap`` or ``link``), ``status`` (``new``, ``changed``,
+    ``unchanged``), ``title, markdown, content_hash, fetch_source, error,
+    error_kind``. ``seeds`` (``url``) are pages, or with ``sitemap`` sitemaps,
+    whose pages are then level 0.
+
+    Snapshots outside of the crawl's host and patterns are dropped by their
+    address; each of the others is parsed ONCE, in the pass that reads it, for its
+    page (J13) and its links (J3), and what is needed of it is written; levels then
+    join narrow edges only. A page without a snapshot, with an error status or of
+    a type that isn't a page is an error row. With a ``store`` (D2), a fresh
+    entry is ``unchanged`` and keeps its content; a page that was stored with another
+    content hash is ``changed`` (T8), with the same ``unchanged``. A snapshot of 304
+    leaves the stored page (``unchanged``), however old."""
+    from ..operators import crawl as CR
+    from ..sources.sitemap import read_sitemap
+
+    spark = seeds.sparkSession
+    if sitemap:
+        hosts = [r.h for r in seeds.select(U.hostname("url").alias("h")).distinct().limit(2).collect()]
+        starts = read_sitemap(snapshots, seeds).select("url").distinct()
+    else:
+        hosts, starts = [r.h for r in seeds.select(U.hostname("url").alias("h")).distinct().limit(2).collect()], seeds.select("url")
+    if len(hosts) != 1 or hosts[0] is None:
+        raise ValueError("a crawl needs seeds of one host")
+    U.validate_rules(rules)
+    U.validate_deny(deny)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    # addresses first: narrow rows, written so that their keys are computed once
+    keys = kept(snapshots.select("url").distinct().withColumn("key", U.normalize_url(F.col("url"))), "keys")
+    keys = keys.where(U.passes_filters(F.col("key"), hosts[0], allow, deny))
+    snap = latest_snapshots(snapshots.join(keys, "url").drop("url").withColumnRenamed("key", "url")).withColumn("html", F.col("body").cast("string")).drop("body")
+    ctype = X.content_type(F.col("content_type"), F.col("html").cast("binary"))
+    snap = snap.withColumn("ctype", ctype)
+    bad = (F.when(F.col("status") == 304, F.lit("not modified, and no page stored")).when(F.col("error").isNotNull(), F.col("error"))
+           .when(F.col("ctype") == "application/pdf", F.lit("PDF needs a document converter"))
+           .when(~X.is_html_type(F.col("ctype")) & ~F.col("ctype").startswith("text/"), F.concat(F.lit("unsupported content type "), F.col("ctype"))))
+    kind = (F.when(F.col("status") == 304, F.lit("not_found")).when(F.col("error").isNotNull(), F.col("error_kind"))
+            .when(F.col("ctype") == "application/pdf", F.lit("precondition")).when(F.col("_bad").isNotNull(), F.lit("validation")))
+    snap = snap.withColumn("_bad", bad).select(
+        "url", "not_modified", F.col("_bad").alias("error"), kind.alias("error_kind"), SH.markers().alias("_marks"),
+        (F.col("_bad").isNull() & X.is_html_type(F.col("ctype"))).alias("is_html"), "html")
+
+    def page(p: N.Page) -> tuple:
+        links = [p.attrs[i]["href"] for i, tag in enumerate(p.tag) if tag == "a" and "href" in p.attrs[i]]
+        return X.refined(p) + SH.signals(p) + (links,)
+
+    parsed = N.parse_fold(snap.where("is_html"), page, f"{X.REFINED}, {SH.SIGNALS}, links ARRAY<STRING>")
+    parsed = parsed.select("url", "not_modified", "error", "error_kind", "title", "markdown", "links",
+                           SH.fetch_source(SH.verdict("_marks"), renderer_available).alias("fetch_source"))
+    plain = snap.where("NOT is_html").select(
+        "url", "not_modified", "error", "error_kind", F.lit("").alias("title"), F.when(F.col("error").isNull(), F.col("html")).alias("markdown"),
+        F.array().cast("array<string>").alias("links"), F.lit("http").alias("fetch_source"))
+    # an address is taken apart once for all its links
+    pages = kept(parsed.unionByName(plain).withColumns({"content_hash": content_hash(F.col("markdown")), "_rb": U.url_parts(F.col("url"))}), "pages")
+    hrefs = pages.select(F.col("url").alias("src_url"), "_rb", F.explode("links").alias("href")).where(U.link_candidate("href"))
+    found = U.with_resolved(hrefs, "src_url", "href", "dst_url")
+    edges = kept(found.where(F.col("dst_url").isNotNull() & F.col("_web")).select("src_url", "dst_url"), "edges")
+
+    seen = CR.crawl(starts, edges, max_depth=max_depth, allow=allow, deny=deny, rules=rules, store=store, now=now, ttl_seconds=ttl_seconds,
+                    renderer_available=renderer_available, expand_hits=expand_hits, seed_host=hosts[0])
+    out = seen.join(pages.drop("links", "_rb"), "url", "left")
+    fresh = F.col("status") == "unchanged"
+    if store is not None:
+        st = ST.latest_per_key(store, ["cached_at", "source", "title", "markdown", "content_hash"]).select(
+            "cache_key", F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("title", "markdown", "content_hash")])
+        out = out.withColumn("cache_key", cache_key(F.col("url"))).join(st, "cache_key", "left")
+        same = F.coalesce(F.col("not_modified"), F.lit(False)) & F.col("_content_hash").isNotNull()
+        out = out.withColumn("_kept", fresh | same)
+        for c in ("title", "markdown", "content_hash"):
+            out = out.withColumn(c, F.when(F.col("_kept"), F.col(f"_{c}")).otherwise(F.col(c)))
+        out = out.withColumn("fetch_source", F.when(F.col("_kept"), F.col("_source")).otherwise(F.col("fetch_source")))
+        status = (F.when(F.col("_kept") | (F.col("_content_hash") == F.col("content_hash")), F.lit("unchanged"))
+                  .when(F.col("_content_hash").isNotNull(), F.lit("changed")).otherwise(F.lit("new")))
+    else:
+        out, status = out.withColumn("_kept", F.lit(False)), F.lit("new")
+    missing = F.col("fetch_source").isNull()
+    error = F.when(~F.col("_kept"), F.when(missing, F.lit("no snapshot for URL")).otherwise(F.col("error")))
+    kind = F.when(~F.col("_kept"), F.when(missing, F.lit("not_found")).otherwise(F.col("error_kind")))
+    out = out.select("url", "depth", F.when((F.col("depth") == 0) & F.lit(sitemap), F.lit("sitemap")).otherwise(F.col("source")).alias("source"),
+                     status.alias("status"), "title", "markdown", "content_hash", "fetch_source", error.alias("error"), kind.alias("error_kind"))
+    return out.select("url", "depth", "source", F.when(F.col("error").isNull(), F.col("status")).alias("status"),
+                      *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("title", "markdown", "content_hash", "fetch_source")],
+                      "error", "error_kind")
+
+
 def extract_html(df: DataFrame, selector: str | None = None, trim: bool = False, max_chars: int = 0,
                  url_col: str = "url", max_bytes: int = X.MAX_INPUT_BYTES) -> DataFrame:
     """M6: validated input (C21; ``max_bytes`` 0 lifts the size limit) → selector
