@@ -10,9 +10,11 @@ one row a block. ``at`` holds block and place in one number, as narrow rows
 are what the shuffle's size hangs on.
 
 Both read the documents by themselves, which is cheaper than writing word
-places. They must see the same partitions, so ``docs`` has to be a table scan
-(or otherwise deterministic); ``restore`` raises if a block's words and texts
-don't belong together.
+places. They must see the same rows in the same partitions, also when a task is
+run again, so ``docs`` has to go through ``stable`` first: anything but a scan
+of files could come in another order from behind a shuffle. ``restore`` also
+raises if a block's words and texts differ in number; it can't see texts that
+changed in place and kept their number of words.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.common import doc_texts
+from pagelake.llm.common import doc_texts, written
 
 BLOCK_CHARS = 32_000_000
 
@@ -37,6 +39,22 @@ BLOCK_CHARS = 32_000_000
 #: partition has the rest.
 PLACE_BITS, NUMBER_BITS = 27, 14
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` as every task reads them again: ``docs`` where it is
+    a scan of files with projections and filters, a written copy otherwise."""
+    texts = doc_texts(docs)
+    nodes = [texts._jdf.queryExecution().optimizedPlan()]
+    if not nodes[0].deterministic():
+        return written(texts)
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation") or "Relation [" not in node.toString():
+            return written(texts)
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return texts
+
+
 #: Splits a text into words; the words are bytes.
 Split = Callable[[str], list[bytes]]
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelake.llm.blocks import BUNDLE, block_texts, block_words, bundled, restore
+from pagelake.llm.blocks import BUNDLE, block_texts, block_words, bundled, restore, stable
 from pagelake.llm.tokens import ID, default_path, encoder, loaded
 
 _BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
@@ -66,6 +66,8 @@ def word_table(words: DataFrame, path: str, bundle: bool = False) -> DataFrame:
 
 
 def _restored(docs: DataFrame, path: str, finish: Finish, schema: T.StructType) -> DataFrame:
+    docs = stable(docs)
+
     def gather(rows: pa.Table, doc_ids: pa.Array, lengths: np.ndarray, places: np.ndarray) -> pa.Table:
         column = pa.concat_arrays(rows.column("ids").chunks) if rows.num_rows else pa.array([], pa.binary())
         size = pc.binary_length(column).to_numpy().astype(np.int64) // ID.itemsize

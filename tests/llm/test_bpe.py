@@ -48,6 +48,19 @@ def test_changed_documents_are_noticed(spark):
         blocks.restore(words, blocks.block_texts(other, bpe.split), use, words.schema).collect()
 
 
+def test_only_scans_of_files_are_read_twice(spark):
+    """A text of as many words that comes otherwise the second time can't happen:
+    what isn't a scan is written first."""
+    docs = sf_docs(spark)
+    scan = docs.where("doc_id >= 0").withColumn("text", F.upper("text"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" in blocks.stable(scan).inputFiles()[0] and "upper" in plan(blocks.stable(scan))
+    changing = docs.withColumn("text", F.concat_ws(" ", F.lit("alpha"), (F.rand() * 1e9).cast("int").cast("string")))
+    for moved in (docs.repartition(3), docs.unionByName(docs), docs.join(docs.select("doc_id"), "doc_id"), docs.orderBy("text"), changing):
+        once = blocks.stable(moved)
+        assert all("llm-" in f for f in once.inputFiles()) and once.columns == ["doc_id", "text"]
+
+
 def test_packed_places_come_back():
     rng = np.random.default_rng(0)
     for top in (1, 199, 201, 14_000, 15_000, 1 << 20, 1 << 27):
