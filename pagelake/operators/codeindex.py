@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import ascii_grams, required_literal, term_grams
+from ..session import spread
 from . import codegrep as CG
 
 #: Characters of text that a block holds, about.
@@ -56,7 +57,7 @@ def build(files: DataFrame, root: str, block_chars: int = BLOCK_CHARS) -> None:
     dealt = files.withColumn("file", _file(files)).withColumn("block", F.pmod(F.col("file"), F.lit(blocks)))
     dealt.limit(0).write.parquet(f"{root}/schema")   # of tables without a row, too
     dealt.hint("rebalance", "block").write.partitionBy("block").parquet(f"{root}/files")
-    stored = _files(spark, root)
+    stored = spread(_files(spark, root).select("block", "file", "text"))
     pairs = stored.select("block", "file", F.explode(ascii_grams(F.col("text"), GRAM)).alias("gram"))
     # a gram that a third of all files hold is one key: the rebalance splits it
     dealt_pairs = pairs.withColumn("bucket", _bucket(F.col("gram"))).hint("rebalance", "bucket")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -62,6 +62,13 @@ def parse_cookie_lines(lines: DataFrame, now: Column, line_col: str = "line",
         name.alias("name"), F.get(f, 6).alias("value"), status.alias("status"))
 
 
+def read_cookies(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """The cookies of a jar file or folder, ``jar_ord`` rising with the
+    lines; other columns as of ``parse_cookie_lines``."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    return parse_cookie_lines(lines, now)
+
+
 def go_trim_eq(c: Column) -> Column:
     from ..functions.text import go_trim
     return go_trim(c) == c

@@ -27,15 +27,12 @@ def health_rollup(checks: DataFrame) -> DataFrame:
     """``surface, backend, status, detail, required`` per pool."""
     c = checks.withColumn("_p", _priority("status"))
     g = c.groupBy("surface", "backend").agg(
-        F.max_by("status", "_p").alias("status"),
-        F.max("_p").alias("_w"),
-        F.collect_list(F.struct("key_ord", "n_keys", "_p", "detail")).alias("_rows"),
-        F.count("*").alias("_n"),
-        F.bool_or("required").alias("required"),
-    )
-    worst = F.filter(F.array_sort("_rows"), lambda r: (r["_p"] == F.col("_w")) & F.coalesce(r["detail"] != "",
-                                                                                          F.lit(False)))
-    details = F.array_join(F.transform(worst, lambda r: F.format_string("key %d of %d: %s", r["key_ord"],
+        F.max_by("status", "_p").alias("status"), F.max("_p").alias("_w"), F.count("*").alias("_n"), F.bool_or("required").alias("required"))
+    # only rows that the detail names are gathered
+    worst = (c.where(F.col("detail") != "").join(g.select("surface", "backend", F.col("_w").alias("_p")), ["surface", "backend", "_p"])
+             .groupBy("surface", "backend").agg(F.array_sort(F.collect_list(F.struct("key_ord", "n_keys", "detail"))).alias("_rows")))
+    g = g.join(worst, ["surface", "backend"], "left").withColumn("_rows", F.coalesce("_rows", F.array()))
+    details = F.array_join(F.transform("_rows", lambda r: F.format_string("key %d of %d: %s", r["key_ord"],
                                                                         r["n_keys"], r["detail"])), "; ")
     detail = (F.when(details != "", details)
               .when((F.col("status") == "ok") & (F.col("_n") > 1), F.format_string("%d keys accepted", F.col("_n")))

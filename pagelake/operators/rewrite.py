@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.literals import ascii_grams, required_literal
+from ..session import ensure_checkpoint_dir
 
 #: Rules without a required text that one row of the join carries.
 OPEN_BLOCK = 256
@@ -37,7 +38,7 @@ def _compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 pattern = U.Pattern(match)
             except ValueError as e:
                 raise ValueError(f"url_rewrites[{at}]: {e}") from e
-            rows.append((at, pattern.java, U._go_replacement(replace or "", pattern), required_literal(match)))
+            rows.append((at, pattern.java, U._go_replacement(replace, pattern), required_literal(match)))
         yield pd.DataFrame(rows, columns=["rule_ord", "java", "rep", "literal"])
 
 
@@ -45,10 +46,12 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     """``rule_ord, java, rep, literal``: the engine's form of every rule. A
     pattern that does not compile fails the job that reads the rules, whether
     or not a URL would reach it. A rule whose order or pattern is null is no
-    rule; a null replacement is empty."""
+    rule; a null replacement is empty. Of rules with the same pattern the first
+    is kept, as the others never count."""
     known = rules.select(F.col("rule_ord").cast("long").alias("rule_ord"), F.col("match").cast("string").alias("match"),
-                         F.col("replace").cast("string").alias("replace")).dropna(subset=["rule_ord", "match"])
-    made = known.mapInPandas(_compiled, _COMPILED)
+                         F.coalesce(F.col("replace").cast("string"), F.lit("")).alias("replace")).dropna(subset=["rule_ord", "match"])
+    first = known.groupBy("match").agg(F.min(F.struct("rule_ord", "replace")).alias("r"))
+    made = first.select("r.rule_ord", "match", "r.replace").mapInPandas(_compiled, _COMPILED)
     # a pattern that matches the empty text requires none; asking compiles each
     return made.withColumn("literal", F.when(F.rlike(F.lit(""), F.col("java")), F.lit("")).otherwise(F.col("literal")))
 
@@ -77,7 +80,8 @@ def rewrite_by_table(urls: DataFrame, rules: DataFrame, url_col: str = "url") ->
     left as they are with a null ``rule_ord``. Rows that repeat a URL all stay."""
     if url_col in ("fetch_url", "rule_ord"):
         raise ValueError(f"{url_col} names a column of the result")
-    compiled = compile_rules(rules)
+    ensure_checkpoint_dir(urls.sparkSession)
+    compiled = compile_rules(rules).checkpoint()   # read three times
     open_rules = compiled.where(F.length("literal") < SHORT)
     n_open = open_rules.count()
     distinct = urls.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()

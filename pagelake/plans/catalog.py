@@ -689,4 +689,4 @@ def page_selector_counts(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in wanted])
 
 
-from . import catalog_html, catalog_more  # noqa: E402,F401  (register their queries)
+from . import catalog_html, catalog_io, catalog_more  # noqa: E402,F401  (register their queries)
