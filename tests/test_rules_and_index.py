@@ -96,6 +96,9 @@ def test_a_search_reads_the_blocks_that_it_needs(spark, index):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
+    none = spark.read.parquet(f"{root}/files").where("path IN ('empty', 'null', 'two')").select("block", "file")
+    posted = spark.read.parquet(f"{root}/postings").select("block", F.explode("files").alias("file"), "gram")
+    assert none.count() == 3 and posted.join(none, ["block", "file"]).count() == 0 and posted.count() == posted.distinct().count()
     assert term_grams("abcab", 3) == ["abc", "bca", "cab"]
 
 
@@ -103,7 +106,7 @@ def test_a_search_reads_the_blocks_that_it_needs(spark, index):
 def index(spark, tmp_path_factory):
     files = spark.createDataFrame(FILES, "repo string, path string, language string, text string")
     root = str(tmp_path_factory.mktemp("index") / uuid.uuid4().hex)
-    CI.build(files, root, block_chars=1000)
+    CI.build(files.repartition(7), root)
     return root, files
 
 
