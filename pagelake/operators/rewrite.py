@@ -8,6 +8,9 @@ rules by an equi join on their grams, and the pattern is tried on what shares
 a gram and contains the whole text. Rules that require no text of three
 characters must be tried on every URL: they are tried in blocks of
 ``OPEN_BLOCK``, however many there are.
+
+Joins with grams name their strategy: the engine takes what ``explode`` gives for
+no larger than what it is given, and would broadcast every gram of every URL.
 """
 
 from __future__ import annotations
@@ -66,8 +69,8 @@ def _keyed(rules: DataFrame, urls: DataFrame) -> DataFrame:
     own = F.when(F.length("literal") >= LONG, ascii_grams(F.col("literal"), LONG)).otherwise(ascii_grams(F.col("literal"), SHORT))
     pairs = rules.select("*", F.explode(own).alias("gram"))
     wanted = pairs.select("gram").distinct()
-    held = urls.select(F.explode(_grams(F.col("_url"))).alias("gram")).join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    best = pairs.join(held, "gram", "left").groupBy("rule_ord", "java", "rep", "literal").agg(
+    held = urls.select(F.explode(_grams(F.col("_url"))).alias("gram")).join(wanted.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    best = pairs.join(held.hint("shuffle_hash"), "gram", "left").groupBy("rule_ord", "java", "rep", "literal").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
     return best.where("best.n > 0").select("rule_ord", "java", "rep", "literal", "best.gram")
 
@@ -87,14 +90,18 @@ def rewrite_by_table(urls: DataFrame, rules: DataFrame, url_col: str = "url") ->
     distinct = urls.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     keyed = _keyed(compiled.where(F.length("literal") >= SHORT), distinct)
     rule = F.struct("rule_ord", "java", "rep").alias("rule")
-    found = (distinct.select("_url", F.explode(_grams(F.col("_url"))).alias("gram")).join(keyed, "gram")
+    found = (distinct.select("_url", F.explode(_grams(F.col("_url"))).alias("gram")).join(keyed.hint("merge"), "gram")
              .where(F.contains(F.lower("_url"), F.col("literal"))).where(F.rlike("_url", "java"))
              .select("_url", rule))
     if n_open:
         blocks = -(-n_open // OPEN_BLOCK)
         dealt = open_rules.withColumn("_b", F.pmod(F.xxhash64("rule_ord", "java", "rep"), F.lit(blocks)))
         packed = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("rule_ord", "java", "rep"))).alias("_rules"))
-        tried = distinct.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_b")
+        # few blocks are copied to as many shares of the URLs as there are partitions
+        shares = max(1, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        tried = distinct.withColumn("_s", F.pmod(F.xxhash64("_url"), F.lit(shares))).withColumn("_b", upto(blocks)).join(
+            packed.withColumn("_s", upto(shares)).hint("merge"), ["_b", "_s"])
         first = F.get(F.filter("_rules", lambda r: F.rlike(F.col("_url"), r["java"])), 0)
         found = found.unionByName(tried.select("_url", first.alias("rule")).where(F.col("rule").isNotNull()))
     best = found.groupBy("_url").agg(F.min("rule").alias("_rule"))

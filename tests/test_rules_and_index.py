@@ -116,3 +116,14 @@ def test_an_index_of_no_files(spark, tmp_path):
     assert CI.search(spark, str(tmp_path / "none"), "find").count() == 0
     with pytest.raises(ValueError):
         CI.build(files.withColumn("block", F.lit(1)), str(tmp_path / "clash"))
+
+
+def test_grams_of_urls_are_never_broadcast(spark, tmp_path):
+    # a table of a few bytes a URL, whose grams are a hundred times as much
+    urls = spark.range(200).select(F.concat(F.lit("https://site.example.com/a/long/path/of/page/"), F.col("id").cast("string")).alias("url"))
+    urls.write.parquet(f"{tmp_path}/urls")
+    rules = spark.createDataFrame([(1, r"page/1(\d)$", "first/$1"), (2, "[0-9]$", "$0/")], RULES)
+    out = RW.rewrite_by_table(spark.read.parquet(f"{tmp_path}/urls"), rules)
+    assert not [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin [gram" in x or "BroadcastHashJoin [_b" in x]
+    got = {r.url.rsplit("/", 1)[1]: (r.fetch_url.split("/page/")[-1].split(".com/a/long/path/of/")[-1], r.rule_ord) for r in out.collect()}
+    assert len(got) == 200 and got["15"] == ("first/5", 1) and got["150"] == ("150/", 2)
