@@ -40,3 +40,10 @@ def test_no_cross_joins_anywhere(spark):
             continue  # eager levels; checked by its own test
         plan = _plan(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_pages_of_orders_are_never_built_by_broadcast(spark):
+    from pagelake.plans import catalog_html as H
+    pages = H._order_pages(spark, SF, {"li": lambda x, i: H._text(i)}, H._text(H.F.col("li")))
+    assert "Broadcast" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in _plan(spark, "selector_kinds")
