@@ -337,3 +337,24 @@ def test_an_article_split_over_sections_is_whole(spark):
     assert "## 0" in md and "## 1" in md
     empty = _pages(spark, [(1, "u", ""), (2, "u", None), (3, "u", page("")), (4, "u", page("<p>short</p>"))])
     assert {r.page_id: r.markdown for r in X.refine_pages(empty, N.html_nodes(empty)).collect()} == {1: "", 2: "", 3: "", 4: "short"}
+
+
+def test_a_fold_of_parsed_pages_makes_no_node_rows(spark):
+    from pagelake.operators import extract as X
+    pages = _pages(spark, [(i, "", h) for i, h in enumerate([STATIC, BROKEN, "", None, LOADING, "<p>a<table><td>1"])]).repartition(2)
+    nodes = N.html_nodes(pages)
+    once = X.to_markdown(nodes)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    stored = X.to_markdown(N.in_page_order(N.html_nodes(pages)))
+    assert stored._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    got = sorted(map(tuple, once.collect()))
+    assert got == sorted(map(tuple, stored.collect())) and [i for i, _ in got] == [0, 1, 4, 5]
+
+
+def test_plain_tokens_are_those_of_the_library():
+    for h in (STATIC, BROKEN, BOOT_SHELL, "<!-- c --><p a=1 A='2' b>x &amp; y<a href=/x/>z</a ><br>", "<style>a&amp;</style>", "<script>a</p></script>", "<p a='x>y'>", "a < b", "<b", "<title>a&lt;"):
+        b = N._TreeBuilder()
+        b.feed(h)
+        b.finish()
+        assert N.parse_html(h) == b.rows, h
+    assert N._plain_tokens(STATIC) and N._plain_tokens(BOOT_SHELL) and N._plain_tokens("a < b") is None
