@@ -8,7 +8,8 @@ The visited table and frontier are checkpointed to the cluster's shared
 checkpoint folder every level, so lineage stays one level deep and a lost
 executor only recomputes the current level. Level-by-level BFS gives every
 URL its minimum depth (T9: deterministic, never larger than the
-reference's first-arrival depth).
+reference's first-arrival depth). What lies deeper than SHALLOW levels gets the
+same depths from ``reach``, whose rounds don't follow the length of chains.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from . import reach as RE
 
 COMPACT_EVERY = 4
+#: Levels that are walked one by one; deeper links go through ``reach``.
+SHALLOW = 12
 FORCE_RENDER_MIN_PAGES = 10
 FORCE_RENDER_SHELL_RATIO = 0.8
 
@@ -148,6 +152,17 @@ def crawl(seeds: DataFrame, edges: DataFrame, pages: DataFrame | None = None, ma
         # every few levels it is compacted back into one hash-partitioned,
         # checkpointed table so the anti join never scans levels x partitions
         visited = visited.unionByName(level)
+        if checkpoint and d >= SHALLOW and (max_depth <= 0 or max_depth > d + SHALLOW):
+            open_links = link_keys.join(visited.select("url"), "url", "left_anti")
+            if not expand_hits:
+                known = with_status(open_links.select(F.col("src_url").alias("url")).distinct())
+                open_links = open_links.join(expandable_of(known), "src_url", "left_semi")
+            deep = RE.depths(level.select("url", "depth"), levels.pin(open_links), levels.pin).where(F.col("depth") > d)
+            if max_depth > 0:
+                deep = deep.where(F.col("depth") <= max_depth)
+            deep = with_status(deep.withColumn("depth", F.col("depth").cast("int")).withColumn("source", F.lit("link")))
+            visited = visited.unionByName(levels.pin(deep))
+            break
         if d % COMPACT_EVERY == 0:
             visited = levels.pin(spread(visited, "url"))
             levels.release()                                  # the checkpoints hold what later levels read
