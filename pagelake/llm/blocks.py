@@ -99,26 +99,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Split, chars: int) -> Iter
 
 
 def block_words(docs: DataFrame, split: Split, counted: Callable[[pa.Array], np.ndarray] | None = None,
-                chars: int = BLOCK_CHARS) -> DataFrame:
+                chars: int = BLOCK_CHARS, about: Callable[[list[bytes], list[np.ndarray]], pa.Array] | None = None) -> DataFrame:
     """at, word and, with ``counted`` (ids to a mask of documents), n: how
-    often the word stands in those documents."""
+    often the word stands in those documents; then, with ``about``, a binary
+    of each word from the block's words and the places in those documents."""
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("word", T.BinaryType())])
     if counted:
         schema = schema.add("n", T.LongType())
+    if about:
+        schema = schema.add("about", T.BinaryType())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in _blocks(batches, split, chars):
-            words, order = list(block.index), block.order()
+            order = block.order()
+            words = list(map(list(block.index).__getitem__, order.tolist()))
             n = len(words)
             if n >> PLACE_BITS:
                 raise ValueError("a text has too many distinct words")
             cols = [pa.array((key << PLACE_BITS) + np.arange(n), pa.int64()),
-                    pa.array([words[i] for i in order.tolist()], pa.binary())]
+                    pa.array(words, pa.binary())]
             if counted:
                 mask = np.concatenate([counted(i) for i in block.ids])
                 chosen = [t for t, m in zip(block.texts, mask) if m]
                 times = np.bincount(np.concatenate(chosen), minlength=n) if chosen else np.zeros(n, np.int64)
                 cols.append(pa.array(times[order], pa.int64()))
+                if about:
+                    place = np.empty(n, np.uint32)
+                    place[order] = np.arange(n, dtype=np.uint32)
+                    cols.append(about(words, [place[t] for t in chosen]))
             whole = pa.RecordBatch.from_arrays(cols, names=schema.names)
             for at in range(0, n, 50_000):
                 yield whole.slice(at, 50_000)
