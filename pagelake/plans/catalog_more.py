@@ -230,7 +230,9 @@ def visited_once(spark: SparkSession, sf: str) -> DataFrame:
     """K1: a stream of URLs, drained, each address once."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visits-{uuid.uuid4().hex}"
     rows = read_table(spark, sf, "events").select(F.concat(F.lit("https://u.example.com/"), F.col("user_id").cast("string"), F.lit("/#x")).alias("url"))
-    rows.write.parquet(f"{root}/in")
+    # a table of one row group is written by one task, as one file, and so would be one task's in the stream
+    files = max(rows.rdd.getNumPartitions(), 3 * spark.sparkContext.defaultParallelism)
+    rows.repartition(files).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("url string").parquet(f"{root}/in")
     query = K.visit_once(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(
         availableNow=True).start(f"{root}/out")
