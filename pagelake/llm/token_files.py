@@ -10,14 +10,14 @@ id that last followed the two ids, or the one id, before, with a confidence
 that grows by hits and falls by misses. Adaptive counts, chosen by the two
 confidences, weigh "as order 2 says", "as order 1 says" and "neither"; then
 order 0, the segment's own id frequencies, codes the id. All drive one range
-coder of 62 bits with 16-bit output (carry-less, after Subbotin, 1999).
+coder of 62 bits with 32-bit output (carry-less, after Subbotin, 1999).
 
 All blocks of a segment are coded in step, one id of each at a time, so the
 work is array operations over up to SEGMENT blocks.
 
 Layout of a segment, little-endian: header (magic, ids, ids a block, blocks,
 distinct ids, checksum of the rest of the head); distinct ids and their
-frequencies out of 2^16; per block its 16-bit words and the crc32 of its ids as
+frequencies out of 2^16; per block its 32-bit words and the crc32 of its ids as
 32-bit integers; the blocks' words.
 
 Defined results: a null or empty text is its end id alone; rows that repeat an
@@ -50,9 +50,12 @@ CACHE_UNITS = 400_000
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sQIIII")
 #: Size of the coder's state, and what an interval must keep for an id's two
-#: steps (13 and 16 bits at most).
-_STATE, _WORD, _LEAST = 62, 16, 1 << 30
+#: steps (13 and 16 bits at most). A word put out leaves it larger than that,
+#: so a block puts out one word an id at most.
+_STATE, _WORD, _LEAST = 62, 32, 1 << 30
 _TOP, _MASK, _SLOTS = 1 << (_STATE - _WORD), (1 << _STATE) - 1, 1 << 16
+_SPARE = 2 * _WORD - _STATE
+WORD = np.dtype("<u4")
 
 #: Cells of the order-1 and order-2 tables of a block, as bits; the largest
 #: confidence; what a count grows by, and the sum at which counts are halved.
@@ -60,6 +63,10 @@ _BITS1, _BITS2 = 11, 11
 _SURE = 7
 _RAISE, _LIMIT = 24, 8000
 
+#: By confidence * 2 + hit: whether an entry stays, and how its confidence moves.
+_STAYS = np.array([[s > 1, s > 0] for s in range(_SURE + 1)]).ravel()
+_MOVES = np.array([[-(s + 1 >> 1), s < _SURE] for s in range(_SURE + 1)], np.int32).ravel()
+
 
 def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of ids in the order-1 and order-2 tables (two parts, by xor)."""
@@ -79,39 +86,42 @@ class _Model:
         self.base1, self.base2 = lane << _BITS1, lane << _BITS2
         self.base = lane * (2 * (_SURE + 1) ** 2)
         self.table1, self.table2 = np.zeros(n << _BITS1, np.int32), np.zeros(n << _BITS2, np.int32)
-        self.counts = np.tile(np.array([8, 8, 32, 48], np.int64), (n * 2 * (_SURE + 1) ** 2, 1))
-        self.flat = self.counts.reshape(-1)
+        # where the weights "as order 2 says" and "as order 1 says" end, and their sum with "neither"
+        self.first, self.second, self.total = (np.full(n * 2 * (_SURE + 1) ** 2, w, np.int64) for w in (8, 16, 48))
         self.last, self.earlier = np.zeros(n, np.int64), _PLACE3[np.zeros(n, np.int64)]
 
     def predict(self, k: int) -> tuple[np.ndarray, ...]:
         """For the first k blocks: ids of orders 2 and 1, where the weights of
         order 2 and of both end, and the sum of all weights."""
         last = self.last[:k]
-        self.at1 = self.base1[:k] + _PLACE1[last]
-        self.at2 = self.base2[:k] + (_PLACE2[last] ^ self.earlier[:k])
-        self.e1, self.e2 = self.table1[self.at1].astype(np.int64), self.table2[self.at2].astype(np.int64)
+        self.at1 = self.base1[:k] + _PLACE1.take(last)
+        self.at2 = self.base2[:k] + (_PLACE2.take(last) ^ self.earlier[:k])
+        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
-        self.ctx = self.base[:k] + ((self.e2 & _SURE) << 4 | (self.e1 & _SURE) << 1 | (self.id1 == self.id2))
-        weights = self.counts[self.ctx]
-        a = weights[:, 0]
-        return self.id2, self.id1, a, a + weights[:, 1], weights[:, 3]
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
-        at = self.ctx << 2
-        self.flat[at + kind] += _RAISE
-        self.flat[at + 3] += _RAISE
+        self.sure1, self.sure2 = (self.e1 & _SURE) << 1, (self.e2 & _SURE) << 1
+        self.ctx = self.base[:k] + (self.sure2 << 3 | self.sure1 | (self.id1 == self.id2))
+        self.ends = self.first.take(self.ctx), self.second.take(self.ctx), self.total.take(self.ctx)
+        return self.id2, self.id1, *self.ends
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, known: np.ndarray) -> None:
+        """hit2: the id is that of order 2; known: that or the one of order 1."""
+        a, b, total = self.ends
+        self.first[self.ctx] = a + hit2 * _RAISE
+        self.second[self.ctx] = b + known * _RAISE
+        total = total + _RAISE
+        self.total[self.ctx] = total
         if total.max(initial=0) > _LIMIT:
             rows = self.ctx[total > _LIMIT]
-            half = (self.counts[rows, :3] >> 1) + 1
-            self.counts[rows, :3] = half
-            self.counts[rows, 3] = half.sum(1)
+            a, b, total = self.first[rows], self.second[rows], self.total[rows]
+            self.first[rows] = one = (a >> 1) + 1
+            self.second[rows] = two = one + (b - a >> 1) + 1
+            self.total[rows] = two + (total - b >> 1) + 1
         fresh = ids << 3 | 1
-        for table, at, e, guess in ((self.table1, self.at1, self.e1, self.id1), (self.table2, self.at2, self.e2, self.id2)):
-            sure = e & _SURE
-            step = np.where(guess == ids, sure < _SURE, -(sure + 1 >> 1))
-            table[at] = np.where((sure > 1) | ((guess == ids) & (sure > 0)), e + step, fresh)
+        for table, at, e, hit in ((self.table1, self.at1, self.e1, self.sure1 | (self.id1 == ids)),
+                                  (self.table2, self.at2, self.e2, self.sure2 | hit2)):
+            table[at] = np.where(_STAYS.take(hit), e + _MOVES.take(hit), fresh)
         k = len(ids)
-        self.earlier[:k] = _PLACE3[self.last[:k]]
+        self.earlier[:k] = _PLACE3.take(self.last[:k])
         self.last[:k] = ids
 
 
@@ -142,21 +152,19 @@ class _Writer:
 
     def settle(self, k: int) -> None:
         low, size = self.low[:k], self.size[:k]
-        while len(out := _settled(low, size)):
-            top = low[out]
-            self.lanes.append(out.astype(np.int32))
-            self.words.append((top >> (_STATE - _WORD)).astype(ID))
-            low[out] = top << _WORD & _MASK
-            size[out] <<= _WORD
+        out = _settled(low, size)
+        top = low[out]
+        self.lanes.append(out.astype(np.int32))
+        self.words.append((top >> (_STATE - _WORD)).astype(WORD))
+        low[out] = top << _WORD & _MASK
+        size[out] <<= _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all blocks, block by block; number of words of each)."""
         every = np.arange(len(self.low), dtype=np.int32)
-        for shift in (_STATE - 16, _STATE - 32, _STATE - 48):
+        for word in (self.low >> (_STATE - _WORD), self.low << _SPARE & 0xFFFFFFFF):
             self.lanes.append(every)
-            self.words.append((self.low >> shift & 0xFFFF).astype(ID))
-        self.lanes.append(every)
-        self.words.append((self.low << (64 - _STATE) & 0xFFFF).astype(ID))
+            self.words.append(word.astype(WORD))
         lanes = np.concatenate(self.lanes)
         return np.concatenate(self.words)[np.argsort(lanes, kind="stable")], np.bincount(lanes, minlength=len(every))
 
@@ -164,13 +172,11 @@ class _Writer:
 class _Reader:
     def __init__(self, words: np.ndarray, first: np.ndarray):
         n = len(first)
-        self.words, self.next = np.append(words.astype(np.int64), [0, 0, 0, 0]), first + 4
+        self.words, self.next = np.append(words.astype(np.int64), [0, 0]), first + 2
         self.low, self.size = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-        self.code = np.zeros(n, np.int64)
-        for k in range(3):
-            self.code = self.code << _WORD | self.words[first + k]
-        self.code = self.code << 14 | self.words[first + 3] >> 2
-        self.rest = self.words[first + 3] & 3  # bits of the last word not yet in the code
+        second = self.words[first + 1]
+        self.code = self.words[first] << (_STATE - _WORD) | second >> _SPARE
+        self.rest = second & 3  # bits of the last word not yet in the code
 
     def get(self, lanes, total) -> np.ndarray:
         """Where in the total each block's code stands."""
@@ -183,13 +189,13 @@ class _Reader:
 
     def settle(self, k: int) -> None:
         low, size = self.low[:k], self.size[:k]
-        while len(out := _settled(low, size)):
-            word = self.words[np.minimum(self.next[out], len(self.words) - 1)]
-            self.next[out] += 1
-            self.code[out] = (self.code[out] << _WORD & _MASK) | self.rest[out] << 14 | word >> 2
-            self.rest[out] = word & 3
-            low[out] = low[out] << _WORD & _MASK
-            size[out] <<= _WORD
+        out = _settled(low, size)
+        word = self.words[np.minimum(self.next[out], len(self.words) - 1)]
+        self.next[out] += 1
+        self.code[out] = (self.code[out] << _WORD & _MASK) | self.rest[out] << (_WORD - _SPARE) | word >> _SPARE
+        self.rest[out] = word & 3
+        low[out] = low[out] << _WORD & _MASK
+        size[out] <<= _WORD
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,18 +231,17 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
         k = n - (t >= lengths[-1])
         x = grid[t, :k].astype(np.int64)
         id2, id1, a, b, total = model.predict(k)
-        kind = np.where(x == id2, 0, np.where(x == id1, 1, 2))
-        ends = np.stack([np.zeros_like(a), a, b, total])
-        lane = np.arange(k)
-        start = ends[kind, lane]
-        out.put(slice(k), start, ends[kind + 1, lane] - start, total)
-        rest = np.flatnonzero(kind == 2)
+        hit2 = x == id2
+        known = hit2 | (x == id1)
+        start = np.where(known, np.where(hit2, 0, a), b)
+        out.put(slice(k), start, np.where(known, np.where(hit2, a, b), total) - start, total)
+        rest = np.flatnonzero(~known)
         if len(rest):
             at = place[x[rest]]
             out.put(rest, starts[at], share[at], _SLOTS)
         out.settle(k)
-        model.learn(x, kind, total)
-    words, sizes = out.finish() if n else (np.empty(0, ID), np.empty(0, np.int64))
+        model.learn(x, hit2, known)
+    words, sizes = out.finish() if n else (np.empty(0, WORD), np.empty(0, np.int64))
     tables = (distinct.astype(ID).tobytes() + (share - 1).astype(ID).tobytes()
               + np.stack([sizes, _crcs(ids, block)], 1).astype("<u4").tobytes() if n else b"")
     return _HEAD.pack(_MAGIC, len(ids), block, n, len(distinct), zlib.crc32(tables)) + tables + words.tobytes()
@@ -251,7 +256,7 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
     distinct = np.frombuffer(data, ID, m, _HEAD.size).astype(np.int64)
     share = np.frombuffer(data, ID, m, _HEAD.size + 2 * m).astype(np.int64) + 1
     sizes, crcs = np.frombuffer(data, "<u4", 2 * n, _HEAD.size + 4 * m).reshape(n, 2).T.astype(np.int64)
-    words = np.frombuffer(data, ID, offset=head)
+    words = np.frombuffer(data, WORD, offset=head)
     starts = np.cumsum(share) - share
     slot = np.repeat(np.arange(m), share)
     lengths = np.full(n, block)
@@ -270,20 +275,18 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
         k = n - (t >= lengths[-1])
         id2, id1, a, b, total = model.predict(k)
         v = code.get(slice(k), total)
-        kind = (v >= a).astype(np.int64) + (v >= b)
-        ends = np.stack([np.zeros_like(a), a, b, total])
-        lane = np.arange(k)
-        start = ends[kind, lane]
-        code.drop(slice(k), start, ends[kind + 1, lane] - start)
-        x = np.where(kind == 0, id2, id1)
-        rest = np.flatnonzero(kind == 2)
+        hit2, known = v < a, v < b
+        start = np.where(known, np.where(hit2, 0, a), b)
+        code.drop(slice(k), start, np.where(known, np.where(hit2, a, b), total) - start)
+        x = np.where(hit2, id2, id1).astype(np.int64)
+        rest = np.flatnonzero(~known)
         if len(rest):
             at = slot[code.get(rest, _SLOTS)]
             code.drop(rest, starts[at], share[at])
             x[rest] = distinct[at]
         code.settle(k)
         grid[t, :k] = x
-        model.learn(x, kind, total)
+        model.learn(x, hit2, known)
     out = np.ascontiguousarray(grid.T)
     for k in range(n):
         if zlib.crc32(out[k, :lengths[k]].astype("<u4")) != crcs[k]:

@@ -72,3 +72,18 @@ def test_files_equal_the_library(spark):
         order = [d for d, _ in sorted(got, key=lambda x: x[1])]
         assert order == sorted(order, key=lambda d: (d is not None, d or 0))
         assert not want
+
+
+def test_blocks_are_settled_once_an_id(monkeypatch):
+    calls = []
+    real = tf._settled
+    monkeypatch.setattr(tf, "_settled", lambda low, size: calls.append(0) or real(low, size))
+    rng = np.random.default_rng(4)
+    ids = np.where(rng.random(6000) < 0.5, 7, rng.integers(0, 65536, 6000)).astype(tokens.ID)
+    data = tf.compress(ids, 512)
+    assert len(calls) == 512
+    assert np.array_equal(tf.decompress(data), ids) and len(calls) == 1024
+    size = np.array([1, 3, 1 << 29, 1 << 40], np.int64)  # the smallest interval is large enough after one word
+    out = real(np.array([5, (1 << 30) - 1, 12345, 0]), size)
+    size[out] <<= tf._WORD
+    assert (size >= tf._LEAST).all()
