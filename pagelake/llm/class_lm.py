@@ -91,11 +91,12 @@ class Items(dict):
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """The words with ``c``, the word's count in training documents: a row for
-    each word, so ``first``, by which callers take one row of each, is true.
-    Written: used several times."""
+    """The words with ``c``, the word's count in training documents, and
+    ``blocks``, the blocks that have it: a row for each word, so ``first``, by
+    which callers take one row of each, is true. Written: used several times."""
     words = block_words(docs, split, counted=is_training)
-    return written(words.groupBy("word").agg(F.sum("n").alias("c")).withColumn("first", F.lit(True)))
+    sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"))
+    return written(sums.withColumn("first", F.lit(True)))
 
 
 def _item_totals(vocab: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -331,8 +332,8 @@ def single_moves(word: np.ndarray, code: np.ndarray, times: np.ndarray, own: np.
 
 #: Shares of the single words' moves that are tried, of SHARES[0].
 SHARES = (8, 4, 2, 1, 0)
-#: Distinct words that one task of the moves takes, about.
-MOVE_WORDS = 100_000
+#: Block words that one group of the moves takes, about.
+MOVE_ROWS = 200_000
 
 
 def single_words(docs: DataFrame, vocab: DataFrame, words: list[bytes], classes: np.ndarray, like: np.ndarray) -> DataFrame:
@@ -362,7 +363,7 @@ def single_words(docs: DataFrame, vocab: DataFrame, words: list[bytes], classes:
         return pa.table({"at": rows.column("at"), "c": c[word], "first": first, "was": was[word].astype(np.int32),
                          "best": best[word].astype(np.int32), "turn": turn[word].astype(np.int32)})
 
-    parts = max(32, vocab.count() // MOVE_WORDS)
+    parts = max(32, (vocab.agg(F.sum("blocks")).first()[0] or 0) // MOVE_ROWS)
     return written(near.groupBy(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part")).applyInArrow(moves, schema))
 
 
