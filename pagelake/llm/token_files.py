@@ -7,10 +7,10 @@ checksummed on their own: each can be read without the others.
 
 The model of an id mixes three predictions. Order 2 and order 1 each name the
 id that last followed the two ids, or the one id, before, with a confidence
-that grows by hits and falls by misses. Adaptive counts, chosen by the two
-confidences, weigh "as order 2 says", "as order 1 says" and "neither"; then
+that grows by hits and falls by misses. Adaptive weights, chosen by the two
+confidences, tell "as order 2 says", "as order 1 says" and "neither"; then
 order 0, the segment's own id frequencies, codes the id. All drive one range
-coder of 62 bits with 32-bit output (carry-less, after Subbotin, 1999).
+coder of 62 bits with 32-bit output; carries are settled when a segment ends.
 
 All blocks of a segment are coded in step, one id of each at a time, so the
 work is array operations over up to SEGMENT blocks.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,165 +43,167 @@ from pagelake.llm.common import doc_texts, scratch
 from pagelake.llm.tokens import ID, default_path, encoder
 
 BLOCK = 2048
-SEGMENT = 1024
+SEGMENT = 2048
 
 #: Units a worker remembers beside the coder's own arrays (about 100 MB).
 CACHE_UNITS = 400_000
 
-_MAGIC = b"TIDS"
+#: Bytes of text encoded at once; a longer text is taken alone.
+CHUNK_BYTES = 1 << 21
+
+_MAGIC = b"TID2"
 _HEAD = struct.Struct("<4sQIIII")
 #: Size of the coder's state, and what an interval must keep for an id's two
-#: steps (13 and 16 bits at most). A word put out leaves it larger than that,
-#: so a block puts out one word an id at most.
+#: steps (_BITS and 16 bits). A word put out leaves it larger than that, so a
+#: block puts out one word an id at most.
 _STATE, _WORD, _LEAST = 62, 32, 1 << 30
-_TOP, _MASK, _SLOTS = 1 << (_STATE - _WORD), (1 << _STATE) - 1, 1 << 16
-_SPARE = 2 * _WORD - _STATE
+_SLOTS, _BITS = 1 << 16, 14
+_KEPT, _SPARE = _STATE - _WORD, 2 * _WORD - _STATE
 WORD = np.dtype("<u4")
 
 #: Cells of the order-1 and order-2 tables of a block, as bits; the largest
-#: confidence; what a count grows by, and the sum at which counts are halved.
-_BITS1, _BITS2 = 11, 11
+#: confidence; by which share the weights follow what was seen (a power of two).
+_CELLS = 11
 _SURE = 7
-_RAISE, _LIMIT = 24, 8000
+_RATE = 5
+
+#: By confidence * 2 + hit: how the confidence of an entry moves; _NEW: another takes its place.
+_NEW = -_SURE - 1
+_MOVES = np.array([[-(s + 1 >> 1) if s > 1 else _NEW, s < _SURE if s else _NEW] for s in range(_SURE + 1)], np.int32).ravel()
+
+#: Where two weights end, in one number: "as order 2 says", 16 bits higher, and
+#: "as order 2 or order 1 says", out of 2^_BITS. What each outcome adds keeps
+#: the first above 0, the second above the first, and both below 2^_BITS.
+_NONE = np.int32(1)
+_ONE = np.int32((1 << _BITS >> _RATE) - 2)
+_BOTH = np.int32(_ONE - 1 << 16 | _ONE)
+_FALL = np.int32(((1 << _BITS >> _RATE) - 1) * 0x10001)
+_CONTEXTS = 2 * (_SURE + 1) ** 2
+
+#: Steps whose places and order-0 shares are looked up at once.
+_STEPS = 32
+
+_HASH2, _HASH1, _HASH3 = (np.uint32(k) for k in (0x85EBCA6B, 0x9E3779B1, 0xC2B2AE35))
+_SHIFT = np.uint32(32 - _CELLS)
 
-#: By confidence * 2 + hit: whether an entry stays, and how its confidence moves.
-_STAYS = np.array([[s > 1, s > 0] for s in range(_SURE + 1)]).ravel()
-_MOVES = np.array([[-(s + 1 >> 1), s < _SURE] for s in range(_SURE + 1)], np.int32).ravel()
 
+def _places(ids: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Cells of the order-2 and order-1 tables for the ids before (as uint32),
+    along a new axis ahead of the last one."""
+    at = np.empty((*ids.shape[:-1], 2, ids.shape[-1]), np.intp)
+    np.add(ids * _HASH2 + before * _HASH3 >> _SHIFT, cells[0], out=at[..., 0, :])
+    np.add(ids * _HASH1 >> _SHIFT, cells[1], out=at[..., 1, :])
+    return at
 
-def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of ids in the order-1 and order-2 tables (two parts, by xor)."""
-    ids = np.arange(_SLOTS, dtype=np.uint64)
-    part = lambda k, bits: ((ids * np.uint64(k) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
-    return part(0x9E3779B1, _BITS1), part(0x85EBCA6B, _BITS2), part(0xC2B2AE35, _BITS2)
 
+def _first_weights() -> np.ndarray:
+    """By context: confidences of order 2 and 1, and whether they say the same."""
+    two, one, same = np.ogrid[:_SURE + 1, :_SURE + 1, :2]
+    a = 1 + (1 << _BITS) * two // (two + 6 + one * (1 - same))
+    b = 2 + (1 << _BITS) * (two + one) // (two + one + 6)
+    return (a << 16 | np.maximum(a + 1, b)).astype(np.int32).ravel()
 
-_PLACE1, _PLACE2, _PLACE3 = _hash_tables()
+
+_START = _first_weights()
 
 
 class _Model:
-    """Predictions of ``n`` blocks in step; entries are id * 8 + confidence."""
+    """Predictions of ``n`` blocks in step; entries are id * 8 + confidence,
+    those of order 2 before those of order 1."""
 
     def __init__(self, n: int):
         lane = np.arange(n)
-        self.base1, self.base2 = lane << _BITS1, lane << _BITS2
-        self.base = lane * (2 * (_SURE + 1) ** 2)
-        self.table1, self.table2 = np.zeros(n << _BITS1, np.int32), np.zeros(n << _BITS2, np.int32)
-        # where the weights "as order 2 says" and "as order 1 says" end, and their sum with "neither"
-        self.first, self.second, self.total = (np.full(n * 2 * (_SURE + 1) ** 2, w, np.int64) for w in (8, 16, 48))
-        self.last, self.earlier = np.zeros(n, np.int64), _PLACE3[np.zeros(n, np.int64)]
-
-    def predict(self, k: int) -> tuple[np.ndarray, ...]:
-        """For the first k blocks: ids of orders 2 and 1, where the weights of
-        order 2 and of both end, and the sum of all weights."""
-        last = self.last[:k]
-        self.at1 = self.base1[:k] + _PLACE1.take(last)
-        self.at2 = self.base2[:k] + (_PLACE2.take(last) ^ self.earlier[:k])
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
-        self.sure1, self.sure2 = (self.e1 & _SURE) << 1, (self.e2 & _SURE) << 1
-        self.ctx = self.base[:k] + (self.sure2 << 3 | self.sure1 | (self.id1 == self.id2))
-        self.ends = self.first.take(self.ctx), self.second.take(self.ctx), self.total.take(self.ctx)
-        return self.id2, self.id1, *self.ends
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, known: np.ndarray) -> None:
-        """hit2: the id is that of order 2; known: that or the one of order 1."""
-        a, b, total = self.ends
-        self.first[self.ctx] = a + hit2 * _RAISE
-        self.second[self.ctx] = b + known * _RAISE
-        total = total + _RAISE
-        self.total[self.ctx] = total
-        if total.max(initial=0) > _LIMIT:
-            rows = self.ctx[total > _LIMIT]
-            a, b, total = self.first[rows], self.second[rows], self.total[rows]
-            self.first[rows] = one = (a >> 1) + 1
-            self.second[rows] = two = one + (b - a >> 1) + 1
-            self.total[rows] = two + (total - b >> 1) + 1
-        fresh = ids << 3 | 1
-        for table, at, e, hit in ((self.table1, self.at1, self.e1, self.sure1 | (self.id1 == ids)),
-                                  (self.table2, self.at2, self.e2, self.sure2 | hit2)):
-            table[at] = np.where(_STAYS.take(hit), e + _MOVES.take(hit), fresh)
-        k = len(ids)
-        self.earlier[:k] = _PLACE3.take(self.last[:k])
-        self.last[:k] = ids
+        self.cells = np.stack([lane, lane + n]) << _CELLS
+        self.contexts = lane * _CONTEXTS
+        self.table = np.zeros(2 * n << _CELLS, np.int32)
+        self.weights = np.tile(_START, n)
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For the blocks whose cells are given: ids of orders 2 and 1, and
+        where the weights of order 2 and of both end."""
+        self.at, self.e = at, self.table.take(at)
+        ids, self.sure = self.e >> 3, (self.e & _SURE) << 1
+        two, one = self.sure
+        self.ctx = self.contexts[:at.shape[1]] + (two << 3 | one | (ids[0] == ids[1]))
+        self.w = self.weights.take(self.ctx)
+        return ids, self.w >> 16, self.w & 0xFFFF
+
+    def learn(self, x: np.ndarray, hit: np.ndarray, known: np.ndarray) -> None:
+        """hit: the id is that of order 2, of order 1; known: of one of them."""
+        w = self.w
+        self.weights[self.ctx] = w - (w >> _RATE & _FALL) + np.where(known, np.where(hit[0], _BOTH, _ONE), _NONE)
+        move = _MOVES.take(self.sure | hit)
+        self.table[self.at] = np.where(move == _NEW, x << 3 | 1, self.e + move)
 
 
 def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks that put a word out; where the interval is too small to go on
-    though its ends differ, it is cut at the next edge both sides of which
-    differ in no word."""
-    same = (low ^ (low + size - 1)) < _TOP
-    small = size < _LEAST
-    if small.any():
-        cut = small & ~same
-        size[cut] = -low[cut] & (_LEAST - 1)
-        same |= cut
-    return np.flatnonzero(same)
+    """Blocks that put a word out, as their interval is too small to go on."""
+    return (size < _LEAST).nonzero()[0]
 
 
 class _Writer:
     def __init__(self, n: int):
-        self.low, self.size = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
+        self.low, self.size = np.zeros(n, np.int64), np.full(n, (1 << _STATE) - 1, np.int64)
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
-    def put(self, lanes, start: np.ndarray, share: np.ndarray, total) -> None:
-        """Narrow the intervals of some blocks (a slice or places)."""
-        unit = self.size[lanes] // total
-        self.low[lanes] += unit * start
-        self.size[lanes] = unit * share
+    def put(self, start: np.ndarray, share: np.ndarray, bits: int) -> None:
+        """Narrow the intervals of the first blocks to shares of 2^bits."""
+        low, size = self.low[:len(start)], self.size[:len(start)]
+        size >>= bits
+        low += size * start
+        size *= share
 
     def settle(self, k: int) -> None:
         low, size = self.low[:k], self.size[:k]
         out = _settled(low, size)
-        top = low[out]
+        top = low.take(out)
         self.lanes.append(out.astype(np.int32))
-        self.words.append((top >> (_STATE - _WORD)).astype(WORD))
-        low[out] = top << _WORD & _MASK
-        size[out] <<= _WORD
+        self.words.append(top >> _KEPT)
+        low[out] = (top & (1 << _KEPT) - 1) << _WORD
+        size[out] = size.take(out) << _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all blocks, block by block; number of words of each)."""
         every = np.arange(len(self.low), dtype=np.int32)
-        for word in (self.low >> (_STATE - _WORD), self.low << _SPARE & 0xFFFFFFFF):
+        for word in (self.low >> _KEPT, (self.low & (1 << _KEPT) - 1) << _SPARE):
             self.lanes.append(every)
-            self.words.append(word.astype(WORD))
+            self.words.append(word)
         lanes = np.concatenate(self.lanes)
-        return np.concatenate(self.words)[np.argsort(lanes, kind="stable")], np.bincount(lanes, minlength=len(every))
+        if len(every) <= _SLOTS:
+            lanes = lanes.astype(np.uint16)  # sorted by digits
+        words = np.concatenate(self.words)[np.argsort(lanes, kind="stable")]
+        # what went beyond a word is carried to the one before; a block's first has none
+        while (over := words >> _WORD).any():
+            words &= (1 << _WORD) - 1
+            words[:-1] += over[1:]
+        return words.astype(WORD), np.bincount(lanes, minlength=len(every))
 
 
 class _Reader:
+    """``code`` is where the words stand above the interval's low end."""
+
     def __init__(self, words: np.ndarray, first: np.ndarray):
-        n = len(first)
-        self.words, self.next = np.append(words.astype(np.int64), [0, 0]), first + 2
-        self.low, self.size = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-        second = self.words[first + 1]
-        self.code = self.words[first] << (_STATE - _WORD) | second >> _SPARE
-        self.rest = second & 3  # bits of the last word not yet in the code
-
-    def get(self, lanes, total) -> np.ndarray:
-        """Where in the total each block's code stands."""
-        self.unit = self.size[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total - 1)
-
-    def drop(self, lanes, start: np.ndarray, share: np.ndarray) -> None:
-        self.low[lanes] += self.unit * start
-        self.size[lanes] = self.unit * share
+        wide = np.append(words.astype(np.int64), [0, 0])
+        # the 32 bits from each word's last ones on: what a settled block reads next
+        self.words, self.next = (wide[:-1] << _KEPT & (1 << _WORD) - 1) | wide[1:] >> _SPARE, first + 1
+        self.code = wide[first] << _KEPT | wide[first + 1] >> _SPARE
+        self.size = np.full(len(first), (1 << _STATE) - 1, np.int64)
 
     def settle(self, k: int) -> None:
-        low, size = self.low[:k], self.size[:k]
-        out = _settled(low, size)
-        word = self.words[np.minimum(self.next[out], len(self.words) - 1)]
-        self.next[out] += 1
-        self.code[out] = (self.code[out] << _WORD & _MASK) | self.rest[out] << (_WORD - _SPARE) | word >> _SPARE
-        self.rest[out] = word & 3
-        low[out] = low[out] << _WORD & _MASK
-        size[out] <<= _WORD
+        code, size = self.code[:k], self.size[:k]
+        out = _settled(code, size)
+        at = self.next.take(out)
+        code[out] = code.take(out) << _WORD | self.words.take(at, mode="clip")
+        size[out] = size.take(out) << _WORD
+        self.next[out] = at + 1
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their shares of 2^16, none of them 0."""
-    distinct, n = np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    distinct = np.flatnonzero(n)
+    n = n[distinct]
     share = 1 + n * (_SLOTS - len(distinct)) // max(1, n.sum())
     if len(share):
         share[np.argmax(share)] += _SLOTS - share.sum()
@@ -216,31 +219,30 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment of 16-bit ids."""
     n = -(-len(ids) // block)
     distinct, share = _frequencies(ids)
-    starts = np.cumsum(share) - share
-    place = np.zeros(_SLOTS, np.int64)
-    place[distinct] = np.arange(len(distinct))
-    grid = np.zeros((block, n), ID)
-    lengths = np.full(n, block)
-    if n:
-        lengths[-1] = len(ids) - block * (n - 1)
-        whole = np.zeros(n * block, ID)
-        whole[:len(ids)] = ids
-        grid = np.ascontiguousarray(whole.reshape(n, block).T)
+    shares, starts = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+    shares[distinct], starts[distinct] = share, np.cumsum(share) - share
+    last = len(ids) - block * (n - 1) if n else 0
+    whole = np.zeros(n * block, np.int32)
+    whole[:len(ids)] = ids
+    grid = np.zeros((block + 2, n), np.int32)  # two ids 0 ahead
+    grid[2:] = whole.reshape(n, block).T
+    before = grid.view(np.uint32)
     model, out = _Model(n), _Writer(n)
-    for t in range(lengths.max(initial=0)):
-        k = n - (t >= lengths[-1])
-        x = grid[t, :k].astype(np.int64)
-        id2, id1, a, b, total = model.predict(k)
-        hit2 = x == id2
-        known = hit2 | (x == id1)
-        start = np.where(known, np.where(hit2, 0, a), b)
-        out.put(slice(k), start, np.where(known, np.where(hit2, a, b), total) - start, total)
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            at = place[x[rest]]
-            out.put(rest, starts[at], share[at], _SLOTS)
+    for t in range(min(block, len(ids))):
+        k, step = n - (t >= last), t % _STEPS
+        if not step:
+            some = grid[t + 2:t + 2 + _STEPS]
+            at = _places(before[t + 1:t + 1 + len(some)], before[t:t + len(some)], model.cells)
+            start0, share0 = starts.take(some), shares.take(some)
+        x = grid[t + 2, :k]
+        said, a, b = model.predict(at[step, :, :k])
+        hit = said == x
+        known = hit[0] | hit[1]
+        start = np.where(known, np.where(hit[0], 0, a), b)
+        out.put(start, np.where(known, np.where(hit[0], a, b), 1 << _BITS) - start, _BITS)
+        out.put(np.where(known, 0, start0[step, :k]), np.where(known, _SLOTS, share0[step, :k]), 16)
         out.settle(k)
-        model.learn(x, hit2, known)
+        model.learn(x, hit, known)
     words, sizes = out.finish() if n else (np.empty(0, WORD), np.empty(0, np.int64))
     tables = (distinct.astype(ID).tobytes() + (share - 1).astype(ID).tobytes()
               + np.stack([sizes, _crcs(ids, block)], 1).astype("<u4").tobytes() if n else b"")
@@ -269,29 +271,34 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
         return np.empty(0, ID)
     if len(words) != sizes.sum():
         raise ValueError("a token segment is cut short")
-    grid = np.zeros((block, n), ID)
-    model, code = _Model(n), _Reader(words, first)
+    grid = np.zeros((block + 2, n), np.int32)
+    before = grid.view(np.uint32)
+    # one more entry for ids told by order 2 or 1: all of the interval
+    starts, share, distinct = (np.append(x, y) for x, y in ((starts, 0), (share, _SLOTS), (distinct.astype(np.int32), 0)))
+    model, read = _Model(n), _Reader(words, first)
     for t in range(lengths.max()):
         k = n - (t >= lengths[-1])
-        id2, id1, a, b, total = model.predict(k)
-        v = code.get(slice(k), total)
-        hit2, known = v < a, v < b
+        said, a, b = model.predict(_places(before[t + 1, :k], before[t, :k], model.cells[:, :k]))
+        code, size = read.code[:k], read.size[:k]
+        size >>= _BITS
+        a, b = size * a, size * b
+        hit2, known = code < a, code < b
         start = np.where(known, np.where(hit2, 0, a), b)
-        code.drop(slice(k), start, np.where(known, np.where(hit2, a, b), total) - start)
-        x = np.where(hit2, id2, id1).astype(np.int64)
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            at = slot[code.get(rest, _SLOTS)]
-            code.drop(rest, starts[at], share[at])
-            x[rest] = distinct[at]
-        code.settle(k)
-        grid[t, :k] = x
-        model.learn(x, hit2, known)
-    out = np.ascontiguousarray(grid.T)
+        code -= start
+        size <<= _BITS
+        size[:] = np.where(known, np.where(hit2, a, b), size) - start >> 16
+        at = np.where(known, m, slot.take(code // size, mode="clip"))
+        code -= size * starts.take(at)
+        size *= share.take(at)
+        x = np.where(known, np.where(hit2, said[0], said[1]), distinct.take(at))
+        read.settle(k)
+        grid[t + 2, :k] = x
+        model.learn(x, said == x, known)
+    out = np.ascontiguousarray(grid[2:].T)
     for k in range(n):
         if zlib.crc32(out[k, :lengths[k]].astype("<u4")) != crcs[k]:
             raise ValueError(f"block {chosen[k]} of a token segment is damaged")
-    return out.ravel()[:lengths.sum()]
+    return out.ravel()[:lengths.sum()].astype(ID)
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -301,6 +308,16 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows that are encoded at once, with about CHUNK_BYTES of text."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2,
               segment_ids: int = BLOCK * SEGMENT) -> None:
     """Encode the texts and write their ids to ``path`` in order of doc_id."""
@@ -309,32 +326,31 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     schema = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("before", T.LongType()),
                            T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())),
                            T.StructField("segment", T.BinaryType())])
-    end = np.array([end_id], ID).tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, run, before = encoder(tokenizer, "byte", CACHE_UNITS), TaskContext.get().partitionId(), 0
-        ids: list[pa.Array] = []
-        parts: list[bytes] = []
+        doc_ids: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
-            lengths = pa.array([len(p) // ID.itemsize for p in parts], pa.int64())
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            data = compress(np.frombuffer(b"".join(parts), ID))
             return pa.RecordBatch.from_arrays(
-                [pa.array([run], pa.int32()), pa.array([before], pa.int64()), one(pa.concat_arrays(ids)), one(lengths),
-                 pa.array([data], pa.binary())], names=schema.names)
+                [pa.array([run], pa.int32()), pa.array([before], pa.int64()), one(pa.concat_arrays(doc_ids)),
+                 one(pa.array(np.concatenate(counts), pa.int64())),
+                 pa.array([compress(np.concatenate(parts))], pa.binary())], names=schema.names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids.append(some.column("doc_id"))
-                parts += [x + end for x in enc.encode(some.column("text").to_pylist())]
-                size = sum(map(len, parts)) // ID.itemsize
+            for some in _chunks(b):
+                ids, n = enc.batch(some.column("text"))
+                doc_ids.append(some.column("doc_id"))
+                counts.append(n + 1)
+                parts.append(np.insert(ids, np.cumsum(n), end_id))
+                size += len(parts[-1])
                 if size >= segment_ids:
                     yield segment()
                     before += size
-                    ids, parts, size = [], [], 0
+                    doc_ids, counts, parts, size = [], [], [], 0
         if parts:
             yield segment()
 

@@ -15,14 +15,19 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+import sys
+from array import array
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Ids below 65,536 in both files, so two bytes hold one.
 ID = np.dtype("<u2")
 
-#: Words a worker remembers (about 250 MB); then it starts anew. Speed only.
+#: Words a worker remembers (about 250 MB). Speed only.
 CACHE_WORDS = 1_200_000
 
 #: White space of the byte-level split. Fixed by Unicode's White_Space.
@@ -70,6 +75,24 @@ def byte_units(text: str, special: str = "<|endoftext|>") -> list[str]:
     return out
 
 
+_IS_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+#: What ``unit_starts`` does not cut: longer blanks and special strings.
+_APART = f"[{''.join(c for c in _BLANK if not c.isascii())}]|<\\|endoftext\\|>"
+
+
+def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where byte units start in the UTF-8 bytes of texts one after another;
+    ``at``: where each text starts, and the end of the last one."""
+    blank = _IS_BLANK.take(data)
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    start = first[:-1].copy()
+    enters, leaves = blank[1:] & ~blank[:-1], blank[:-1] & ~blank[1:]
+    start[1:] |= enters | leaves & (data[:-1] != 0x20)
+    start[:-1] |= leaves & ~first[1:-1]  # the last blank before a word of the same text
+    return np.flatnonzero(start)
+
+
 UNITS: dict[str, Callable[[str], list[str]]] = {"word": word_units, "byte": byte_units}
 
 
@@ -91,19 +114,41 @@ def _plain_letters(tok, lower: bool) -> str:
     return "".join(out)
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian 16-bit numbers; for few of them quicker than numpy."""
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Letters(dict):
+    """The byte letters of a character, by its code point; a line feed stays."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = out = "\n" if c == 0x0A else chr(c).encode().decode("latin-1").translate(_LETTERS)
+        return out
+
+
 class _Known(dict):
-    """Remembers up to ``room`` values, then starts anew."""
+    """Remembers up to ``room`` values, then goes on with the quarter that it
+    met first, as frequent ones come early."""
 
     def __init__(self, value: Callable[[str], bytes], room: int):
         super().__init__()
         self.value, self.room = value, room
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
+        self.make_room()
         self[key] = out = self.value(key)
         return out
 
+    def make_room(self) -> None:
+        if len(self) >= self.room:
+            first = dict(islice(self.items(), self.room // 4))
+            self.clear()
+            self.update(first)
+
 
 class UnitEncoder:
     """Ids of texts as little-endian 16-bit strings, unit by unit. Units of
@@ -112,6 +157,10 @@ class UnitEncoder:
 
     def __init__(self, path: str, kind: str, room: int | None = None):
         self.tok, self.units, self.lower = loaded(path), UNITS[kind], kind == "word"
+        self.tokenize, self.letters = self.tok.model.tokenize, _Letters()
+        self.id_bytes = np.zeros(1 << 8 * ID.itemsize, np.int64)
+        for token, k in self.tok.get_vocab().items():
+            self.id_bytes[k] = len(token)
         safe = _plain_letters(self.tok, self.lower)
         self.odd = re.compile(f"[^ !-;=-~{safe}]").search
         marks = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -128,15 +177,36 @@ class UnitEncoder:
         if part.isascii():
             letters = part.replace(" ", _BLANK_LETTER)
         else:
-            letters = part.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.tok.model.tokenize(letters)], ID).tobytes()
+            letters = part.translate(self.letters)
+        return _packed([t.id for t in self.tokenize(letters)])
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember the ids of distinct units of the kind ``byte``, all parts
+        in one go; where a unit's ids end is told by the bytes they stand for."""
+        units = [u for u in units if not self.odd(u)]
+        if not units:
+            return
+        parts: list[str] = []
+        for u in units:
+            if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
+                parts.append(u)
+            else:
+                parts += self.split(u)
+        tokenize = self.tokenize
+        ids = np.array([t.id for p in "\n".join(parts).translate(self.letters).split("\n") for t in tokenize(p)], ID)
+        ends = np.cumsum(self.id_bytes.take(ids))
+        to = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in units])) + 1
+        if to[-1] != len(ids):
+            return  # letters without an id: unit by unit
+        to, data = (ID.itemsize * to).tolist(), ids.tobytes()
+        self.known.update(zip(units, [data[a:b] for a, b in zip([0, *to], to)]))
 
     def unit(self, unit: str) -> bytes:
         """Ids of one unit."""
         if not unit:
             return b""
         if self.odd(unit):
-            return np.array(self.tok.encode(unit, add_special_tokens=False).ids, ID).tobytes()
+            return _packed(self.tok.encode(unit, add_special_tokens=False).ids)
         if self.lower:
             unit = unit.lower()
             if unit.isalpha():
@@ -149,6 +219,40 @@ class UnitEncoder:
         get = self.known.__getitem__
         return [b"".join(map(get, self.units(t))) if t else b"" for t in texts]
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and their number in each text,
+        for files of the kind ``byte``. The distinct units of all texts are
+        looked up once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        apart = np.flatnonzero(pc.match_substring_regex(texts, _APART).to_numpy(zero_copy_only=False))
+        plain = texts
+        if len(apart):
+            plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), apart)), "", texts)
+        at = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset:plain.offset + len(plain) + 1]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        cuts = unit_starts(data, at)
+        units = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data))
+        units = units.dictionary_encode()
+        index = units.indices.to_numpy()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.known.make_room()
+        self._learn([u for u in distinct if u not in self.known])
+        parts = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // ID.itemsize
+        n = sizes.take(index)
+        ends = np.append(0, np.cumsum(n))
+        first = (np.cumsum(sizes) - sizes).take(index) - ends[:-1]
+        ids = np.frombuffer(b"".join(parts), ID).take(np.repeat(first, n) + np.arange(ends[-1]))
+        lengths = np.diff(ends.take(np.searchsorted(cuts, at)))
+        if len(apart):
+            pieces = np.split(ids, np.cumsum(lengths)[:-1])
+            for k, x in zip(apart, self.encode(texts.take(pa.array(apart)).to_pylist())):
+                pieces[k] = np.frombuffer(x, ID)
+                lengths[k] = len(pieces[k])
+            ids = np.concatenate(pieces)
+        return ids, lengths
+
 
 _encoders: dict[tuple[str, str], UnitEncoder] = {}
 

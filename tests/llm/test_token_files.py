@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,19 @@ def test_blocks_are_settled_once_an_id(monkeypatch):
     out = real(np.array([5, (1 << 30) - 1, 12345, 0]), size)
     size[out] <<= tf._WORD
     assert (size >= tf._LEAST).all()
+
+
+def test_carries_run_over_full_words():
+    out = tf._Writer(2)
+    full = (1 << tf._WORD) - 1
+    out.lanes, out.words = [np.array([0, 1], np.int32)] * 3, [np.array([5, 7]), np.array([full, 1]), np.array([full, 2])]
+    out.low[:] = 1 << tf._STATE, 0
+    words, sizes = out.finish()
+    assert sizes.tolist() == [5, 5]
+    assert words.tolist() == [6, 0, 0, 0, 0, 7, 1, 2, 0, 0]
+
+
+def test_rows_of_a_chunk():
+    rows = pa.record_batch({"text": pa.array(["a" * 10, None, "b" * tf.CHUNK_BYTES * 2, "", "c"])})
+    assert [x.num_rows for x in tf._chunks(rows)] == [2, 1, 2]
+    assert not list(tf._chunks(rows.slice(0, 0)))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +71,22 @@ def test_a_small_memory_changes_nothing(monkeypatch):
     texts = [t or "" for t in ODD_TEXTS]
     want = [tokens.loaded(WORD).encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, tokens.ID).tolist() for b in enc.encode(texts)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([*PIECES, "\v", "\f", "\x01", "　"]), max_size=25).map("".join), max_size=9))
+def test_batches_equal_the_library(texts):
+    ids, n = tokens.encoder(BYTE, "byte").batch(pa.array(texts, pa.string()))
+    want = [tokens.loaded(BYTE).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == want
+
+
+def test_a_batch_looks_up_its_distinct_units_once():
+    enc = tokens.UnitEncoder(BYTE, "byte", room=3)
+    asked = []
+    enc.tokenize = lambda part: asked.append(part) or enc.tok.model.tokenize(part)
+    texts = ["the cat, the dog", " the cat", None, "élan the dog"] * 50
+    ids, n = enc.batch(pa.array(texts, pa.string()))
+    assert len(asked) <= 10
+    want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == want
