@@ -43,13 +43,13 @@ from pagelake.llm.common import doc_texts, scratch
 from pagelake.llm.tokens import ID, default_path, encoder
 
 BLOCK = 2048
-SEGMENT = 2048
+SEGMENT = 4096
 
 #: Units a worker remembers beside the coder's own arrays (about 100 MB).
 CACHE_UNITS = 400_000
 
 #: Bytes of text encoded at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
 
 _MAGIC = b"TID2"
 _HEAD = struct.Struct("<4sQIIII")
@@ -144,6 +144,7 @@ def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
 class _Writer:
     def __init__(self, n: int):
         self.low, self.size = np.zeros(n, np.int64), np.full(n, (1 << _STATE) - 1, np.int64)
+        self.lane = np.uint16 if n <= _SLOTS else np.int32  # the shorter one is sorted by digits
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
@@ -158,20 +159,18 @@ class _Writer:
         low, size = self.low[:k], self.size[:k]
         out = _settled(low, size)
         top = low.take(out)
-        self.lanes.append(out.astype(np.int32))
+        self.lanes.append(out.astype(self.lane))
         self.words.append(top >> _KEPT)
         low[out] = (top & (1 << _KEPT) - 1) << _WORD
         size[out] = size.take(out) << _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all blocks, block by block; number of words of each)."""
-        every = np.arange(len(self.low), dtype=np.int32)
+        every = np.arange(len(self.low), dtype=self.lane)
         for word in (self.low >> _KEPT, (self.low & (1 << _KEPT) - 1) << _SPARE):
             self.lanes.append(every)
             self.words.append(word)
         lanes = np.concatenate(self.lanes)
-        if len(every) <= _SLOTS:
-            lanes = lanes.astype(np.uint16)  # sorted by digits
         words = np.concatenate(self.words)[np.argsort(lanes, kind="stable")]
         # what went beyond a word is carried to the one before; a block's first has none
         while (over := words >> _WORD).any():
@@ -222,19 +221,17 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     shares, starts = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
     shares[distinct], starts[distinct] = share, np.cumsum(share) - share
     last = len(ids) - block * (n - 1) if n else 0
-    whole = np.zeros(n * block, np.int32)
-    whole[:len(ids)] = ids
-    grid = np.zeros((block + 2, n), np.int32)  # two ids 0 ahead
-    grid[2:] = whole.reshape(n, block).T
-    before = grid.view(np.uint32)
+    grid = np.zeros((block + 2, n), ID)  # two ids 0 ahead
+    grid[2:] = np.pad(ids, (0, n * block - len(ids))).reshape(n, block).T
     model, out = _Model(n), _Writer(n)
     for t in range(min(block, len(ids))):
         k, step = n - (t >= last), t % _STEPS
         if not step:
-            some = grid[t + 2:t + 2 + _STEPS]
-            at = _places(before[t + 1:t + 1 + len(some)], before[t:t + len(some)], model.cells)
+            some = grid[t:t + _STEPS + 2].astype(np.int32)
+            at = _places(some[1:-1].view(np.uint32), some[:-2].view(np.uint32), model.cells)
+            some = some[2:]
             start0, share0 = starts.take(some), shares.take(some)
-        x = grid[t + 2, :k]
+        x = some[step, :k]
         said, a, b = model.predict(at[step, :, :k])
         hit = said == x
         known = hit[0] | hit[1]
@@ -271,14 +268,14 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
         return np.empty(0, ID)
     if len(words) != sizes.sum():
         raise ValueError("a token segment is cut short")
-    grid = np.zeros((block + 2, n), np.int32)
-    before = grid.view(np.uint32)
+    grid = np.zeros((block, n), ID)
+    x = before = np.zeros(n, np.int32)
     # one more entry for ids told by order 2 or 1: all of the interval
-    starts, share, distinct = (np.append(x, y) for x, y in ((starts, 0), (share, _SLOTS), (distinct.astype(np.int32), 0)))
+    starts, share, distinct = np.append(starts, 0), np.append(share, _SLOTS), np.append(distinct, 0).astype(np.int32)
     model, read = _Model(n), _Reader(words, first)
     for t in range(lengths.max()):
         k = n - (t >= lengths[-1])
-        said, a, b = model.predict(_places(before[t + 1, :k], before[t, :k], model.cells[:, :k]))
+        said, a, b = model.predict(_places(x[:k].view(np.uint32), before[:k].view(np.uint32), model.cells[:, :k]))
         code, size = read.code[:k], read.size[:k]
         size >>= _BITS
         a, b = size * a, size * b
@@ -290,15 +287,15 @@ def decompress(data: bytes, blocks: np.ndarray | None = None) -> np.ndarray:
         at = np.where(known, m, slot.take(code // size, mode="clip"))
         code -= size * starts.take(at)
         size *= share.take(at)
-        x = np.where(known, np.where(hit2, said[0], said[1]), distinct.take(at))
+        before, x = x, np.where(known, np.where(hit2, said[0], said[1]), distinct.take(at))
         read.settle(k)
-        grid[t + 2, :k] = x
+        grid[t, :k] = x
         model.learn(x, said == x, known)
-    out = np.ascontiguousarray(grid[2:].T)
+    out = np.ascontiguousarray(grid.T)
     for k in range(n):
         if zlib.crc32(out[k, :lengths[k]].astype("<u4")) != crcs[k]:
             raise ValueError(f"block {chosen[k]} of a token segment is damaged")
-    return out.ravel()[:lengths.sum()].astype(ID)
+    return out.ravel()[:lengths.sum()]
 
 
 def _ordered(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import islice
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 #: Ids below 65,536 in both files, so two bytes hold one.
 ID = np.dtype("<u2")
 
-#: Words a worker remembers (about 250 MB). Speed only.
+#: Words a worker remembers (about 250 MB); then it starts anew. Speed only.
 CACHE_WORDS = 1_200_000
 
 #: White space of the byte-level split. Fixed by Unicode's White_Space.
@@ -131,23 +132,17 @@ class _Letters(dict):
 
 
 class _Known(dict):
-    """Remembers up to ``room`` values, then goes on with the quarter that it
-    met first, as frequent ones come early."""
+    """Remembers up to ``room`` values, then starts anew."""
 
     def __init__(self, value: Callable[[str], bytes], room: int):
         super().__init__()
         self.value, self.room = value, room
 
     def __missing__(self, key: str) -> bytes:
-        self.make_room()
-        self[key] = out = self.value(key)
-        return out
-
-    def make_room(self) -> None:
         if len(self) >= self.room:
-            first = dict(islice(self.items(), self.room // 4))
             self.clear()
-            self.update(first)
+        self[key] = out = self.value(key)
+        return out
 
 
 class UnitEncoder:
@@ -172,6 +167,9 @@ class UnitEncoder:
         self.split = re.compile(pattern).findall
         room = room or CACHE_WORDS
         self.known, self.parts = _Known(self.unit, room), _Known(self._part, room)
+        # of batches: units that several had, and that one had
+        self.often: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         if part.isascii():
@@ -180,26 +178,43 @@ class UnitEncoder:
             letters = part.translate(self.letters)
         return _packed([t.id for t in self.tokenize(letters)])
 
-    def _learn(self, units: list[str]) -> None:
-        """Remember the ids of distinct units of the kind ``byte``, all parts
-        in one go; where a unit's ids end is told by the bytes they stand for."""
-        units = [u for u in units if not self.odd(u)]
-        if not units:
-            return
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of distinct units of the kind ``byte``, all parts in one go;
+        where a unit's ids end is told by the bytes they stand for."""
+        plain = [u for u in units if not self.odd(u)]
+        out = {u: self.unit(u) for u in units if self.odd(u)} if len(plain) < len(units) else {}
         parts: list[str] = []
-        for u in units:
+        for u in plain:
             if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
                 parts.append(u)
             else:
                 parts += self.split(u)
-        tokenize = self.tokenize
-        ids = np.array([t.id for p in "\n".join(parts).translate(self.letters).split("\n") for t in tokenize(p)], ID)
+        letters = "\n".join(parts).translate(self.letters).split("\n")
+        ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(map(self.tokenize, letters))), ID)
         ends = np.cumsum(self.id_bytes.take(ids))
-        to = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in units])) + 1
-        if to[-1] != len(ids):
-            return  # letters without an id: unit by unit
-        to, data = (ID.itemsize * to).tolist(), ids.tobytes()
-        self.known.update(zip(units, [data[a:b] for a, b in zip([0, *to], to)]))
+        want = np.cumsum([len(u.encode()) for u in plain])
+        if len(plain) and (not len(ids) or ends[-1] != want[-1]):  # bytes without an id
+            return {u: self.unit(u) for u in units}
+        to, data = (ID.itemsize * (np.searchsorted(ends, want) + 1)).tolist(), ids.tobytes()
+        out.update(zip(plain, [data[a:b] for a, b in zip([0, *to], to)]))
+        return out
+
+    def _look_up(self, units: list[str]) -> list[bytes]:
+        """Ids of a batch's distinct units. Where there is no room for more,
+        those that only one batch had are forgotten first."""
+        often, once, room = self.often, self.once, self.known.room
+        if len(often) + len(once) >= room:
+            once.clear()
+            if 4 * len(often) >= 3 * room:
+                often.clear()
+        out = list(map(often.get, units))
+        rest = [u for u, x in zip(units, out) if x is None]
+        found = {u: x for u in rest if (x := once.pop(u, None)) is not None}
+        often.update(found)
+        new = self._units([u for u in rest if u not in found])
+        once.update(new)
+        found.update(new)
+        return [found[u] if x is None else x for u, x in zip(units, out)]
 
     def unit(self, unit: str) -> bytes:
         """Ids of one unit."""
@@ -235,10 +250,7 @@ class UnitEncoder:
         units = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data))
         units = units.dictionary_encode()
         index = units.indices.to_numpy()
-        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.known.make_room()
-        self._learn([u for u in distinct if u not in self.known])
-        parts = list(map(self.known.__getitem__, distinct))
+        parts = self._look_up(units.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // ID.itemsize
         n = sizes.take(index)
         ends = np.append(0, np.cumsum(n))
