@@ -97,6 +97,33 @@ def test_clusters_of_many_blocks(spark, monkeypatch, size):
     assert got(docs) == brute(rows)
 
 
+@pytest.mark.parametrize("star", [1, 10 ** 6])
+def test_long_lists_in_blocks(spark, monkeypatch, star):
+    monkeypatch.setattr(nj, "STAR", star)
+    monkeypatch.setattr(nj, "BLOCK_CLASSES", 5)
+    monkeypatch.setattr(nj, "AT_ONCE", 7)
+    rows = near_copies(9, 80)
+    docs = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], SCHEMA)
+    assert got(docs, nj.Similarity(5, 80)) == brute(rows, 5, 80)
+
+
+def test_phrases_that_texts_share_join_nothing(spark, monkeypatch):
+    """Texts of common phrases: nearly all share some with others, hardly any is a near copy."""
+    rnd = random.Random(3)
+    phrases = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(60)}" for _ in range(10)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(phrases, k=12))) for i in range(400)]
+    rows += [(400 + i, f"{rows[i][1]} and more") for i in range(20)]
+    sizes, texts = [], nj._class_texts
+
+    def seen(docs, clusters, *more):
+        sizes.extend(r["count"] for r in clusters.groupBy("cluster").count().collect())
+        return texts(docs, clusters, *more)
+
+    monkeypatch.setattr(nj, "_class_texts", seen)
+    assert got(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], SCHEMA)) == brute(rows)
+    assert sorted(sizes) == [2] * 20
+
+
 def test_pipeline_form_keeps_one_of_each(spark):
     docs = sf_docs(spark).withColumn("component_id", F.lit(0))
     kept = nj.first_of_each(docs)
