@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagelake.llm import tokens
+from pagelake.llm import ngram_join, tokens
 from tests.llm.helpers import SF, SCHEMA, empty_docs, odd_docs, sf_docs
 from tests.llm.test_ngram_join import brute as components
 from tests.llm.test_pii import brute as personal
@@ -90,3 +91,20 @@ def test_near_copies_keep_one_row_of_each_document_whatever_its_id(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(
         [(1, a), (5, b), (7, c), (None, d), (9, None), (9, None)], key=key)
+
+
+def test_near_copies_verify_no_texts_that_share_phrases_only(spark, monkeypatch):
+    rnd = random.Random(4)
+    phrases = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(60)}" for _ in range(10)) for _ in range(200)]
+    rows = [(i, " ".join(rnd.choices(phrases, k=12))) for i in range(300)]
+    rows.append((300, rows[7][1] + " again"))
+    sizes, texts = [], ngram_join._class_texts
+
+    def seen(docs, clusters, *more):
+        sizes.extend(r["count"] for r in clusters.groupBy("cluster").count().collect())
+        return texts(docs, clusters, *more)
+
+    monkeypatch.setattr(ngram_join, "_class_texts", seen)
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, numbered(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert sizes == [2]
